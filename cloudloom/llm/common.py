@@ -52,3 +52,59 @@ def global_order(df: DataFrame, keys: Sequence[Column], name: str = "row_number"
         .withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND((1 << 33) - 1))
     )
     return out.drop("__at", "__part", "__offset"), total
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, text): one long key per document, the id itself where ids are unique and not null.
+
+    Otherwise a digest of id and text, so fully repeated rows count as one document.
+    """
+    unique = docs.groupBy(id_col).count().where(F.col("count").__gt__(1) | F.col(id_col).isNull()).limit(1).count() == 0
+    return docs.select(rid(unique, id_col, text_col), F.col(text_col).alias("text")), unique
+
+
+def rid(unique: bool, id_col: str, text_col: str) -> Column:
+    return (F.col(id_col).cast("long") if unique else F.xxhash64(F.col(id_col), F.col(text_col))).alias("rid")
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): smallest node reachable over the undirected edges (a, b); nodes without edges are left out.
+
+    Rounds of minimum labels over neighbours followed by pointer jumping; each round is written to the shared
+    folder, and only a count of changed labels comes to the driver.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = cut(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        changed = new.where("old <> label").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels.withColumnRenamed("label", "component")
+
+
+def groups(batches, keys: list[str]):
+    """Record batches of each run of equal keys in a stream sorted by them; holds one group and one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        turn = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            v = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            turn[1:] |= v[1:] != v[:-1]
+        starts = [0, *np.flatnonzero(turn).tolist(), batch.num_rows]
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            piece = batch.slice(lo, hi - lo)
+            if held and (lo or any(held[-1].column(k)[0] != piece.column(k)[0] for k in keys)):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(piece)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

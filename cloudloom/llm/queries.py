@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, sharding, urlfilter
+from . import jaccard, licenses, packing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,33 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * k >= 80 * (s.n + t.n - k)),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN pairs b ON r.y = b.x),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1),
+sigs AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS sig FROM grams GROUP BY 1),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS class_id, sig FROM sigs),
+deg AS (SELECT c.class_id AS x, count(DISTINCT d.class_id) AS n_links FROM pairs JOIN class c ON c.doc_id = x JOIN class d ON d.doc_id = y WHERE c.class_id <> d.class_id GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(class_id, doc_id) AS class_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN deg ON deg.x = class_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL, "op10_ngram_jaccard": OP10_SQL}
