@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BREAK = _SPACE.copy()
+_BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _powers = np.ones(1, dtype=U64)
 _inverse = np.ones(1, dtype=U64)
 
@@ -104,13 +106,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """All words of the texts that data and offsets hold; words never cross texts."""
+def words(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> Words:
+    """All words of the texts that data and offsets hold; words never cross texts. ``loose``: ASCII punctuation parts words too."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), empty, empty, np.zeros(len(offsets), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~(_BREAK if loose else _SPACE)[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
