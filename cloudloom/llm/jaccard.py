@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import components, cut, groups, keyed
+from .common import rid as key_of
 
 HOT_DF = 16  # a gram in so many texts of one partition goes to the end of the order
 BITS = 24  # of the table that marks frequent grams, 2 MB
 FRAGMENT = 2048  # grams in a fragment
-BLOCK, BLOCKS, FULL = 16_000, 16, 1_000_000  # grams in a block, blocks up to which it may stay so small, and most grams
+BLOCK, BLOCKS, FULL = 96, 16, 1_000_000  # sets in a block, blocks up to which it may stay so small, and most grams
 MIX = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -122,22 +123,13 @@ def _links(table: pa.Table, percent: int) -> tuple[list, list]:
     return [(int(rid[a]), int(rid[b])) for a, b in _forest(size, left, right)], [(int(rid[i]), int(degree[i])) for i in np.flatnonzero(degree)]
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), n_links, class_id.
-
-    Texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of distinct n-word grams (a text of
-    fewer words is one gram). Texts with equal sets form a class, named by its smallest id; n_links counts
-    the other classes that a class is linked with. A null or empty text, or one without words, has 0
-    grams and is linked with nothing. Repeated rows and ids: rows get what their class gets; where ids repeat or
-    are null, component_id is the smallest id of the component and null only if all its ids are.
-    An empty table gives no rows. Other columns are ignored.
-    """
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, n_shingles, comp_rid, n_links, class_rid) of each row, and whether rid is the id."""
     spark = docs.sparkSession
     source, unique = keyed(docs, id_col, text_col)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (rid, n, set id) per text; with null rid the bucket of a gram frequent here."""
-        seen: dict[int, int] = {}
         high = np.zeros(1 << BITS, np.uint8)
         sets: set[int] = set()
         for batch in batches:
@@ -151,7 +143,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
         hot = np.flatnonzero(high >= HOT_DF)
         none = pa.nulls(len(hot), pa.int64())
         yield pa.record_batch([none, pa.array(hot), none], names=["rid", "n", "sid"])
-        seen.clear()
 
     surveyed = cut(source.mapInArrow(survey, "rid long, n long, sid long"))
     hot = np.zeros(1 << BITS, bool)
@@ -162,7 +153,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     classes = cut(texts.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("rid")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, set id) of the prefix of each text; a set seen before in this task is passed over."""
+        """(gram, set id, size, position, front) of the prefix of each text; a set seen before in this task is passed over.
+
+        Of two linked sets the smaller has a shared gram in its front, the part that suffices for partners no smaller than it.
+        """
         late = np.unpackbits(table.value).astype(bool)
         sets: set[int] = set()
         for batch in batches:
@@ -174,27 +168,42 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
                 order = np.lexsort((h, late[(h >> np.uint64(64 - BITS)).astype(np.int64)], d))
                 rank = np.arange(len(h)) - np.repeat(off[:-1], size)
                 keep = (rank < _prefix_length(size, percent)[d]) & new[d]
-                yield pa.record_batch([pa.array(tk.signed(h[order][keep])), pa.array(ids[d[keep]])], names=["gram", "sid"])
-
-    rows = source.mapInArrow(prefixes, "gram long, sid long")
-    centres = rows.groupBy("gram").agg(F.min("sid").alias("centre"))
-    met = rows.join(centres, "gram").where("sid > centre").select("sid", "centre").distinct()
-    members = cut(met.union(met.select("centre", "centre")).distinct())
-    total = members.join(classes, "sid").groupBy("centre").agg(F.sum("n").alias("grams"))
-    blocks = F.when(F.col("grams") <= BLOCKS * FULL, F.least(F.lit(BLOCKS), F.ceil(F.col("grams") / BLOCK))).otherwise(F.ceil(F.col("grams") / FULL)).cast("int")
+                front = rank < (size - -(-2 * percent * size // (100 + percent)) + 1)[d]
+                yield pa.record_batch([pa.array(tk.signed(h[order][keep])), pa.array(ids[d[keep]]), pa.array(size[d[keep]].astype(np.int32)), pa.array(rank[keep].astype(np.int32)), pa.array(front[keep])], names=["gram", "sid", "n", "pos", "front"])
+
+    rows = source.mapInArrow(prefixes, "gram long, sid long, n int, pos int, front boolean")
+    lists = rows.groupBy("gram").agg(F.min(F.struct("sid", "n", "pos")).alias("c"), F.max("front").alias("front"), F.count("*").alias("rows"))
+    centres = cut(lists.where("rows > 1 and front").select("gram", "rows", F.col("c.sid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos")))
+    # where a gram has two sets, they can only meet each other: the overlap that is still possible from there on must suffice
+    enough = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos")) * (100 + percent) >= (F.col("n") + F.col("cn")) * percent
+    met = cut(rows.join(centres, "gram").where("sid <> centre").where((F.col("rows") > 2) | enough).select("sid", "centre").distinct())
+    met = met.union(met.select("centre", "centre")).distinct().join(classes.select("sid", "n"), "sid")
+    # linked sets lie in the same or neighbouring bands of size, so a member needs another one there
+    met = cut(met.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)))
+    near = met.groupBy("centre", "band").agg(F.count("*").alias("k")).select("centre", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("centre", "band").agg(F.sum("k").alias("k"))
+    met = cut(met.join(near.where("k > 1"), ["centre", "band"]).select("sid", "centre", "n"))
+    # a centre whose members all belong to one smaller centre adds no pair
+    size = met.groupBy("centre").agg(F.count("*").alias("size"))
+    also = met.join(met.select("sid", F.col("centre").alias("smaller")), "sid").where("smaller < centre").groupBy("centre", "smaller").agg(F.count("*").alias("size"))
+    members = cut(met.join(also.join(size, ["centre", "size"]).select("centre").distinct(), "centre", "left_anti"))
+    total = members.groupBy("centre").agg(F.sum("n").alias("grams"), F.count("*").alias("sets"))
+    blocks = F.greatest(F.ceil(F.col("grams") / FULL), F.least(F.lit(BLOCKS), F.ceil(F.col("sets") / BLOCK))).cast("int")
     owned = members.groupBy("sid").agg(F.collect_set("centre").alias("centres")).join(classes, "sid")
     wanted = cut(owned.select("rid", "centres"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for rids, off, h in _sets(batch, n):
                 raw = [h[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
-                yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(raw, pa.binary())], names=["rid", "n", "grams"])
+                yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(raw, pa.binary()), batch.column(2).slice(at, len(rids))], names=["rid", "n", "grams", "centres"])
+                at += len(rids)
 
-    sets = source.join(wanted.select("rid"), "rid", "left_semi").select("rid", "text").mapInArrow(grams, "rid long, n long, grams binary")
+    once = source if unique else source.dropDuplicates(["rid"])
+    sets = once.join(wanted, "rid").select("rid", "text", "centres").mapInArrow(grams, "rid long, n long, grams binary, centres array<long>")
     nb = F.col("nb")
     placed = (
-        sets.dropDuplicates(["rid"]).join(wanted, "rid").withColumn("centre", F.explode("centres"))
+        sets.withColumn("centre", F.explode("centres"))
         .join(total.select("centre", blocks.alias("nb")), "centre")
         .withColumn("own", F.pmod(F.xxhash64("rid"), nb).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
@@ -216,23 +225,38 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rid")
     named = classes.join(label, "rid", "left").join(degree, "rid", "left")
     by_class = named.select("sid", "n", F.col("rid").alias("class_rid"), F.coalesce("component", "rid").alias("comp_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = texts if unique else texts.dropDuplicates(["rid"])
+    own = F.col("rid")
+    return rows.join(by_class, ["sid", "n"], "left").select(
+        "rid", F.col("n").alias("n_shingles"), F.coalesce("comp_rid", own).alias("comp_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_rid", own).alias("class_rid")
+    ), unique
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), n_links, class_id.
+
+    Texts are linked when 100 * |A & B| >= percent * |A | B| over their sets of distinct n-word grams (a text of
+    fewer words is one gram). Texts with equal sets form a class, named by its smallest id; n_links counts
+    the other classes that a class is linked with. A null or empty text, or one without words, has 0
+    grams and is linked with nothing. Repeated rows and ids: rows get what their class gets; where ids repeat or
+    are null, component_id is the smallest id of the component and null only if all its ids are.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    per, unique = _joined(docs, n, percent, id_col, text_col)
     if unique:  # the key is the id, so the smallest key is the smallest id
-        out = texts.join(by_class, ["sid", "n"], "left").select(F.col("rid").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp_rid", "rid").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_rid", "rid").alias("class_id"))
-        return out
-    ids = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"))
-    per = texts.dropDuplicates(["rid"]).join(by_class, ["sid", "n"], "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("comp_rid", "rid").alias("comp_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_rid", "rid").alias("class_rid"))
-    rows = ids.join(per, "rid")
+        return per.select(F.col("rid").alias(id_col), "n_shingles", F.col("comp_rid").alias("component_id"), "n_links", F.col("class_rid").alias("class_id"))
+    rows = docs.select(F.col(id_col), key_of(False, id_col, text_col)).join(per, "rid")
     comp = rows.groupBy("comp_rid").agg(F.min(id_col).alias("component_id"))
     klass = rows.groupBy("class_rid").agg(F.min(id_col).alias("class_id"))
     return rows.join(comp, "comp_rid").join(klass, "class_rid").select(id_col, "n_shingles", "component_id", "n_links", "class_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that are linked, however remotely, with a smaller id.
+    """The rows of ``docs``, all columns, without those linked, however remotely, with a smaller id.
 
-    Texts without words stay. Where ids repeat or are null, the row with the smallest (id, text digest) of a component stays,
-    with its exact repeats.
+    Texts without words stay. Where ids repeat or are null, the order is that of a digest of id and text; full repeats of
+    the row that stays stay with it.
     """
-    joined = jaccard_join(docs, n, percent, id_col, text_col)
-    drop = joined.where(f"{id_col} <> component_id or ({id_col} is null and component_id is not null)").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]), "left_anti")
+    per, unique = _joined(docs, n, percent, id_col, text_col)
+    gone = per.where("rid <> comp_rid").select(F.col("rid").alias("__rid"))
+    return docs.withColumn("__rid", key_of(unique, id_col, text_col)).join(gone, "__rid", "left_anti").drop("__rid").select(*docs.columns)
