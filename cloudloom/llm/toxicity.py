@@ -28,7 +28,7 @@ from .common import cut
 
 D = 0.75
 SPREAD = 4.0
-CALIBRATION_ROWS = 20_000  # bound of the sample that fits the curve: the rows with the smallest digests of their ids
+CALIBRATION_ROWS = 20_000  # bound expected size of the sample that fits the curve: ids whose digest falls in that share
 BROADCAST_ROWS = 4_000_000  # of the model, 16 bytes each; a larger one is joined
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.7
@@ -238,7 +238,8 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
     """``columns`` (the last is the text) with __x and __n of all rows, and the score in these."""
     text_col = columns[-1]
     learnt = labels.where(f"`{id_col}` is not null and toxic is not null").where(remainder(id_col) != 1).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
-    marked = F.broadcast(learnt) if learnt.count() <= BROADCAST_LABELS else learnt
+    known = learnt.count()
+    marked = F.broadcast(learnt) if known <= BROADCAST_LABELS else learnt
     labelled = docs.select(F.col(id_col), F.col(text_col)).join(marked, docs[id_col] == marked["__id"]).select(id_col, text_col, "__toxic")
     ratios, common = learn(labelled, text_col)
     model = Model.collect(ratios, common) if ratios.count() <= broadcast_rows else None
@@ -246,8 +247,8 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
     def measure(part: DataFrame, cols: list[str]) -> DataFrame:
         return _features_broadcast(part, model, cols) if model else _features_joined(part, ratios, common, cols)
 
-    sample = labelled.withColumn("__order", F.xxhash64(id_col, text_col)).orderBy("__order").limit(CALIBRATION_ROWS)
-    fit = np.array(measure(sample, ["__toxic", text_col]).collect(), float).reshape(-1, 3)  # CALIBRATION_ROWS at most
+    sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) <= (1 << 20) * CALIBRATION_ROWS // max(known, 1))
+    fit = np.array(measure(sample, ["__toxic", text_col]).collect(), float).reshape(-1, 3)  # about CALIBRATION_ROWS
     a, b, c = _curve(fit[:, 1], fit[:, 2], fit[:, 0])
     logit = F.lit(a) + F.lit(b) * F.col("__x") + F.lit(c) * F.col("__x") * F.sqrt(F.col("__n"))
     return measure(docs, columns), 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
