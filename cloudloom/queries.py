@@ -316,7 +316,7 @@ def avg_pool_graph_edges(spark, d):
 
 def _scatter(how: str) -> None:
     sql = {
-        "sum": "round(sum(o_totalprice), 2)", "mean": "round(avg(o_totalprice), 2)", "max": "max(o_totalprice)", "min": "min(o_totalprice)",
+        "sum": "round(sum(o_totalprice), 2)", "mean": "round(avg(o_totalprice), 8)", "max": "max(o_totalprice)", "min": "min(o_totalprice)",
         "argmax": "arg_max(o_orderkey, (o_totalprice, -o_orderkey))", "argmin": "arg_min(o_orderkey, (o_totalprice, o_orderkey))",
     }[how]
 
@@ -324,7 +324,7 @@ def _scatter(how: str) -> None:
     def run(spark, d):
         rows = t.table(spark, d, "orders").select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("value"))
         out = voxel.scatter(rows, how)
-        return out.withColumn("value", F.round("value", 2)) if how in ("sum", "mean") else out
+        return out.withColumn("value", F.round("value", 8 if how == "mean" else 2)) if how in ("sum", "mean") else out
 
 
 for _how in ("sum", "mean", "max", "min", "argmax", "argmin"):
@@ -373,8 +373,8 @@ def chamfer_reductions(spark, d):
 _NN = f"nn AS ({top('cells', 'cloud', 1)})"
 
 
-@query("chamfer_normals", f"""WITH {CELLS}, {_NN}, p AS (SELECT nn.batch, q, a.x + 1 AS ax, a.y + 1 AS ay, a.z + 1 AS az, b.x + 1 AS bx, b.y + 1 AS by, b.z + 1 AS bz FROM nn JOIN cells a ON a.batch = nn.batch AND a.idx = q JOIN cloud b ON b.batch = nn.batch AND b.idx = ref)
-SELECT batch, q, round(1 - abs((ax::DOUBLE * bx + ay::DOUBLE * by + az::DOUBLE * bz) / (greatest(sqrt(ax::DOUBLE * ax + ay::DOUBLE * ay + az::DOUBLE * az), 1e-6) * greatest(sqrt(bx::DOUBLE * bx + by::DOUBLE * by + bz::DOUBLE * bz), 1e-6))), 6) AS d FROM p""")
+@query("chamfer_normals", f"""WITH {CELLS}, {_NN}, p AS (SELECT nn.batch, q, a.x + 1 AS nx, a.y + 1 AS ny, a.z + 1 AS nz, b.x + 1 AS mx, b.y + 1 AS my, b.z + 1 AS mz FROM nn JOIN cells a ON a.batch = nn.batch AND a.idx = q JOIN cloud b ON b.batch = nn.batch AND b.idx = ref)
+SELECT batch, q, round(1 - abs((nx::DOUBLE * mx + ny::DOUBLE * my + nz::DOUBLE * mz) / (greatest(sqrt(nx::DOUBLE * nx + ny::DOUBLE * ny + nz::DOUBLE * nz), 1e-6) * greatest(sqrt(mx::DOUBLE * mx + my::DOUBLE * my + mz::DOUBLE * mz), 1e-6))), 6) AS d FROM p""")
 def chamfer_normals(spark, d):
     x, y = _two(spark, d)
     shift = lambda df: df.withColumn("pos", F.transform("pos", lambda v: v + m.flit(1)))
@@ -412,10 +412,10 @@ def ball_query_grad(spark, d):
 def _fps_sql(count: str, skip: bool = False) -> str:
     bar = "CASE WHEN (x * x + y * y) + z * z < 1e-3::FLOAT THEN -1e30::FLOAT END" if skip else "NULL::FLOAT"
     return f"""WITH RECURSIVE {CLOUD}, p AS (SELECT batch, list(idx ORDER BY idx) AS ids, list(x ORDER BY idx) AS xs, list(y ORDER BY idx) AS ys, list(z ORDER BY idx) AS zs, list({bar} ORDER BY idx) AS bar, len(ids) AS n FROM cloud GROUP BY 1),
-f(batch, slot, at, least) AS (SELECT batch, 0, 1::BIGINT, list_transform(xs, lambda v: 'infinity'::FLOAT) FROM p
+f(batch, slot, pick, least) AS (SELECT batch, 0, 1::BIGINT, list_transform(xs, lambda v: 'infinity'::FLOAT) FROM p
  UNION ALL SELECT batch, slot + 1, list_position(list_transform(low, lambda v, i: coalesce(bar[i], v)), list_max(list_transform(low, lambda v, i: coalesce(bar[i], v))))::BIGINT, low
- FROM (SELECT f.batch, slot, bar, list_transform(range(1, n + 1), lambda i: least(least[i], ((xs[i] - xs[at]) * (xs[i] - xs[at]) + (ys[i] - ys[at]) * (ys[i] - ys[at])) + (zs[i] - zs[at]) * (zs[i] - zs[at]))) AS low, {count} AS m FROM f JOIN p ON f.batch = p.batch WHERE slot + 1 < {count}))
-SELECT f.batch, slot, ids[at] AS idx FROM f JOIN p USING (batch)"""
+ FROM (SELECT f.batch, slot, bar, list_transform(range(1, n + 1), lambda i: least(least[i], ((xs[i] - xs[pick]) * (xs[i] - xs[pick]) + (ys[i] - ys[pick]) * (ys[i] - ys[pick])) + (zs[i] - zs[pick]) * (zs[i] - zs[pick]))) AS low, {count} AS m FROM f JOIN p ON f.batch = p.batch WHERE slot + 1 < {count}))
+SELECT f.batch, slot, ids[pick] AS idx FROM f JOIN p USING (batch)"""
 
 
 @query("fps", _fps_sql("24"))
@@ -423,7 +423,7 @@ def fps(spark, d):
     return sampling.furthest_point_sample(t.events_cloud(spark, d), 24)
 
 
-@query("fps_skip_origin", _fps_sql("16", True).replace("ids[at] AS idx", "ids[at]::INT AS idx"))
+@query("fps_skip_origin", _fps_sql("16", True).replace("ids[pick] AS idx", "ids[pick]::INT AS idx"))
 def fps_skip_origin(spark, d):
     return sampling.sampled_from_origin_free(t.events_cloud(spark, d), 16)
 
@@ -492,12 +492,12 @@ def bvh_radius(spark, d):
 
 _SITES = f"{CLOUD}, s0 AS (SELECT batch::INT AS b, floor(x)::INT AS a0, floor(y / 4)::INT AS a1, floor(z / 4)::INT AS a2, count(*)::FLOAT AS f0, sum(f0)::FLOAT AS f1 FROM cloud GROUP BY ALL), sites AS (SELECT ((b::BIGINT * 64 + a0) * 64 + a1) * 4096 + a2 AS row, * FROM s0)"
 _KER = "ker AS (SELECT (i * 3 + j) * 3 + k AS o, i, j, k FROM (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 3)) AS j), (SELECT unnest(range(0, 3)) AS k))"
-_SUBM = f"WITH {_SITES}, {_KER}, rules AS (SELECT o AS offset, n.row AS in_row, s.row AS out_row FROM sites s, ker JOIN sites n ON n.b = s.b AND n.a0 = s.a0 + i - 1 AND n.a1 = s.a1 + j - 1 AND n.a2 = s.a2 + k - 1)"
+_SUBM = f"WITH {_SITES}, {_KER}, rules AS (SELECT o AS koff, n.row AS in_row, s.row AS out_row FROM sites s, ker JOIN sites n ON n.b = s.b AND n.a0 = s.a0 + i - 1 AND n.a1 = s.a1 + j - 1 AND n.a2 = s.a2 + k - 1)"
 _SHAPE = (16, 32, 4096)
-_REACH = f"""WITH {_SITES}, {_KER}, reach AS (SELECT o AS offset, row AS in_row, b, (a0 + 1 - i) // 2 AS a0, (a1 + 1 - j) // 2 AS a1, (a2 + 1 - k) // 2 AS a2 FROM sites, ker
+_REACH = f"""WITH {_SITES}, {_KER}, reach AS (SELECT o AS koff, row AS in_row, b, (a0 + 1 - i) // 2 AS a0, (a1 + 1 - j) // 2 AS a1, (a2 + 1 - k) // 2 AS a2 FROM sites, ker
  WHERE (a0 + 1 - i) % 2 = 0 AND (a1 + 1 - j) % 2 = 0 AND (a2 + 1 - k) % 2 = 0 AND a0 + 1 - i >= 0 AND a1 + 1 - j >= 0 AND a2 + 1 - k >= 0 AND (a0 + 1 - i) // 2 < 8 AND (a1 + 1 - j) // 2 < 16 AND (a2 + 1 - k) // 2 < 2048),
-outs AS (SELECT row_number() OVER (ORDER BY b, a0, a1, a2) - 1 AS row, * FROM (SELECT DISTINCT b, a0, a1, a2 FROM reach)), rules AS (SELECT offset, in_row, outs.row AS out_row FROM reach JOIN outs USING (b, a0, a1, a2))"""
-_WEIGHT = "(((offset * 4 + cin * 2 + cout) % 7 - 3) / 4::DOUBLE)"
+outs AS (SELECT row_number() OVER (ORDER BY b, a0, a1, a2) - 1 AS row, * FROM (SELECT DISTINCT b, a0, a1, a2 FROM reach)), rules AS (SELECT koff, in_row, outs.row AS out_row FROM reach JOIN outs USING (b, a0, a1, a2))"""
+_WEIGHT = "(((koff * 4 + cin * 2 + cout) % 7 - 3) / 4::DOUBLE)"
 _CH = "ch AS (SELECT row, 0 AS cin, f0 AS x FROM sites UNION ALL SELECT row, 1, f1 FROM sites), co AS (SELECT unnest([0, 1]) AS cout)"
 _CONV = f"{_CH}, y AS (SELECT out_row AS row, cout, sum(x * {_WEIGHT}) AS v FROM rules JOIN ch ON ch.row = in_row, co GROUP BY ALL)"
 
@@ -511,7 +511,7 @@ def _sites(spark, d):
     return t.event_sites(t.events_cloud(spark, d))
 
 
-@query("subm_rulebook", f"{_SUBM} SELECT offset::INT AS offset, in_row, out_row FROM rules")
+@query("subm_rulebook", f"{_SUBM} SELECT koff::INT AS \"offset\", in_row, out_row FROM rules")
 def subm_rulebook(spark, d):
     return sparse.subm_rulebook(_sites(spark, d))
 
@@ -523,7 +523,7 @@ def subm_conv(spark, d):
     return y.sites.select("row", *[F.round(F.col("features")[i].cast("double"), 2).alias(f"y{i}") for i in range(2)])
 
 
-@query("sparse_conv_rulebook", f"{_REACH} SELECT offset::INT AS offset, in_row, out_row FROM rules")
+@query("sparse_conv_rulebook", f"{_REACH} SELECT koff::INT AS \"offset\", in_row, out_row FROM rules")
 def sparse_conv_rulebook(spark, d):
     return sparse.conv_rulebook(_sites(spark, d), _SHAPE, 3, 2, 1)[1]
 
@@ -545,7 +545,7 @@ def sparse_inverse_conv(spark, d):
 
 
 @query("sparse_conv_grads", f"""{_REACH}, {_CH}, g AS (SELECT row, cout, ((row + cout) % 5 - 2)::FLOAT AS g FROM outs, co)
-SELECT 'w' AS kind, offset::BIGINT AS a, cin::BIGINT AS b, cout::BIGINT AS c, round(sum(g::DOUBLE * x), 1) AS v FROM rules JOIN ch ON ch.row = in_row JOIN g ON g.row = out_row GROUP BY ALL
+SELECT 'w' AS kind, koff::BIGINT AS a, cin::BIGINT AS b, cout::BIGINT AS c, round(sum(g::DOUBLE * x), 1) AS v FROM rules JOIN ch ON ch.row = in_row JOIN g ON g.row = out_row GROUP BY ALL
 UNION ALL SELECT 'b', 0, 0, cout, round(sum(g::DOUBLE), 1) FROM g GROUP BY ALL
 UNION ALL SELECT 'x', in_row, cin, 0, round(sum(g::DOUBLE * {_WEIGHT}), 1) FROM rules JOIN g ON g.row = out_row, (SELECT unnest([0, 1]) AS cin) GROUP BY ALL""")
 def sparse_conv_grads(spark, d):
