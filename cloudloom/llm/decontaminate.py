@@ -64,11 +64,12 @@ class Items:
         return may[ok], g[ok]
 
     def rare(self, df: np.ndarray) -> Items:
-        """With the seeds only: of each item the rarer half of its grams, and the rarest of each stretch of them."""
+        """With the seeds only: of each item's grams that occur at all the rarer half, and the rarest of each stretch."""
         hash_of = np.repeat(self.gram, np.diff(self.first))
         often = np.repeat(df, np.diff(self.first))
         keep = np.zeros(len(often), bool)
         order = np.lexsort((self.at, self.item))
+        order = order[often[order] > 0]
         for rows in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
             keep[rows[often[rows] <= np.median(often[rows])]] = True
             for lo in range(0, len(rows), STRETCH):
@@ -152,8 +153,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, min_score: float =
     """A row for each input row and test item that it holds: id, item id, score, first_word, end_word.
 
     Words are lower-cased and parted by space and ASCII punctuation. The score is that of the best local alignment over
-    that of the whole item (match 2, mismatch -1, gap -1), at least ``min_score``. Seeds are the rarer half of an item's
-    n-grams by document count over all texts, and the rarest of each stretch, so an item always has seeds however often it
+    that of the whole item (match 2, mismatch -1, gap -1), at least ``min_score``. Seeds are, of an item's n-grams that
+    occur, the rarer half by document count over all texts, and the rarest of each stretch, so an item always has seeds however often it
     is copied. An item of fewer than n words is one seed. Null and empty texts and items match nothing. Repeated
     rows give their rows each; repeated items too. Empty tables give no rows. Other columns are ignored.
     """
