@@ -2,9 +2,9 @@
 
 The distinct n-grams of a text are put in one global order: grams that are frequent in some
 partition last, else by hash. Two texts that reach the threshold share a gram among the first
-n - ceil(t n) + 1 of each. All texts that share such a gram also share its centre, the smallest
-set that has it, so groups by centre hold every candidate pair while their rows grow with the
-texts, not with the pairs. A group cuts the gram order into fragments, counts the overlaps of
+n - ceil(t n) + 1 of each. Grams of a few texts make pairs, kept if the pair shares as many as it must. All texts that share
+any other gram also share its centre, the smallest set that has it, so groups by centre hold every
+candidate pair while their rows grow with the texts, not with the pairs. A group cuts the gram order into fragments, counts the overlaps of
 each fragment on its own, and sums them per pair. Large groups are split into blocks that meet
 pair by pair in tasks of their own. Links leave a task as a spanning forest and as counts.
 """
@@ -22,8 +22,9 @@ from . import textkit as tk
 from .common import components, cut, groups, keyed
 from .common import rid as key_of
 
-HOT_DF = 16  # a gram in so many texts of one partition goes to the end of the order
-BITS = 24  # of the table that marks frequent grams, 2 MB
+HOT_DF = 4  # a gram in so many different texts of one partition goes to the end of the order
+BITS = 25  # of the table that marks frequent grams, 4 MB
+SMALL = 8  # sets with a gram up to which they meet as pairs, and not in a group
 FRAGMENT = 2048  # grams in a fragment
 BLOCK, BLOCKS, FULL = 96, 16, 1_000_000  # sets in a block, blocks up to which it may stay so small, and most grams
 MIX = np.uint64(0x9FB21C651E98DF25)
@@ -153,11 +154,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     classes = cut(texts.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("rid")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, set id, size, position, front) of the prefix of each text; a set seen before in this task is passed over.
-
-        Of two linked sets the smaller has a shared gram in its front, the part that suffices for partners no smaller than it.
-        """
-        late = np.unpackbits(table.value).astype(bool)
+        """(gram, set id, size) of the prefix of each text; a set seen before in this task is passed over."""
+        marks = table.value
         sets: set[int] = set()
         for batch in batches:
             for _, off, h in _sets(batch, n):
@@ -165,18 +163,27 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
                 ids = _set_ids(off, h)
                 new = np.array([s > 0 and not (i in sets or sets.add(i)) for i, s in zip(ids.tolist(), size.tolist(), strict=True)], bool)
                 d = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((h, late[(h >> np.uint64(64 - BITS)).astype(np.int64)], d))
+                bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                late = marks[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1
+                order = np.lexsort((h, late, d))
                 rank = np.arange(len(h)) - np.repeat(off[:-1], size)
                 keep = (rank < _prefix_length(size, percent)[d]) & new[d]
-                front = rank < (size - -(-2 * percent * size // (100 + percent)) + 1)[d]
-                yield pa.record_batch([pa.array(tk.signed(h[order][keep])), pa.array(ids[d[keep]]), pa.array(size[d[keep]].astype(np.int32)), pa.array(rank[keep].astype(np.int32)), pa.array(front[keep])], names=["gram", "sid", "n", "pos", "front"])
-
-    rows = source.mapInArrow(prefixes, "gram long, sid long, n int, pos int, front boolean")
-    lists = rows.groupBy("gram").agg(F.min(F.struct("sid", "n", "pos")).alias("c"), F.max("front").alias("front"), F.count("*").alias("rows"))
-    centres = cut(lists.where("rows > 1 and front").select("gram", "rows", F.col("c.sid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos")))
-    # where a gram has two sets, they can only meet each other: the overlap that is still possible from there on must suffice
-    enough = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos")) * (100 + percent) >= (F.col("n") + F.col("cn")) * percent
-    met = cut(rows.join(centres, "gram").where("sid <> centre").where((F.col("rows") > 2) | enough).select("sid", "centre").distinct())
+                yield pa.record_batch([pa.array(tk.signed(h[order][keep])), pa.array(ids[d[keep]]), pa.array(size[d[keep]].astype(np.int32))], names=["gram", "sid", "n"])
+
+    rows = source.mapInArrow(prefixes, "gram long, sid long, n int")
+    lists = rows.groupBy("gram").agg(F.min("sid").alias("centre"), F.count("*").alias("rows"))
+    lists = cut(lists.where("rows > 1"))
+    met = cut(rows.join(lists.hint("merge"), "gram"))  # the same plan at every size
+    large = met.where(F.col("rows") > SMALL).where("sid <> centre").select("sid", "centre").distinct()
+    # Sets that meet under rare grams only share all of these in their prefixes, so fewer than linked sets must share rule them out.
+    few = met.where(F.col("rows") <= SMALL).select("gram", "sid", "n")
+    other = few.toDF("gram", "sid2", "n2")
+    size_fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    pairs = few.join(other, "gram").where("sid < sid2").where(size_fits).groupBy("sid", "sid2", "n", "n2").agg(F.count("*").alias("k"))
+    up = lambda num, den: F.expr(f"({num} + {den} - 1) div {den}")
+    must = up(f"{percent} * (n + n2)", 100 + percent) + 1 - up(f"{percent} * greatest(n, n2)", 100)
+    met = large.union(pairs.where(F.col("k") >= must).select(F.col("sid2").alias("sid"), F.col("sid").alias("centre")))
+    met = cut(met.distinct())
     met = met.union(met.select("centre", "centre")).distinct().join(classes.select("sid", "n"), "sid")
     # linked sets lie in the same or neighbouring bands of size, so a member needs another one there
     met = cut(met.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)))
@@ -188,23 +195,23 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     members = cut(met.join(also.join(size, ["centre", "size"]).select("centre").distinct(), "centre", "left_anti"))
     total = members.groupBy("centre").agg(F.sum("n").alias("grams"), F.count("*").alias("sets"))
     blocks = F.greatest(F.ceil(F.col("grams") / FULL), F.least(F.lit(BLOCKS), F.ceil(F.col("sets") / BLOCK))).cast("int")
-    owned = members.groupBy("sid").agg(F.collect_set("centre").alias("centres")).join(classes, "sid")
-    wanted = cut(owned.select("rid", "centres"))
+    # the blocks of its centres go with each member, so that its grams are shuffled once
+    placed = members.join(total.select("centre", blocks.alias("nb")), "centre").groupBy("sid").agg(F.collect_list(F.struct("centre", "nb")).alias("places")).join(classes, "sid")
+    wanted = cut(placed.select("rid", "places", F.col("places.centre").alias("centres")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for rids, off, h in _sets(batch, n):
                 raw = [h[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
-                yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(raw, pa.binary()), batch.column(2).slice(at, len(rids))], names=["rid", "n", "grams", "centres"])
+                yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(raw, pa.binary()), batch.column(2).slice(at, len(rids)), batch.column(3).slice(at, len(rids))], names=["rid", "n", "grams", "places", "centres"])
                 at += len(rids)
 
     once = source if unique else source.dropDuplicates(["rid"])
-    sets = once.join(wanted, "rid").select("rid", "text", "centres").mapInArrow(grams, "rid long, n long, grams binary, centres array<long>")
+    sets = once.join(wanted.hint("merge"), "rid").select("rid", "text", "places", "centres").mapInArrow(grams, "rid long, n long, grams binary, places array<struct<centre: long, nb: int>>, centres array<long>")
     nb = F.col("nb")
     placed = (
-        sets.withColumn("centre", F.explode("centres"))
-        .join(total.select("centre", blocks.alias("nb")), "centre")
+        sets.withColumn("place", F.explode("places")).select("rid", "n", "grams", "centres", "place.centre", "place.nb")
         .withColumn("own", F.pmod(F.xxhash64("rid"), nb).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
         .select("centre", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "rid", "n", "grams", "centres")
