@@ -76,7 +76,7 @@ def suffix_array(text: np.ndarray, seg: np.ndarray, end: np.ndarray) -> tuple[np
         symbol[:m] = text[k:].astype(np.uint64) + np.uint64(1)
         symbol[at + k >= end] = 0
         key = (key << np.uint64(9)) | symbol
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[sa[1:]] != key[sa[:-1]]
     rank = np.empty(n, np.int64)
@@ -93,7 +93,7 @@ def suffix_array(text: np.ndarray, seg: np.ndarray, end: np.ndarray) -> tuple[np
         on = idx + depth
         inside = on < end[idx]
         second = np.where(inside, rank[np.minimum(on, n - 1)] + count, seg[idx])
-        order = np.argsort(rank[idx] * (n + count + 1) + second, kind="stable")
+        order = np.argsort(rank[idx] * (n + count + 1) + second)
         idx, second = idx[order], second[order]
         sa[active] = idx
         first = rank[idx]
@@ -106,7 +106,7 @@ def suffix_array(text: np.ndarray, seg: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 def common_prefixes(text: np.ndarray, seg_first: np.ndarray, end: np.ndarray, sa: np.ndarray, levels: dict[int, np.ndarray], cap: int) -> np.ndarray:
-    """Length, up to ``cap``, that each suffix shares with the one before it in the array.
+    """Length, up to ``cap``, that each suffix of ``cap`` bytes or more shares with the one before it in the array; 0 for others.
 
     Kasai's recurrence, that a suffix shares at least one byte less than the suffix a byte earlier did, runs over all segments
     in step; what is added to it is found with the ranks of the refinement, the greatest depth first.
@@ -120,7 +120,7 @@ def common_prefixes(text: np.ndarray, seg_first: np.ndarray, end: np.ndarray, sa
     depths = sorted(levels, reverse=True)
     alive = np.arange(len(seg_first))
     for t in range(longest):
-        alive = alive[seg_first[alive] + t < end[seg_first[alive]]]
+        alive = alive[seg_first[alive] + t + cap <= end[seg_first[alive]]]
         i = seg_first[alive] + t
         j = before[i]
         l = np.where(j >= 0, np.maximum(shared[alive] - 1, 0), 0)  # noqa: E741
@@ -165,36 +165,46 @@ _OUT = "rid long, lo long, hi long, digest long, open boolean"
 def _shard(parts: list[pa.Table], length: int) -> tuple[list, list[pa.RecordBatch]]:
     """Covered runs (rid, lo, hi) of the segments of one shard, and digests of the distinct strings of divided anchors."""
     table = pa.concat_tables(parts).combine_chunks()
-    texts = table.column("bytes").to_pylist()
+    rid, lo, anchor = (table.column(c).to_numpy() for c in ("rid", "lo", "anchor"))
+    number: dict[bytes, int] = {}
+    kind = np.array([number.setdefault(x, len(number)) for x in table.column("bytes").to_pylist()], np.int64)
+    times = np.bincount(kind)
+    texts = list(number)
+    lead_row = np.full(len(texts), len(kind), np.int64)
+    np.minimum.at(lead_row, kind, np.arange(len(kind)))
     size = np.array([len(x) for x in texts], np.int64)
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    first = np.cumsum(size) - size
-    seg = np.repeat(np.arange(len(size)), size)
-    end = np.repeat(first + size, size)
-    rid, lo = table.column("rid").to_numpy(), table.column("lo").to_numpy()
-    sa, levels = suffix_array(text, seg, end)
-    lcp = common_prefixes(text, first, end, sa, levels, length)
-    full = lcp[sa] >= length  # with the suffix before
+    covered: list[list[tuple[int, int]]] = [_runs(np.arange(n - length + 1), length) if k > 1 else [] for n, k in zip(size.tolist(), times.tolist(), strict=True)]
+    # equal segments cover each other; an anchor with a single text, not periodic, has no other equal strings
+    _, group, texts_of = np.unique(anchor[lead_row], return_inverse=True, return_counts=True)
+    divided = table.column("shards").to_numpy()[lead_row] > 1
+    use = np.flatnonzero((texts_of[group] > 1) | (table.column("merged").to_numpy()[lead_row] > 1) | divided)
+    first = np.cumsum(size[use]) - size[use]
+    text = np.frombuffer(b"".join([texts[k] for k in use.tolist()]), np.uint8)
+    seg = np.repeat(np.arange(len(use)), size[use])
+    end = np.repeat(first + size[use], size[use])
     hit = np.zeros(len(text), bool)
-    hit[sa[full]] = True
-    hit[sa[np.flatnonzero(full) - 1]] = True
-    runs = []
-    starts = np.flatnonzero(hit)
-    for s in np.unique(seg[starts]).tolist():
-        own = starts[np.searchsorted(starts, first[s]) : np.searchsorted(starts, first[s] + size[s])] - first[s] + lo[s]
-        runs += [(int(rid[s]), a, b) for a, b in _runs(own, length)]
+    lead = np.ones(len(text), bool)
+    if len(text):
+        sa, levels = suffix_array(text, seg, end)
+        lcp = common_prefixes(text, first, end, sa, levels, length)
+        full = lcp[sa] >= length  # with the suffix before
+        hit[sa[full]] = True
+        hit[sa[np.flatnonzero(full) - 1]] = True
+        lead[sa[full]] = False  # the first of each group of equal strings speaks for it
+    for s, k in enumerate(use.tolist()):
+        if times[k] == 1:
+            covered[k] = _runs(np.flatnonzero(hit[first[s] : first[s] + size[k]]), length)
+    runs = [(r, a + p, b + p) for r, p, k in zip(rid.tolist(), lo.tolist(), kind.tolist(), strict=True) for a, b in covered[k]]
     digests = []
-    divided = table.column("shards").to_numpy() > 1
     if divided.any():
-        start = np.flatnonzero(np.arange(len(text)) + length <= end)
-        start = start[divided[seg[start]]]
-        leads = ~full  # the first of each group of equal strings speaks for it
-        lead = np.zeros(len(text), bool)
-        lead[sa[leads]] = True
-        start = start[lead[start]]
+        own = divided[use]
+        start = np.flatnonzero((np.arange(len(text)) + length <= end) & lead & own[seg])
+        k = use[seg[start]]
+        row = lead_row[k]
         h = tk.signed(tk.span_hash(tk.prefix_hash(text), start, start + length))
-        at = start - first[seg[start]] + lo[seg[start]]
-        digests.append(pa.record_batch([pa.array(rid[seg[start]]), pa.array(at), pa.array(at + length), pa.array(h), pa.array(~hit[start])], names=["rid", "lo", "hi", "digest", "open"]))
+        at = start - first[seg[start]] + lo[row]
+        alone = ~hit[start] & (times[k] == 1)
+        digests.append(pa.record_batch([pa.array(rid[row]), pa.array(at), pa.array(at + length), pa.array(h), pa.array(alone)], names=["rid", "lo", "hi", "digest", "open"]))
     return runs, digests
 
 
@@ -211,10 +221,10 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     pieces = source.mapInArrow(cut_up, "anchor long, rid long, lo long, hi long, merged long")
     size = F.sum(F.col("hi") - F.col("lo") + length)
     shared = cut(pieces.groupBy("anchor").agg(F.sum("merged").alias("times"), size.alias("size")).where("times > 1").select("anchor", F.ceil(F.col("size") / SHARD).cast("int").alias("shards")))
-    wanted = pieces.join(shared, "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "shards")).alias("parts"))
+    wanted = pieces.join(shared, "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "shards", "merged")).alias("parts"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "shards", "shard", "rid", "lo", "bytes"]
+        names = ["anchor", "shards", "shard", "rid", "lo", "bytes", "merged"]
         for b in batches:
             rows: list[list] = [[] for _ in names]
             held = 0
@@ -224,7 +234,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
                 for p in b.column(2)[i].as_py():
                     value = raw[p["lo"] : p["hi"] + length - 1]
                     spread = int(tk.mix(np.array([rid & (2**63 - 1)], np.uint64) + np.uint64(p["lo"]))[0] % np.uint64(p["shards"]))
-                    for k, x in enumerate((p["anchor"], p["shards"], spread, rid, p["lo"], value)):
+                    for k, x in enumerate((p["anchor"], p["shards"], spread, rid, p["lo"], value, p["merged"])):
                         rows[k].append(x)
                     held += len(value)
                 if held > 16 << 20:
@@ -232,7 +242,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
                     rows, held = [[] for _ in names], 0
             yield _segments(rows, names)
 
-    segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary")
+    segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary, merged long")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -269,7 +279,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
 
 
 def _segments(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=names)
 
 
