@@ -1 +1 @@
-
+"""Incremental voxel and segment aggregates over event streams."""
