@@ -2,60 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import cut, fixed, global_order, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fixed(df: DataFrame) -> DataFrame:
-    """Checkpoint that keeps partitions and their row order."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def global_order(df: DataFrame, keys: Sequence[Column], name: str = "row_number") -> tuple[DataFrame, int]:
-    """Number rows 0..n-1 by ``keys`` without a one-task window: range partitions, checkpoint, partition offsets.
-
-    Only one count per partition comes to the driver. Rows equal in all keys get their numbers in no set order.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = fixed(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    table = spark.createDataFrame(offsets, "__part long, __offset long")
-    out = (
-        ordered.withColumn("__part", part)
-        .join(F.broadcast(table), "__part")  # one row per partition
-        .withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND((1 << 33) - 1))
-    )
-    return out.drop("__at", "__part", "__offset"), total
+__all__ = ["components", "cut", "fixed", "global_order", "groups", "keyed", "rid", "shared_dir"]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, text): one long key per document, the id itself where ids are unique and not null.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(rid, text), and whether rid is the id: one long key per document, the id itself where ids are unique and not null.
 
     Otherwise a digest of id and text, so fully repeated rows count as one document.
     """
@@ -67,7 +23,7 @@ def rid(unique: bool, id_col: str, text_col: str) -> Column:
     return (F.col(id_col).cast("long") if unique else F.xxhash64(F.col(id_col), F.col(text_col))).alias("rid")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over the undirected edges (a, b); nodes without edges are left out.
 
     Rounds of minimum labels over neighbours followed by pointer jumping; each round is written to the shared
