@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, groups, keyed
+from .common import cut, keyed
 
 LENGTH = 400
 Q = 32
@@ -124,30 +125,28 @@ def common_prefixes(text: np.ndarray, seg_first: np.ndarray, end: np.ndarray, sa
         i = seg_first[alive] + t
         j = before[i]
         l = np.where(j >= 0, np.maximum(shared[alive] - 1, 0), 0)  # noqa: E741
-        grow = np.flatnonzero((j >= 0) & (l < cap))
+        limit = np.minimum(end[i] - i, end[j] - j)
+        x = np.minimum(i + l, n - 1)
+        grow = np.flatnonzero((j >= 0) & (l < limit) & (text[x] == text[np.minimum(j + l, n - 1)]))
         if len(grow):
-            a, b, have = i[grow], j[grow], l[grow]
-            limit = np.minimum(end[a] - a, end[b] - b)
+            a, b, have, limit = i[grow], j[grow], l[grow], limit[grow]
             for d in depths:
                 while True:
-                    fits = (have + d <= limit) & (have < cap)
+                    fits = have + d <= limit
                     x, y = np.where(fits, a + have, 0), np.where(fits, b + have, 0)
                     fits &= levels[d][x] == levels[d][y]
-                    if not fits.any():
-                        break
                     have = have + np.where(fits, d, 0)
-                    if d < depths[0]:
+                    if d < depths[0] or not fits.any():
                         break
-            for _ in range(2 * STEP):
-                fits = have < np.minimum(limit, cap)
+            for _ in range(STEP):
+                fits = have < limit
                 fits &= text[np.where(fits, a + have, 0)] == text[np.where(fits, b + have, 0)]
                 if not fits.any():
                     break
                 have = have + fits
             l[grow] = have
-        l = np.minimum(l, cap)  # noqa: E741
         shared[alive] = l
-        out[i] = l
+        out[i] = np.minimum(l, cap)
     return out
 
 
@@ -159,6 +158,33 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + length).tolist(), strict=True))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """Rows of whole (anchor, shard) groups, about SHARD bytes of text together; a part of a divided anchor is alone."""
+    held: list[pa.Table] = []
+    size, last, alone = 0, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        anchor, shard, shards = (batch.column(k).to_numpy() for k in range(3))
+        turn = np.ones(len(anchor), bool)
+        turn[1:] = (anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1])
+        at = np.flatnonzero(turn)
+        bytes_ = np.add.reduceat(pc.binary_length(batch.column(5)).to_numpy(), at).tolist()
+        keys = list(zip(anchor[at].tolist(), shard[at].tolist(), (shards[at] > 1).tolist(), strict=True))
+        begin = 0
+        for row, add, (a, s, divided) in zip(at.tolist(), bytes_, keys, strict=True):
+            if (a, s) != last and size and (size + add > SHARD or divided or alone):
+                if row > begin:
+                    held.append(table.slice(begin, row - begin))
+                yield held
+                held, size, begin = [], 0, row
+            size, last, alone = size + add, (a, s), divided
+        held.append(table.slice(begin))
+    if held:
+        yield held
+
+
 _OUT = "rid long, lo long, hi long, digest long, open boolean"
 
 
@@ -232,11 +258,12 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
                 rid, raw = b.column(0)[i].as_py(), b.column(1)[i].as_buffer()
                 raw = raw.to_pybytes()
                 for p in b.column(2)[i].as_py():
-                    value = raw[p["lo"] : p["hi"] + length - 1]
-                    spread = int(tk.mix(np.array([rid & (2**63 - 1)], np.uint64) + np.uint64(p["lo"]))[0] % np.uint64(p["shards"]))
-                    for k, x in enumerate((p["anchor"], p["shards"], spread, rid, p["lo"], value, p["merged"])):
-                        rows[k].append(x)
-                    held += len(value)
+                    spread = int(tk.mix(np.array([rid & (2**63 - 1)], np.uint64) + np.uint64(p["lo"]))[0] % np.uint64(p["shards"])) if p["shards"] > 1 else 0
+                    for lo in range(p["lo"], p["hi"], length):  # periodic stretches are long; each part keeps its starts whole
+                        value = raw[lo : min(lo + length, p["hi"]) + length - 1]
+                        for k, x in enumerate((p["anchor"], p["shards"], spread, rid, lo, value, p["merged"])):
+                            rows[k].append(x)
+                        held += len(value)
                 if held > 16 << 20:
                     yield _segments(rows, names)
                     rows, held = [[] for _ in names], 0
@@ -245,17 +272,8 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary, merged long")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for g in groups(batches, ["anchor", "shard"]):
-            key = g.column("anchor")[0].as_py()
-            add = g.column("bytes").nbytes
-            if held and (size + add > SHARD or key == last):  # two shards of one anchor stay apart
-                yield from _answers(*_shard(held, length))
-                held, size = [], 0
-            held.append(g)
-            size, last = size + add, key
-        if held:
-            yield from _answers(*_shard(held, length))
+        for chunk in _chunks(batches):
+            yield from _answers(*_shard(chunk, length))
 
     keys = ["anchor", "shard"]
     sorted_ = cut(segments.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sort, _OUT))
