@@ -15,7 +15,7 @@ from .knn import knn as brute_knn
 from .knn import smallest
 from .radius import _first, ball_query
 
-BLOCK = 128
+BLOCK = 32
 BROADCAST_BLOCKS = 500_000  # zone-map rows of about 100 bytes
 
 
@@ -43,6 +43,26 @@ def bounds(q: Column) -> tuple[Column, Column]:
     return _norm(near), _norm(far)
 
 
+def _place(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Finite points with their block along the z-order, the boxes of the blocks, and the number of points."""
+    clean = points.select("batch", "idx", "pos").where(m.all_finite(F.col("pos")))
+    box = clean.agg(*[f(F.col("pos")[i]) for f in (F.min, F.max) for i in range(3)]).first()
+    low = [box[i] if box[i] is not None else 0.0 for i in range(3)]
+    step = [max((box[i + 3] - box[i]) / ((1 << 20) - 1), 1e-30) if box[i] is not None else 1.0 for i in range(3)]
+    ordered, size = global_order(morton_keys(clean, low, step), [F.col("batch"), F.col("key"), F.col("idx")], "at")
+    placed = cut(ordered.select("batch", "idx", "pos", F.expr(f"at div {block}").alias("blk")))
+    edge = lambda f: F.array(*[f(F.col("pos")[i]) for i in range(3)])
+    zones = placed.groupBy("batch", "blk").agg(F.count("*").alias("n"), edge(F.min).alias("lo"), edge(F.max).alias("hi"), F.min("idx").alias("min_idx"))
+    return placed, cut(zones), size
+
+
+def _reach(boxes: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Rows (keys, blk, n, lb, ub) whose lb is not beyond the least ub up to which blocks hold k points; all if none do."""
+    running = Window.partitionBy(*keys).orderBy("ub", "blk").rowsBetween(Window.unboundedPreceding, 0)
+    reach = boxes.withColumn("have", F.sum("n").over(running)).withColumn("limit", F.min(F.when(F.col("have") >= k, F.col("ub"))).over(Window.partitionBy(*keys)))
+    return reach.where(F.col("limit").isNull() | (F.col("lb") <= F.col("limit")))
+
+
 @dataclass
 class SpatialIndex:
     """Points (batch, idx, pos) in z-order, cut into blocks of up to BLOCK points with their boxes; NaN points are left out.
@@ -59,16 +79,8 @@ class SpatialIndex:
     def build(cls, points: DataFrame, backend: str = "auto", block: int = BLOCK) -> SpatialIndex:
         if backend not in ("auto", "scan", "blocks"):
             raise ValueError("backend must be auto, scan or blocks")
-        clean = points.select("batch", "idx", "pos").where(m.all_finite(F.col("pos")))
-        box = clean.agg(*[f(F.col("pos")[i]) for f in (F.min, F.max) for i in range(3)]).first()
-        low = [box[i] if box[i] is not None else 0.0 for i in range(3)]
-        step = [max((box[i + 3] - box[i]) / ((1 << 20) - 1), 1e-30) if box[i] is not None else 1.0 for i in range(3)]
-        keyed = morton_keys(clean, low, step)
-        ordered, size = global_order(keyed, [F.col("batch"), F.col("key"), F.col("idx")], "at")
-        placed = cut(ordered.select("batch", "idx", "pos", F.expr(f"at div {block}").alias("blk")))
-        edge = lambda f: F.array(*[f(F.col("pos")[i]) for i in range(3)])
-        zones = placed.groupBy("batch", "blk").agg(F.count("*").alias("n"), edge(F.min).alias("lo"), edge(F.max).alias("hi"), F.min("idx").alias("min_idx"))
-        return cls(placed, cut(zones), size, backend)
+        placed, zones, size = _place(points, block)
+        return cls(placed, zones, size, backend)
 
     def _zones(self) -> DataFrame:
         return F.broadcast(self.blocks) if self.size <= BROADCAST_BLOCKS * BLOCK else self.blocks
@@ -79,18 +91,23 @@ class SpatialIndex:
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
         """(batch, q, slot, ref, dist) as the plain search gives it.
 
-        The k-th distance is bounded by the far corners of the nearest blocks that hold k points; only blocks not beyond it, ties
-        included, are searched.
+        Queries are put in blocks as well. The k-th distance is bounded by the far corners of the nearest blocks that hold k points, first
+        for a block of queries, then for each query; only blocks not beyond it, ties included, are searched. Queries that are not finite
+        have no rows. Blocks of a batch are compared with each other, so the work grows with the square of their number.
         """
         if self._scan(queries):
             return brute_knn(queries, self.points, k)
-        q = queries.select("batch", F.col("idx").alias("q"), F.col("pos").alias("qpos"))
+        placed, zones, _ = _place(queries, BLOCK)
+        asked = zones.select("batch", F.col("blk").alias("qblk"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
+        boxes = asked.join(self._zones(), "batch")
+        gap = [F.greatest(F.col("lo")[i] - F.col("qhi")[i], F.col("qlo")[i] - F.col("hi")[i], m.flit(0)) for i in range(3)]
+        span = [F.greatest(F.abs(F.col("hi")[i] - F.col("qlo")[i]), F.abs(F.col("qhi")[i] - F.col("lo")[i])) for i in range(3)]
+        boxes = boxes.select("batch", "qblk", "blk", "n", "lo", "hi", _norm(gap).alias("lb"), _norm(span).alias("ub"))
+        boxes = _reach(boxes, ["batch", "qblk"], k).select("batch", "qblk", "blk", "n", "lo", "hi")
+        q = placed.select("batch", F.col("blk").alias("qblk"), F.col("idx").alias("q"), F.col("pos").alias("qpos"))
         near, far = bounds(F.col("qpos"))
-        boxes = q.join(self._zones(), "batch").select("batch", "q", "qpos", "blk", "n", near.alias("lb"), far.alias("ub"))
-        running = Window.partitionBy("batch", "q").orderBy("ub", "blk").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("batch", "q")
-        reach = boxes.withColumn("have", F.sum("n").over(running)).withColumn("limit", F.min(F.when(F.col("have") >= k, F.col("ub"))).over(whole))
-        kept = reach.where(F.col("limit").isNull() | (F.col("lb") <= F.col("limit"))).select("batch", "q", "qpos", "blk")
+        each = q.join(boxes, ["batch", "qblk"]).select("batch", "q", "qpos", "blk", "n", near.alias("lb"), far.alias("ub"))
+        kept = _reach(each, ["batch", "q"], k).select("batch", "q", "qpos", "blk")
         r = self.points.select("batch", "blk", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
         found = kept.join(r, ["batch", "blk"]).select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), 3).alias("d")).where(~F.isnan("d"))
         return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
