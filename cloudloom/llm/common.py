@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.order import cut, fixed, global_order, shared_dir
 
-__all__ = ["components", "cut", "fixed", "global_order", "groups", "keyed", "rid", "shared_dir"]
+__all__ = ["components", "cut", "fixed", "global_order", "groups", "keyed", "release", "rid", "shared_dir"]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's plans of them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, cut, groups, keyed
+from .common import components, cut, groups, keyed, release
 from .common import rid as key_of
 
 HOT_DF = 4  # a gram in so many different texts of one partition goes to the end of the order
@@ -173,7 +173,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     rows = source.mapInArrow(prefixes, "gram long, sid long, n int")
     lists = rows.groupBy("gram").agg(F.min("sid").alias("centre"), F.count("*").alias("rows"))
     lists = cut(lists.where("rows > 1"))
+    release(spark)
     met = cut(rows.join(lists.hint("merge"), "gram"))  # the same plan at every size
+    release(spark)
     large = met.where(F.col("rows") > SMALL).where("sid <> centre").select("sid", "centre").distinct()
     # Sets that meet under rare grams only share all of these in their prefixes, so fewer than linked sets must share rule them out.
     few = met.where(F.col("rows") <= SMALL).select("gram", "sid", "n")
@@ -198,6 +200,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     # the blocks of its centres go with each member, so that its grams are shuffled once
     placed = members.join(total.select("centre", blocks.alias("nb")), "centre").groupBy("sid").agg(F.collect_list(F.struct("centre", "nb")).alias("places")).join(classes, "sid")
     wanted = cut(placed.select("rid", "places", F.col("places.centre").alias("centres")))
+    del placed, large, few, other, pairs
+    release(spark)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,6 +232,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
 
     found = cut(placed.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key).mapInArrow(join, "a long, b long, links long"))
+    del placed, sets
+    release(spark)
     degree = found.where("links is not null").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("n_links"))
     label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rid")
     named = classes.join(label, "rid", "left").join(degree, "rid", "left")
