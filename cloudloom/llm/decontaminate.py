@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman scores them."""
+"""Benchmark decontamination: all n-grams of the test items are seeds that join texts to them, Smith-Waterman scores them."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ from .common import cut
 N = 4
 MIN_SCORE = 0.5
 BLOCK_BYTES = 4 << 20
-STRETCH = 8
 _FILTER_BITS = 20
 
 
@@ -63,20 +62,6 @@ class Items:
         ok = self.gram[g] == h[may]
         return may[ok], g[ok]
 
-    def rare(self, df: np.ndarray) -> Items:
-        """With the seeds only: of each item's grams that occur at all the rarer half, and the rarest of each stretch."""
-        hash_of = np.repeat(self.gram, np.diff(self.first))
-        often = np.repeat(df, np.diff(self.first))
-        keep = np.zeros(len(often), bool)
-        order = np.lexsort((self.at, self.item))
-        order = order[often[order] > 0]
-        for rows in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
-            keep[rows[often[rows] <= np.median(often[rows])]] = True
-            for lo in range(0, len(rows), STRETCH):
-                part = rows[lo : lo + STRETCH]
-                keep[part[often[part] == often[part].min()]] = True
-        return Items._index(self.ids, self.words, self.size, hash_of[keep], self.item[keep], self.at[keep])
-
 
 def _hits(items: Items, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word position, gram number) of all item grams in a slice of texts."""
@@ -107,8 +92,10 @@ def _leaks(items: Items, w: tk.Words, min_score: float) -> list[tuple[int, int,
     for a, b in zip(starts, np.append(starts[1:], len(doc)), strict=True):
         d, i = int(doc[a]), int(item[a])
         text = w.hash[w.first[d] : w.first[d + 1]]
-        slack = int(length[i]) // 2
+        slack = int(2 * length[i] * (1 - min_score)) + 1  # an alignment of that score has no more gaps
         lo, hi = max(0, int(diagonal[a]) - slack), min(len(text), int(diagonal[b - 1]) + int(length[i]) + slack)
+        if np.isin(items.words[i], text[lo:hi]).sum() < min_score * length[i]:  # bounds the score from above
+            continue
         score, _, _, first, end = smith_waterman(items.words[i], text[lo:hi])
         share = score / (MATCH * int(length[i]))
         if share >= min_score and (-share, lo + first) < best.get((d, i), (0.0, 0, 0))[:2]:
@@ -126,42 +113,24 @@ def _blocks(spark: SparkSession, items: DataFrame, item_id: str, item_text: str,
         yield Items.of([r[0] for r in part], [r[1] for r in part], n)
 
 
-def _seeded(docs: DataFrame, items: DataFrame, n: int, text_col: str, item_id: str, item_text: str) -> Iterator:
-    """A broadcast of each block of items, reduced to its rare seeds by document counts over all texts."""
-    spark = docs.sparkSession
-    for block in _blocks(spark, items, item_id, item_text, n):
-        sent = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = sent.value
-            df = np.zeros(len(part.gram), np.int64)
-            for batch in batches:
-                for lo, hi, data, off in tk.slices(batch.column(0)):
-                    doc, _, g = _hits(part, tk.words(data, off, loose=True))
-                    once = np.unique(doc * len(part.gram) + g)
-                    df += np.bincount(once % max(1, len(part.gram)), minlength=len(part.gram))
-            some = np.flatnonzero(df)
-            yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["g", "df"])
-
-        df = np.zeros(len(block.gram), np.int64)
-        for g, times in docs.select(text_col).mapInArrow(count, "g long, df long").groupBy("g").agg(F.sum("df")).collect():  # grams of one block
-            df[g] = times
-        yield spark.sparkContext.broadcast(block.rare(df))
+def _sent(docs: DataFrame, items: DataFrame, n: int, item_id: str, item_text: str) -> Iterator:
+    """A broadcast of each block of items."""
+    for block in _blocks(docs.sparkSession, items, item_id, item_text, n):
+        yield docs.sparkSession.sparkContext.broadcast(block)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each input row and test item that it holds: id, item id, score, first_word, end_word.
 
     Words are lower-cased and parted by space and ASCII punctuation. The score is that of the best local alignment over
-    that of the whole item (match 2, mismatch -1, gap -1), at least ``min_score``. Seeds are, of an item's n-grams that
-    occur, the rarer half by document count over all texts, and the rarest of each stretch, so an item always has seeds however often it
-    is copied. An item of fewer than n words is one seed. Null and empty texts and items match nothing. Repeated
+    that of the whole item (match 2, mismatch -1, gap -1), at least ``min_score``. All n-grams of an item are seeds, however
+    often they occur, so every such alignment with n equal words in a row is found. An item of fewer than n words is one seed. Null and empty texts and items match nothing. Repeated
     rows give their rows each; repeated items too. Empty tables give no rows. Other columns are ignored.
     """
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_id].dataType
     schema = f"`{id_col}` {id_type.simpleString()}, `{item_id}` {item_type.simpleString()}, score double, first_word long, end_word long"
     out = None
-    for sent in _seeded(docs, items, n, text_col, item_id, item_text):
+    for sent in _sent(docs, items, n, item_id, item_text):
 
         def align(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             part = sent.value
@@ -181,7 +150,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = N, min_score: float =
 def drop_leaks(docs: DataFrame, items: DataFrame, n: int = N, min_score: float = MIN_SCORE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item; see ``find_leaks``. No shuffle of texts."""
     at = docs.columns.index(text_col)
-    sents = list(_seeded(docs, items, n, text_col, item_id, item_text))
+    sents = list(_sent(docs, items, n, item_id, item_text))
     if len(sents) > 1:
         docs = cut(docs)
     for sent in sents:

@@ -178,6 +178,25 @@ def test_leaks(spark, monkeypatch):
         assert kept == set(range(60)) - set(want)
 
 
+def test_leak_edited_beside_exact_copies(spark):
+    """The n-grams that edits destroy are the rare ones where exact copies stand beside an edited one."""
+    rng = random.Random(3)
+    tests = [[f"t{i}n{j}" for j in range(rng.randrange(30, 60))] for i in range(20)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(tests)], "item_id long, text string")
+    texts, want = [], set()
+    for i, t in enumerate(tests):
+        edited = [w if j % 7 and j % 11 else "zz" for j, w in enumerate(t)]
+        spread = [x for j, w in enumerate(t) for x in ((w,) if j < 8 or j % 3 else (w, "yy", "yy"))]  # drifts by over half the item
+        for copy in (t, t, edited, spread):
+            want.add((len(texts), i))
+            texts.append(" ".join(words(rng, 80) + copy + words(rng, 80)))
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert set(found) == want
+    for (k, i), r in found.items():
+        assert r["score"] == align.smith_waterman(np.array([hash(w) for w in tests[i]]), np.array([hash(w) for w in texts[k].split()]))[0] / (2 * len(tests[i]))
+    assert decontaminate.drop_leaks(docs(spark, texts), bench).count() == 0
+
+
 # ---- op5 -------------------------------------------------------------------------------------------------------------
 
 
