@@ -171,25 +171,26 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def runs(hit: np.ndarray, percent: int = PERCENT, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, hits) of stretches with ``percent`` hits that no longer stretch improves, of ``least`` words or more.
+    """(start, end, hits) of all maximal scoring stretches (Ruzzo and Tompa) of ``least`` words or more, in order.
 
-    Hits score 100-percent and misses -percent; a stretch runs from a low of the sum to the high before its fall to the low.
+    Hits score 100-percent and misses -percent. No part of a stretch scores as much as the whole, and no longer stretch
+    has that property; they are disjoint, and each has at least ``percent`` hits.
     """
-    out, start, total, best, end = [], 0, 0, 0, 0
-    steps = np.where(hit, 100 - percent, -percent)
-    for i, s in enumerate(steps.tolist()):
-        if total <= 0 and s > 0:
-            start, total, best = i, 0, 0
-        total += s
-        if total > best:
-            best, end = total, i + 1
-        if total <= 0 and best > 0 or best - total > 20 * percent:
-            if end - start >= least:
-                out.append((start, end, int(hit[start:end].sum())))
-            total = best = 0
-    if best > 0 and end - start >= least:
-        out.append((start, end, int(hit[start:end].sum())))
-    return out
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    total = np.concatenate([[0], np.cumsum(np.where(hit, 100 - percent, -percent))])
+    held: list[tuple[int, int, int, int, int]] = []  # sum before, sum after, start, end, the last one before with a smaller sum before
+    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        low, high = int(total[start]), int(total[end])
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][0] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][1] >= high:
+                break
+            low, start = held[j][0], held[j][2]
+            del held[j:]
+        held.append((low, high, start, end, j))
+    return [(start, end, int(hit[start:end].sum())) for _, _, start, end, _ in held if end - start >= least]
 
 
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -349,6 +349,21 @@ def test_passages(spark):
         assert r["n_chars"] == len(r["text"]) and (r["text"] == texts[k]) == (k not in repeats)
 
 
+def test_runs_near_each_other():
+    """Two passages 11 to 20 words apart are both reported, once each; any stretch is what its definition says."""
+    for gap in range(11, 21):
+        hit = np.array([True] * 100 + [False] * gap + [True] * 41)
+        assert substrings.runs(hit) == [(0, 100, 100), (100 + gap, 141 + gap, 41)]
+        assert substrings.runs(hit[::-1]) == [(0, 41, 41), (41 + gap, 141 + gap, 100)]
+    rng = random.Random(12)
+    for _ in range(60):
+        hit = np.array([rng.random() < rng.choice([0.5, 0.9]) for _ in range(40)])
+        total = np.concatenate([[0], np.cumsum(np.where(hit, 20, -80))])
+        strict = [(i, j) for i in range(40) for j in range(i + 1, 41) if total[i] < min(total[i + 1 : j + 1]) and total[j] > max(total[i:j])]
+        want = [(i, j, int(hit[i:j].sum())) for i, j in strict if not any((a, b) != (i, j) and a <= i and j <= b for a, b in strict)]
+        assert substrings.runs(hit, least=1) == want
+
+
 # ---- op8 -------------------------------------------------------------------------------------------------------------
 
 
