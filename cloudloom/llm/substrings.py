@@ -3,7 +3,9 @@
 K-mers of five words are thinned to window minimisers, which equal passages pick alike. Each shared k-mer
 has one owner, its first occurrence by (document, position), and every other occurrence meets only the
 owner, so the matches grow with the text and not with the square of a group. Matches of a pair of
-documents are chained in order with gap costs, and the chains are aligned word by word.
+documents are chained in order with gap costs, and the chains are aligned word by word. Seeds that gave no passage so
+meet again as strings of consecutive shared seeds, each with the first document that holds it as owner: parts of a
+passage that have different owners so lead to the document that holds the whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, groups, keyed, rid
+from .common import cut, groups, keyed, release, rid
 
 K = 5
 WINDOW = 12
@@ -214,6 +216,9 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if g.num_rows < MIN_SEEDS:
             continue
         pos, other = g.column("pos").to_numpy().astype(np.int64), g.column("opos").to_numpy().astype(np.int64)
+        new = np.ones(len(pos), bool)  # strings of seeds share their ends
+        new[1:] = (np.diff(pos) != 0) | (np.diff(other) != 0)
+        pos, other = pos[new], other[new]
         for c in chains(blocks(pos, other)):
             lo, olo = max(0, int(c[0, 0]) - PAD), max(0, int(c[0, 1]) - PAD)
             hi, ohi = int(c[-1, 2]) + PAD, int(c[-1, 1] + c[-1, 2] - c[-1, 0]) + PAD
@@ -252,15 +257,60 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()])], names=["rid", "source_rid", "first_word", "end_word", "identity"])
 
 
-def _found(source: DataFrame) -> DataFrame:
-    """(rid, source_rid, first_word, end_word, identity) over documents (rid, text)."""
-    kmers = source.mapInArrow(_kmers, "gram long, rid long, pos int")
-    first = kmers.groupBy("gram").agg(F.min(F.struct("rid", "pos")).alias("first"), F.max("rid").alias("last"))
-    # as a table of its own, so that the join shuffles both sides itself and AQE can split a hot gram
-    first = cut(first.where("first.rid < last").select("gram", F.col("first.rid").alias("orid"), F.col("first.pos").alias("opos")))
-    matches = kmers.join(first, "gram").where("rid > orid").select("rid", "orid", "pos", "opos")
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matched seeds and whether they lie in no passage, or within MIN_WORDS of such a one. Rows of a document: its passages (kind 0, pos to end), its seeds."""
+    for g in groups(batches, ["rid"]):
+        kind, pos = g.column("kind").to_numpy(), g.column("pos").to_numpy().astype(np.int64)
+        seed = np.flatnonzero(kind == 1)
+        if not len(seed):
+            continue
+        at = pos[seed]
+        left = np.ones(len(at), bool)
+        for lo, hi in zip(pos[kind == 0].tolist(), g.column("end").to_numpy()[kind == 0].tolist(), strict=True):
+            left[np.searchsorted(at, lo) : np.searchsorted(at, hi - K, side="right")] = False
+        alone = at[left]
+        near = np.searchsorted(alone, at - MIN_WORDS) < np.searchsorted(alone, at + MIN_WORDS, side="right")
+        yield pa.record_batch([g.column("gram").combine_chunks().take(pa.array(seed)), g.column("rid").combine_chunks().take(pa.array(seed)), pa.array(at.astype(np.int32)), pa.array(near)], names=["gram", "rid", "pos", "open"])
+
+
+def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first seed, last seed) of the strings of 2, 4 and 8 consecutive seeds and of those that just span MIN_WORDS words.
+
+    The seeds of a string lie at most MAX_GAP apart; the spacing counts in the last kind only.
+    """
+    n = len(gram)
+    powers, inverse = tk._power_tables(n + 1)
+    gap = np.diff(pos, prepend=pos[:1])
+    part = np.cumsum(gap > MAX_GAP)
+    out = []
+    with np.errstate(over="ignore"):
+        plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram * powers[:n])])
+        spaced = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(gram + gap.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * powers[:n])])
+        for size in (2, 4, 8):
+            i = np.arange(max(0, n - size + 1))
+            out.append((tk.mix((plain[i + size] - plain[i]) * inverse[i] + np.uint64(size)), i, i + size - 1))
+        i = np.arange(n)
+        j = np.searchsorted(pos, pos + MIN_WORDS - K)
+        i, j = i[j < n], j[j < n]
+        out.append((tk.mix(tk.mix((spaced[j + 1] - spaced[i + 1]) * inverse[i + 1]) + gram[i]), i, j))
+    h, i, j = (np.concatenate([x[k] for x in out]) for k in range(3))
+    ok = part[i] == part[j]
+    return h[ok], i[ok], j[ok]
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for g in groups(batches, ["rid"]):
+        pos, open_ = g.column("pos").to_numpy().astype(np.int64), g.column("open").to_numpy(zero_copy_only=False)
+        h, i, j = strings(g.column("gram").to_numpy().view(np.uint64), pos)
+        before = np.concatenate([[0], np.cumsum(open_)])
+        rid_ = np.full(len(h), g.column("rid")[0].as_py(), np.int64)
+        yield pa.record_batch([pa.array(tk.signed(h)), pa.array(rid_), pa.array(pos[i].astype(np.int32)), pa.array((pos[j] - pos[i]).astype(np.int32)), pa.array(before[j + 1] > before[i])], names=["gram", "rid", "pos", "width", "open"])
+
+
+def _passages(matches: DataFrame, source: DataFrame) -> DataFrame:
+    """Aligned stretches (rid, source_rid, first_word, end_word, identity) of the chains of seeds (rid, orid, pos, opos)."""
     key = ["rid", "orid", "pos", "opos"]
-    found = cut(matches.repartition("rid").sortWithinPartitions(*key).mapInArrow(_chained, _CHAIN))
+    found = cut(matches.select(*key).repartition("rid").sortWithinPartitions(*key).mapInArrow(_chained, _CHAIN))
     asked = found.select("rid", F.col("rid").alias("for_rid"), "chain", F.lit(0).alias("side"), "lo", "hi").union(
         found.select("orid", "rid", "chain", F.lit(1), "olo", "ohi")
     )
@@ -269,6 +319,34 @@ def _found(source: DataFrame) -> DataFrame:
     return both.join(found, ["rid", "chain"]).select("rid", "orid", "lo", "a", "b", "anchors").mapInArrow(_aligned, "rid long, source_rid long, first_word int, end_word int, identity double")
 
 
+def _found(source: DataFrame) -> DataFrame:
+    """(rid, source_rid, first_word, end_word, identity) over documents (rid, text)."""
+    spark = source.sparkSession
+    kmers = source.mapInArrow(_kmers, "gram long, rid long, pos int")
+    first = kmers.groupBy("gram").agg(F.min(F.struct("rid", "pos")).alias("first"), F.max("rid").alias("last"))
+    # as a table of its own, so that the join shuffles both sides itself and AQE can split a hot gram
+    first = cut(first.where("first.rid < last").select("gram", F.col("first.rid").alias("orid"), F.col("first.pos").alias("opos")))
+    release(spark)
+    matches = cut(kmers.join(first, "gram").where("rid > orid").select("gram", "rid", "orid", "pos", "opos"))
+    release(spark)
+    passages = cut(_passages(matches, source))
+    release(spark)
+    # seeds that gave no passage with their owner meet again as strings, each string with its own owner
+    spans = passages.select("rid", F.lit(0).alias("kind"), F.col("first_word").alias("pos"), F.col("end_word").alias("end"), F.lit(None).cast("long").alias("gram"))
+    seeds = matches.select("rid", F.lit(1), "pos", F.lit(0), "gram")
+    marked = cut(spans.union(seeds).repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_open, "gram long, rid long, pos int, open boolean"))
+    release(spark)
+    again = cut(marked.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.max("open").alias("open")).where("open and low < high").select("gram"))
+    spots = marked.union(first.select("gram", "orid", "opos", F.lit(False))).join(again, "gram", "left_semi")
+    chosen = cut(spots.repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_strings, "gram long, rid long, pos int, width int, open boolean"))
+    release(spark)
+    owner = chosen.groupBy("gram").agg(F.min(F.struct("rid", "pos", "width")).alias("first"), F.max("rid").alias("last")).where("first.rid < last")
+    owner = cut(owner.select("gram", F.col("first.rid").alias("orid"), F.col("first.pos").alias("opos"), F.col("first.width").alias("owidth")))
+    ends = F.inline(F.array(F.struct(F.col("pos").alias("pos"), F.col("opos").alias("opos")), F.struct((F.col("pos") + F.col("width")).alias("pos"), (F.col("opos") + F.col("owidth")).alias("opos"))))
+    more = chosen.where("open").join(owner, "gram").where("rid > orid").select("rid", "orid", ends)
+    return passages.union(_passages(more, source)).dropDuplicates(["rid", "source_rid", "first_word", "end_word"])
+
+
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per repeated passage: id, source_id, first_word, end_word, n_words, identity.
 

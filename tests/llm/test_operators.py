@@ -349,6 +349,25 @@ def test_passages(spark):
         assert r["n_chars"] == len(r["text"]) and (r["text"] == texts[k]) == (k not in repeats)
 
 
+@pytest.mark.parametrize("edits", [False])
+def test_passage_in_parts_of_other_owners(spark, edits):
+    """Documents that hold overlapping parts own all seeds; two later ones share the whole passage."""
+    rng = random.Random(21)
+    texts, want = [], {}
+    for case in range(30):
+        whole = [f"p{case}q{j}" for j in range(rng.randrange(56, 70))]
+        third = len(whole) // 3
+        cuts = ([(0, 30), (30, None)], [(0, 30), (15, 45), (30, None)], [(0, third), (third, 2 * third), (2 * third, None)])[case % 3]
+        copy = [w if not edits or j % 12 != 11 else f"e{case}" for j, w in enumerate(whole)]
+        for p in [whole[a:b] for a, b in cuts] + [whole, copy]:
+            texts.append(" ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6)))
+        want[len(texts) - 1] = (len(texts) - 2, 30, 30 + len(whole))
+    got = {(r["doc_id"], r["source_id"]): (r["first_word"], r["end_word"]) for r in substrings.find_passages(docs(spark, texts)).collect()}
+    assert set(got) == {(k, o) for k, (o, _, _) in want.items()}
+    for k, (o, lo, hi) in want.items():
+        assert got[k, o] == (lo, hi) or edits and got[k, o][0] == lo and hi - got[k, o][1] <= 2
+
+
 def test_runs_near_each_other():
     """Two passages 11 to 20 words apart are both reported, once each; any stretch is what its definition says."""
     for gap in range(11, 21):
