@@ -4,7 +4,7 @@ K-mers of five words are thinned to window minimisers, which equal passages pick
 has one owner, its first occurrence by (document, position), and every other occurrence meets only the
 owner, so the matches grow with the text and not with the square of a group. Matches of a pair of
 documents are chained in order with gap costs, and the chains are aligned word by word. Seeds that gave no passage so
-meet again as strings of consecutive shared seeds, each with the first document that holds it as owner: parts of a
+meet again as pairs and strings of shared seeds, each with the first document that holds it as owner: parts of a
 passage that have different owners so lead to the document that holds the whole.
 """
 
@@ -21,13 +21,13 @@ from . import textkit as tk
 from .common import cut, groups, keyed, release, rid
 
 K = 5
-WINDOW = 12
+WINDOW = 4
 MIN_WORDS = 40
 PERCENT = 80
 MAX_GAP = 60  # words between two blocks of a chain
 GAP_COST = 0.02  # per word of gap on either side, in seeds
 MIN_SEEDS = 2
-PAD = 4 * WINDOW  # words by which a chain may grow in the alignment
+PAD = 48  # words by which a chain may grow in the alignment
 
 
 def minimisers(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -274,7 +274,8 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first seed, last seed) of the strings of 2, 4 and 8 consecutive seeds and of those that just span MIN_WORDS words.
+    """(hash, first seed, last seed) of all pairs of seeds that start within MIN_WORDS words, whatever stands between them,
+    and of the strings of 4 and 8 consecutive seeds and of those that just span MIN_WORDS words.
 
     The seeds of a string lie at most MAX_GAP apart; the spacing counts in the last kind only.
     """
@@ -286,7 +287,11 @@ def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     with np.errstate(over="ignore"):
         plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram * powers[:n])])
         spaced = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(gram + gap.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * powers[:n])])
-        for size in (2, 4, 8):
+        count = np.searchsorted(pos, pos + MIN_WORDS, side="right") - np.arange(n) - 1
+        i = np.repeat(np.arange(n), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        out.append((tk.mix(tk.mix(gram[i]) + gram[j]), i, j))
+        for size in (4, 8):
             i = np.arange(max(0, n - size + 1))
             out.append((tk.mix((plain[i + size] - plain[i]) * inverse[i] + np.uint64(size)), i, i + size - 1))
         i = np.arange(n)
