@@ -16,7 +16,8 @@ _PERMISSION = 'Permission is hereby granted, free of charge, to any person obtai
 _NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
-KNOWN = (
+# What the DuckDB SQL lists; it is kept as it is, with its way of dropping lines.
+SQL_KNOWN = (
     ("MIT", f"{_PERMISSION}, subject to the following conditions:\nThe notice above and this permission notice shall be included in all copies or substantial portions of the Software.\n{_NO_WARRANTY.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS OR HOLDERS')}"),
     ("ISC", f"{_ISC_GRANT}, provided that the above notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
     ("0BSD", f"{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
@@ -25,15 +26,41 @@ KNOWN = (
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
 )
+_REDISTRIBUTION = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_NO_ENDORSEMENT = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_WHOLE = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)"), f"{_PERMISSION}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_NO_WARRANTY}"),
+    ("ISC", ("ISC License", "The ISC License"), f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}"),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD"), f"{_ISC_GRANT}.\n\n{_ISC_WARRANTY}"),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The 2-Clause BSD License"), _REDISTRIBUTION + _BSD_WARRANTY),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The 3-Clause BSD License"), _REDISTRIBUTION + _NO_ENDORSEMENT + _BSD_WARRANTY),
+)
+# whole texts with each usual title and without, and the notices
+KNOWN = tuple((n, f"{t}\n\n{x}") for n, titles, x in _WHOLE for t in titles) + tuple((n, x) for n, _, x in _WHOLE) + SQL_KNOWN[3:]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+SQL_COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A line, or what follows a title, that begins as a copyright statement, up to its end or the grant; not a line of a licence's sentence.
+_GRANT = r"permission is hereby granted|permission to use|redistribution and use"
+COPYRIGHT_LINE = (
+    r"(^|\n|(?:licen[sc]e(?: \([a-z]+\))?|zero-clause bsd)(?=[ \t]+(?:copyright[ \t]*)?(?:\(c\)|©|copyright[ \t]+[0-9])))[ \t\r]*"
+    r"(?:(?:copyright(?![ \t]+(?:notice|holder|owner|licen[sc]e|law|statement|and |or ))|\(c\)[ \t]*(?:copyright|[0-9])|©)[^\n]*?(?=" + _GRANT + r"|\n|$)|all rights reserved[ .\t\r]*(?=\n|$))"
+)
 PUNCTUATION = r"[\x00-/:-@\[-`{-\x7f\x{a0}\x{a9}\x{2010}-\x{2027}]+"
 
 
 def canonical(text: Column) -> Column:
-    """A-Z lower-cased, copyright lines dropped, each run of punctuation and space one space, spellings evened."""
+    """A-Z lower-cased, copyright statements dropped, each run of punctuation and space one space, spellings evened."""
     x = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    x = F.regexp_replace(x, COPYRIGHT_LINE, " ")
+    x = F.regexp_replace(x, COPYRIGHT_LINE, "$1 ")
     x = F.trim(F.regexp_replace(x, PUNCTUATION, " "))
     for variant, form in SPELLINGS:
         x = F.replace(x, F.lit(variant), F.lit(form))
@@ -41,9 +68,9 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The same as DuckDB SQL."""
+    """As DuckDB SQL, which drops every line that names a copyright; the same for texts without such a line."""
     x = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    x = f"trim(regexp_replace(regexp_replace({x}, '{COPYRIGHT_LINE}', ' ', 'g'), '{PUNCTUATION}', ' ', 'g'))"
+    x = f"trim(regexp_replace(regexp_replace({x}, '{SQL_COPYRIGHT_LINE}', ' ', 'g'), '{PUNCTUATION}', ' ', 'g'))"
     for variant, form in SPELLINGS:
         x = f"replace({x}, '{variant}', '{form}')"
     return x

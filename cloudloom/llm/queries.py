@@ -56,7 +56,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-_KNOWN_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+_KNOWN_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.SQL_KNOWN)
 OP2_SQL = f"""
 WITH known AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(n) AS license FROM (VALUES {_KNOWN_ROWS}) v(n, t) GROUP BY 1),
 docs AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)

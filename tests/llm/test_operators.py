@@ -115,6 +115,30 @@ def test_license_forms(spark):
     assert [r["license"] for r in licenses.scan_licenses(docs(spark, ["some text", ""]), own).orderBy("doc_id").collect()] == ["a", None]
 
 
+def test_published_licenses(spark):
+    """MIT, ISC and BSD texts as published: unwrapped, wrapped at many widths, and on one line with their copyright notice."""
+    import textwrap
+
+    notice = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+    texts = {n: x for n, _, x in licenses._WHOLE}
+    assert notice in texts["MIT"] and "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE" in texts["MIT"] and "provided that the above copyright notice and" in texts["ISC"]
+    made, want = [], []
+    for name, titles, text in licenses._WHOLE:
+        for title in ("", *titles):
+            for head in ("Copyright (c) 2024 Ann Other\n", "Copyright 2019-2024 Ann Other <a@b.c>. All rights reserved.\n", "Copyright Ann Other and Contributors\nAll rights reserved.\n", "(c) 2020 X\r\n"):
+                for width in (30, 58, 72, 79, 10_000):
+                    body = "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+                    made.append(f"{title}\n\n{head}\n{body}\n")
+                    want.append(name)
+            made.append(" ".join(f"{title} Copyright (c) 2024 Ann Other. {text}".split()))
+            want.append(name)
+    made += [texts["MIT"] + " More.", "Copyright (c) 2024 X", "A word on copyright."]
+    want += [None, None, None]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs(spark, made)).collect()}
+    wrong = [(want[k], got[k], made[k][:300]) for k in got if got[k] != want[k]]
+    assert len(got) == len(made) and not wrong, (len(wrong), wrong[:3])
+
+
 # ---- op3 -------------------------------------------------------------------------------------------------------------
 
 
