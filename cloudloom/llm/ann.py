@@ -21,7 +21,7 @@ from .common import cut
 
 PARTS = 16
 PROBES = 12
-SAMPLE_ROWS = 8_000  # rows that fit the index: those with the smallest digests of their vectors
+SAMPLE_ROWS = 8_000  # vectors that fit the index: the distinct ones with the smallest digests
 NEIGHBOURS = 10
 CELL_ROWS = 4_000  # rows or queries that a task compares at once
 
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTS
     spark = vectors.sparkSession
     schema = f"query_id {vectors.schema[id_col].dataType.simpleString()}, rank int, vec_id {vectors.schema[id_col].dataType.simpleString()}, score double"
     rows = vectors.where(F.col(id_col).isNotNull()).where(valid(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    picked = rows.withColumn("h", F.xxhash64("v")).orderBy("h", "id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
+    picked = rows.select("v").distinct().withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
     if not picked:
         return spark.createDataFrame([], schema)
     width = int(np.bincount([len(v) for v in picked]).argmax())

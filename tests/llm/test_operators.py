@@ -163,6 +163,27 @@ def test_search(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_search_fits_on_distinct_vectors(spark, monkeypatch):
+    """A vector that a third of the rows repeat is in the sample at most once, and recall stays."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "vec_id long, embedding array<float>")
+    least = df.orderBy(F.xxhash64(F.col("embedding").cast("array<double>"))).first()["vec_id"]
+    x[1000:] = x[least]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "vec_id long, embedding array<float>")
+    samples, fit = [], ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda sample, parts: samples.append(sample) or fit(sample, parts))
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df, every=50, sample_rows=400).collect()}
+    assert len(samples[0]) == len(np.unique(samples[0], axis=0)) == 400
+    xs, hits, asked = x.astype(float), 0, 0
+    for q in range(0, 1500, 50):
+        d = np.sqrt(((xs - xs[q]) ** 2).sum(1))
+        near = [int(i) for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        hits, asked = hits + sum((q, i) in found for i in near), asked + len(near)
+    print("recall", hits / asked)
+    assert hits >= 0.9 * asked
+
+
 # ---- op4 -------------------------------------------------------------------------------------------------------------
 
 
