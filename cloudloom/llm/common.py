@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.order import cut, fixed, global_order, shared_dir
+from ..plans.order import cut, discard, fixed, global_order, shared_dir
 
-__all__ = ["components", "cut", "fixed", "global_order", "groups", "keyed", "release", "rid", "shared_dir"]
+__all__ = ["components", "cut", "discard", "fixed", "global_order", "groups", "keyed", "release", "rid", "shared_dir"]
 
 
 def release(spark: SparkSession) -> None:
@@ -19,11 +19,11 @@ def release(spark: SparkSession) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(rid, text), and whether rid is the id: one long key per document, the id itself where ids are unique and not null.
+    """(rid, text), and whether rid is the id: one long key per document, the id itself where ids are integers, unique and not null.
 
     Otherwise a digest of id and text, so fully repeated rows count as one document.
     """
-    unique = docs.groupBy(id_col).count().where(F.col("count").__gt__(1) | F.col(id_col).isNull()).limit(1).count() == 0
+    unique = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") and docs.groupBy(id_col).count().where(F.col("count").__gt__(1) | F.col(id_col).isNull()).limit(1).count() == 0
     return docs.select(rid(unique, id_col, text_col), F.col(text_col).alias("text")), unique
 
 
@@ -40,14 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        lower = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = cut(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            discard(both)
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def groups(batches, keys: list[str]):

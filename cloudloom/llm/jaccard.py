@@ -1,12 +1,15 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
-The distinct n-grams of a text are put in one global order: grams that are frequent in some
-partition last, else by hash. Two texts that reach the threshold share a gram among the first
-n - ceil(t n) + 1 of each. Grams of a few texts make pairs, kept if the pair shares as many as it must. All texts that share
-any other gram also share its centre, the smallest set that has it, so groups by centre hold every
-candidate pair while their rows grow with the texts, not with the pairs. A group cuts the gram order into fragments, counts the overlaps of
-each fragment on its own, and sums them per pair. Large groups are split into blocks that meet
-pair by pair in tasks of their own. Links leave a task as a spanning forest and as counts.
+The distinct n-grams of a text are put in one global order: the most frequent ones last, else by hash. Two texts that
+reach the threshold share a gram among the first n - ceil(t n) + 1 of each. Grams of a few texts make pairs, kept if the
+pair shares as many as it must. All texts that share any other gram also share its centre, the smallest set that has
+it, so groups by centre hold every candidate pair while their rows grow with the texts, not with the pairs.
+
+The candidates of a group are then partitioned vertically: the gram order is cut into fragments, each set into
+the segments that lie in them, and every fragment goes to a task of its own, which counts the partial overlaps of its
+segments. The partial counts are shuffled by pair and summed. A pair whose segments differ by more in one fragment than
+linked sets may differ at all is not passed on. Large groups are split into blocks of sets that meet pair by pair, so a
+task holds a bounded number of sets and of grams. Links leave the sum as a spanning forest and as counts.
 """
 
 from __future__ import annotations
@@ -15,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, cut, groups, keyed, release
+from .common import components, cut, discard, groups, keyed, release
 from .common import rid as key_of
 
-HOT_DF = 4  # a gram in so many different texts of one partition goes to the end of the order
-BITS = 25  # of the table that marks frequent grams, 4 MB
+HOT_DF = 4  # a gram in so many different texts of one stretch of a partition may go to the end of the order
+STRETCH = 2_000_000  # grams in such a stretch
+HOT_GRAMS = 2_000_000  # grams at the end of the order, the most frequent ones; any choice is right
+BITS = 25  # of the table that marks them, 4 MB
 SMALL = 8  # sets with a gram up to which they meet as pairs, and not in a group
-FRAGMENT = 2048  # grams in a fragment
-BLOCK, BLOCKS, FULL = 96, 16, 1_000_000  # sets in a block, blocks up to which it may stay so small, and most grams
+COLUMNS = 2048  # grams of a fragment that are counted together
+BLOCK, FULL = 1024, 1_000_000  # sets in a block, grams of two blocks in a fragment
 MIX = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -57,26 +63,59 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def _fragments_overlap(tokens: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-    """Overlap of every pair of sets: partial counts of each fragment of the gram order, summed per pair."""
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    rank = np.cumsum(first) - 1
-    shared = np.bincount(rank, minlength=1) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[rank]
-    owner, column = owner[keep], column[rank[keep]]
-    total = np.zeros((count, count), np.float32)
-    for lo in range(0, int(shared.sum()), FRAGMENT):
-        a, b = np.searchsorted(column, [lo, lo + FRAGMENT])
-        part = np.zeros((count, FRAGMENT), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        total += part @ part.T
+def _overlaps(grams: np.ndarray, left: np.ndarray, right: np.ndarray, nl: int, nr: int) -> np.ndarray:
+    """How many grams each set of the left shares with each of the right, within a fragment.
+
+    left, right: the set's number on that side for each gram, -1 if it isn't on it.
+    """
+    order = np.argsort(grams, kind="stable")
+    grams, left, right = grams[order], left[order], right[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    rank = np.cumsum(new) - 1
+    both = (np.bincount(rank, left >= 0) > 0) & (np.bincount(rank, right >= 0) > 0) & (np.bincount(rank) > 1)
+    column = np.cumsum(both) - 1
+    keep = both[rank]
+    left, right, column = left[keep], right[keep], column[rank[keep]]
+    total = np.zeros((nl, nr), np.float32)
+    for lo in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        x, y, c = left[a:b], right[a:b], column[a:b] - lo
+        part = np.zeros((nl, COLUMNS), np.float32)
+        part[x[x >= 0], c[x >= 0]] = 1
+        other = np.zeros((nr, COLUMNS), np.float32)
+        other[y[y >= 0], c[y >= 0]] = 1
+        total += part @ other.T
     return total
 
 
+def _need(total: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of linked sets that have ``total`` grams together."""
+    return -(-percent * total // (100 + percent))
+
+
+def _sides(side: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of block bi and of block bj."""
+    return np.flatnonzero(side == bi), np.flatnonzero(side == bj)
+
+
+def _fragment(g: pa.Table, percent: int) -> bytes:
+    """Pairs with the partial overlap of one fragment, as rows (left, right, count) of uint32."""
+    n, size = g.column("n").to_numpy(), pc.binary_length(g.column("grams")).to_numpy() // 8
+    left, right = _sides(g.column("side").to_numpy(), g.column("bi")[0].as_py(), g.column("bj")[0].as_py())
+    place = np.full((2, len(n)), -1, np.int64)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    grams = np.frombuffer(b"".join(g.column("grams").to_pylist()), np.uint64)
+    count = _overlaps(grams, np.repeat(place[0], size), np.repeat(place[1], size), len(left), len(right))
+    total = n[left][:, None] + n[right][None, :]
+    differ = size[left][:, None] + size[right][None, :] - 2 * count
+    ok = (count > 0) & (differ <= total - 2 * _need(total, percent))
+    if g.column("bi")[0] == g.column("bj")[0]:
+        ok &= np.tri(len(left), k=-1, dtype=bool).T
+    i, j = np.nonzero(ok)
+    return np.stack([i, j, count[i, j]], axis=1).astype(np.uint32).tobytes()
+
+
 def _forest(count: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what all the links connect."""
     parent = np.arange(count)
@@ -94,62 +133,135 @@ def _forest(count: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int,
     return [(int(i), int(p)) for i, p in enumerate(parent) if i != p]
 
 
-def _links(table: pa.Table, percent: int) -> tuple[list, list]:
-    """Forest edges and link counts of one block pair of one centre; table: rid, n, grams, centres, side, centre, two blocks."""
-    n = table.column("n").to_numpy()
-    size = len(n)
-    if size < 2:
-        return [], []
-    tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()])
-    overlap = _fragments_overlap(tokens, np.repeat(np.arange(size), n), size)
-    linked = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
-    linked &= np.tri(size, k=-1, dtype=bool).T
-    if table.column("bi")[0] != table.column("bj")[0]:
-        side = table.column("side").to_numpy()
-        linked &= side[:, None] != side[None, :]
-    left, right = np.nonzero(linked)
+def _links(sets: list[tuple], cells: list[bytes], centre: int, bi: int, bj: int, percent: int) -> tuple[list, list]:
+    """Forest edges and link counts of a pair of blocks from the partial counts of its fragments.
+
+    sets: (side, rid, n, centres) in the order that the fragments had.
+    """
+    side, rid, n = (np.array([x[k] for x in sets], np.int64) for k in range(3))
+    at = _sides(side, bi, bj)
+    total = np.zeros((len(at[0]), len(at[1])), np.uint32)
+    for raw in cells:
+        c = np.frombuffer(raw, np.uint32).reshape(-1, 3)
+        total[c[:, 0], c[:, 1]] += c[:, 2]  # a pair comes once in a fragment
+    i, j = np.nonzero(total)
+    left, right = at[0][i], at[1][j]
+    ok = total[i, j] >= _need(n[left] + n[right], percent)
+    left, right = left[ok], right[ok]
     if not len(left):
         return [], []
-    rid = table.column("rid").to_numpy()
-    centre = table.column("centre")[0].as_py()
-    smaller = [[c for c in cs if c < centre] for cs in table.column("centres").to_pylist()]
+    size = len(sets)
+    smaller = [[c for c in x[3] if c < centre] for x in sets]
     known = {c: i for i, c in enumerate(sorted({c for cs in smaller for c in cs}))}
     fresh = np.ones(len(left), bool)
-    if known:  # a pair that also meets under a smaller centre is counted there
-        belongs = np.zeros((size, len(known)), np.float32)
+    for lo in range(0, len(known), COLUMNS):  # a pair that also meets under a smaller centre is counted there
+        belongs = np.zeros((size, COLUMNS), np.float32)
         for i, cs in enumerate(smaller):
-            belongs[i, [known[c] for c in cs]] = 1
-        fresh = (belongs @ belongs.T)[left, right] == 0
+            belongs[i, [known[c] - lo for c in cs if lo <= known[c] < lo + COLUMNS]] = 1
+        fresh &= (belongs @ belongs.T)[left, right] == 0
     degree = np.bincount(left[fresh], minlength=size) + np.bincount(right[fresh], minlength=size)
     return [(int(rid[a]), int(rid[b])) for a, b in _forest(size, left, right)], [(int(rid[i]), int(degree[i])) for i in np.flatnonzero(degree)]
 
 
+_KEY = ["centre", "bi", "bj"]
+_SEGMENT = "centre long, bi int, bj int, frag int, side int, rid long, n long, centres array<long>, grams binary"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A row per block pair of each set, and one for each segment of it there; rows in: rid, text, places, centres."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["centre", "bi", "bj", "frag", "side", "rid", "n", "centres", "grams"]
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        at = 0
+        for rids, off, h in _sets(batch, n):
+            deal = tk.mix(rids.astype(np.int64).view(np.uint64))
+            for k, (rid, places, centres) in enumerate(zip(rids.tolist(), batch.column(2).slice(at, len(rids)).to_pylist(), batch.column(3).slice(at, len(rids)).to_pylist(), strict=True)):
+                grams = h[off[k] : off[k + 1]]
+                for p in places:
+                    nb, nf = p["nb"], p["nf"]
+                    own = int(deal[k] % np.uint64(nb))
+                    edge = np.searchsorted((grams >> np.uint64(32)) * np.uint64(nf) >> np.uint64(32), np.arange(nf + 1))
+                    parts = [grams[edge[f] : edge[f + 1]].tobytes() for f in range(nf)]
+                    for other in range(nb):
+                        head = (p["centre"], min(own, other), max(own, other))
+                        rows.append((*head, -1, own, rid, len(grams), centres, None))
+                        rows += [(*head, f, own, rid, len(grams), None, x) for f, x in enumerate(parts)]
+                        held += 8 * len(grams) + 200
+                    if held > 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
+                        rows, held = [], 0
+            at += len(rids)
+    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
+
+
+def _partial(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sets as they are, and a row of partial counts for each fragment of a block pair."""
+    for g in groups(batches, [*_KEY, "frag"]):
+        frag = g.column("frag")[0].as_py()
+        if frag < 0:
+            yield from g.to_batches()
+            continue
+        head = g.slice(0, 1).select([*_KEY, "frag", "side", "rid", "n"]).append_column("centres", pa.nulls(1, pa.list_(pa.int64())))
+        yield from head.append_column("grams", pa.array([_fragment(g, percent)], pa.binary())).combine_chunks().to_batches()
+
+
+def _summed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges (a, b, null) and link counts (a, null, links) of the block pairs; rows are sorted by pair of blocks and fragment."""
+    key, sets, cells, rows = None, [], [], []
+
+    def close() -> None:
+        if key and cells:
+            edges, degrees = _links(sets, cells, *key, percent)
+            rows.extend((a, b, None) for a, b in edges)
+            rows.extend((a, None, c) for a, c in degrees)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (own := (r["centre"], r["bi"], r["bj"])) != key:
+                close()
+                key, sets, cells = own, [], []
+            if r["frag"] < 0:
+                sets.append((r["side"], r["rid"], r["n"], r["centres"]))
+            elif r["grams"]:
+                cells.append(r["grams"])
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
+
+
 def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(rid, n_shingles, comp_rid, n_links, class_rid) of each row, and whether rid is the id."""
     spark = docs.sparkSession
     source, unique = keyed(docs, id_col, text_col)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (rid, n, set id) per text; with null rid the bucket of a gram frequent here."""
-        high = np.zeros(1 << BITS, np.uint8)
+        """A row (rid, n, set id) per text; with null rid the times and hash of a gram frequent here."""
+        held: list[np.ndarray] = []
         sets: set[int] = set()
+
+        def frequent() -> pa.RecordBatch:
+            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= HOT_DF
+            held.clear()
+            return pa.record_batch([pa.nulls(int(often.sum()), pa.int64()), pa.array(times[often]), pa.array(tk.signed(gram[often]))], names=["rid", "n", "sid"])
+
         for batch in batches:
             for rids, off, h in _sets(batch, n):
                 ids = _set_ids(off, h)
                 new = np.array([not (i in sets or sets.add(i)) for i in ids.tolist()], bool)
-                bucket = (h[np.repeat(new, np.diff(off))] >> np.uint64(64 - BITS)).astype(np.int64)
-                at, times = np.unique(bucket, return_counts=True)
-                high[at] = np.minimum(high[at].astype(np.int64) + times, 255)
+                held.append(h[np.repeat(new, np.diff(off))])
                 yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(ids)], names=["rid", "n", "sid"])
-        hot = np.flatnonzero(high >= HOT_DF)
-        none = pa.nulls(len(hot), pa.int64())
-        yield pa.record_batch([none, pa.array(hot), none], names=["rid", "n", "sid"])
+                if sum(map(len, held)) >= STRETCH:
+                    yield frequent()
+        if held:
+            yield frequent()
 
     surveyed = cut(source.mapInArrow(survey, "rid long, n long, sid long"))
-    hot = np.zeros(1 << BITS, bool)
-    # at most one row per bucket of a fixed table
-    hot[[r[0] for r in surveyed.where("rid is null").select("n").distinct().toLocalIterator()]] = True
-    table = spark.sparkContext.broadcast(np.packbits(hot))
+    often = surveyed.where("rid is null").groupBy("sid").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "sid").limit(HOT_GRAMS)
+    marks = np.zeros(1 << BITS, bool)
+    marks[(often.select("sid").toArrow().column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True  # at most HOT_GRAMS
+    table = spark.sparkContext.broadcast(np.packbits(marks))
     texts = surveyed.where("rid is not null")
     classes = cut(texts.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("rid")))
 
@@ -174,7 +286,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     lists = rows.groupBy("gram").agg(F.min("sid").alias("centre"), F.count("*").alias("rows"))
     lists = cut(lists.where("rows > 1"))
     release(spark)
-    met = cut(rows.join(lists.hint("merge"), "gram"))  # the same plan at every size
+    pairs_met = met = cut(rows.join(lists.hint("merge"), "gram"))  # the same plan at every size
     release(spark)
     large = met.where(F.col("rows") > SMALL).where("sid <> centre").select("sid", "centre").distinct()
     # Sets that meet under rare grams only share all of these in their prefixes, so fewer than linked sets must share rule them out.
@@ -185,10 +297,10 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     up = lambda num, den: F.expr(f"({num} + {den} - 1) div {den}")
     must = up(f"{percent} * (n + n2)", 100 + percent) + 1 - up(f"{percent} * greatest(n, n2)", 100)
     met = large.union(pairs.where(F.col("k") >= must).select(F.col("sid2").alias("sid"), F.col("sid").alias("centre")))
-    met = cut(met.distinct())
+    met = grouped = cut(met.distinct())
     met = met.union(met.select("centre", "centre")).distinct().join(classes.select("sid", "n"), "sid")
     # linked sets lie in the same or neighbouring bands of size, so a member needs another one there
-    met = cut(met.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)))
+    met = banded = cut(met.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)))
     near = met.groupBy("centre", "band").agg(F.count("*").alias("k")).select("centre", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("centre", "band").agg(F.sum("k").alias("k"))
     met = cut(met.join(near.where("k > 1"), ["centre", "band"]).select("sid", "centre", "n"))
     # a centre whose members all belong to one smaller centre adds no pair
@@ -196,43 +308,22 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     also = met.join(met.select("sid", F.col("centre").alias("smaller")), "sid").where("smaller < centre").groupBy("centre", "smaller").agg(F.count("*").alias("size"))
     members = cut(met.join(also.join(size, ["centre", "size"]).select("centre").distinct(), "centre", "left_anti"))
     total = members.groupBy("centre").agg(F.sum("n").alias("grams"), F.count("*").alias("sets"))
-    blocks = F.greatest(F.ceil(F.col("grams") / FULL), F.least(F.lit(BLOCKS), F.ceil(F.col("sets") / BLOCK))).cast("int")
-    # the blocks of its centres go with each member, so that its grams are shuffled once
-    placed = members.join(total.select("centre", blocks.alias("nb")), "centre").groupBy("sid").agg(F.collect_list(F.struct("centre", "nb")).alias("places")).join(classes, "sid")
+    nb = F.ceil(F.col("sets") / BLOCK)
+    nf = F.ceil(F.col("grams") * F.least(F.lit(2), nb) / nb / FULL)
+    # the blocks of its centres go with each member, so that its text is read once
+    placed = members.join(total.select("centre", nb.cast("int").alias("nb"), nf.cast("int").alias("nf")), "centre").groupBy("sid").agg(F.collect_list(F.struct("centre", "nb", "nf")).alias("places")).join(classes, "sid")
     wanted = cut(placed.select("rid", "places", F.col("places.centre").alias("centres")))
+    discard(lists, pairs_met, grouped, banded, members)
     del placed, large, few, other, pairs
     release(spark)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for rids, off, h in _sets(batch, n):
-                raw = [h[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
-                yield pa.record_batch([pa.array(rids), pa.array(np.diff(off).astype(np.int64)), pa.array(raw, pa.binary()), batch.column(2).slice(at, len(rids)), batch.column(3).slice(at, len(rids))], names=["rid", "n", "grams", "places", "centres"])
-                at += len(rids)
-
     once = source if unique else source.dropDuplicates(["rid"])
-    sets = once.join(wanted.hint("merge"), "rid").select("rid", "text", "places", "centres").mapInArrow(grams, "rid long, n long, grams binary, places array<struct<centre: long, nb: int>>, centres array<long>")
-    nb = F.col("nb")
-    placed = (
-        sets.withColumn("place", F.explode("places")).select("rid", "n", "grams", "centres", "place.centre", "place.nb")
-        .withColumn("own", F.pmod(F.xxhash64("rid"), nb).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-        .select("centre", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "rid", "n", "grams", "centres")
-    )
-    key = ["centre", "bi", "bj"]
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, degrees = [], []
-        for group in groups(batches, key):
-            e, d = _links(group, percent)
-            edges += e
-            degrees += d
-        rows = [(a, b, None) for a, b in edges] + [(a, None, c) for a, c in degrees]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "links"])
-
-    found = cut(placed.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key).mapInArrow(join, "a long, b long, links long"))
-    del placed, sets
+    sets = once.join(wanted.hint("merge"), "rid").select("rid", "text", "places", "centres").mapInArrow(lambda b: _segments(b, n), _SEGMENT)
+    counted = cut(sets.repartition(*_KEY, "frag").sortWithinPartitions(*_KEY, "frag", "side", "rid").mapInArrow(lambda b: _partial(b, percent), _SEGMENT))
+    del sets
+    release(spark)
+    found = cut(counted.repartition(*_KEY).sortWithinPartitions(*_KEY, "frag", "side", "rid").mapInArrow(lambda b: _summed(b, percent), "a long, b long, links long"))
+    discard(counted, wanted)
     release(spark)
     degree = found.where("links is not null").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("n_links"))
     label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rid")

@@ -562,3 +562,58 @@ def test_components(spark):
         parent[y] = x
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in parent}
+
+
+def test_jaccard_blocks_and_fragments(spark, monkeypatch):
+    """Groups over several blocks and fragments: near copies of one text beside many short texts that share a phrase."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "FULL", 300)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng = random.Random(5)
+    base, phrase = words(rng, 120), words(rng, 12)
+    texts = []
+    for _ in range(30):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(phrase + words(rng, rng.randrange(5))) for _ in range(40)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    linked = defaultdict(set)
+    for i, a in enumerate(sets):
+        for b in sets:
+            if a != b and 100 * len(a & b) >= 80 * len(a | b):
+                linked[i].add(frozenset(b))
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs(spark, texts)).collect()}
+    assert max(map(len, linked.values())) > 8
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(linked[i]) for i in range(len(texts))}
+
+
+def test_jaccard_short_texts_in_bounded_memory():
+    """What a task does for two full blocks of short texts that share one phrase."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 2 * jaccard.BLOCK
+    rng = np.random.default_rng(0)
+    shared = np.arange(4, dtype=np.uint64)
+    grams = [np.sort(np.concatenate([shared, rng.integers(10, 2**60, 5).astype(np.uint64)])).tobytes() for _ in range(n)]
+    table = pa.table({"n": pa.array([9] * n), "grams": pa.array(grams, pa.binary()), "side": pa.array([0] * (n // 2) + [1] * (n // 2)), "bi": pa.array([0] * n), "bj": pa.array([1] * n)})
+    tracemalloc.start()
+    assert jaccard._fragment(table, 80) == b""
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_string_ids(spark):
+    """Ids of any type: here text, in every operator that gives documents keys."""
+    rng = random.Random(8)
+    shared = words(rng, 60)
+    rows = [(f"u-{i}", " ".join(words(rng, 30) + shared)) for i in range(3)] + [("v", " ".join(shared)), ("w", " ".join(shared))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    near = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(df).collect()}
+    assert near["w"] == "v" and near["u-1"] == "u-1"
+    assert {r["doc_id"] for r in suffixes.dedup_substrings(df, 100).collect()} == {r[0] for r in rows}
+    found = {(r["doc_id"], r["source_id"]) for r in substrings.find_passages(df).collect()}
+    assert {x for p in found for x in p} == {r[0] for r in rows}
