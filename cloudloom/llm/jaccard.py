@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -163,6 +163,32 @@ def _links(sets: list[tuple], cells: list[bytes], centre: int, bi: int, bj: int,
     return [(int(rid[a]), int(rid[b])) for a, b in _forest(size, left, right)], [(int(rid[i]), int(degree[i])) for i in np.flatnonzero(degree)]
 
 
+_STEPS = 16  # bands of size within a factor of 100 / percent, at 80
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) * float(_STEPS / np.log(1.25)))
+
+
+def _with_partner(met: DataFrame, percent: int) -> DataFrame:
+    """Members (sid, centre, n, shared, band) of groups that also have a member of a size that they could be linked with.
+
+    Linked sets of s and l >= s grams share at least c s - (d - c) l grams that lie in the prefixes of both, with
+    c = percent / (100 + percent) and d = percent / 100, as d l of the larger one's are outside. A set shares ``shared``
+    grams of its prefix with any other, so with few of them only much larger or smaller partners are left, or none.
+    """
+    c, d = percent / (100 + percent), percent / 100
+    n, t = F.col("n"), F.col("shared")
+    most = F.greatest(F.least((t + (d - c) * n) / c, n), d * n)  # of smaller partners
+    least = F.least(F.greatest((c * n - t) / (d - c), n), n / d) if d > c else n  # of larger ones
+    span = lambda lo, hi: F.sequence(_band(lo * (1 - 1e-9)), _band(hi * (1 + 1e-9)))
+    own = F.col("band")
+    wanted = met.select("sid", "centre", "n", own.alias("own"), F.explode(F.array_union(span(d * n, most), span(least, n / d))).alias("band"))
+    there = met.groupBy("centre", "band").agg(F.count("*").alias("k"))
+    able = wanted.join(there, ["centre", "band"]).where((F.col("k") > 1) | (F.col("band") != F.col("own")))
+    return able.select("sid", "centre", "n").distinct()
+
+
 _KEY = ["centre", "bi", "bj"]
 _SEGMENT = "centre long, bi int, bj int, frag int, side int, rid long, n long, centres array<long>, grams binary"
 
@@ -283,8 +309,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
                 yield pa.record_batch([pa.array(tk.signed(h[order][keep])), pa.array(ids[d[keep]]), pa.array(size[d[keep]].astype(np.int32))], names=["gram", "sid", "n"])
 
     rows = source.mapInArrow(prefixes, "gram long, sid long, n int")
-    lists = rows.groupBy("gram").agg(F.min("sid").alias("centre"), F.count("*").alias("rows"))
-    lists = cut(lists.where("rows > 1"))
+    lists = rows.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("other"), F.count("*").alias("rows"))
+    lists = cut(lists.where("centre < other").drop("other"))
     release(spark)
     pairs_met = met = cut(rows.join(lists.hint("merge"), "gram"))  # the same plan at every size
     release(spark)
@@ -299,10 +325,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     met = large.union(pairs.where(F.col("k") >= must).select(F.col("sid2").alias("sid"), F.col("sid").alias("centre")))
     met = grouped = cut(met.distinct())
     met = met.union(met.select("centre", "centre")).distinct().join(classes.select("sid", "n"), "sid")
-    # linked sets lie in the same or neighbouring bands of size, so a member needs another one there
-    met = banded = cut(met.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)))
-    near = met.groupBy("centre", "band").agg(F.count("*").alias("k")).select("centre", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("centre", "band").agg(F.sum("k").alias("k"))
-    met = cut(met.join(near.where("k > 1"), ["centre", "band"]).select("sid", "centre", "n"))
+    shares = pairs_met.groupBy("sid").agg(F.countDistinct("gram").alias("shared"))
+    met = banded = cut(met.join(shares, "sid", "left").na.fill(0, ["shared"]).withColumn("band", _band(F.col("n"))))
+    met = cut(_with_partner(met, percent))
     # a centre whose members all belong to one smaller centre adds no pair
     size = met.groupBy("centre").agg(F.count("*").alias("size"))
     also = met.join(met.select("sid", F.col("centre").alias("smaller")), "sid").where("smaller < centre").groupBy("centre", "smaller").agg(F.count("*").alias("size"))
