@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney bigram models with shared backoff counts.
 
-Counts are of documents, so that a text's own repeats count once. Each class y (toxic, ordinary) has
-
-    P_y(v | u) = max(c_y(u, v) - D_y(u, v), 0) / c_y(u) + rest_y(u) * P_y(v)
-    P_y(v)     = max(c_y(v) - D_y(v), 0) / N_y + rest_y * P(v)
-
-with P(v) from the counts of both classes. As in modified Kneser-Ney smoothing the discount depends on the count: it takes
-D, what the shared counts lead to expect, e, and SPREAD standard deviations of that, and hands it to the
-backoff. So a rare expression keeps the shared probability in both classes, and a class keeps the counts that the
-other doesn't explain. A text is measured by the mean over its words of log P_toxic - log P_ordinary (and that times
-the root of its length); a logistic curve makes it a score. What a single text adds to a count that exceeds its
-expectation by SPREAD deviations is small, so the curve is fitted to texts that were counted.
+Each class y (toxic, ordinary) has
+
+    P_y(v | u) = max(c_y(u, v) - B_y, 0) / c_y(u) + rest_y(u) * P_y(v)
+    P_y(v)     = max(n_y(v) - D_y, 0) / n_y + rest_y * P(v)
+
+with c_y the texts of the class with the pair u v, n_y(v) the different words before v in texts of the class, and P(v) the
+same continuation count over the texts of both classes, discounted and shared out to unseen words. The rests make sums of one. So rare
+expressions, of whose counts nothing is left, have the shared probability in both classes. Discounts start from the
+count of counts, n1 / (n1 + 2 n2); as single counts tell the classes apart badly, each order's is the multiple of
+that (WORD_DISCOUNTS, PAIR_DISCOUNTS) that serves best on labelled texts that were not counted. The larger class has the same
+discount in proportion to its counts. A text is measured by the mean over its words of log P_toxic - log P_ordinary, where
+words on which both agree within a factor e^AGREE count as equal, and that times the root of its
+length; a logistic curve makes it a score.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut
+from .common import cut, discard, release
 
-D = 0.75
-SPREAD = 4.0
-CALIBRATION_ROWS = 20_000  # bound expected size of the sample that fits the curve: ids whose digest falls in that share
+WORD_DISCOUNTS = (1, 2, 4, 8, 16)
+PAIR_DISCOUNTS = (16, 128, 1024)
+AGREE = 1.0
+CALIBRATION_ROWS = 4_000  # bound expected size of the labelled sample, not counted, that chooses discounts and fits the curve: ids whose digest falls in that share
+CALIBRATION_SHARE = 0.2  # of the labelled rows, where that is less
 BROADCAST_ROWS = 4_000_000  # of the model, 16 bytes each; a larger one is joined
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.7
 MERGE = 1_500_000  # pairs that a task gathers before it merges equal ones
-ALONE = 0x5851F42D4C957F2D  # stands for u in counts of single words
 
 
 def remainder(id_col: str) -> Column:
@@ -71,9 +74,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         for lo, hi, data, off in tk.slices(batch.column(1)):
             u, v, d = _marked(tk.words(data, off, loose=True))
-            for first in (u, np.full(len(v), ALONE, np.uint64)):
-                rows = _distinct(d, first, v)
-                held.append(np.stack([first[rows], v[rows], label[lo:hi][d[rows]]], axis=1))
+            rows = _distinct(d, u, v)
+            held.append(np.stack([u[rows], v[rows], label[lo:hi][d[rows]]], axis=1))
             if sum(map(len, held)) >= MERGE:
                 yield merged()
                 held = []
@@ -87,38 +89,119 @@ def _distinct(d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.unique(tk.mix(_pair(u, v) + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
 
 
-def _kept(count: Column, expected: Column) -> Column:
-    return F.greatest(count - F.lit(D) - expected - F.lit(SPREAD) * F.sqrt(expected + 1), F.lit(0.0))
-
-
-def learn(train: DataFrame, text_col: str) -> tuple[DataFrame, float]:
-    """Log ratios (kind, key, ratio) that differ from the common one of all other words, and that one.
+@dataclass
+class Counts:
+    """Tables of counts and their totals. words: v, n_t, n_o, n (continuation counts); pairs: u, v, c_t, c_o of those above the least discount."""
+
+    words: DataFrame
+    pairs: DataFrame
+    contexts: DataFrame  # u, c_t, c_o, and what the i-th discount leaves of them, l_t_i, l_o_i
+    n_t: float
+    n_o: float
+    word_d: list[tuple[float, float]]
+    pair_d: list[tuple[float, float]]
+    rest: list[tuple[float, float]]  # of each discount of words
+    unseen: float
+
+    def p_word(self, i: int) -> tuple[Column, Column]:
+        """P_y(v) under the i-th discount, in n_t, n_o and shared, null for words not seen."""
+        shared = F.coalesce("shared", F.lit(self.unseen))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        (d_t, d_o), (r_t, r_o) = self.word_d[i], self.rest[i]
+        return F.greatest(zero("n_t") - d_t, F.lit(0.0)) / self.n_t + r_t * shared, F.greatest(zero("n_o") - d_o, F.lit(0.0)) / self.n_o + r_o * shared
+
+    def p_pair(self, i: int, j: int) -> tuple[Column, Column]:
+        """P_y(v | u) under the i-th discount of words and the j-th of pairs; u's and the pair's columns may be null."""
+
+        def one(y: str, base: Column, b: float) -> Column:
+            total = F.coalesce(F.col(f"t_{y}"), F.lit(0))
+            rest = F.when(total > 0, F.col(f"l_{y}_{j}") / total).otherwise(1.0)
+            return F.when(total > 0, F.greatest(F.coalesce(F.col(f"c_{y}"), F.lit(0)) - b, F.lit(0.0)) / total).otherwise(0.0) + rest * base
+
+        (p_t, p_o), (b_t, b_o) = self.p_word(i), self.pair_d[j]
+        return one("t", p_t, b_t), one("o", p_o, b_o)
+
+
+def _discounts(n1: float, n2: float, multiples: tuple, ratio: float) -> list[tuple[float, float]]:
+    """(toxic, ordinary) for each multiple; ratio: ordinary counts for each toxic one."""
+    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+    return [(m * d * max(1.0, 1 / ratio), m * d * max(1.0, ratio)) for m in multiples]
+
+
+def count(train: DataFrame, text_col: str) -> Counts | None:
+    """Counts of the texts (__toxic, text); None if a class has none."""
+    all_pairs = cut(train.select("__toxic", text_col).mapInArrow(_counts, "u long, v long, toxic long, ordinary long").groupBy("u", "v").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o")))
+    release(train.sparkSession)
+    some = lambda c: F.sum(F.col(c).cast("int"))
+    words = all_pairs.select("v", (F.col("c_t") > 0).alias("t"), (F.col("c_o") > 0).alias("o")).groupBy("v").agg(some("t").alias("n_t"), some("o").alias("n_o"), F.count("*").alias("n"))
+    words = cut(words)
+    release(train.sparkSession)
+    is_ = lambda c, k: F.sum((F.col(c) == k).cast("double"))
+    w = words.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n").alias("n"), F.count("*").alias("v"), is_("n", 1).alias("s1"), is_("n", 2).alias("s2"), *[is_(f"n_{y}", k).alias(f"{y}{k}") for y in "to" for k in (1, 2)]).first()
+    if not w["t"] or not w["o"]:
+        return None
+    ratio = w["o"] / w["t"]
+    few = "t" if ratio >= 1 else "o"  # the class with fewer counts gives the discount
+    word_d = _discounts(w[f"{few}1"], w[f"{few}2"], WORD_DISCOUNTS, ratio)
+    p = all_pairs.agg(is_(f"c_{few}", 1).alias("n1"), is_(f"c_{few}", 2).alias("n2")).first()
+    pair_d = _discounts(p["n1"], p["n2"], PAIR_DISCOUNTS, ratio)
+    shared_d = _discounts(w["s1"], w["s2"], (1,), 1.0)[0][0]
+    unseen = shared_d * w["v"] / (w["v"] + 1) / w["n"]
+    words = words.withColumn("shared", F.greatest(F.col("n") - shared_d, F.lit(0.0)) / w["n"] + unseen)
+    kept = lambda c, d: F.sum(F.greatest(F.col(c) - d, F.lit(0.0)))
+    k = words.agg(*[kept(f"n_{y}", d[z]).alias(f"{y}_{i}") for i, d in enumerate(word_d) for z, y in enumerate("to")]).first()
+    rest = [(1 - k[f"t_{i}"] / w["t"], 1 - k[f"o_{i}"] / w["o"]) for i in range(len(word_d))]
+    left = [(F.sum(f"c_{y}") - kept(f"c_{y}", d[z])).alias(f"l_{y}_{j}") for j, d in enumerate(pair_d) for z, y in enumerate("to")]
+    pairs = cut(all_pairs.where((F.col("c_t") > pair_d[0][0]) | (F.col("c_o") > pair_d[0][1])))
+    used = pairs.select("u").distinct()  # of other contexts nothing is left but the backoff
+    contexts = cut(all_pairs.groupBy("u").agg(F.sum("c_t").alias("t_t"), F.sum("c_o").alias("t_o"), *left).join(used, "u", "left_semi"))
+    discard(all_pairs)
+    return Counts(words, pairs, contexts, float(w["t"]), float(w["o"]), word_d, pair_d, rest, unseen)
+
+
+def _log_ratio(p: tuple[Column, Column]) -> Column:
+    return F.log(p[0]) - F.log(p[1])
+
+
+def _agreed(x: Column) -> Column:
+    return F.when(F.abs(x) > AGREE, x).otherwise(0.0)
+
+
+def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[int, int, tuple[float, float, float]]:
+    """The discounts of words and of pairs with the least logistic loss on labelled texts (__toxic, text), and their curve.
+
+    The sample has a bounded number of texts; one row for each of them comes to the driver.
+    """
+    used, keyed = _tokens(sample.select("__toxic", text_col))
+    used = used.join(counts.words.select("v", "n_t", "n_o", "shared"), "v", "left").join(counts.contexts, "u", "left").join(counts.pairs, ["u", "v"], "left")
+    tried = [(i, j) for i in range(len(WORD_DISCOUNTS)) for j in range(len(PAIR_DISCOUNTS))]
+    sums = used.groupBy("__k").agg(F.sum("count").alias("n"), *[F.sum(F.col("count") * _agreed(_log_ratio(counts.p_pair(i, j)))).alias(f"x{i}_{j}") for i, j in tried])
+    fit = keyed.select("__k", "__toxic").join(sums, "__k", "left").na.fill(0).drop("__k").toPandas()
+    y, n = fit["__toxic"].to_numpy(float), fit["n"].to_numpy(float)
+    best = None
+    for i, j in tried:
+        x = fit[f"x{i}_{j}"].to_numpy(float) / np.maximum(n, 1)
+        curve = _curve(x, n, y)
+        z = np.clip(curve[0] + curve[1] * x + curve[2] * x * np.sqrt(n), -30, 30)
+        loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).mean()) if len(y) else 0.0
+        if best is None or loss < best[0]:
+            best = (loss, i, j, curve)
+    return best[1:]
+
+
+def learn(counts: Counts, i: int, j: int) -> tuple[DataFrame, float]:
+    """Log ratios (kind, key, ratio) under the chosen discounts, and that of all words whose counts the discount takes whole.
 
     Kind 0: of a word; 1: what a word before adds; 2: of a pair, in place of both.
     """
-    pairs = cut(train.select("__toxic", text_col).mapInArrow(_counts, "u long, v long, toxic long, ordinary long").groupBy("u", "v").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    alone = tk.signed(np.array([ALONE], np.uint64)).item()
-    words = pairs.where(F.col("u") == alone)
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
-    n_t, n_o, kinds = words.agg(s("toxic"), s("ordinary"), F.count("*").cast("double")).first()
-    shared = (F.col("toxic") + F.col("ordinary") + 0.5) / (n_t + n_o + 0.5 * (kinds + 1))
-    words = cut(words.select("v", shared.alias("shared"), _kept(F.col("toxic"), n_t * shared).alias("t"), _kept(F.col("ordinary"), n_o * shared).alias("o")))
-    k_t, k_o = words.agg(s("t"), s("o")).first()
-    rest_t, rest_o = 1 - k_t / max(n_t, 1.0), 1 - k_o / max(n_o, 1.0)
-    p_t, p_o = F.col("t") / max(n_t, 1.0) + rest_t * F.col("shared"), F.col("o") / max(n_o, 1.0) + rest_o * F.col("shared")
-    single = words.where("t > 0 or o > 0").select(F.lit(0).alias("kind"), F.col("v").alias("key"), (F.log(p_t) - F.log(p_o)).alias("ratio"))
-    two = pairs.where(F.col("u") != alone)
-    totals = two.groupBy("u").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o")).where("c_t > 0 and c_o > 0")
-    both = two.join(totals, "u")
-    part = lambda c: F.col(c) * (F.col("toxic") + F.col("ordinary")) / (F.col("c_t") + F.col("c_o"))
-    some = cut(both.select("u", "v", "c_t", "c_o", _kept(F.col("toxic"), part("c_t")).alias("x_t"), _kept(F.col("ordinary"), part("c_o")).alias("x_o")).where("x_t > 0 or x_o > 0"))
-    before = some.groupBy("u").agg((1 - F.sum("x_t") / F.first("c_t")).alias("r_t"), (1 - F.sum("x_o") / F.first("c_o")).alias("r_o"))
-    context = before.select(F.lit(1), F.col("u"), F.log("r_t") - F.log("r_o"))
-    joined = some.join(before, "u").join(words, "v")
-    ratio = F.log(F.col("x_t") / F.col("c_t") + F.col("r_t") * p_t) - F.log(F.col("x_o") / F.col("c_o") + F.col("r_o") * p_o)
-    pair = joined.select("u", "v", ratio.alias("ratio")).mapInArrow(_pair_keys, "kind int, key long, ratio double")
-    common = float(np.log(rest_t) - np.log(rest_o)) if n_t and n_o else 0.0
-    return cut(single.union(context).union(pair)), common
+    (d_t, d_o), (b_t, b_o) = counts.word_d[i], counts.pair_d[j]
+    single = counts.words.where((F.col("n_t") > d_t) | (F.col("n_o") > d_o)).select(F.lit(0).alias("kind"), F.col("v").alias("key"), _log_ratio(counts.p_word(i)).alias("ratio"))
+    rest = lambda y: F.when(F.col(f"t_{y}") > 0, F.col(f"l_{y}_{j}") / F.col(f"t_{y}")).otherwise(1.0)
+    context = counts.contexts.select(F.lit(1), F.col("u"), _log_ratio((rest("t"), rest("o"))).alias("ratio")).where("ratio <> 0")
+    some = counts.pairs.where((F.col("c_t") > b_t) | (F.col("c_o") > b_o)).join(counts.contexts, "u").join(counts.words.select("v", "n_t", "n_o", "shared"), "v")
+    pair = some.select("u", "v", _log_ratio(counts.p_pair(i, j)).alias("ratio")).mapInArrow(_pair_keys, "kind int, key long, ratio double")
+    r_t, r_o = counts.rest[i]
+    return cut(single.union(context).union(pair)), float(np.log(r_t) - np.log(r_o))
 
 
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +246,7 @@ class Model:
         x[at] += r
         at, r = self._find(2, _pair(u, v))
         x[at] = r
+        x[np.abs(x) <= AGREE] = 0
         n = np.diff(w.first)
         return np.bincount(doc, x, minlength=len(n)), n
 
@@ -185,10 +269,9 @@ def _features_broadcast(rows: DataFrame, model: Model, columns: list[str]) -> Da
     return rows.select(*columns).mapInArrow(measure, schema)
 
 
-def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns: list[str]) -> DataFrame:
-    """The same by joins, for models too large to broadcast."""
-    kept = columns[:-1]
-    keyed = cut(rows.select(*columns).withColumn("__k", F.monotonically_increasing_id()))
+def _tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(__k, u, v, uv, count) of the words of rows, whose last column is the text, and the rows with their key __k."""
+    keyed = cut(rows.withColumn("__k", F.monotonically_increasing_id()))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,12 +280,17 @@ def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns:
                 u, v, d = _marked(tk.words(data, off, loose=True))
                 yield pa.record_batch([pa.array(keys[lo + d]), pa.array(tk.signed(u)), pa.array(tk.signed(v)), pa.array(tk.signed(_pair(u, v)))], names=["__k", "u", "v", "uv"])
 
-    used = keyed.select("__k", columns[-1]).mapInArrow(tokens, "__k long, u long, v long, uv long").groupBy("__k", "u", "v", "uv").count()
+    return keyed.select("__k", rows.columns[-1]).mapInArrow(tokens, "__k long, u long, v long, uv long").groupBy("__k", "u", "v", "uv").count(), keyed
+
+
+def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns: list[str]) -> DataFrame:
+    """The same by joins, for models too large to broadcast."""
+    used, keyed = _tokens(rows.select(*columns))
     for k, name in enumerate(("v", "u", "uv")):
         used = used.join(ratios.where(F.col("kind") == k).select(F.col("key").alias(name), F.col("ratio").alias(f"r{k}")), name, "left")
-    x = F.coalesce(F.col("r2"), F.coalesce(F.col("r0"), F.lit(common)) + F.coalesce(F.col("r1"), F.lit(0.0)))
+    x = _agreed(F.coalesce(F.col("r2"), F.coalesce(F.col("r0"), F.lit(common)) + F.coalesce(F.col("r1"), F.lit(0.0))))
     sums = used.groupBy("__k").agg((F.sum(F.col("count") * x) / F.sum("count")).alias("__x"), F.sum("count").alias("__n"))
-    return keyed.drop(columns[-1]).join(sums, "__k", "left").select(*kept, F.coalesce("__x", F.lit(0.0)).alias("__x"), F.coalesce("__n", F.lit(0)).alias("__n"))
+    return keyed.drop(columns[-1]).join(sums, "__k", "left").select(*columns[:-1], F.coalesce("__x", F.lit(0.0)).alias("__x"), F.coalesce("__n", F.lit(0)).alias("__n"))
 
 
 def _curve(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -241,15 +329,22 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
     known = learnt.count()
     marked = F.broadcast(learnt) if known <= BROADCAST_LABELS else learnt
     labelled = docs.select(F.col(id_col), F.col(text_col)).join(marked, docs[id_col] == marked["__id"]).select(id_col, text_col, "__toxic")
-    ratios, common = learn(labelled, text_col)
+    share = int((1 << 20) * min(CALIBRATION_SHARE, CALIBRATION_ROWS / max(known, 1)))
+    sampled = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share
+    counts = count(labelled.where(~sampled), text_col)
+    if counts is None:  # texts of one class at most: all score alike
+        spark = docs.sparkSession
+        ratios, common = spark.createDataFrame([], "kind int, key long, ratio double"), 0.0
+        rate = labelled.agg(F.avg("__toxic")).first()[0]
+        a, b, c = _curve(np.zeros(0), np.zeros(0), np.zeros(0)) if not rate else _curve(np.zeros(1), np.zeros(1), np.ones(1))
+    else:
+        i, j, (a, b, c) = choose(counts, labelled.where(sampled), text_col)
+        ratios, common = learn(counts, i, j)
     model = Model.collect(ratios, common) if ratios.count() <= broadcast_rows else None
 
     def measure(part: DataFrame, cols: list[str]) -> DataFrame:
         return _features_broadcast(part, model, cols) if model else _features_joined(part, ratios, common, cols)
 
-    sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) <= (1 << 20) * CALIBRATION_ROWS // max(known, 1))
-    fit = np.array(measure(sample, ["__toxic", text_col]).collect(), float).reshape(-1, 3)  # about CALIBRATION_ROWS
-    a, b, c = _curve(fit[:, 1], fit[:, 2], fit[:, 0])
     logit = F.lit(a) + F.lit(b) * F.col("__x") + F.lit(c) * F.col("__x") * F.sqrt(F.col("__n"))
     return measure(docs, columns), 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
 
@@ -257,8 +352,8 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
-    Of the labelled rows those with crc32(id as text) mod 3 of 1 are held out; all others give counts, and up to
-    CALIBRATION_ROWS of them fit the curve. Scores use the text alone. A null or empty text scores as the curve at 0. A null id is not
+    Of the labelled rows those with crc32(id as text) mod 3 of 1 are held out; of all others about CALIBRATION_ROWS, or
+    CALIBRATION_SHARE if less, choose discounts and fit the curve, and the rest give counts. Scores use the text alone. A null or empty text scores as the curve at 0. A null id is not
     held out and never labelled. Several labels of an id: the largest holds. Repeated rows get a row each. Without
     labels all texts score alike, below the threshold. An empty table gives no rows. Other columns are ignored.
     """

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -617,3 +618,64 @@ def test_string_ids(spark):
     assert {r["doc_id"] for r in suffixes.dedup_substrings(df, 100).collect()} == {r[0] for r in rows}
     found = {(r["doc_id"], r["source_id"]) for r in substrings.find_passages(df).collect()}
     assert {x for p in found for x in p} == {r[0] for r in rows}
+
+
+def test_kneser_ney_equals_plain_model(spark):
+    """Log ratios of a small corpus against dictionaries."""
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, rng.randrange(3, 40), 30) + (["bad"] * (k % 3) if k % 4 == 0 else [])) for k in range(120)]
+    label = [int(k % 4 == 0) for k in range(120)]
+    df = spark.createDataFrame(list(zip(label, texts, strict=True)), "__toxic int, text string")
+    c = toxicity.count(df, "text")
+    pair = [Counter(), Counter()]
+    for t, y in zip(texts, label, strict=True):
+        w = t.split()
+        pair[y].update(set(zip([None, *w], w, strict=False)))
+    before = [Counter(v for _, v in p) for p in pair]
+    both = Counter(v for _, v in pair[0].keys() | pair[1].keys())
+    n, total = [sum(b.values()) for b in before], sum(both.values())
+    one, two = (sum(x == k for x in both.values()) for k in (1, 2))
+    ds = one / (one + 2 * two) if one else 0.5
+    few = int(n[1] <= n[0])
+    scale = [max(1.0, n[y] / n[1 - y]) for y in (0, 1)]
+    kn = lambda counts: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*(sum(x == k for x in counts.values()) for k in (1, 2)))
+    base = ds * len(both) / (len(both) + 1) / total
+    context = [Counter() for _ in pair]
+    for p, x in zip(pair, context, strict=True):
+        for (u, _), k in p.items():
+            x[u] += k
+
+    def p_word(y, v, m):
+        d = m * kn(before[few]) * scale[y]
+        kept = sum(max(k - d, 0) for k in before[y].values())
+        return max(before[y][v] - d, 0) / n[y] + (1 - kept / n[y]) * (max(both[v] - ds, 0) / total + base)
+
+    def p_pair(y, u, v, m, mb):
+        d = mb * kn(pair[few]) * scale[y]
+        if not context[y][u]:
+            return p_word(y, v, m)
+        kept = sum(max(k - d, 0) for (a, _), k in pair[y].items() if a == u)
+        return max(pair[y][u, v] - d, 0) / context[y][u] + (1 - kept / context[y][u]) * p_word(y, v, m)
+
+    for i, j in ((0, 0), (2, 1)):
+        m, mb = toxicity.WORD_DISCOUNTS[i], toxicity.PAIR_DISCOUNTS[j]
+        model = toxicity.Model.collect(*toxicity.learn(c, i, j))
+        for t in [*texts[:20], "bad w1x bad", "never seen w2x"]:
+            w = t.split()
+            want = [np.log(p_pair(1, u, v, m, mb)) - np.log(p_pair(0, u, v, m, mb)) for u, v in zip([None, *w], w, strict=False)]
+            data, off = tk.text_buffer(pa.array([t]))
+            x, k = model.sums(tk.words(data, off, loose=True))
+            assert k[0] == len(w) and abs(x[0] - sum(r for r in want if abs(r) > toxicity.AGREE)) < 1e-9
+
+
+def test_divided_anchors_equal_one_array(spark, monkeypatch):
+    """Anchors with too much text are cut again and again, and dealt to shards at last; nothing changes."""
+    rng = random.Random(17)
+    shared = " ".join(words(rng, 40))
+    texts = [" ".join(words(rng, rng.randrange(30))) + shared[: rng.randrange(60, 300)] + " ".join(words(rng, rng.randrange(30))) for _ in range(40)] + ["ab" * 300, "ab" * 200, "xyz" + "ab" * 90]
+    want = removed(texts, 60)
+    for shard, levels in ((1 << 19, 3), (2000, 3), (2000, 1), (600, 0)):
+        monkeypatch.setattr(suffixes, "SHARD", shard)
+        monkeypatch.setattr(suffixes, "LEVELS", levels)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup_substrings(docs(spark, texts), 60).collect()}
+        assert got == dict(enumerate(want)), (shard, levels)
