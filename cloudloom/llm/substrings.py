@@ -2,10 +2,13 @@
 
 K-mers of five words are thinned to window minimisers, which equal passages pick alike. Each shared k-mer
 has one owner, its first occurrence by (document, position), and every other occurrence meets only the
-owner, so the matches grow with the text and not with the square of a group. Matches of a pair of
+owner, so the matches grow with the text and not with the square of a group. A task links the repeats that it sees
+itself, so a frequent k-mer is shuffled once per stretch of a task. Matches of a pair of
 documents are chained in order with gap costs, and the chains are aligned word by word. Seeds that gave no passage so
-meet again as pairs and strings of shared seeds, each with the first document that holds it as owner: parts of a
-passage that have different owners so lead to the document that holds the whole.
+meet again as pairs of seeds of different owners within MIN_WORDS words, as strings of 4 and 8 consecutive shared seeds and as strings
+that span MIN_WORDS words, each with the first document that holds it as owner: parts of a passage that have different
+owners so lead to the document that holds the whole. A string of MIN_WORDS equal words is itself a passage with its
+owner, so words in one are always covered.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, groups, keyed, release, rid
+from .common import cut, discard, groups, keyed, release, rid
 
 K = 5
 WINDOW = 4
@@ -28,6 +32,9 @@ MAX_GAP = 60  # words between two blocks of a chain
 GAP_COST = 0.02  # per word of gap on either side, in seeds
 MIN_SEEDS = 2
 PAD = 48  # words by which a chain may grow in the alignment
+HELD = 1_000_000  # k-mers among which a task links repeats itself
+ASKED = 4096  # stretches of a text that are cut out by one task
+SHARED = -1  # in place of a position: no match, but other documents have the k-mer
 
 
 def minimisers(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -195,13 +202,79 @@ def runs(hit: np.ndarray, percent: int = PERCENT, least: int = MIN_WORDS) -> lis
     return [(start, end, int(hit[start:end].sum())) for _, _, start, end, _ in held if end - start >= least]
 
 
+_MATCH = "gram long, rid long, pos int, orid long, opos int"
+
+
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, rid, pos, orid, opos) of seeds. In each stretch of HELD seeds, those of later documents are matched with the first one's.
+
+    The first document's seeds have no match yet; opos is SHARED for those that another document of the stretch has.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def linked() -> pa.RecordBatch:
+        gram, rid_, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        held.clear()
+        order = np.lexsort((pos, rid_, gram))
+        gram, rid_, pos = gram[order], rid_[order], pos[order]
+        first, alone = _firsts(gram, rid_)
+        later = rid_ != rid_[first]
+        none = ~later & alone
+        return _matches(gram, rid_, pos, rid_[first], np.where(later, pos[first], SHARED), ~later, none)
+
     for batch in batches:
         rids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi, data, off in tk.slices(batch.column(1)):
             h, d, p = tk.grams(tk.words(data, off, loose=True), K)
             pick = minimisers(h, np.searchsorted(d, np.arange(hi - lo + 1)), WINDOW)
-            yield pa.record_batch([pa.array(tk.signed(h[pick])), pa.array(rids[lo:hi][d[pick]]), pa.array(p[pick].astype(np.int32))], names=["gram", "rid", "pos"])
+            held.append((tk.signed(h[pick]), rids[lo:hi][d[pick]], p[pick].astype(np.int32)))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield linked()
+    if held:
+        yield linked()
+
+
+def _firsts(gram: np.ndarray, rid_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by gram, rid: the first row of the gram, and whether the gram is in one document only."""
+    at = np.arange(len(gram))
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    starts = np.flatnonzero(new)
+    last = np.append(starts[1:], len(gram)) - 1
+    return first, np.repeat(rid_[starts] == rid_[last], np.diff(np.append(starts, len(gram))))
+
+
+def _matches(gram: np.ndarray, rid_: np.ndarray, pos: np.ndarray, orid: np.ndarray, opos: np.ndarray, no_orid: np.ndarray, no_opos: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(gram), pa.array(rid_), pa.array(pos.astype(np.int32)), pa.array(orid, mask=no_orid), pa.array(opos.astype(np.int32), mask=no_opos)], names=["gram", "rid", "pos", "orid", "opos"])
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of the first seeds of all stretches, sorted by gram, rid and pos, with the first document's; matches come as they are.
+
+    The first document's seeds stay, without a match, if another document has the k-mer.
+    """
+    held = pa.schema([("gram", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("orid", pa.int64()), ("opos", pa.int32())]).empty_table()
+
+    def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows:
+            gram, rid_, pos = (t.column(k).to_numpy() for k in range(3))
+            first, alone = _firsts(gram, rid_)
+            shared = np.zeros(len(gram), bool)
+            known = t.column(4).is_valid().to_numpy()
+            np.logical_or.at(shared, first, known | ~alone)
+            keep, later = shared[first], rid_ != rid_[first]
+            yield _matches(gram[keep], rid_[keep], pos[keep], rid_[first][keep], pos[first][keep], ~later[keep], ~later[keep])
+
+    for batch in batches:
+        done = batch.column(3).is_valid()
+        yield batch.filter(done)
+        t = pa.concat_tables([held, pa.Table.from_batches([batch.filter(pc.invert(done))]).cast(held.schema)])
+        gram = t.column(0).to_numpy()
+        whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last gram may go on
+        yield from close(t.slice(0, whole))
+        held = t.slice(whole).combine_chunks()
+    yield from close(held)
 
 
 _CHAIN = "rid long, chain int, orid long, lo int, hi int, olo int, ohi int, anchors binary"
@@ -237,14 +310,25 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes lo:hi of the text of each request (for_rid, chain, side, lo, hi, text)."""
+    """Word hashes lo:hi of each stretch asked of a text (text, asked)."""
     for batch in batches:
-        lows, highs = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        for a, b, data, off in tk.slices(batch.column(5)):
+        asked = batch.column(1)
+        for a, b, data, off in tk.slices(batch.column(0)):
             w = tk.words(data, off, loose=True)
-            cut_words = [w.hash[w.first[i] + lows[a + i] : min(w.first[i + 1], w.first[i] + highs[a + i])].astype(np.uint32).tobytes() for i in range(b - a)]
-            part = batch.slice(a, b - a)
-            yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(cut_words, pa.binary())], names=["rid", "chain", "side", "words"])
+            small = w.hash.astype(np.uint32)
+            rows = []
+            for i in range(b - a):
+                for r in asked[a + i].as_py():
+                    rows.append((r["for_rid"], r["chain"], r["side"], small[w.first[i] + r["lo"] : min(w.first[i + 1], w.first[i] + r["hi"])].tobytes()))
+                if len(rows) >= ASKED:
+                    yield _piece_rows(rows)
+                    rows = []
+            yield _piece_rows(rows)
+
+
+def _piece_rows(rows: list) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["rid", "chain", "side", "words"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,24 +342,22 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matched seeds and whether they lie in no passage, or within MIN_WORDS of such a one. Rows of a document: its passages (kind 0, pos to end), its seeds."""
+    """Shared seeds (gram, rid, pos, owner, open), open: matched, but in no passage. Rows of a document: its passages (kind 0, pos to end), its seeds (1, or 2 as owner)."""
     for g in groups(batches, ["rid"]):
         kind, pos = g.column("kind").to_numpy(), g.column("pos").to_numpy().astype(np.int64)
-        seed = np.flatnonzero(kind == 1)
+        seed = np.flatnonzero(kind > 0)
         if not len(seed):
             continue
-        at = pos[seed]
-        left = np.ones(len(at), bool)
+        at, owner = pos[seed], kind[seed] == 2
+        left = ~owner
         for lo, hi in zip(pos[kind == 0].tolist(), g.column("end").to_numpy()[kind == 0].tolist(), strict=True):
             left[np.searchsorted(at, lo) : np.searchsorted(at, hi - K, side="right")] = False
-        alone = at[left]
-        near = np.searchsorted(alone, at - MIN_WORDS) < np.searchsorted(alone, at + MIN_WORDS, side="right")
-        yield pa.record_batch([g.column("gram").combine_chunks().take(pa.array(seed)), g.column("rid").combine_chunks().take(pa.array(seed)), pa.array(at.astype(np.int32)), pa.array(near)], names=["gram", "rid", "pos", "open"])
+        yield pa.record_batch([g.column("gram").combine_chunks().take(pa.array(seed)), g.column("rid").combine_chunks().take(pa.array(seed)), pa.array(at.astype(np.int32)), pa.array(owner), pa.array(left)], names=["gram", "rid", "pos", "owner", "open"])
 
 
-def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first seed, last seed) of all pairs of seeds that start within MIN_WORDS words, whatever stands between them,
-    and of the strings of 4 and 8 consecutive seeds and of those that just span MIN_WORDS words.
+def strings(gram: np.ndarray, pos: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first seed, last seed) of the pairs of seeds that start within MIN_WORDS words and have different owners ``low``,
+    whatever stands between them, and of the strings of 4 and 8 consecutive seeds and of those that just span MIN_WORDS words.
 
     The seeds of a string lie at most MAX_GAP apart; the spacing counts in the last kind only.
     """
@@ -285,11 +367,12 @@ def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     part = np.cumsum(gap > MAX_GAP)
     out = []
     with np.errstate(over="ignore"):
-        plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram * powers[:n])])
+        plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(gram) * powers[:n])])
         spaced = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(gram + gap.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * powers[:n])])
         count = np.searchsorted(pos, pos + MIN_WORDS, side="right") - np.arange(n) - 1
         i = np.repeat(np.arange(n), count)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = i[low[i] != low[j]], j[low[i] != low[j]]
         out.append((tk.mix(tk.mix(gram[i]) + gram[j]), i, j))
         for size in (4, 8):
             i = np.arange(max(0, n - size + 1))
@@ -304,52 +387,64 @@ def strings(gram: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of each document (gram, rid, pos, width, open), open: some seed is open, and none is its owner's, whose strings no earlier document has."""
     for g in groups(batches, ["rid"]):
-        pos, open_ = g.column("pos").to_numpy().astype(np.int64), g.column("open").to_numpy(zero_copy_only=False)
-        h, i, j = strings(g.column("gram").to_numpy().view(np.uint64), pos)
-        before = np.concatenate([[0], np.cumsum(open_)])
+        pos = g.column("pos").to_numpy().astype(np.int64)
+        h, i, j = strings(g.column("gram").to_numpy().view(np.uint64), pos, g.column("low").to_numpy())
+        some, own = (np.concatenate([[0], np.cumsum(g.column(k).to_numpy(zero_copy_only=False))]) for k in ("open", "owner"))
+        asks = (some[j + 1] > some[i]) & (own[j + 1] == own[i])
         rid_ = np.full(len(h), g.column("rid")[0].as_py(), np.int64)
-        yield pa.record_batch([pa.array(tk.signed(h)), pa.array(rid_), pa.array(pos[i].astype(np.int32)), pa.array((pos[j] - pos[i]).astype(np.int32)), pa.array(before[j + 1] > before[i])], names=["gram", "rid", "pos", "width", "open"])
+        yield pa.record_batch([pa.array(tk.signed(h)), pa.array(rid_), pa.array(pos[i].astype(np.int32)), pa.array((pos[j] - pos[i]).astype(np.int32)), pa.array(asks)], names=["gram", "rid", "pos", "width", "open"])
 
 
 def _passages(matches: DataFrame, source: DataFrame) -> DataFrame:
-    """Aligned stretches (rid, source_rid, first_word, end_word, identity) of the chains of seeds (rid, orid, pos, opos)."""
+    """Aligned stretches (rid, source_rid, first_word, end_word, identity) of the chains of seeds (rid, orid, pos, opos), cut."""
     key = ["rid", "orid", "pos", "opos"]
     found = cut(matches.select(*key).repartition("rid").sortWithinPartitions(*key).mapInArrow(_chained, _CHAIN))
+    release(source.sparkSession)
     asked = found.select("rid", F.col("rid").alias("for_rid"), "chain", F.lit(0).alias("side"), "lo", "hi").union(
         found.select("orid", "rid", "chain", F.lit(1), "olo", "ohi")
     )
-    pieces = asked.join(source, "rid").select("for_rid", "chain", "side", "lo", "hi", "text").mapInArrow(_pieces, "rid long, chain int, side int, words binary")
+    # a text goes with up to about ASKED stretches at once, so that a document that many others repeat is dealt out
+    share = asked.groupBy("rid").count().select("rid", F.ceil(F.col("count") / ASKED).alias("of"))
+    dealt = asked.join(share, "rid").groupBy("rid", F.pmod(F.xxhash64("for_rid", "chain"), F.col("of")).alias("part")).agg(F.collect_list(F.struct("for_rid", "chain", "side", "lo", "hi")).alias("asked"))
+    pieces = dealt.join(source, "rid").select("text", "asked").mapInArrow(_pieces, "rid long, chain int, side int, words binary")
     both = pieces.groupBy("rid", "chain").agg(F.max(F.when(F.col("side") == 0, F.col("words"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("words"))).alias("b"))
-    return both.join(found, ["rid", "chain"]).select("rid", "orid", "lo", "a", "b", "anchors").mapInArrow(_aligned, "rid long, source_rid long, first_word int, end_word int, identity double")
+    out = cut(both.join(found, ["rid", "chain"]).select("rid", "orid", "lo", "a", "b", "anchors").mapInArrow(_aligned, "rid long, source_rid long, first_word int, end_word int, identity double"))
+    discard(found)
+    return out
 
 
 def _found(source: DataFrame) -> DataFrame:
     """(rid, source_rid, first_word, end_word, identity) over documents (rid, text)."""
     spark = source.sparkSession
-    kmers = source.mapInArrow(_kmers, "gram long, rid long, pos int")
-    first = kmers.groupBy("gram").agg(F.min(F.struct("rid", "pos")).alias("first"), F.max("rid").alias("last"))
-    # as a table of its own, so that the join shuffles both sides itself and AQE can split a hot gram
-    first = cut(first.where("first.rid < last").select("gram", F.col("first.rid").alias("orid"), F.col("first.pos").alias("opos")))
-    release(spark)
-    matches = cut(kmers.join(first, "gram").where("rid > orid").select("gram", "rid", "orid", "pos", "opos"))
+    # matches are spread, what may still have an owner elsewhere meets by its k-mer
+    deal = F.when(F.col("orid").isNull(), F.col("gram")).otherwise(F.xxhash64("rid", "pos"))
+    matches = cut(source.mapInArrow(_kmers, _MATCH).repartition(deal).sortWithinPartitions("gram", "rid", "pos").mapInArrow(_owned, _MATCH))
     release(spark)
-    passages = cut(_passages(matches, source))
+    passages = _passages(matches.where("orid is not null"), source)
     release(spark)
     # seeds that gave no passage with their owner meet again as strings, each string with its own owner
     spans = passages.select("rid", F.lit(0).alias("kind"), F.col("first_word").alias("pos"), F.col("end_word").alias("end"), F.lit(None).cast("long").alias("gram"))
-    seeds = matches.select("rid", F.lit(1), "pos", F.lit(0), "gram")
-    marked = cut(spans.union(seeds).repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_open, "gram long, rid long, pos int, open boolean"))
+    seeds = matches.select("rid", F.when(F.col("orid").isNull(), 2).otherwise(1), "pos", F.lit(0), "gram")
+    marked = cut(spans.union(seeds).repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_open, "gram long, rid long, pos int, owner boolean, open boolean"))
+    discard(matches)
     release(spark)
-    again = cut(marked.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.max("open").alias("open")).where("open and low < high").select("gram"))
-    spots = marked.union(first.select("gram", "orid", "opos", F.lit(False))).join(again, "gram", "left_semi")
+    again = marked.groupBy("gram").agg(F.min("rid").alias("low"), F.max("open").alias("some")).where("some").select("gram", "low")
+    spots = marked.join(again, "gram")
     chosen = cut(spots.repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_strings, "gram long, rid long, pos int, width int, open boolean"))
+    discard(marked)
     release(spark)
-    owner = chosen.groupBy("gram").agg(F.min(F.struct("rid", "pos", "width")).alias("first"), F.max("rid").alias("last")).where("first.rid < last")
+    owner = chosen.groupBy("gram").agg(F.min(F.struct("rid", "pos", "width")).alias("first"), F.max(F.when(F.col("open"), F.col("rid"))).alias("last")).where("first.rid < last")
+    # as a table of its own, so that the join shuffles both sides itself and AQE can split a hot string
     owner = cut(owner.select("gram", F.col("first.rid").alias("orid"), F.col("first.pos").alias("opos"), F.col("first.width").alias("owidth")))
+    release(spark)
     ends = F.inline(F.array(F.struct(F.col("pos").alias("pos"), F.col("opos").alias("opos")), F.struct((F.col("pos") + F.col("width")).alias("pos"), (F.col("opos") + F.col("owidth")).alias("opos"))))
     more = chosen.where("open").join(owner, "gram").where("rid > orid").select("rid", "orid", ends)
-    return passages.union(_passages(more, source)).dropDuplicates(["rid", "source_rid", "first_word", "end_word"])
+    again = _passages(more, source)
+    discard(chosen, owner)
+    release(spark)
+    return passages.union(again).groupBy("rid", "source_rid", "first_word", "end_word").agg(F.max("identity").alias("identity"))
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,6 +453,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The passage of the document with the larger key repeats one of ``source_id``: at least MIN_WORDS words of which
     PERCENT of a hundred are aligned to equal words. Words are lower-cased and parted by space and ASCII punctuation. Passages
     from several sources may overlap. Repeats within one document, and fully repeated rows, are not reported.
+    Between two matched stretches more than 4 * MAX_GAP words apart, which share no seed, words count as different.
     Where ids repeat or are null the order is that of a digest of id and text, and rows are given for each such document
     once. Null, empty and short texts have no passages; an empty table gives no rows. Other columns are ignored.
     """
