@@ -1,10 +1,12 @@
 """Exact repeated-substring removal with suffix arrays.
 
 Each string of LENGTH bytes has an anchor, the least hash among its Q-byte windows, so equal strings have equal anchors. Texts
-are cut into stretches of string starts with one anchor; stretches whose anchor occurs elsewhere go to the shard of
-that anchor. A shard sorts its suffixes by Larsson-Sadakane refinement, takes common prefixes with Kasai's
-recurrence, and marks starts whose neighbour shares LENGTH bytes. An anchor with too much text for one
-shard is dealt to several, whose sorted digests of distinct strings are then merged by binary search.
+are cut into stretches of string starts with one anchor. Equal stretches are found by digest and cover each other; one of each
+stands for all. Anchors with several different stretches go to a shard, which sorts its suffixes by Larsson-Sadakane refinement,
+takes common prefixes with Kasai's recurrence, and marks starts whose neighbour shares LENGTH bytes. An anchor with too much text for
+one shard is divided: its stretches are cut again where the least of further hash functions change, so that only
+strings that agree in all of them still meet. What is too much even then is dealt to several shards, whose sorted
+digests of distinct strings are merged by binary search.
 """
 
 from __future__ import annotations
@@ -15,22 +17,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, keyed
+from .common import cut, discard, keyed, release
 
 LENGTH = 400
 Q = 32
 SHARD = 512 << 10  # bytes of text in a suffix array
 STEP = 7  # symbols in the first key
+LEVELS = 3  # times that an anchor with too much text is divided
+FURTHER = 4  # hash functions that each time adds
 
 
-def stretches(data: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, off: np.ndarray, length: int, q: int, functions: int = 1) -> tuple[np.ndarray, ...]:
     """(text number, anchor, first start, end start, anchors merged) of the stretches of a slice of texts.
 
-    Starts are relative to their text. Neighbouring anchors with equal hash, as in periodic text, are one stretch.
+    Starts are relative to their text. Neighbouring anchors with equal hash, as in periodic text, are one stretch. With
+    several hash functions the anchor is made of the least of each.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -38,25 +44,28 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[n
         return none, none.view(np.uint64), none, none, none
     at = np.arange(n - q + 1)
     h = tk.span_hash(tk.prefix_hash(data), at, at + q)
-    low = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
-    width, window = 1, length - q + 1
-    while width < window:
-        step = min(width, window - width)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        width += step
-    anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     doc = np.searchsorted(off, np.arange(n - length + 1), side="right") - 1
-    ok = np.arange(n - length + 1) + length <= off[doc + 1]
-    start, doc, anchor = np.flatnonzero(ok), doc[ok], anchor[ok]
+    start = np.flatnonzero(np.arange(n - length + 1) + length <= off[doc + 1])
     if not len(start):
         return none, none.view(np.uint64), none, none, none
-    value = h[anchor]
+    doc = doc[start]
+    value, moved = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+    moved[1:] = False
+    for k in range(functions):
+        low = h if k == 0 else tk.mix(h ^ np.uint64(k * 0x2545F4914F6CDD1D % 2**64))
+        low = (low >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+        width, window = 1, length - q + 1
+        while width < window:
+            step = min(width, window - width)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            width += step
+        anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[start]
+        value = h[anchor] if functions == 1 else tk.mix(value ^ h[anchor]) + np.uint64(k)
+        moved[1:] |= anchor[1:] != anchor[:-1]
     new = np.ones(len(start), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    moved = np.ones(len(start), np.int64)
-    moved[1:] = anchor[1:] != anchor[:-1]
-    merged = np.add.reduceat(moved, first)
+    merged = np.add.reduceat((moved | new).astype(np.int64), first)
     last = np.append(first[1:], len(start)) - 1
     base = off[doc[first]]
     return doc[first], value[first], start[first] - base, start[last] - base + 1, merged
@@ -199,6 +208,7 @@ def _shard(parts: list[pa.Table], length: int) -> tuple[list, list[pa.RecordBatc
     lead_row = np.full(len(texts), len(kind), np.int64)
     np.minimum.at(lead_row, kind, np.arange(len(kind)))
     size = np.array([len(x) for x in texts], np.int64)
+    asks = table.column("open").to_numpy(zero_copy_only=False)
     covered: list[list[tuple[int, int]]] = [_runs(np.arange(n - length + 1), length) if k > 1 else [] for n, k in zip(size.tolist(), times.tolist(), strict=True)]
     # equal segments cover each other; an anchor with a single text, not periodic, has no other equal strings
     _, group, texts_of = np.unique(anchor[lead_row], return_inverse=True, return_counts=True)
@@ -220,7 +230,7 @@ def _shard(parts: list[pa.Table], length: int) -> tuple[list, list[pa.RecordBatc
     for s, k in enumerate(use.tolist()):
         if times[k] == 1:
             covered[k] = _runs(np.flatnonzero(hit[first[s] : first[s] + size[k]]), length)
-    runs = [(r, a + p, b + p) for r, p, k in zip(rid.tolist(), lo.tolist(), kind.tolist(), strict=True) for a, b in covered[k]]
+    runs = [(r, a + p, b + p) for r, p, k, ask in zip(rid.tolist(), lo.tolist(), kind.tolist(), asks.tolist(), strict=True) if ask for a, b in covered[k]]
     digests = []
     if divided.any():
         own = divided[use]
@@ -229,28 +239,78 @@ def _shard(parts: list[pa.Table], length: int) -> tuple[list, list[pa.RecordBatc
         row = lead_row[k]
         h = tk.signed(tk.span_hash(tk.prefix_hash(text), start, start + length))
         at = start - first[seg[start]] + lo[row]
-        alone = ~hit[start] & (times[k] == 1)
+        alone = ~hit[start] & (times[k] == 1) & asks[row]
         digests.append(pa.record_batch([pa.array(rid[row]), pa.array(at), pa.array(at + length), pa.array(h), pa.array(alone)], names=["rid", "lo", "hi", "digest", "open"]))
     return runs, digests
 
 
-def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(rid, lo, hi): byte runs of documents (rid, text) that strings of ``length`` bytes starting elsewhere too cover; they may overlap."""
+_PIECE = "anchor long, digest binary, rid long, lo long, hi long, merged long, open boolean"
+_NAMES = ["anchor", "digest", "rid", "lo", "hi", "merged", "open"]
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    view = memoryview(data)
+    return pa.array([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+
+
+def _cut_again(batches: Iterator[pa.RecordBatch], length: int, q: int, functions: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the given stretches (text, parts) by the anchors of more hash functions."""
+    for b in batches:
+        for i in range(b.num_rows):
+            raw = np.frombuffer(b.column(1)[i].as_buffer(), np.uint8)
+            parts = b.column(2)[i].as_py()
+            for at in range(0, len(parts), 1024):
+                some = parts[at : at + 1024]
+                data = np.concatenate([raw[p["lo"] : p["hi"] + length - 1] for p in some])
+                off = np.concatenate([[0], np.cumsum([p["hi"] - p["lo"] + length - 1 for p in some])])
+                d, h, s, e, m = stretches(data, off, length, q, functions)
+                base = np.array([p["lo"] for p in some])[d]
+                ask = np.array([p["open"] for p in some])[d]
+                yield pa.record_batch([pa.array(tk.signed(h.copy())), _digests(data, off[d] + s, off[d] + e + length - 1), pa.array(np.full(len(d), b.column(0)[i].as_py())), pa.array(s + base), pa.array(e + base), pa.array(m), pa.array(ask)], names=_NAMES)
+
+
+def _levels(source: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Runs (rid, lo, hi) of stretches that another one equals, and the different stretches of each anchor that are to be sorted."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rids = b.column(0).to_numpy()
             for lo, _, data, off in tk.slices(b.column(1)):
                 d, h, s, e, m = stretches(data, off, length, q)
-                yield pa.record_batch([pa.array(tk.signed(h.copy())), pa.array(rids[lo + d]), pa.array(s), pa.array(e), pa.array(m)], names=["anchor", "rid", "lo", "hi", "merged"])
+                yield pa.record_batch([pa.array(tk.signed(h.copy())), _digests(data, off[d] + s, off[d] + e + length - 1), pa.array(rids[lo + d]), pa.array(s), pa.array(e), pa.array(m), pa.array(np.ones(len(d), bool))], names=_NAMES)
+
+    spark = source.sparkSession
+    pieces, covered, queued = cut(source.mapInArrow(cut_up, _PIECE)), None, None
+    for level in range(LEVELS + 1):
+        kinds = cut(pieces.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "hi", "merged", "open")).alias("first"), F.max("open").alias("asks")))
+        release(spark)
+        again = kinds.where("copies > 1 and asks").select("anchor", "digest")
+        equal = pieces.where("open").join(again, ["anchor", "digest"]).select("rid", "lo", (F.col("hi") + length - 1).alias("hi"))
+        one = kinds.select("anchor", "first.rid", "first.lo", "first.hi", "first.merged", (F.col("first.open") & (F.col("copies") == 1)).alias("open"))
+        size = one.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo") + length).alias("size"), F.max("merged").alias("most"), F.max("open").alias("some"))
+        wanted = size.where("some and (kinds > 1 or most > 1)").select("anchor", F.ceil(F.col("size") / SHARD).cast("int").alias("shards"))
+        equal, one = cut(equal), cut(one.join(wanted, "anchor"))
+        discard(pieces, kinds)
+        release(spark)
+        large = one.where("shards > 1" if level < LEVELS else "false")
+        covered = equal if covered is None else covered.union(equal)
+        rest = one.where("shards = 1") if level < LEVELS else one
+        queued = rest if queued is None else queued.union(rest)
+        if not large.limit(1).count():
+            break
+        parts = large.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("parts"))
+        functions = 1 + FURTHER * (level + 1)
+        pieces = cut(source.join(parts, "rid").select("rid", "text", "parts").mapInArrow(lambda b, f=functions: _cut_again(b, length, q, f), _PIECE))
+    return covered, queued
+
 
-    pieces = source.mapInArrow(cut_up, "anchor long, rid long, lo long, hi long, merged long")
-    size = F.sum(F.col("hi") - F.col("lo") + length)
-    shared = cut(pieces.groupBy("anchor").agg(F.sum("merged").alias("times"), size.alias("size")).where("times > 1").select("anchor", F.ceil(F.col("size") / SHARD).cast("int").alias("shards")))
-    wanted = pieces.join(shared, "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "shards", "merged")).alias("parts"))
+def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """(rid, lo, hi): byte runs of documents (rid, text) that strings of ``length`` bytes starting elsewhere too cover; they may overlap."""
+    covered, queued = _levels(source, length, q)
+    wanted = queued.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "shards", "merged", "open")).alias("parts"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "shards", "shard", "rid", "lo", "bytes", "merged"]
+        names = ["anchor", "shards", "shard", "rid", "lo", "bytes", "merged", "open"]
         for b in batches:
             rows: list[list] = [[] for _ in names]
             held = 0
@@ -261,7 +321,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
                     spread = int(tk.mix(np.array([rid & (2**63 - 1)], np.uint64) + np.uint64(p["lo"]))[0] % np.uint64(p["shards"])) if p["shards"] > 1 else 0
                     for lo in range(p["lo"], p["hi"], length):  # periodic stretches are long; each part keeps its starts whole
                         value = raw[lo : min(lo + length, p["hi"]) + length - 1]
-                        for k, x in enumerate((p["anchor"], p["shards"], spread, rid, lo, value, p["merged"])):
+                        for k, x in enumerate((p["anchor"], p["shards"], spread, rid, lo, value, p["merged"], p["open"])):
                             rows[k].append(x)
                         held += len(value)
                 if held > 16 << 20:
@@ -269,7 +329,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
                     rows, held = [[] for _ in names], 0
             yield _segments(rows, names)
 
-    segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary, merged long")
+    segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary, merged long, open boolean")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -277,6 +337,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
 
     keys = ["anchor", "shard"]
     sorted_ = cut(segments.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sort, _OUT))
+    release(source.sparkSession)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts, as yet without a partner, whose digest another shard has: each is looked up in the sorted digests."""
@@ -293,11 +354,11 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
 
     digests = sorted_.where("digest is not null").select("rid", "lo", "hi", "digest", "open")
     merged = digests.repartition("digest").sortWithinPartitions("digest").mapInArrow(merge, "rid long, lo long, hi long")
-    return sorted_.where("digest is null").select("rid", "lo", "hi").unionByName(merged)
+    return sorted_.where("digest is null").select("rid", "lo", "hi").unionByName(merged).unionByName(covered)
 
 
 def _segments(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=names)
 
 
