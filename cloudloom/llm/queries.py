@@ -56,10 +56,32 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-_KNOWN_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.SQL_KNOWN)
+_text = lambda t: "'" + t.replace("'", "''") + "'"
+_KNOWN_SQL = f"""known AS (SELECT digest, min(n) AS license FROM (
+  SELECT sha256({licenses.canonical_sql("t")}) AS digest, n FROM (VALUES {", ".join(f"('{n}', {_text(t)})" for n, t in licenses.KNOWN)}) v(n, t)
+  UNION ALL SELECT digest, n FROM (VALUES {", ".join(f"('{n}', '{d}')" for n, d in licenses.DIGESTS)}) w(n, digest)) GROUP BY 1)"""
 OP2_SQL = f"""
-WITH known AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(n) AS license FROM (VALUES {_KNOWN_ROWS}) v(n, t) GROUP BY 1),
-docs AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)
+WITH {_KNOWN_SQL}, docs AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, docs.digest AS canonical_sha256, license FROM docs LEFT JOIN known USING (digest)
+"""
+
+
+def license_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document after the built-in licences in turn, as authors alter them: capitals, a copyright line, wrapping, or a text that goes on."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.pmod("doc_id", F.lit(4)).alias("form"), F.pmod("doc_id", F.lit(len(licenses.KNOWN))).alias("k"))
+    known = F.array(*[F.lit(t) for _, t in licenses.KNOWN])
+    text = F.element_at(known, (F.col("k") + 1).cast("int"))
+    head = F.concat(F.lit("Copyright (c) 2024 "), "source", F.lit("\n"))
+    forms = F.when(F.col("form") == 0, F.upper(text)).when(F.col("form") == 1, F.concat(head, text)).when(F.col("form") == 2, F.concat(F.regexp_replace(text, " ", "\n"), F.lit("\nAll rights reserved."))).otherwise(F.concat(text, F.lit(" And so on.")))
+    return licenses.scan_licenses(docs.select("doc_id", forms.alias("text")))
+
+
+LICENSE_FORMS_SQL = f"""
+WITH {_KNOWN_SQL}, forms AS (
+  SELECT doc_id, doc_id % 4 AS form, source, ([{", ".join(_text(t) for _, t in licenses.KNOWN)}])[doc_id % {len(licenses.KNOWN)} + 1] AS t FROM documents),
+made AS (SELECT doc_id, CASE form WHEN 0 THEN upper(t) WHEN 1 THEN 'Copyright (c) 2024 ' || source || chr(10) || t
+  WHEN 2 THEN replace(t, ' ', chr(10)) || chr(10) || 'All rights reserved.' ELSE t || ' And so on.' END AS text FROM forms),
+docs AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM made)
 SELECT doc_id, docs.digest AS canonical_sha256, license FROM docs LEFT JOIN known USING (digest)
 """
 
@@ -117,8 +139,8 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"license_forms": license_forms}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL, "op10_ngram_jaccard": OP10_SQL, "license_forms": LICENSE_FORMS_SQL}

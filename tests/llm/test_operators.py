@@ -679,3 +679,18 @@ def test_divided_anchors_equal_one_array(spark, monkeypatch):
         monkeypatch.setattr(suffixes, "LEVELS", levels)
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup_substrings(docs(spark, texts), 60).collect()}
         assert got == dict(enumerate(want)), (shard, levels)
+
+
+def test_long_licenses_by_digest(spark):
+    """Whole long licences in other capitals and wrapping; only where the system has their texts."""
+    import os
+    import textwrap
+
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GPL-3": "GPL-3.0"}
+    there = [f for f in names if os.path.exists(f"{folder}/{f}")]
+    raw = [open(f"{folder}/{f}").read() for f in there]
+    forms = [*raw, *[t.upper() for t in raw], *["\n\n".join(textwrap.fill(p, 50) for p in re.split(r"\n\s*\n", t)) for f, t in zip(there, raw, strict=True) if f != "GPL-3"], *[t[:-40] for t in raw]]
+    want = [names[f] for f in there] * 2 + [names[f] for f in there if f != "GPL-3"] + [None] * len(raw)
+    got = licenses.scan_licenses(docs(spark, forms)).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == want
+    assert all(re.fullmatch("[0-9a-f]{64}", d) for _, d in licenses.DIGESTS)
