@@ -316,13 +316,18 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     release(spark)
     large = met.where(F.col("rows") > SMALL).where("sid <> centre").select("sid", "centre").distinct()
     # Sets that meet under rare grams only share all of these in their prefixes, so fewer than linked sets must share rule them out.
-    few = met.where(F.col("rows") <= SMALL).select("gram", "sid", "n")
-    other = few.toDF("gram", "sid2", "n2")
+    few = met.where(F.col("rows") <= SMALL).select("gram", "sid", "n", "centre")
+    other = few.select("gram", F.col("sid").alias("sid2"), F.col("n").alias("n2"))
     size_fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    pairs = few.join(other, "gram").where("sid < sid2").where(size_fits).groupBy("sid", "sid2", "n", "n2").agg(F.count("*").alias("k"))
+    pairs = few.join(other, "gram").where("sid < sid2").where(size_fits).groupBy("sid", "sid2", "n", "n2").agg(F.countDistinct("gram").alias("k"), F.min("centre").alias("centre"))
     up = lambda num, den: F.expr(f"({num} + {den} - 1) div {den}")
     must = up(f"{percent} * (n + n2)", 100 + percent) + 1 - up(f"{percent} * greatest(n, n2)", 100)
-    met = large.union(pairs.where(F.col("k") >= must).select(F.col("sid2").alias("sid"), F.col("sid").alias("centre")))
+    pairs = cut(pairs.where(F.col("k") >= must).select("sid", "sid2", "centre"))
+    # a pair that meets in a group anyway is left to it; any other goes to the smallest centre of its grams, where it meets others like it
+    large = cut(large.union(large.select("centre", "centre")).distinct())
+    grouped_pairs = pairs.select("sid", "sid2").join(large, "sid").join(large.select(F.col("sid").alias("sid2"), "centre"), ["sid2", "centre"]).select("sid", "sid2").distinct()
+    rest = pairs.join(grouped_pairs, ["sid", "sid2"], "left_anti")
+    met = large.union(rest.select("sid", "centre")).union(rest.select("sid2", "centre"))
     met = grouped = cut(met.distinct())
     met = met.union(met.select("centre", "centre")).distinct().join(classes.select("sid", "n"), "sid")
     shares = pairs_met.groupBy("sid").agg(F.countDistinct("gram").alias("shared"))
@@ -338,8 +343,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     # the blocks of its centres go with each member, so that its text is read once
     placed = members.join(total.select("centre", nb.cast("int").alias("nb"), nf.cast("int").alias("nf")), "centre").groupBy("sid").agg(F.collect_list(F.struct("centre", "nb", "nf")).alias("places")).join(classes, "sid")
     wanted = cut(placed.select("rid", "places", F.col("places.centre").alias("centres")))
-    discard(lists, pairs_met, grouped, banded, members)
-    del placed, large, few, other, pairs
+    discard(lists, pairs_met, pairs, large, grouped, banded, members)
+    del placed, few, other, grouped_pairs, rest
     release(spark)
 
     once = source if unique else source.dropDuplicates(["rid"])
