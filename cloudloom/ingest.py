@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
+from .plans.order import cut, global_order, running_sum
+
+STRETCH = 64  # indices under which ranges are listed
 POINT = T.StructType([T.StructField("batch", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("pos", T.ArrayType(T.FloatType()))])
 EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 COO = T.StructType([T.StructField("row", T.LongType()), T.StructField("col", T.LongType()), T.StructField("weight", T.FloatType())])
@@ -35,26 +37,28 @@ def clouds(df: DataFrame, batches: int | None = None) -> DataFrame:
 
 def offsets_to_ptr(offsets: DataFrame) -> DataFrame:
     """(batch, lo, hi) from inclusive offsets (batch, hi) without a leading 0. One row per cloud."""
-    w = Window.orderBy("batch")
-    return offsets.select("batch", F.lag("hi", 1, 0).over(w).alias("lo"), "hi")
+    rows, _ = global_order(offsets.select("batch", "hi"), [F.col("batch")], "__n")
+    rows = cut(rows)
+    before = rows.select((F.col("__n") + 1).alias("__n"), F.col("hi").alias("lo"))
+    return rows.join(before, "__n", "left").select("batch", F.coalesce("lo", F.lit(0)).alias("lo"), "hi")
 
 
 def with_batch(flat: DataFrame, ptr: DataFrame) -> DataFrame:
-    """Points (idx, ...) with the batch of the range lo <= idx < hi they are in.
+    """Points (idx, ...) with the batch of the range lo <= idx < hi they are in, null in none.
 
-    The ranges are a sorted array of one entry per cloud, looked up in place, so points are not shuffled.
+    Ranges are listed under the stretches of STRETCH indices that they meet, so a point is compared with at most that many, and
+    the join is on equal stretches, whatever the number of clouds.
     """
-    rows = ptr.where("hi > lo").orderBy("lo").collect()  # one per cloud
-    los = F.array(*[F.lit(int(r["lo"])) for r in rows]) if rows else F.array().cast("array<bigint>")
-    ids = F.array(*[F.lit(int(r["batch"])) for r in rows]) if rows else F.array().cast("array<bigint>")
-    at = F.size(F.filter(los, lambda x: x <= F.col("idx")))
-    return flat.withColumn("batch", F.when(at > 0, F.get(ids, at - 1)))
+    each = F.explode(F.sequence(F.expr(f"lo div {STRETCH}"), F.expr(f"(hi - 1) div {STRETCH}")))
+    ranges = ptr.where("hi > lo").select("batch", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), each.alias("__s"))
+    points = flat.drop("batch").withColumn("__s", F.expr(f"idx div {STRETCH}"))
+    inside = (points["__s"] == ranges["__s"]) & (F.col("idx") >= F.col("__lo")) & (F.col("idx") < F.col("__hi"))
+    return points.join(ranges, inside, "left").select(*[points[c] for c in points.columns if c != "__s"], "batch")
 
 
 def ptr_of(cloud: DataFrame) -> DataFrame:
     """(batch, lo, hi) exclusive prefix sums of (batch, n); one row per cloud."""
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return cloud.withColumn("hi", F.sum("n").over(w)).select("batch", (F.col("hi") - F.col("n")).alias("lo"), "hi")
+    return running_sum(cloud.select("batch", "n"), [F.col("batch")], "n", "hi").select("batch", (F.col("hi") - F.col("n")).alias("lo"), "hi")
 
 
 def csr(coo: DataFrame, num_nodes: int) -> DataFrame:

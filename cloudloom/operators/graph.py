@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..ingest import validate
-from ..plans.order import cut, global_order
+from ..plans.order import cut, discard, global_order
 
+GREEDY = 50_000_000  # nodes and edges that one task orders
+REMAINDER = 200_000  # free edges that one task may finish
 # Multiplier, increment and modulus of the portable generator.
 A, C, M = 1103515245, 12345, 1 << 31
 
@@ -80,32 +82,32 @@ def greedy_matching(row: np.ndarray, col: np.ndarray, weight: np.ndarray | None,
     A node takes its first free neighbour, or with weights the last of the largest weight not below 0. A pair is labelled
     by its smaller node, a node without a free neighbour by itself. Self edges don't count.
     """
-    n = len(order)
-    label = np.full(n, -1, np.int64)
-    lo, hi = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), side="right")
+    label = np.full(len(order), -1, np.int64)
+    first = np.searchsorted(row, np.arange(len(order) + 1))
     for u in order.tolist():
         if label[u] >= 0:
             continue
-        best, top = u, 0.0
-        for e in range(lo[u], hi[u]):
-            v = int(col[e])
-            if v == u or label[v] >= 0:
-                continue
-            if weight is None:
-                best = v
-                break
-            if weight[e] >= top:
-                best, top = v, float(weight[e])
-        label[u] = label[best] = min(u, best)
+        near = slice(first[u], first[u + 1])
+        free = (label[col[near]] < 0) & (col[near] != u)
+        if weight is None:
+            place = np.flatnonzero(free)[:1]
+        else:
+            w = np.where(free & (weight[near] >= 0), weight[near], -1.0)
+            place = np.flatnonzero(w == w.max(initial=0.0))[-1:]
+        mate = int(col[near][place[0]]) if len(place) else u
+        label[[u, mate]] = min(u, mate)
     return label
 
 
 def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int | None = 0) -> DataFrame:
     """(node, label): greedy matching in an order drawn from a digest of (seed, node), or in node order for seed None.
 
-    The greedy order runs through the whole graph, so one task does it; ``mutual_matching`` is the distributed variant.
+    The greedy order runs through the whole graph, so one task does it, and a graph of more than GREEDY nodes and edges
+    raises: ``mutual_matching`` is the form for any size.
     """
     spark = edges.sparkSession
+    if (size := num_nodes + edges.count()) > GREEDY:
+        raise ValueError(f"{size} nodes and edges are too many for one sequential order; use mutual_matching")
     validate(edges, rows=(F.col("row") >= 0) & (F.col("row") < num_nodes), cols=(F.col("col") >= 0) & (F.col("col") < num_nodes))
     e = edges.select("row", "col", (F.col("weight") if weighted else F.lit(1.0)).cast("double").alias("w")).withColumn("kind", F.lit(1))
     rank = F.col("id") if seed is None else F.xxhash64(F.lit(seed), F.col("id"))
@@ -124,23 +126,35 @@ def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int
     return nodes.unionByName(e).coalesce(1).mapInPandas(match, "node long, label long")
 
 
-def mutual_matching(edges: DataFrame, num_nodes: int, rounds: int = 30) -> DataFrame:
-    """(node, label): rounds in which nodes that choose each other are matched; a maximal matching like the greedy one, in parallel.
+def mutual_matching(edges: DataFrame, num_nodes: int, remainder: int = REMAINDER) -> DataFrame:
+    """(node, label): a maximal matching, that which takes all edges in falling order of (weight, -min, -max) gives.
 
-    A node chooses its heaviest free neighbour, then the one with the smaller pair (min, max), which both ends see alike.
+    In rounds, nodes that choose each other are matched: a node chooses its heaviest free neighbour, then the one with the smaller
+    pair (min, max), which both ends see alike. Rounds go on until at most ``remainder`` edges are free, which one task
+    finishes in that order. A chain of rising weights longer than that takes a round for each of its edges.
     """
     spark = edges.sparkSession
-    e = edges.where("row <> col").select("row", "col", F.coalesce(F.col("weight"), F.lit(1.0)).cast("double").alias("w"))
-    e = e.union(e.select("col", "row", "w")).groupBy("row", "col").agg(F.max("w").alias("w")).where("w >= 0")
+    w = F.coalesce(F.col("weight"), F.lit(1.0)).cast("double")
+    e = edges.where("row <> col").select(F.least("row", "col").alias("a"), F.greatest("row", "col").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w")).where("w >= 0")
     free, done = cut(e), None
-    for _ in range(rounds):
-        key = F.struct(F.col("w"), (-F.least("row", "col")).alias("a"), (-F.greatest("row", "col")).alias("b"), F.col("col").alias("col"))
-        choice = free.groupBy("row").agg(F.max(key).alias("k")).select("row", F.col("k.col").alias("col"))
-        pairs = cut(choice.alias("x").join(choice.alias("y"), (F.col("x.row") == F.col("y.col")) & (F.col("x.col") == F.col("y.row"))).select(F.col("x.row").alias("node"), F.least(F.col("x.row"), F.col("x.col")).alias("label")))
-        done = pairs if done is None else done.unionByName(pairs)
-        if not pairs.limit(1).count():
-            break
-        gone = pairs.select("node")
-        free = cut(free.join(gone, free.row == gone.node, "left_anti").join(gone, F.col("col") == gone.node, "left_anti"))
-    nodes = spark.range(num_nodes).select(F.col("id").alias("node"))
-    return nodes.join(done, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    while free.count() > remainder:
+        key = F.struct("w", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+        ends = free.select(F.explode(F.array("a", "b")).alias("node"), key.alias("k"))
+        # an edge that both of its ends choose
+        pairs = cut(ends.groupBy("node").agg(F.max("k").alias("k")).groupBy((-F.col("k.x")).alias("a"), (-F.col("k.y")).alias("b")).count().where("count = 2").select("a", "b"))
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        left = cut(free.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
+        discard(free)
+        free, done = left, pairs if done is None else done.union(pairs)
+
+    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            t = pd.concat(held).sort_values(["w", "a", "b"], ascending=[False, True, True])
+            taken: set[int] = set()
+            kept = [not (a in taken or b in taken or taken.update((a, b))) for a, b in zip(t["a"].tolist(), t["b"].tolist(), strict=True)]
+            yield t.loc[kept, ["a", "b"]]
+
+    last = free.coalesce(1).mapInPandas(finish, "a long, b long")
+    matched = (last if done is None else done.union(last)).select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label"))
+    return spark.range(num_nodes).select(F.col("id").alias("node")).join(matched, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

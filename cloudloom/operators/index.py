@@ -1,4 +1,4 @@
-"""Z-ordered block index: zone maps over runs of points, exact pruned kNN and radius search."""
+"""Z-ordered index of two levels: zone maps over runs of points and over runs of blocks, exact pruned kNN and radius search."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from .knn import smallest
 from .radius import _first, ball_query
 
 BLOCK = 32
-BROADCAST_BLOCKS = 500_000  # zone-map rows of about 100 bytes
+FAN = 64  # blocks in a group, the upper level
+BROADCAST_GROUPS = 500_000  # rows of the upper level, of about 100 bytes
 
 
 def morton_keys(points: DataFrame, origin, cell_size) -> DataFrame:
@@ -56,9 +57,22 @@ def _place(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
     return placed, cut(zones), size
 
 
-def _reach(boxes: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Rows (keys, blk, n, lb, ub) whose lb is not beyond the least ub up to which blocks hold k points; all if none do."""
-    running = Window.partitionBy(*keys).orderBy("ub", "blk").rowsBetween(Window.unboundedPreceding, 0)
+def upper(zones: DataFrame) -> DataFrame:
+    """(batch, grp, n, lo, hi) of the groups of FAN blocks along the z-order."""
+    edge = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(3)])
+    return zones.groupBy("batch", F.expr(f"blk div {FAN}").alias("grp")).agg(F.sum("n").alias("n"), edge(F.min, "lo").alias("lo"), edge(F.max, "hi").alias("hi"))
+
+
+def _apart(lo: str, hi: str, qlo: str, qhi: str) -> tuple[Column, Column]:
+    """Least and greatest squared distance of the points of two boxes."""
+    gap = [F.greatest(F.col(lo)[i] - F.col(qhi)[i], F.col(qlo)[i] - F.col(hi)[i], m.flit(0)) for i in range(3)]
+    span = [F.greatest(F.abs(F.col(hi)[i] - F.col(qlo)[i]), F.abs(F.col(qhi)[i] - F.col(lo)[i])) for i in range(3)]
+    return _norm(gap), _norm(span)
+
+
+def _reach(boxes: DataFrame, keys: list[str], k: int, of: str = "blk") -> DataFrame:
+    """Rows (keys, of, n, lb, ub) whose lb is not beyond the least ub up to which blocks hold k points; all if none do."""
+    running = Window.partitionBy(*keys).orderBy("ub", of).rowsBetween(Window.unboundedPreceding, 0)
     reach = boxes.withColumn("have", F.sum("n").over(running)).withColumn("limit", F.min(F.when(F.col("have") >= k, F.col("ub"))).over(Window.partitionBy(*keys)))
     return reach.where(F.col("limit").isNull() | (F.col("lb") <= F.col("limit")))
 
@@ -67,7 +81,8 @@ def _reach(boxes: DataFrame, keys: list[str], k: int) -> DataFrame:
 class SpatialIndex:
     """Points (batch, idx, pos) in z-order, cut into blocks of up to BLOCK points with their boxes; NaN points are left out.
 
-    blocks: (batch, blk, n, lo, hi, min_idx). ``backend``: blocks, scan, or auto, which scans when points times queries are few.
+    blocks: (batch, blk, n, lo, hi, min_idx); groups: the level above. ``backend``: scan compares all pairs, blocks descends
+    the two levels, auto searches by cells (scan if points times queries are few).
     """
 
     points: DataFrame
@@ -82,27 +97,33 @@ class SpatialIndex:
         placed, zones, size = _place(points, block)
         return cls(placed, zones, size, backend)
 
-    def _zones(self) -> DataFrame:
-        return F.broadcast(self.blocks) if self.size <= BROADCAST_BLOCKS * BLOCK else self.blocks
+    @property
+    def groups(self) -> DataFrame:
+        up = upper(self.blocks)
+        return F.broadcast(up) if self.size <= BROADCAST_GROUPS * FAN * BLOCK else up
 
     def _scan(self, queries: DataFrame) -> bool:
-        return self.backend == "scan" or self.backend == "auto" and self.size * queries.count() <= 1_000_000
+        return self.backend == "scan"
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
         """(batch, q, slot, ref, dist) as the plain search gives it.
 
-        Queries are put in blocks as well. The k-th distance is bounded by the far corners of the nearest blocks that hold k points, first
-        for a block of queries, then for each query; only blocks not beyond it, ties included, are searched. Queries that are not finite
-        have no rows. Blocks of a batch are compared with each other, so the work grows with the square of their number.
+        With blocks, queries are put in blocks as well. The k-th distance is bounded by the far corners of the nearest boxes that hold k
+        points: for a block of queries over groups, over the blocks of the groups in reach, then for each query. Only what is not
+        beyond a bound, ties included, is looked into. Blocks of queries meet all groups of their batch, one for
+        FAN * BLOCK points; ``auto`` has no such product. Queries that are not finite have no rows with blocks.
         """
         if self._scan(queries):
             return brute_knn(queries, self.points, k)
+        if self.backend == "auto":
+            return brute_knn(queries.where(m.all_finite(F.col("pos"))), self.points.select("batch", "idx", "pos"), k)
         placed, zones, _ = _place(queries, BLOCK)
         asked = zones.select("batch", F.col("blk").alias("qblk"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-        boxes = asked.join(self._zones(), "batch")
-        gap = [F.greatest(F.col("lo")[i] - F.col("qhi")[i], F.col("qlo")[i] - F.col("hi")[i], m.flit(0)) for i in range(3)]
-        span = [F.greatest(F.abs(F.col("hi")[i] - F.col("qlo")[i]), F.abs(F.col("qhi")[i] - F.col("lo")[i])) for i in range(3)]
-        boxes = boxes.select("batch", "qblk", "blk", "n", "lo", "hi", _norm(gap).alias("lb"), _norm(span).alias("ub"))
+        near, far = _apart("lo", "hi", "qlo", "qhi")
+        groups = asked.join(self.groups, "batch").select("batch", "qblk", "qlo", "qhi", "grp", "n", near.alias("lb"), far.alias("ub"))
+        groups = _reach(groups, ["batch", "qblk"], k, "grp").select("batch", "qblk", "qlo", "qhi", "grp")
+        leaves = self.blocks.withColumn("grp", F.expr(f"blk div {FAN}"))
+        boxes = groups.join(leaves, ["batch", "grp"]).select("batch", "qblk", "blk", "n", "lo", "hi", near.alias("lb"), far.alias("ub"))
         boxes = _reach(boxes, ["batch", "qblk"], k).select("batch", "qblk", "blk", "n", "lo", "hi")
         q = placed.select("batch", F.col("blk").alias("qblk"), F.col("idx").alias("q"), F.col("pos").alias("qpos"))
         near, far = bounds(F.col("qpos"))
@@ -113,14 +134,22 @@ class SpatialIndex:
         return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
     def ball_query(self, queries: DataFrame, radius: float, k: int) -> DataFrame:
-        """(batch, q, slot, ref, dist2) as the plain search gives it, over blocks within the radius."""
+        """(batch, q, slot, ref, dist2) as the plain search gives it, by cells, or over the groups and blocks within the radius."""
         m.check_radius(radius, k)
         if self._scan(queries):
             return ball_query(queries, self.points, radius, k)
+        if self.backend == "auto":
+            return ball_query(queries, self.points, radius, k)
         limit = m.flit(m.dense_threshold(radius))
-        q = queries.select("batch", F.col("idx").alias("q"), F.col("pos").alias("qpos")).where(m.all_finite(F.col("qpos")))
+        placed, zones, _ = _place(queries, BLOCK)
+        asked = zones.select("batch", F.col("blk").alias("qblk"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
+        gap, _ = _apart("lo", "hi", "qlo", "qhi")
+        groups = asked.join(self.groups, "batch").where(gap < limit).select("batch", "qblk", "qlo", "qhi", "grp")
+        leaves = self.blocks.withColumn("grp", F.expr(f"blk div {FAN}"))
+        boxes = groups.join(leaves, ["batch", "grp"]).where(gap < limit).select("batch", "qblk", "blk", "lo", "hi")
+        q = placed.select("batch", F.col("blk").alias("qblk"), F.col("idx").alias("q"), F.col("pos").alias("qpos"))
         near, _ = bounds(F.col("qpos"))
-        kept = q.join(self._zones(), "batch").where(near < limit).select("batch", "q", "qpos", "blk")
+        kept = q.join(boxes, ["batch", "qblk"]).where(near < limit).select("batch", "q", "qpos", "blk")
         r = self.points.select("batch", "blk", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
         found = kept.join(r, ["batch", "blk"]).select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), 3).alias("dist2")).where(F.col("dist2") < limit)
         return _first(found, k).select("batch", "q", "slot", "ref", "dist2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
+from .pruned import candidates
 
 CEILING = 1e10  # squared distances from here on count as missing in the offset interface
 MISSING = 1e5
@@ -16,13 +17,6 @@ UNROLLED = 8  # dimensions up to which distances are generated code; wider vecto
 CELL = 2_000  # rows of either side in a block
 
 
-def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFrame:
-    """(batch, q, ref, d) of all points of equal batches."""
-    q = query.select("batch", F.col("idx").alias("q"), F.col("pos").alias("qpos"))
-    r = ref.select("batch", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
-    return q.join(r, "batch").select("batch", "q", "ref", distance(F.col("qpos"), F.col("rpos"), dim).alias("d"))
-
-
 def smallest(candidates: DataFrame, k: int) -> DataFrame:
     """(batch, q, slot, ref, d) of the k smallest (d, ref) of each query; Spark prunes before and after the shuffle."""
     w = Window.partitionBy("batch", "q").orderBy("d", "ref")
@@ -75,7 +69,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, drop_nonfinite:
     drop what is not finite. NaN never ranks.
     """
     m.check_count(k)
-    found = _blocked(query, ref, k) if dim > UNROLLED else pairs(query, ref, dim).where(m.finite(F.col("d")) if drop_nonfinite or dim != 3 else ~F.isnan("d"))
+    only_finite = drop_nonfinite or dim != 3
+    found = _blocked(query, ref, k) if dim > UNROLLED else candidates(query, ref, k, dim, infinite=not only_finite).where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
     return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
 
@@ -112,7 +107,7 @@ def padded(query: DataFrame, found: DataFrame, k: int, values: dict[str, Column]
 
 def offset_knn(query: DataFrame, ref: DataFrame, nsample: int, dim: int = 3) -> DataFrame:
     """(batch, q, slot, ref INT, dist) with nsample slots; missing or at squared distance 1e10 and beyond is (-1, 1e5)."""
-    found = smallest(pairs(query, ref, dim).where(F.col("d") < CEILING), nsample)
+    found = smallest(candidates(query, ref, nsample, dim, infinite=False).where(F.col("d") < CEILING), nsample)
     found = found.select("batch", "q", "slot", F.col("ref").cast("int").alias("ref"), m.root(F.col("d")).alias("dist"))
     return padded(query, found, nsample, {"ref": F.lit(-1), "dist": m.flit(MISSING)})
 
@@ -135,7 +130,7 @@ def nearest(x: DataFrame, y: DataFrame, dim: int = 3) -> DataFrame:
     if bx.join(by, "batch", "left_anti").limit(1).count() or by.join(bx, "batch", "left_anti").limit(1).count():
         raise ValueError("x and y must occupy the same batches")
     base = y.groupBy("batch").agg(F.min("idx").alias("first"))
-    found = pairs(x, y, dim).where((F.col("d") < m.FLOAT_MAX_KEY) & ~F.isnan("d")).join(F.broadcast(base), "batch") if base.count() <= 100_000 else pairs(x, y, dim).where((F.col("d") < m.FLOAT_MAX_KEY) & ~F.isnan("d")).join(base, "batch")
+    found = candidates(x, y, 1, dim, keep_ties=True, infinite=False).where((F.col("d") < m.FLOAT_MAX_KEY) & ~F.isnan("d")).join(base, "batch")
     local = F.col("ref") - F.col("first")
     best = found.groupBy("q").agg(F.min(F.struct("d", (local % 1024).alias("lane"), local.alias("local"), F.col("ref").alias("ref"))).alias("b"))
     return x.select(F.col("idx").alias("q")).join(best, "q", "left").select(F.col("q").alias("idx"), F.coalesce("b.ref", F.lit(0)).alias("nearest"))
@@ -145,5 +140,5 @@ def first_minimum(query: DataFrame, ref: DataFrame, dim: int = 3, norm: int = 2)
     """(batch, q, ref, d): nearest reference under squared L2 or L1, smallest index on ties; -1 and 0 in an empty reference cloud."""
     if norm not in (1, 2):
         raise ValueError("norm must be 1 or 2")
-    best = pairs(query, ref, dim, m.d2 if norm == 2 else m.l1).groupBy("batch", "q").agg(F.min(F.struct("d", "ref")).alias("b"))
+    best = candidates(query, ref, 1, dim, norm).groupBy("batch", "q").agg(F.min(F.struct("d", "ref")).alias("b"))
     return query.select("batch", F.col("idx").alias("q")).join(best, ["batch", "q"], "left").select("batch", "q", F.coalesce("b.ref", F.lit(-1)).alias("ref"), F.coalesce("b.d", m.flit(0)).alias("d"))

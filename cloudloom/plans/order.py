@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +66,20 @@ def global_order(df: DataFrame, keys: Sequence[Column], name: str = "row_number"
         .withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND((1 << 33) - 1))
     )
     return out.drop("__at", "__part", "__offset"), total
+
+
+def running_sum(df: DataFrame, keys: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the inclusive sum of ``value`` up to each row in the order of ``keys``, which part all rows: partition sums and offsets."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = fixed(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    sums = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).agg(F.sum(value)).collect()}  # one row per partition
+    offsets, total = [], 0
+    for p in sorted(sums):
+        offsets.append((p, total))
+        total += sums[p] or 0
+    table = spark.createDataFrame(offsets, "__part long, __offset long")
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    out = ordered.withColumn("__part", part).withColumn(name, F.sum(value).over(own)).join(F.broadcast(table), "__part")
+    return out.withColumn(name, F.col(name) + F.col("__offset")).drop("__at", "__part", "__offset")

@@ -64,7 +64,13 @@ def feature_knn(spark, d):
 @query("knn_events", f"WITH {CLOUD} SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('cloud', 'cloud', 8)})")
 def knn_events(spark, d):
     cloud = t.events_cloud(spark, d)
-    return index.SpatialIndex.build(cloud, "blocks").knn(cloud, 8)
+    return index.SpatialIndex.build(cloud).knn(cloud, 8)
+
+
+@query("bvh_knn", f"WITH {CELLS} SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('cells', 'cells', 4)})")
+def bvh_knn(spark, d):
+    cells = cut(t.cell_cloud(t.events_cloud(spark, d)))
+    return index.SpatialIndex.build(cells, "blocks").knn(cells, 4)
 
 
 @query("knn_cells", f"WITH {CELLS} SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('cells', 'cloud', 8)})")
@@ -438,7 +444,7 @@ def point_group(spark: SparkSession, d: str, centres: int = 32, k: int = 16) ->
     cloud = t.events_cloud(spark, d)
     picked = cut(sampling.furthest_point_sample(cloud, centres).distinct())
     at = picked.join(cloud.select("batch", "idx", "pos"), ["batch", "idx"]).select("batch", F.col("slot").cast("long").alias("idx"), "pos")
-    found = index.SpatialIndex.build(cloud, "blocks").knn(at, k)
+    found = index.SpatialIndex.build(cloud).knn(at, k)
     out = gather.grouping(found.drop("dist"), cloud.select("batch", "idx", "feat"), cloud, at, 2)
     return out.select("batch", "q", "slot", "ref", *[F.col("feat")[i].alias(c) for i, c in enumerate(("x", "y", "z", "f0", "f1"))])
 
