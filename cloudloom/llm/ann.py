@@ -2,7 +2,8 @@
 
 A bounded sample gives a neighbour graph; the graph is cut into balanced parts with few cut edges, and a softmax classifier learns
 which part a vector's neighbours are in. Every row is indexed under its most probable part, and a query is routed to the
-several most probable ones, where it is compared exactly.
+several most probable ones, where it is compared exactly. The number of parts grows with the rows; how many of them a
+query is routed to follows from the sample, where the share of true neighbours that each number would find is known.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import Window
 
 from .common import cut
 
-PARTS = 16
-PROBES = 12
+PARTS, MOST_PARTS = 16, 256  # parts of a small table and of any
+PART_ROOT = 14  # about the square root of the rows by this, as a power of two
+TARGET = 0.96  # share of the sample's neighbours that the routed parts must hold
 SAMPLE_ROWS = 8_000  # vectors that fit the index: the distinct ones with the smallest digests
 NEIGHBOURS = 10
 CELL_ROWS = 4_000  # rows or queries that a task compares at once
@@ -142,18 +144,35 @@ def fit_router(sample: np.ndarray, parts: int = PARTS) -> Router:
     return Router.fit(sample, target / target.sum(1, keepdims=True))
 
 
+def probes_needed(router: Router, sample: np.ndarray, target: float = TARGET) -> int:
+    """Parts to look into so that ``target`` of the sample's neighbours are there; their own part is the one they are indexed under.
+
+    Neighbours in a sample are farther apart than in the whole table, so this asks for more rather than fewer.
+    """
+    ranked = router.ranked(sample)
+    asked = np.arange(0, len(sample), max(1, len(sample) // 1000))
+    graph = neighbour_graph(sample, NEIGHBOURS)[asked]
+    if not graph.size:
+        return ranked.shape[1]
+    place = np.argsort(ranked[asked], axis=1)  # of each part in a query's ranking
+    at = np.take_along_axis(place, ranked[graph.ravel(), 0].reshape(graph.shape), axis=1)
+    found = np.cumsum(np.bincount(at.ravel(), minlength=ranked.shape[1])) / at.size
+    return int(np.searchsorted(found, target)) + 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTS, probes: int = PROBES, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int | None = None, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by ``every`` its k nearest other rows found: query_id, rank, vec_id, score.
 
     The score is the Euclidean distance in double precision of the original vectors; ties go to the smaller id. Vectors that are null,
     zero, or hold null or non-finite components, rows with a null id, and vectors of another length than most of the
     sample, take no part. Of a vector that many rows repeat, each cell keeps the k+1 smallest ids, which is all that
-    can be among the k nearest. Repeated ids are rows of their own, but a query does not find its own id. With
+    can be among the k nearest. Repeated ids are rows of their own, but a query does not find its own id. ``parts`` is by
+    default a power of two that grows with the square root of the rows, ``probes`` what the sample shows to be needed; with
     ``probes`` equal to ``parts`` the search is exact. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -163,9 +182,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTS
     if not picked:
         return spark.createDataFrame([], schema)
     width = int(np.bincount([len(v) for v in picked]).argmax())
-    parts = min(parts, len(picked))
-    probes = min(probes, parts)
-    sent = spark.sparkContext.broadcast(fit_router(np.array([v for v in picked if len(v) == width]), parts))
+    sample = np.array([v for v in picked if len(v) == width])
+    if parts is None:
+        parts = int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(rows.count()) / PART_ROOT))), PARTS, MOST_PARTS))
+    parts = min(parts, len(sample))
+    router = fit_router(sample, parts)
+    probes = min(probes_needed(router, sample) if probes is None else probes, parts)
+    sent = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
