@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+_RECORDS: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a temporary one."""
@@ -26,17 +29,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _RECORDS:
+        made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of all tables that are cut within, for a caller who knows when what reads them is done."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the tables behind results of ``cut``; only once all that is read from them has been cut again."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._cut_path)
 
 
 def fixed(df: DataFrame) -> DataFrame:
