@@ -216,8 +216,8 @@ def test_leaks(spark, monkeypatch):
             want[k] = i
         texts.append(" ".join(body))
     df = docs(spark, texts)
-    for size in (decontaminate.BLOCK_BYTES, 300):  # one block, and several
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for size in (decontaminate.BROADCAST_BYTES, 300):  # sent, and joined
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
         got = {r["doc_id"]: r["item_id"] for r in decontaminate.find_leaks(df, bench).collect()}
         assert got == want
         kept = {r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()}
@@ -426,6 +426,51 @@ def test_passage_in_parts_of_other_owners(spark, edits):
         assert got[k, o] == (lo, hi) or edits and got[k, o][0] == lo and hi - got[k, o][1] <= 5  # an edit and up to four words after it score below 0
 
 
+def every_pair(texts):
+    """Words of each document in passages that it shares with an earlier one, by chaining all seeds of all pairs."""
+    hashed = []
+    for t in texts:
+        data, off = tk.text_buffer(pa.array([t]))
+        w = tk.words(data, off, loose=True)
+        h, _, p = tk.grams(w, substrings.K)
+        pick = substrings.minimisers(h, np.array([0, len(h)]), substrings.WINDOW)
+        hashed.append((w.hash, h[pick], p[pick]))
+    out = defaultdict(set)
+    for i, (a, ga, pa_) in enumerate(hashed):
+        for b, gb, pb in hashed[:i]:
+            x, y = np.nonzero(ga[:, None] == gb[None, :])
+            if len(x) < substrings.MIN_SEEDS:
+                continue
+            for c in substrings.chains(substrings.blocks(pa_[x], pb[y])):
+                lo, olo = max(0, int(c[0, 0]) - substrings.PAD), max(0, int(c[0, 1]) - substrings.PAD)
+                hi, ohi = int(c[-1, 2]) + substrings.PAD, int(c[-1, 1] + c[-1, 2] - c[-1, 0]) + substrings.PAD
+                for s, e, _ in substrings.runs(substrings.align(a[lo:hi], b[olo:ohi], c[:, :3] - np.array([lo, olo, lo]))):
+                    out[i] |= set(range(lo + s, lo + e))
+    return out
+
+
+def test_passages_against_all_pairs(spark):
+    """Texts of shared phrases and edited passages: at least nine tenths of the words that chaining all pairs covers."""
+    rng = random.Random(31)
+    phrases = [words(rng, rng.randrange(8, 30), 10**6) for _ in range(25)]
+    passages = [sum((rng.choice(phrases) + words(rng, rng.randrange(4), 10**6) for _ in range(4)), []) for _ in range(12)]
+    texts = []
+    for _ in range(70):
+        body = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(passages) if rng.random() < 0.6 else rng.choice(phrases)
+            body += words(rng, rng.randrange(10, 40), 10**6) + [w if rng.random() > 0.06 else f"e{rng.randrange(10**6)}" for w in p]
+        texts.append(" ".join(body))
+    want, got = every_pair(texts), defaultdict(set)
+    rows = substrings.find_passages(docs(spark, texts)).collect()
+    for r in rows:
+        got[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
+    total, found = sum(map(len, want.values())), sum(len(want[i] & got[i]) for i in want)
+    print("words covered", found, "of", total)
+    assert total > 1000 and found >= 0.9 * total
+    assert len(rows) == len(set(map(tuple, rows)))
+
+
 def test_runs_near_each_other():
     """Two passages 11 to 20 words apart are both reported, once each; any stretch is what its definition says."""
     for gap in range(11, 21):

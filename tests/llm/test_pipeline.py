@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from cloudloom.llm.common import cut
 
 
 def texts(rng, n):
@@ -38,7 +39,23 @@ def test_stages(spark, tmp_path):
     assert seen["ngram_jaccard"] == seen["substring_dedup"]
     assert seen["substring_dedup"] - seen["decontamination"] == {304}
     assert seen["packing"] == seen["decontamination"]
-    cut = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/substring_dedup").collect()}
-    assert passage in cut[302] and len(cut[303].split()) <= 56
+    passages = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/substring_dedup").collect()}
+    assert passage in passages[302] and len(passages[303].split()) <= 56
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert {tuple(r) for r in ran.collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Null, empty and repeated rows pass every stage that keeps documents, with the columns of documents."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (None, "a b c"), (None, None), (5, "x " * 3000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert docs.count() == len(rows), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 4, 5, None}
+    nothing = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0, name
