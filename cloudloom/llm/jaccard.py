@@ -26,10 +26,10 @@ from . import textkit as tk
 from .common import components, cut, discard, groups, keyed, release
 from .common import rid as key_of
 
-HOT_DF = 4  # a gram in so many different texts of one stretch of a partition may go to the end of the order
-STRETCH = 2_000_000  # grams in such a stretch
-HOT_GRAMS = 2_000_000  # grams at the end of the order, the most frequent ones; any choice is right
-BITS = 25  # of the table that marks them, 4 MB
+OFTEN = 2  # uses of a gram by different texts of one stretch of a partition from which they are counted
+STRETCH = 4_000_000  # grams in such a stretch
+HOT_DF, HOT_GRAMS = 8, 8_000_000  # counted uses from which a gram goes to the end of the order, and how many at most, the most frequent ones; any choice is right
+BITS = 27  # of the table that marks them, 16 MB
 SMALL = 8  # sets with a gram up to which they meet as pairs, and not in a group
 COLUMNS = 2048  # grams of a fragment that are counted together
 BLOCK, FULL = 1024, 1_000_000  # sets in a block, grams of two blocks in a fragment
@@ -268,7 +268,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
 
         def frequent() -> pa.RecordBatch:
             gram, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= HOT_DF
+            often = times >= OFTEN
             held.clear()
             return pa.record_batch([pa.nulls(int(often.sum()), pa.int64()), pa.array(times[often]), pa.array(tk.signed(gram[often]))], names=["rid", "n", "sid"])
 
@@ -284,10 +284,11 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
             yield frequent()
 
     surveyed = cut(source.mapInArrow(survey, "rid long, n long, sid long"))
-    often = surveyed.where("rid is null").groupBy("sid").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "sid").limit(HOT_GRAMS)
-    marks = np.zeros(1 << BITS, bool)
-    marks[(often.select("sid").toArrow().column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True  # at most HOT_GRAMS
-    table = spark.sparkContext.broadcast(np.packbits(marks))
+    often = surveyed.where("rid is null").groupBy("sid").agg(F.sum("n").alias("times")).where(F.col("times") >= HOT_DF).orderBy(F.desc("times"), "sid").limit(HOT_GRAMS)
+    place = often.select(F.shiftrightunsigned("sid", 64 - BITS).cast("int").alias("at")).toArrow().column(0).to_numpy()  # at most HOT_GRAMS
+    marks = np.zeros(1 << (BITS - 3), np.uint8)
+    np.bitwise_or.at(marks, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+    table = spark.sparkContext.broadcast(marks)
     texts = surveyed.where("rid is not null")
     classes = cut(texts.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("rid")))
 
