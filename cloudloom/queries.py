@@ -439,6 +439,17 @@ def fps_ratio(spark, d):
     return sampling.ratio_fps(t.events_cloud(spark, d), 0.01)
 
 
+@query("fps_offset", _fps_sql("(f.batch + 6)").replace("ids[pick] AS idx", "ids[pick]::INT AS idx"))
+def fps_offset(spark, d):
+    cloud = t.events_cloud(spark, d)
+    return sampling.offset_fps(cloud, cloud.select("batch").distinct().withColumn("m", F.col("batch") + 6))
+
+
+@query("fps_distributed", _fps_sql("8").replace(CLOUD, CELLS).replace("FROM cloud GROUP BY 1", "FROM cells GROUP BY 1"))
+def fps_distributed(spark, d):
+    return sampling.distributed(cut(t.cell_cloud(t.events_cloud(spark, d))), 8)
+
+
 def point_group(spark: SparkSession, d: str, centres: int = 32, k: int = 16) -> DataFrame:
     """Group pipeline: farthest points, their positions, the k nearest points of each, positions relative to the centre."""
     cloud = t.events_cloud(spark, d)
@@ -449,7 +460,9 @@ def point_group(spark: SparkSession, d: str, centres: int = 32, k: int = 16) ->
     return out.select("batch", "q", "slot", "ref", *[F.col("feat")[i].alias(c) for i, c in enumerate(("x", "y", "z", "f0", "f1"))])
 
 
-@query("point_group_pipeline")
+@query("point_group_pipeline", f"""WITH picked AS (SELECT DISTINCT batch, slot, idx FROM ({_fps_sql("32")})), {CLOUD}, at_ AS (SELECT p.batch, p.slot AS idx, c.x, c.y, c.z FROM picked p JOIN cloud c USING (batch, idx)),
+ near AS ({top('at_', 'cloud', 16)})
+ SELECT n.batch, n.q, n.slot, n.ref, r.x - a.x AS x, r.y - a.y AS y, r.z - a.z AS z, r.f0, r.f1 FROM near n JOIN at_ a ON a.batch = n.batch AND a.idx = n.q JOIN cloud r ON r.batch = n.batch AND r.idx = n.ref""")
 def point_group_pipeline(spark, d):
     return point_group(spark, d)
 
@@ -589,7 +602,21 @@ def random_walk_uniform(spark, d):
     return graph.random_walk(t.parts_graph(spark, d), _starts(spark, d), 6)
 
 
-@query("random_walk_biased")
+def _biased_sql(steps: int) -> str:
+    """Walks with p = 2 and q = 4, a step after the other: the weights 1/2, 1 and 1/4 and their running sums are exact."""
+    parts = ["w0 AS (SELECT p_partkey AS walk_id, p_partkey * 2 AS node, NULL::BIGINT AS edge_id, NULL::BIGINT AS prev FROM part)",
+             f"w1 AS (SELECT walk_id, coalesce(e.c, node) AS node, coalesce(e.edge_id, -1) AS edge_id, node AS prev FROM (SELECT w0.*, least(floor({_u_sql('1')} * dg.degree), dg.degree - 1)::BIGINT AS k FROM w0 LEFT JOIN (SELECT DISTINCT r, degree FROM e) dg ON dg.r = node) s LEFT JOIN e ON e.r = node AND e.rn = k)"]
+    for t_ in range(2, steps + 1):
+        parts += [
+            f"c{t_} AS (SELECT w.walk_id, e.rn, e.c AS nxt, e.edge_id, CASE WHEN e.c = w.prev THEN 0.5 WHEN b.r IS NOT NULL THEN 1 ELSE 0.25 END::DOUBLE AS wt FROM w{t_ - 1} w JOIN e ON e.r = w.node LEFT JOIN (SELECT DISTINCT r, c FROM e) b ON b.r = e.c AND b.c = w.prev)",
+            f"d{t_} AS (SELECT *, sum(wt) OVER (PARTITION BY walk_id ORDER BY rn) AS cum, sum(wt) OVER (PARTITION BY walk_id) AS total, max(rn) OVER (PARTITION BY walk_id) AS last FROM c{t_})",
+            f"k{t_} AS (SELECT walk_id, min(rn) AS rn FROM d{t_} WHERE cum > {_u_sql(str(t_))} * total OR rn = last GROUP BY 1)",
+            f"w{t_} AS (SELECT w.walk_id, coalesce(d.nxt, w.node) AS node, coalesce(d.edge_id, -1) AS edge_id, w.node AS prev FROM w{t_ - 1} w LEFT JOIN (SELECT d.* FROM d{t_} d JOIN k{t_} USING (walk_id, rn)) d ON d.walk_id = w.walk_id)",
+        ]
+    return f"WITH {_EDGES}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT walk_id, {i} AS step, node, edge_id FROM w{i}" for i in range(steps + 1))
+
+
+@query("random_walk_biased", _biased_sql(4))
 def random_walk_biased(spark, d):
     return graph.random_walk(t.parts_graph(spark, d), _starts(spark, d), 4, p=2.0, q=4.0)
 
