@@ -246,6 +246,7 @@ def _shard(parts: list[pa.Table], length: int) -> tuple[list, list[pa.RecordBatc
 
 _PIECE = "anchor long, digest binary, rid long, lo long, hi long, merged long, open boolean"
 _NAMES = ["anchor", "digest", "rid", "lo", "hi", "merged", "open"]
+_STRETCH = "rid long, lo long, hi long, open boolean, bytes binary"
 
 
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -253,20 +254,29 @@ def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
 
 
-def _cut_again(batches: Iterator[pa.RecordBatch], length: int, q: int, functions: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of the given stretches (text, parts) by the anchors of more hash functions."""
+def _stretch_bytes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(rid, lo, hi, open, bytes) of the stretches listed beside each text (rid, text, parts)."""
     for b in batches:
         for i in range(b.num_rows):
-            raw = np.frombuffer(b.column(1)[i].as_buffer(), np.uint8)
-            parts = b.column(2)[i].as_py()
-            for at in range(0, len(parts), 1024):
-                some = parts[at : at + 1024]
-                data = np.concatenate([raw[p["lo"] : p["hi"] + length - 1] for p in some])
-                off = np.concatenate([[0], np.cumsum([p["hi"] - p["lo"] + length - 1 for p in some])])
-                d, h, s, e, m = stretches(data, off, length, q, functions)
-                base = np.array([p["lo"] for p in some])[d]
-                ask = np.array([p["open"] for p in some])[d]
-                yield pa.record_batch([pa.array(tk.signed(h.copy())), _digests(data, off[d] + s, off[d] + e + length - 1), pa.array(np.full(len(d), b.column(0)[i].as_py())), pa.array(s + base), pa.array(e + base), pa.array(m), pa.array(ask)], names=_NAMES)
+            raw, parts = b.column(1)[i].as_buffer().to_pybytes(), b.column(2)[i].as_py()
+            cols = [pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), *[pa.array([p[c] for p in parts]) for c in ("lo", "hi", "open")]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([raw[p["lo"] : p["hi"] + length - 1] for p in parts], pa.binary())], names=["rid", "lo", "hi", "open", "bytes"])
+
+
+def _cut_again(batches: Iterator[pa.RecordBatch], length: int, q: int, functions: int) -> Iterator[pa.RecordBatch]:
+    """Pieces, with their bytes, of the given stretches by the anchors of more hash functions."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            b = batch.slice(at, 1024)
+            rid, lo, ask = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+            raw = b.column(4).to_pylist()
+            off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            d, h, s, e, m = stretches(data, off, length, q, functions)
+            first, last = off[d] + s, off[d] + e + length - 1
+            view = memoryview(data)
+            own = pa.array([bytes(view[x:y]) for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+            yield pa.record_batch([pa.array(tk.signed(h.copy())), _digests(data, first, last), pa.array(rid[d]), pa.array(s + lo[d]), pa.array(e + lo[d]), pa.array(m), pa.array(ask[d]), own], names=[*_NAMES, "bytes"])
 
 
 def _levels(source: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
@@ -280,27 +290,35 @@ def _levels(source: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFram
                 yield pa.record_batch([pa.array(tk.signed(h.copy())), _digests(data, off[d] + s, off[d] + e + length - 1), pa.array(rids[lo + d]), pa.array(s), pa.array(e), pa.array(m), pa.array(np.ones(len(d), bool))], names=_NAMES)
 
     spark = source.sparkSession
-    pieces, covered, queued = cut(source.mapInArrow(cut_up, _PIECE)), None, None
+    pieces, covered, queued = cut(source.mapInArrow(cut_up, _PIECE).withColumn("bytes", F.lit(None).cast("binary"))), None, None
     for level in range(LEVELS + 1):
-        kinds = cut(pieces.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "hi", "merged", "open")).alias("first"), F.max("open").alias("asks")))
+        shared = pieces.groupBy("anchor").agg(F.sum("merged").alias("times")).where("times > 1").select("anchor")
+        some = cut(pieces.join(shared, "anchor"))
+        discard(pieces)
+        release(spark)
+        kinds = cut(some.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "hi", "merged", "open", "bytes")).alias("first"), F.max("open").alias("asks")))
         release(spark)
         again = kinds.where("copies > 1 and asks").select("anchor", "digest")
-        equal = pieces.where("open").join(again, ["anchor", "digest"]).select("rid", "lo", (F.col("hi") + length - 1).alias("hi"))
-        one = kinds.select("anchor", "first.rid", "first.lo", "first.hi", "first.merged", (F.col("first.open") & (F.col("copies") == 1)).alias("open"))
+        equal = some.where("open").join(again, ["anchor", "digest"]).select("rid", "lo", (F.col("hi") + length - 1).alias("hi"))
+        one = kinds.select("anchor", "first.rid", "first.lo", "first.hi", "first.merged", (F.col("first.open") & (F.col("copies") == 1)).alias("open"), "first.bytes")
         size = one.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo") + length).alias("size"), F.max("merged").alias("most"), F.max("open").alias("some"))
         wanted = size.where("some and (kinds > 1 or most > 1)").select("anchor", F.ceil(F.col("size") / SHARD).cast("int").alias("shards"))
         equal, one = cut(equal), cut(one.join(wanted, "anchor"))
-        discard(pieces, kinds)
+        discard(some, kinds)
         release(spark)
         large = one.where("shards > 1" if level < LEVELS else "false")
-        covered = equal if covered is None else covered.union(equal)
-        rest = one.where("shards = 1") if level < LEVELS else one
-        queued = rest if queued is None else queued.union(rest)
+        rest = (one.where("shards = 1") if level < LEVELS else one).drop("bytes")
+        covered, queued = equal if covered is None else covered.union(equal), rest if queued is None else queued.union(rest)
         if not large.limit(1).count():
             break
-        parts = large.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("parts"))
         functions = 1 + FURTHER * (level + 1)
-        pieces = cut(source.join(parts, "rid").select("rid", "text", "parts").mapInArrow(lambda b, f=functions: _cut_again(b, length, q, f), _PIECE))
+        if level == 0:  # from here on the few stretches left carry their bytes
+            parts = large.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("parts"))
+            stretch = source.join(parts, "rid").select("rid", "text", "parts").mapInArrow(lambda b: _stretch_bytes(b, length), _STRETCH)
+        else:
+            stretch = large.select("rid", "lo", "hi", "open", "bytes")
+        pieces = cut(stretch.mapInArrow(lambda b, f=functions: _cut_again(b, length, q, f), f"{_PIECE}, bytes binary"))
+        release(spark)
     return covered, queued
 
 
