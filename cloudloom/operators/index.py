@@ -13,6 +13,7 @@ from ..functions import morton
 from ..plans.order import cut, global_order
 from .knn import knn as brute_knn
 from .knn import smallest
+from .loss import pair_gradients
 from .radius import _first, ball_query
 
 BLOCK = 32
@@ -153,3 +154,7 @@ class SpatialIndex:
         r = self.points.select("batch", "blk", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
         found = kept.join(r, ["batch", "blk"]).select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), 3).alias("dist2")).where(F.col("dist2") < limit)
         return _first(found, k).select("batch", "q", "slot", "ref", "dist2")
+
+    def distance_gradients(self, found: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(batch, idx, feat) gradients of queries and of indexed points for found pairs (batch, q, ref) with upstream gradient g of dist2."""
+        return pair_gradients(found, queries.select("batch", "idx", "pos"), self.points.select("batch", "idx", "pos"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
+from ..ingest import with_batch
 from .pruned import candidates
 
 CEILING = 1e10  # squared distances from here on count as missing in the offset interface
@@ -81,9 +82,18 @@ def flat_knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, cosine: boo
     return knn(query, ref, k, dim, drop_nonfinite=True).select("q", "ref", "slot")
 
 
-def ptr_knn(query: DataFrame, ref: DataFrame, k: int = 1, dim: int = 3, cosine: bool = False) -> DataFrame:
-    """Edges of pointer-coded clouds once ``with_batch`` has dealt the points; see ``flat_knn``."""
-    return flat_knn(query, ref, k, dim, cosine)
+def dealt(points: DataFrame, ptr: DataFrame | None, other: DataFrame | None) -> DataFrame:
+    """Flat points (idx, pos) with the batch that ``ptr`` (batch, lo, hi) gives them; all are one cloud without pointers of the references."""
+    if other is None:
+        return points.withColumn("batch", F.lit(0).cast("long"))
+    if ptr is None:
+        raise ValueError("pointers of the queries are needed beside those of the references")
+    return with_batch(points, ptr).where("batch is not null")
+
+
+def ptr_knn(query: DataFrame, ref: DataFrame, ptr_query: DataFrame | None = None, ptr_ref: DataFrame | None = None, k: int = 1, dim: int = 3, cosine: bool = False) -> DataFrame:
+    """Edges (q, ref, slot) of flat points (idx, pos) in pointer-coded clouds; without ptr_ref all are one cloud and ptr_query is ignored."""
+    return flat_knn(dealt(query, ptr_query, ptr_ref), dealt(ref, ptr_ref, ptr_ref), k, dim, cosine)
 
 
 def turn(edges: DataFrame, loop: bool, flow: str) -> DataFrame:

@@ -47,9 +47,7 @@ def reduce_batches(losses: DataFrame, how: str | None, weights: DataFrame | None
 def zero_weight_anchor(cloud: DataFrame) -> DataFrame:
     """(batch, other, loss): the B x B zeros that all-zero weights give without batch reduction in the padded interface."""
     b = cloud.select("batch")
-    n = cloud.count()
-    ids = [r[0] for r in b.orderBy("batch").limit(n).collect()]  # one per cloud
-    return b.select("batch", F.explode(F.array(*[F.lit(i) for i in ids])).alias("other"), F.lit(0.0).alias("loss"))
+    return b.crossJoin(b.withColumnRenamed("batch", "other")).withColumn("loss", F.lit(0.0))  # the result itself is B x B
 
 
 def normal_losses(found: DataFrame, x_normals: DataFrame, y_normals: DataFrame, absolute: bool = True) -> DataFrame:
@@ -99,3 +97,28 @@ def pair_gradients(found: DataFrame, x: DataFrame, y: DataFrame, norm: int = 2)
     q = collect_features(rows, ["batch", "q"], F.sum("v")).withColumnRenamed("q", "idx")
     r = collect_features(rows, ["batch", "ref"], -F.sum("v")).withColumnRenamed("ref", "idx")
     return q, r
+
+
+def chamfer_gradients(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: DataFrame, dim: int = 3, norm: int = 2, point_reduction: str = "mean", batch_reduction: str = "mean", weights: DataFrame | None = None, single_directional: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(batch, idx, feat) gradients of ``chamfer_distance`` for the points of x and of y, through both reductions and directions.
+
+    A pair's upstream gradient is its batch's weight, over the points of its cloud for point mean, over the batches or the
+    sum of weights for batch mean. Points that no pair names have no row.
+    """
+    if point_reduction not in ("mean", "sum") or batch_reduction not in ("mean", "sum"):
+        raise ValueError("gradients go through mean and sum reductions")
+    w = cloud_x.select("batch").withColumn("w", F.lit(1.0)) if weights is None else cloud_x.select("batch").join(weights.select("batch", F.col("w").cast("double")), "batch")
+    if batch_reduction == "mean":
+        total = w.agg(F.sum("w").alias("t")).select(F.when(F.col("t") > 0, F.col("t")).otherwise(1.0).alias("t"))
+        w = w.crossJoin(F.broadcast(total)).select("batch", (F.col("w") / F.col("t")).alias("w"))  # one row
+
+    def direction(a: DataFrame, b: DataFrame, cloud: DataFrame) -> tuple[DataFrame, DataFrame]:
+        each = cloud.join(w, "batch").select("batch", (F.col("w") / F.greatest(F.col("n"), F.lit(1)) if point_reduction == "mean" else F.col("w")).alias("g"))
+        return pair_gradients(point_losses(a, b, dim, norm).join(each, "batch"), a, b, norm)
+
+    to_x, to_y = direction(x, y, cloud_x)
+    if not single_directional:
+        back_y, back_x = direction(y, x, cloud_y)
+        added = lambda u, v: collect_features(explode_features(u.unionByName(v)), ["batch", "idx"], F.sum("v"))
+        to_x, to_y = added(to_x, back_x), added(to_y, back_y)
+    return to_x, to_y

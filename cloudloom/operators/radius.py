@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
-from .knn import padded, turn
+from .knn import dealt, padded, turn
 
 TINY = 2.0**-50
 
@@ -91,9 +91,9 @@ def flat_radius(query: DataFrame, ref: DataFrame, radius: float, limit: int = 32
     return _first(found.select("batch", "q", "ref"), limit).select("q", "ref", "slot")
 
 
-def ptr_radius(query: DataFrame, ref: DataFrame, radius: float = 1.0, limit: int = 32, dim: int = 3, ignore_same_index: bool = False) -> DataFrame:
-    """``flat_radius`` for pointer-coded clouds once ``with_batch`` has dealt the points."""
-    return flat_radius(query, ref, radius, limit, dim, ignore_same_index)
+def ptr_radius(query: DataFrame, ref: DataFrame, ptr_query: DataFrame | None = None, ptr_ref: DataFrame | None = None, radius: float = 1.0, limit: int = 32, dim: int = 3, ignore_same_index: bool = False) -> DataFrame:
+    """``flat_radius`` of flat points (idx, pos) in pointer-coded clouds; without ptr_ref all are one cloud and ptr_query is ignored."""
+    return flat_radius(dealt(query, ptr_query, ptr_ref), dealt(ref, ptr_ref, ptr_ref), radius, limit, dim, ignore_same_index)
 
 
 def radius_graph(points: DataFrame, radius: float, limit: int = 32, dim: int = 3, loop: bool = False, flow: str = "source_to_target") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metric as m
+from ..ingest import with_batch
 from ..plans.order import fixed
 
 NEAR = np.float32(1e-3)
@@ -80,6 +81,11 @@ def ratio_fps(points: DataFrame, ratio: float | None = 0.5, random_start: bool =
     return _sample(sized, ratio_count(F.col("__n"), ratio), start, False)
 
 
+def ptr_fps(points: DataFrame, ptr: DataFrame, ratio: float | None = 0.5, random_start: bool = True, seed: int = 0) -> DataFrame:
+    """``ratio_fps`` of flat points (idx, pos) in pointer-coded clouds (batch, lo, hi)."""
+    return ratio_fps(with_batch(points, ptr).where("batch is not null"), ratio, random_start, seed)
+
+
 def offset_fps(points: DataFrame, counts: DataFrame) -> DataFrame:
     """(batch, slot, idx) with counts (batch, m) from the offset interface; a request beyond the cloud raises."""
     sized = points.join(points.groupBy("batch").agg(F.count("*").alias("__n")), "batch").join(counts.select("batch", "m"), "batch")

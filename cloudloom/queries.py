@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest
 from .functions import metric as m
 from .functions import morton
 from .operators import gather, graph, index, knn, loss, radius, sampling, sparse, voxel
@@ -79,6 +80,30 @@ def knn_cells(spark, d):
     return knn.knn(t.cell_cloud(cloud), cloud, 8)
 
 
+def _flat(cloud: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flat points (idx, pos) in the order of batch and idx, and their pointers (batch, lo, hi)."""
+    numbered, _ = global_order(cloud.select("batch", "idx", "pos"), [F.col("batch"), F.col("idx")], "g")
+    flat = cut(numbered.select("batch", F.col("g").alias("idx"), "pos"))
+    return flat.select("idx", "pos"), cut(ingest.ptr_of(ingest.clouds(flat)))
+
+
+_FLAT = "fx AS (SELECT batch, row_number() OVER (ORDER BY batch, idx) - 1 AS idx, x, y, z FROM cells), fy AS (SELECT batch, row_number() OVER (ORDER BY batch, idx) - 1 AS idx, x, y, z FROM cloud)"
+
+
+@query("ptr_knn", f"WITH {CELLS}, {_FLAT} SELECT q, ref, slot FROM ({top('fx', 'fy', 3)})")
+def ptr_knn(spark, d):
+    cloud = t.events_cloud(spark, d)
+    (x, ptr_x), (y, ptr_y) = _flat(t.cell_cloud(cloud)), _flat(cloud)
+    return knn.ptr_knn(x, y, ptr_x, ptr_y, 3)
+
+
+@query("ptr_radius", f"WITH {CELLS}, {_FLAT} SELECT q, ref, rn - 1 AS slot FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ref) AS rn FROM (SELECT a.idx AS q, b.idx AS ref FROM fx a JOIN fy b ON a.batch = b.batch WHERE {D2} < 4::FLOAT)) WHERE rn <= 8")
+def ptr_radius(spark, d):
+    cloud = t.events_cloud(spark, d)
+    (x, ptr_x), (y, ptr_y) = _flat(t.cell_cloud(cloud)), _flat(cloud)
+    return radius.ptr_radius(x, y, ptr_x, ptr_y, 2.0, 8)
+
+
 @query("knn_graph", f"""SELECT ref AS src, q AS dst FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, ref) AS rn
  FROM (SELECT a.vec_id AS q, b.vec_id AS ref, {_d64()} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label)) WHERE rn <= 6 AND q <> ref""")
 def knn_graph(spark, d):
@@ -400,6 +425,16 @@ def chamfer_grad_y(spark, d):
     return _xyz(loss.pair_gradients(loss.point_losses(x, y).withColumn("g", F.lit(1.0)), x, y)[1])
 
 
+_PART = "SELECT nn.batch, {0} AS idx, {1} * (nn.batch + 1) * (a.x::DOUBLE - b.x) AS gx, {1} * (nn.batch + 1) * (a.y::DOUBLE - b.y) AS gy, {1} * (nn.batch + 1) * (a.z::DOUBLE - b.z) AS gz FROM {2} nn JOIN {3} a ON a.batch = nn.batch AND a.idx = q JOIN {4} b ON b.batch = nn.batch AND b.idx = ref"
+
+
+@query("chamfer_grad_weighted", f"WITH {CELLS}, {_NN}, mm AS ({top('cloud', 'cells', 1)}), g AS ({_PART.format('q', '2', 'nn', 'cells', 'cloud')} UNION ALL {_PART.format('ref', '-2', 'mm', 'cloud', 'cells')}) SELECT batch, idx, round(sum(gx), 3) AS gx, round(sum(gy), 3) AS gy, round(sum(gz), 3) AS gz FROM g GROUP BY ALL")
+def chamfer_grad_weighted(spark, d):
+    x, y = _two(spark, d)
+    weights = _sizes(x).select("batch", (F.col("batch") + 1).alias("w"))
+    return _xyz(loss.chamfer_gradients(x, y, _sizes(x), _sizes(y), point_reduction="sum", batch_reduction="sum", weights=weights)[0])
+
+
 @query("chamfer_grad_x_l1", f"WITH {CELLS}, nn AS ({top('cells', 'cloud', 1, L1)}) SELECT nn.batch, q AS idx, CASE WHEN a.x > b.x THEN 1.0 ELSE -1.0 END AS gx, CASE WHEN a.y > b.y THEN 1.0 ELSE -1.0 END AS gy, CASE WHEN a.z > b.z THEN 1.0 ELSE -1.0 END AS gz FROM nn JOIN cells a ON a.batch = nn.batch AND a.idx = q JOIN cloud b ON b.batch = nn.batch AND b.idx = ref")
 def chamfer_grad_x_l1(spark, d):
     x, y = _two(spark, d)
@@ -450,6 +485,11 @@ def fps_distributed(spark, d):
     return sampling.distributed(cut(t.cell_cloud(t.events_cloud(spark, d))), 8)
 
 
+@query("ptr_fps", _fps_sql("ceil((n::FLOAT * 0.05::FLOAT)::FLOAT)").replace(CLOUD, f"{CELLS}, {_FLAT}").replace("FROM cloud GROUP BY 1", "FROM fx GROUP BY 1"))
+def ptr_fps(spark, d):
+    return sampling.ptr_fps(*_flat(t.cell_cloud(t.events_cloud(spark, d))), 0.05, random_start=False)
+
+
 def point_group(spark: SparkSession, d: str, centres: int = 32, k: int = 16) -> DataFrame:
     """Group pipeline: farthest points, their positions, the k nearest points of each, positions relative to the centre."""
     cloud = t.events_cloud(spark, d)
