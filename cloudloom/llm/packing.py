@@ -6,6 +6,7 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import global_order
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+SETS = 6  # sizes up to which all sets of them are tried
 
 
 @dataclass
@@ -83,7 +85,7 @@ def _best_fit(hist: Sequence[tuple[int, int]], sizes: Sequence[int], price: dict
 
 
 def plan_bins(hist: Sequence[tuple[int, int]], capacities: Sequence[int], bin_cost: float = 0.0) -> Plan:
-    """The cheapest of the best-fit packings that open bins of up to each permitted size.
+    """The cheapest of the best-fit packings that open bins of each set of the permitted sizes (of the smallest ones, beyond SETS sizes).
 
     A bin costs its final capacity plus ``bin_cost``.
     """
@@ -91,7 +93,8 @@ def plan_bins(hist: Sequence[tuple[int, int]], capacities: Sequence[int], bin_co
     if not caps or caps[0] < 1:
         raise ValueError("capacities must be positive")
     price = {c: c + bin_cost for c in caps}
-    return min((_best_fit(hist, caps[: k + 1], price, caps) for k in range(len(caps) - 1, -1, -1)), key=lambda p: p.cost)
+    opened = [c for k in range(len(caps), 0, -1) for c in combinations(caps, k)] if len(caps) <= SETS else [caps[:k] for k in range(len(caps), 0, -1)]
+    return min((_best_fit(hist, sizes, price, caps) for sizes in opened), key=lambda p: p.cost)
 
 
 def pack(docs: DataFrame, capacities: Sequence[int] = (512, 1024, 2048, 4096), length: Column | None = None, bin_cost: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

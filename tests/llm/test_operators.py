@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +265,7 @@ def test_plan_equals_item_by_item(seed):
     sizes = [16, 32, 64]
     lengths = [rng.randrange(1, 65) if rng.random() < 0.7 else rng.choice([5, 17]) for _ in range(rng.randrange(1, 200))]
     plan = packing.plan_bins(sorted(Counter(lengths).items()), sizes)
-    assert plan.cost == min(one_by_one(lengths, sizes[: k + 1], sizes)[0] for k in range(3))
+    assert plan.cost == min(one_by_one(lengths, some, sizes)[0] for k in (1, 2, 3) for some in combinations(sizes, k))
 
 
 def test_pack(spark):
