@@ -58,14 +58,14 @@ class Feistel:
 def shard(docs: DataFrame, n_shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, size, text_crc32, law ``rows``, shard, slot, grown_shard (null) and row_number.
 
-    Global row numbers follow (id, text size, text CRC); the permuted number p gives shard p mod n_shards
+    Global row numbers follow (id, text size, text CRC, text digest); the permuted number p gives shard p mod n_shards
     and slot p div n_shards, so shard counts differ by one at most and slots have no gaps. A null text
     has size 1 and the CRC of the empty text; null ids sort first. Repeated rows get a place each; as they
     are equal it does not matter which. An empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    numbered, n = global_order(rows, [F.col(id_col), F.col("size"), F.col("text_crc32")])
+    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__digest"))
+    numbered, n = global_order(rows, [F.col(id_col), F.col("size"), F.col("text_crc32"), F.col("__digest")])
     feistel = Feistel(n, seed)
 
     @F.pandas_udf("long")
