@@ -419,6 +419,18 @@ def _xyz(df):
     return df.select("batch", "idx", *[(F.round(F.col("feat")[i].cast("double"), 3) + 0.0).alias(f"g{c}") for i, c in enumerate("xyz")])
 
 
+@query("chamfer_empty", f"WITH {CELLS}, nn AS ({top('cells', 'cloud', 1, where='AND b.batch < 2')}) SELECT c.batch, c.idx AS q, coalesce(nn.ref, -1) AS ref, coalesce(nn.d, 0::FLOAT) AS d FROM cells c LEFT JOIN nn ON nn.batch = c.batch AND nn.q = c.idx")
+def chamfer_empty(spark, d):
+    """Half of the reference clouds are empty."""
+    x, y = _two(spark, d)
+    return loss.point_losses(x, y.where("batch < 2"))
+
+
+@query("zero_weight_anchor", f"WITH {CELLS}, b AS (SELECT DISTINCT batch FROM cells) SELECT x.batch, y.batch AS other, 0::DOUBLE AS loss FROM b x, b y")
+def zero_weight_anchor(spark, d):
+    return loss.zero_weight_anchor(_sizes(t.cell_cloud(t.events_cloud(spark, d))))
+
+
 @query("chamfer_grad_y", f"WITH {CELLS}, {_NN} {_GRAD.format('nn')}")
 def chamfer_grad_y(spark, d):
     x, y = _two(spark, d)
@@ -618,6 +630,19 @@ def sparse_conv_grads(spark, d):
     return row(dw, "w", "offset", "cin", "cout", "w").union(row(db, "b", 0, 0, "cout", "g")).union(row(x, "x", "row", "cin", 0, "g"))
 
 
+_GRID = ", ".join(f"(SELECT unnest(range(0, {n}))::INT AS {c})" for c, n in zip(("b", "a0", "a1", "a2"), (4, 16, 32, 16), strict=True))
+
+
+@query("sparse_dense", f"WITH {_SITES} SELECT b, a0, a1, a2, coalesce(2 * f0, 0)::FLOAT AS f0, coalesce(2 * f1, 0)::FLOAT AS f1 FROM (SELECT * FROM {_GRID}) LEFT JOIN (SELECT b, a0, a1, a2, f0, f1 FROM sites WHERE a2 < 16) USING (b, a0, a1, a2)")
+def sparse_dense(spark, d):
+    """Sites within a grid, checked, with doubled features, as a dense grid."""
+    sites = sparse.validate_sites(cut(t.event_sites(t.events_cloud(spark, d)).where("a2 < 16")), (16, 32, 16), 4)
+    tensor = sparse.SparseConvTensor(sites, (16, 32, 16), 4)
+    doubled = sites.select("row", F.transform("features", lambda v: v * F.lit(2).cast("float")).alias("features"))
+    grid = tensor.replace_feature(doubled).dense(2)
+    return grid.select("b", "a0", "a1", "a2", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
 # ---- graphs ----------------------------------------------------------------------------------------------------------
 
 _EDGES = "e0 AS (SELECT l_partkey * 2 AS r, l_suppkey * 2 + 1 AS c FROM lineitem GROUP BY ALL), e1 AS (SELECT r, c FROM e0 UNION ALL SELECT c, r FROM e0), e AS (SELECT row_number() OVER (ORDER BY r, c) - 1 AS edge_id, r, c, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS rn, count(*) OVER (PARTITION BY r) AS degree FROM e1)"
