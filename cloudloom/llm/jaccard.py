@@ -193,6 +193,7 @@ _KEY = ["centre", "bi", "bj"]
 _SEGMENT = "centre long, bi int, bj int, frag int, side int, rid long, n long, centres array<long>, grams binary"
 
 
+@tk.trimmed
 def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per block pair of each set, and one for each segment of it there; rows in: rid, text, places, centres."""
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -222,6 +223,7 @@ def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
 
+@tk.trimmed
 def _partial(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of sets as they are, and a row of partial counts for each fragment of a block pair."""
     for g in groups(batches, [*_KEY, "frag"]):
@@ -233,6 +235,7 @@ def _partial(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield from head.append_column("grams", pa.array([_fragment(g, percent)], pa.binary())).combine_chunks().to_batches()
 
 
+@tk.trimmed
 def _summed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Forest edges (a, b, null) and link counts (a, null, links) of the block pairs; rows are sorted by pair of blocks and fragment."""
     key, sets, cells, rows = None, [], [], []
@@ -261,6 +264,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     spark = docs.sparkSession
     source, unique = keyed(docs, id_col, text_col)
 
+    @tk.trimmed
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row (rid, n, set id) per text; with null rid the times and hash of a gram frequent here."""
         held: list[np.ndarray] = []
@@ -292,6 +296,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     texts = surveyed.where("rid is not null")
     classes = cut(texts.where("n > 0").groupBy("sid", "n").agg(F.min("rid").alias("rid")))
 
+    @tk.trimmed
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, set id, size) of the prefix of each text; a set seen before in this task is passed over."""
         marks = table.value

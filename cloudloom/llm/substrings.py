@@ -32,7 +32,7 @@ MAX_GAP = 60  # words between two blocks of a chain
 GAP_COST = 0.02  # per word of gap on either side, in seeds
 MIN_SEEDS = 2
 PAD = 48  # words by which a chain may grow in the alignment
-HELD = 1_000_000  # k-mers among which a task links repeats itself
+HELD = 500_000  # k-mers among which a task links repeats itself
 ASKED = 4096  # stretches of a text that are cut out by one task
 SHARED = -1  # in place of a position: no match, but other documents have the k-mer
 
@@ -205,6 +205,7 @@ def runs(hit: np.ndarray, percent: int = PERCENT, least: int = MIN_WORDS) -> lis
 _MATCH = "gram long, rid long, pos int, orid long, opos int"
 
 
+@tk.trimmed
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, rid, pos, orid, opos) of seeds. In each stretch of HELD seeds, those of later documents are matched with the first one's.
 
@@ -249,6 +250,7 @@ def _matches(gram: np.ndarray, rid_: np.ndarray, pos: np.ndarray, orid: np.ndarr
     return pa.record_batch([pa.array(gram), pa.array(rid_), pa.array(pos.astype(np.int32)), pa.array(orid, mask=no_orid), pa.array(opos.astype(np.int32), mask=no_opos)], names=["gram", "rid", "pos", "orid", "opos"])
 
 
+@tk.trimmed
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches of the first seeds of all stretches, sorted by gram, rid and pos, with the first document's; matches come as they are.
 
@@ -280,9 +282,20 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CHAIN = "rid long, chain int, orid long, lo int, hi int, olo int, ohi int, anchors binary"
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a stream sorted by rid and orid without those alone in their pair of documents; a batch's first and last row stay."""
+    for b in batches:
+        rid_, orid = b.column(0).to_numpy(), b.column(1).to_numpy()
+        like = (rid_[1:] == rid_[:-1]) & (orid[1:] == orid[:-1])
+        keep = np.ones(b.num_rows, bool)
+        keep[1:-1] = like[1:] | like[:-1]
+        yield b.filter(pa.array(keep))
+
+
+@tk.trimmed
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, last, rows = 0, None, []
-    for g in groups(batches, ["rid", "orid"]):
+    for g in groups(_paired(batches), ["rid", "orid"]):
         rid_, orid = g.column("rid")[0].as_py(), g.column("orid")[0].as_py()
         if rid_ != last:
             number, last = 0, rid_
@@ -309,6 +322,7 @@ def _rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["rid", "chain", "orid", "lo", "hi", "olo", "ohi", "anchors"])
 
 
+@tk.trimmed
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word hashes lo:hi of each stretch asked of a text (text, asked)."""
     for batch in batches:
@@ -331,6 +345,7 @@ def _piece_rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["rid", "chain", "side", "words"])
 
 
+@tk.trimmed
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -341,6 +356,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()])], names=["rid", "source_rid", "first_word", "end_word", "identity"])
 
 
+@tk.trimmed
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared seeds (gram, rid, pos, owner, open), open: matched, but in no passage. Rows of a document: its passages (kind 0, pos to end), its seeds (1, or 2 as owner)."""
     for g in groups(batches, ["rid"]):
@@ -386,6 +402,7 @@ def strings(gram: np.ndarray, pos: np.ndarray, low: np.ndarray) -> tuple[np.ndar
     return h[ok], i[ok], j[ok]
 
 
+@tk.trimmed
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of each document (gram, rid, pos, width, open), open: some seed is open, and none is its owner's, whose strings no earlier document has."""
     for g in groups(batches, ["rid"]):

@@ -282,6 +282,7 @@ def _cut_again(batches: Iterator[pa.RecordBatch], length: int, q: int, functions
 def _levels(source: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
     """Runs (rid, lo, hi) of stretches that another one equals, and the different stretches of each anchor that are to be sorted."""
 
+    @tk.trimmed
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rids = b.column(0).to_numpy()
@@ -327,6 +328,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     covered, queued = _levels(source, length, q)
     wanted = queued.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "shards", "merged", "open")).alias("parts"))
 
+    @tk.trimmed
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "shards", "shard", "rid", "lo", "bytes", "merged", "open"]
         for b in batches:
@@ -349,6 +351,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
 
     segments = source.join(wanted, "rid").select("rid", "text", "parts").mapInArrow(extract, "anchor long, shards int, shard int, rid long, lo long, bytes binary, merged long, open boolean")
 
+    @tk.trimmed
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             yield from _answers(*_shard(chunk, length))
@@ -357,6 +360,7 @@ def repeated_runs(source: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     sorted_ = cut(segments.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sort, _OUT))
     release(source.sparkSession)
 
+    @tk.trimmed
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts, as yet without a partner, whose digest another shard has: each is looked up in the sorted digests."""
         tail: pa.Table | None = None
@@ -410,6 +414,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>" + (", kept binary" if keep_text else "")
 
+    @tk.trimmed
     def erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for b in batches:

@@ -57,6 +57,7 @@ def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return tk.mix(u * np.uint64(0xD6E8FEB86659FD93) + v)
 
 
+@tk.trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, toxic, ordinary) sums of the pairs of each task's texts (toxic, text)."""
     held: list[np.ndarray] = []
@@ -251,22 +252,24 @@ class Model:
         return np.bincount(doc, x, minlength=len(n)), n
 
 
-def _features_broadcast(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of rows with the mean ratio x and the number of words n of the last column, the text."""
+def _features_broadcast(rows: DataFrame, model: Model, columns: list[str], text_col: str) -> DataFrame:
+    """``columns`` of rows with the mean ratio x and the number of words n of the text; the text goes to tasks once, kept or not."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    kept = columns[:-1]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", __x double, __n long"
+    asked = columns if text_col in columns else [*columns, text_col]
+    at = asked.index(text_col)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", __x double, __n long"
 
+    @tk.trimmed
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, n = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for _, _, data, off in tk.slices(batch.column(len(kept))):
+            for _, _, data, off in tk.slices(batch.column(at)):
                 s, k = sent.value.sums(tk.words(data, off, loose=True))
                 x.append(s / np.maximum(k, 1))
                 n.append(k)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(x)), pa.array(np.concatenate(n))], names=[*kept, "__x", "__n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(np.concatenate(x)), pa.array(np.concatenate(n))], names=[*columns, "__x", "__n"])
 
-    return rows.select(*columns).mapInArrow(measure, schema)
+    return rows.select(*asked).mapInArrow(measure, schema)
 
 
 def _tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,14 +286,14 @@ def _tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("__k", rows.columns[-1]).mapInArrow(tokens, "__k long, u long, v long, uv long").groupBy("__k", "u", "v", "uv").count(), keyed
 
 
-def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns: list[str]) -> DataFrame:
+def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns: list[str], text_col: str) -> DataFrame:
     """The same by joins, for models too large to broadcast."""
-    used, keyed = _tokens(rows.select(*columns))
+    used, keyed = _tokens(rows.select(*[c for c in columns if c != text_col], text_col))
     for k, name in enumerate(("v", "u", "uv")):
         used = used.join(ratios.where(F.col("kind") == k).select(F.col("key").alias(name), F.col("ratio").alias(f"r{k}")), name, "left")
     x = _agreed(F.coalesce(F.col("r2"), F.coalesce(F.col("r0"), F.lit(common)) + F.coalesce(F.col("r1"), F.lit(0.0))))
     sums = used.groupBy("__k").agg((F.sum(F.col("count") * x) / F.sum("count")).alias("__x"), F.sum("count").alias("__n"))
-    return keyed.drop(columns[-1]).join(sums, "__k", "left").select(*columns[:-1], F.coalesce("__x", F.lit(0.0)).alias("__x"), F.coalesce("__n", F.lit(0)).alias("__n"))
+    return keyed.join(sums, "__k", "left").select(*columns, F.coalesce("__x", F.lit(0.0)).alias("__x"), F.coalesce("__n", F.lit(0)).alias("__n"))
 
 
 def _curve(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -322,9 +325,8 @@ def _curve(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, f
     return float(out[0]), float(out[1]), float(out[2])
 
 
-def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, broadcast_rows: int) -> tuple[DataFrame, Column]:
-    """``columns`` (the last is the text) with __x and __n of all rows, and the score in these."""
-    text_col = columns[-1]
+def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str, broadcast_rows: int) -> tuple[DataFrame, Column]:
+    """``columns`` with __x and __n of all rows, and the score in these."""
     learnt = labels.where(f"`{id_col}` is not null and toxic is not null").where(remainder(id_col) != 1).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     known = learnt.count()
     marked = F.broadcast(learnt) if known <= BROADCAST_LABELS else learnt
@@ -342,11 +344,9 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
         ratios, common = learn(counts, i, j)
     model = Model.collect(ratios, common) if ratios.count() <= broadcast_rows else None
 
-    def measure(part: DataFrame, cols: list[str]) -> DataFrame:
-        return _features_broadcast(part, model, cols) if model else _features_joined(part, ratios, common, cols)
-
     logit = F.lit(a) + F.lit(b) * F.col("__x") + F.lit(c) * F.col("__x") * F.sqrt(F.col("__n"))
-    return measure(docs, columns), 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
+    measured = _features_broadcast(docs, model, columns, text_col) if model else _features_joined(docs, ratios, common, columns, text_col)
+    return measured, 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -357,13 +357,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held out and never labelled. Several labels of an id: the largest holds. Repeated rows get a row each. Without
     labels all texts score alike, below the threshold. An empty table gives no rows. Other columns are ignored.
     """
-    out, score = _measured(docs, labels, [id_col, text_col], id_col, broadcast_rows)
+    out, score = _measured(docs, labels, [id_col], id_col, text_col, broadcast_rows)
     scored = out.select(id_col, (remainder(id_col) == 1).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that ``score_toxicity`` doesn't predict toxic; texts are not shuffled."""
-    twice = docs.withColumn("__copy", F.col(text_col))
-    out, score = _measured(twice, labels, [*docs.columns, "__copy"], id_col, broadcast_rows)
+    out, score = _measured(docs, labels, docs.columns, id_col, text_col, broadcast_rows)
     return out.where(score < THRESHOLD).select(*docs.columns)
