@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, licenses, packing, sharding, substrings, suffixes, toxicity, urlfilter
+from . import ann, decontaminate, filteraudit, hostrules, jaccard, licenses, packing, sharding, substrings, suffixes, toxicity, urlfilter, veccodes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,9 +138,109 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+OP11_SQL = f"""
+WITH RECURSIVE orders(o) AS (
+  SELECT '' UNION ALL SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(l) WHERE NOT contains(o, l)),
+docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+tests AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e
+  FROM docs),
+fails AS (SELECT doc_id, part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+  || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS f FROM tests),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+counts AS (SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fails LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+steps AS (
+  SELECT part, o AS filter_order, step::INT AS step, o[step:step] AS l, f, n, good, toxic,
+         contains(f, o[step:step]) AS own, len(regexp_replace(f, '[^' || o[1:step - 1] || '_]', '', 'g')) > 0 AS earlier
+  FROM counts, (SELECT o FROM orders WHERE length(o) = 5), range(1, 6) r(step)),
+found AS (
+  SELECT part, filter_order, step, any_value(l) AS l,
+         coalesce(sum(n) FILTER (WHERE NOT own AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE own AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE f = l), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY 1, 2, 3)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM found
+"""
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(_table(spark, sf_dir, "documents"))
+
+
+_RATE = """{r}_prior AS (
+  SELECT CASE WHEN s > 0 AND f > 0 AND f < s AND s - q / s - (h - 1) > 0 THEN (w - s * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (s - q / s - (h - 1))) END AS rho, m
+  FROM (SELECT count(*)::DOUBLE AS h, sum(n)::DOUBLE AS s, sum(n * n)::DOUBLE AS q, sum({r})::DOUBLE AS f, sum({r}::DOUBLE * {r} / n) AS w, sum({r})::DOUBLE / sum(n) AS m FROM hosts)),
+{r}_rate AS (
+  SELECT host, CASE WHEN rho > 0 THEN ({r} + m * k) / (n + k) ELSE m END AS rate
+  FROM hosts, (SELECT rho, m, greatest(1 / least(rho, 1) - 1, 1e-6) AS k FROM {r}_prior))"""
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows),
+cover AS (SELECT rid, count(DISTINCT i + o) AS n FROM twice, range(3) r(o) WHERE c > 1 GROUP BY 1),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+measured AS (
+  SELECT rid, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
+  FROM docs JOIN lines USING (rid) LEFT JOIN cover USING (rid)),
+hosts AS (SELECT host, count(*) AS n, {", ".join(f"sum(({c})::INT) AS {r}" for r, c in hostrules.RULES.items())} FROM measured WHERE host IS NOT NULL GROUP BY 1),
+{", ".join(_RATE.format(r=r) for r in hostrules.RULES)},
+worst AS (SELECT host, max(rate) AS rate FROM ({" UNION ALL ".join(f"SELECT * FROM {r}_rate" for r in hostrules.RULES)}) GROUP BY 1)
+SELECT doc_id, {", ".join(hostrules.MEASURES)}, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept
+FROM (SELECT *, {" OR ".join(f"({hostrules.RULES[r]})" for r in hostrules.BASE)} AS base_failed, coalesce(rate > {hostrules.LIMIT}, false) AS host_failed
+      FROM measured LEFT JOIN worst USING (host))
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _codebook_sql() -> str:
+    """Start, six rounds of assigning and replacing, and the last assignment, for vectors of one width."""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({veccodes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // {veccodes.PARTS}) + 1:(p + 1) * (len(v) // {veccodes.PARTS})] AS x FROM kept, range({veccodes.PARTS}) r(p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS y FROM parts WHERE rid <= {veccodes.ENTRIES})"""
+    for k in range(veccodes.ROUNDS + 1):
+        sql += f""",
+near{k} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min({{'d': d, 'e': e}}) AS b
+  FROM (SELECT rid, p, x, e, list_sum([(x[i] - y[i]) * (x[i] - y[i]) for i in range(1, len(x) + 1)])::BIGINT AS d FROM parts JOIN book{k} USING (p)) GROUP BY 1, 2)"""
+        if k < veccodes.ROUNDS:
+            sql += f""",
+mean{k} AS (
+  SELECT p, e, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY i) AS y
+  FROM (SELECT p, b.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM near{k}, range(1, 1025) r(i) WHERE i <= len(x) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.y, o.y) AS y FROM book{k} o LEFT JOIN mean{k} m USING (p, e))"""
+    last = veccodes.ROUNDS
+    return (
+        sql
+        + f""",
+coded AS (SELECT rid, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM near{last} GROUP BY 1),
+book AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), book
+"""
+    )
+
+
+OP13_SQL = _codebook_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"license_forms": license_forms}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL, "op10_ngram_jaccard": OP10_SQL, "license_forms": LICENSE_FORMS_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_license_scans": OP2_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_host_rules": OP12_SQL, "op13_vector_codes": OP13_SQL, "license_forms": LICENSE_FORMS_SQL}
