@@ -24,7 +24,8 @@ LONG = 2**63 - 1
 
 def integers(x: np.ndarray) -> np.ndarray:
     """floor(SCALE * x) of finite doubles: 64-bit integers where all distances of such vectors fit, exact Python integers elsewhere."""
-    if not x.size or 4 * (SCALE * float(np.abs(x).max()) + 2) ** 2 * x.shape[1] < 2.0**62:
+    most = SCALE * min(float(np.abs(x).max()), 2.0**40) + 2 if x.size else 0.0
+    if 4 * most * most * x.shape[1] < 2.0**62:
         return np.floor(x * SCALE).astype(np.int64)
     return np.array([[int(v) * SCALE if abs(v) >= 2.0**53 else math.floor(v * SCALE) for v in row] for row in x.tolist()], dtype=object)
 
