@@ -1,24 +1,24 @@
-"""Z-ordered index of two levels: zone maps over runs of points and over runs of blocks, exact pruned kNN and radius search."""
+"""Z-ordered index over an occupancy pyramid: exact nearest neighbours and radius search; may be written to a path and opened again."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import metric as m
 from ..functions import morton
-from ..plans.order import cut, global_order
+from ..plans.order import cut
+from . import pyramid
 from .knn import knn as brute_knn
 from .knn import smallest
 from .loss import pair_gradients
-from .radius import _first, ball_query
+from .pyramid import Pyramid, finite_points
+from .radius import TINY, ball_query
 
-BLOCK = 32
-FAN = 64  # blocks in a group, the upper level
-BROADCAST_GROUPS = 500_000  # rows of the upper level, of about 100 bytes
+SCAN = 1_000_000  # pairs up to which ``auto`` compares all
+LOCAL = 64  # ranges of blocks that a search reads of the table at most
 
 
 def morton_keys(points: DataFrame, origin, cell_size) -> DataFrame:
@@ -33,128 +33,79 @@ def hot_cell_fraction(points: DataFrame, origin, cell_size) -> DataFrame:
     return per.agg((F.max("n") / F.sum("n")).alias("fraction"))
 
 
-def _norm(d: list[Column]) -> Column:
-    return (d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]
-
-
-def bounds(q: Column) -> tuple[Column, Column]:
-    """Least and greatest squared distance of q to a block's box, rounded like point distances so that they bound them."""
-    lo, hi = F.col("lo"), F.col("hi")
-    near = [F.greatest(lo[i] - q[i], q[i] - hi[i], m.flit(0)) for i in range(3)]
-    far = [F.greatest(F.abs(lo[i] - q[i]), F.abs(q[i] - hi[i])) for i in range(3)]
-    return _norm(near), _norm(far)
-
-
-def _place(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
-    """Finite points with their block along the z-order, the boxes of the blocks, and the number of points."""
-    clean = points.select("batch", "idx", "pos").where(m.all_finite(F.col("pos")))
-    box = clean.agg(*[f(F.col("pos")[i]) for f in (F.min, F.max) for i in range(3)]).first()
-    low = [box[i] if box[i] is not None else 0.0 for i in range(3)]
-    step = [max((box[i + 3] - box[i]) / ((1 << 20) - 1), 1e-30) if box[i] is not None else 1.0 for i in range(3)]
-    ordered, size = global_order(morton_keys(clean, low, step), [F.col("batch"), F.col("key"), F.col("idx")], "at")
-    placed = cut(ordered.select("batch", "idx", "pos", F.expr(f"at div {block}").alias("blk")))
-    edge = lambda f: F.array(*[f(F.col("pos")[i]) for i in range(3)])
-    zones = placed.groupBy("batch", "blk").agg(F.count("*").alias("n"), edge(F.min).alias("lo"), edge(F.max).alias("hi"), F.min("idx").alias("min_idx"))
-    return placed, cut(zones), size
-
-
-def upper(zones: DataFrame) -> DataFrame:
-    """(batch, grp, n, lo, hi) of the groups of FAN blocks along the z-order."""
-    edge = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(3)])
-    return zones.groupBy("batch", F.expr(f"blk div {FAN}").alias("grp")).agg(F.sum("n").alias("n"), edge(F.min, "lo").alias("lo"), edge(F.max, "hi").alias("hi"))
-
-
-def _apart(lo: str, hi: str, qlo: str, qhi: str) -> tuple[Column, Column]:
-    """Least and greatest squared distance of the points of two boxes."""
-    gap = [F.greatest(F.col(lo)[i] - F.col(qhi)[i], F.col(qlo)[i] - F.col(hi)[i], m.flit(0)) for i in range(3)]
-    span = [F.greatest(F.abs(F.col(hi)[i] - F.col(qlo)[i]), F.abs(F.col(qhi)[i] - F.col(lo)[i])) for i in range(3)]
-    return _norm(gap), _norm(span)
-
-
-def _reach(boxes: DataFrame, keys: list[str], k: int, of: str = "blk") -> DataFrame:
-    """Rows (keys, of, n, lb, ub) whose lb is not beyond the least ub up to which blocks hold k points; all if none do."""
-    running = Window.partitionBy(*keys).orderBy("ub", of).rowsBetween(Window.unboundedPreceding, 0)
-    reach = boxes.withColumn("have", F.sum("n").over(running)).withColumn("limit", F.min(F.when(F.col("have") >= k, F.col("ub"))).over(Window.partitionBy(*keys)))
-    return reach.where(F.col("limit").isNull() | (F.col("lb") <= F.col("limit")))
-
-
 @dataclass
 class SpatialIndex:
-    """Points (batch, idx, pos) in z-order, cut into blocks of up to BLOCK points with their boxes; NaN points are left out.
+    """Points (batch, idx, pos) in z-order, in blocks with boxes under an occupancy pyramid; points that are not finite are left out.
 
-    blocks: (batch, blk, n, lo, hi, min_idx); groups: the level above. ``backend``: scan compares all pairs, blocks descends
-    the two levels, auto searches by cells (scan if points times queries are few).
+    ``backend``: scan compares all pairs; blocks descends the pyramid; auto scans where points times queries are few.
+    Built once, it serves any number of searches. With a path it is a table of blocks in z-order, whose row groups have the boxes as
+    statistics, beside one of the upper nodes; ``open`` reads it again, in any session.
     """
 
-    points: DataFrame
-    blocks: DataFrame
-    size: int
+    tree: Pyramid
     backend: str = "auto"
 
     @classmethod
-    def build(cls, points: DataFrame, backend: str = "auto", block: int = BLOCK) -> SpatialIndex:
-        if backend not in ("auto", "scan", "blocks"):
-            raise ValueError("backend must be auto, scan or blocks")
-        placed, zones, size = _place(points, block)
-        return cls(placed, zones, size, backend)
+    def build(cls, points: DataFrame, backend: str = "auto", block: int = pyramid.BLOCK, path: str | None = None, front: int = 32) -> SpatialIndex:
+        """``front``: searches for at most so many neighbours look at no more than so many points of one place."""
+        _check_backend(backend)
+        tree = Pyramid.build(finite_points(points, 3), 3, front, f"{path}/blocks" if path else None, block)
+        return cls(tree.stored(f"{path}/nodes" if path else None), backend)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, backend: str = "auto", front: int = 32) -> SpatialIndex:
+        """The index that ``build`` wrote to ``path`` with the same ``front``."""
+        _check_backend(backend)
+        return cls(Pyramid.of(spark.read.parquet(f"{path}/blocks"), 3, front, spark.read.parquet(f"{path}/nodes")), backend)
+
+    @property
+    def size(self) -> int:
+        return self.tree.size
+
+    @property
+    def points(self) -> DataFrame:
+        """(batch, idx, pos) of the indexed points."""
+        at = self.tree.blocks.select("batch", "xyz", F.posexplode("ids").alias("at", "idx"))
+        return at.select("batch", "idx", F.expr("slice(xyz, 3 * at + 1, 3)").alias("pos"))
 
     @property
-    def groups(self) -> DataFrame:
-        up = upper(self.blocks)
-        return F.broadcast(up) if self.size <= BROADCAST_GROUPS * FAN * BLOCK else up
+    def blocks(self) -> DataFrame:
+        """(batch, blk, n, lo, hi, min_idx)."""
+        box = [F.array(*[f"{c}{i}" for i in range(3)]).alias(c) for c in ("lo", "hi")]
+        return self.tree.blocks.select("batch", F.col("id").alias("blk"), "n", *box, F.array_min("ids").alias("min_idx"))
 
     def _scan(self, queries: DataFrame) -> bool:
-        return self.backend == "scan"
+        return self.backend == "scan" or self.backend == "auto" and self.size * queries.count() <= SCAN
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
-        """(batch, q, slot, ref, dist) as the plain search gives it.
+        """(batch, q, slot, ref, dist) as the plain search gives it; queries that are not finite have no rows but in a scan.
 
-        With blocks, queries are put in blocks as well. The k-th distance is bounded by the far corners of the nearest boxes that hold k
-        points: for a block of queries over groups, over the blocks of the groups in reach, then for each query. Only what is not
-        beyond a bound, ties included, is looked into. Blocks of queries meet all groups of their batch, one for
-        FAN * BLOCK points; ``auto`` has no such product. Queries that are not finite have no rows with blocks.
+        Of the written blocks only the ranges that the descent leaves are read.
         """
-        if self._scan(queries):
+        m.check_count(k)
+        if k == 0 or self._scan(queries):
             return brute_knn(queries, self.points, k)
-        if self.backend == "auto":
-            return brute_knn(queries.where(m.all_finite(F.col("pos"))), self.points.select("batch", "idx", "pos"), k)
-        placed, zones, _ = _place(queries, BLOCK)
-        asked = zones.select("batch", F.col("blk").alias("qblk"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-        near, far = _apart("lo", "hi", "qlo", "qhi")
-        groups = asked.join(self.groups, "batch").select("batch", "qblk", "qlo", "qhi", "grp", "n", near.alias("lb"), far.alias("ub"))
-        groups = _reach(groups, ["batch", "qblk"], k, "grp").select("batch", "qblk", "qlo", "qhi", "grp")
-        leaves = self.blocks.withColumn("grp", F.expr(f"blk div {FAN}"))
-        boxes = groups.join(leaves, ["batch", "grp"]).select("batch", "qblk", "blk", "n", "lo", "hi", near.alias("lb"), far.alias("ub"))
-        boxes = _reach(boxes, ["batch", "qblk"], k).select("batch", "qblk", "blk", "n", "lo", "hi")
-        q = placed.select("batch", F.col("blk").alias("qblk"), F.col("idx").alias("q"), F.col("pos").alias("qpos"))
-        near, far = bounds(F.col("qpos"))
-        each = q.join(boxes, ["batch", "qblk"]).select("batch", "q", "qpos", "blk", "n", near.alias("lb"), far.alias("ub"))
-        kept = _reach(each, ["batch", "q"], k).select("batch", "q", "qpos", "blk")
-        r = self.points.select("batch", "blk", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
-        found = kept.join(r, ["batch", "blk"]).select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), 3).alias("d")).where(~F.isnan("d"))
+        asked = Pyramid.build(finite_points(queries, 3), 3, 1)
+        found = pyramid.nearest(asked, self.tree, k, ranges=LOCAL)
         return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
     def ball_query(self, queries: DataFrame, radius: float, k: int) -> DataFrame:
-        """(batch, q, slot, ref, dist2) as the plain search gives it, by cells, or over the groups and blocks within the radius."""
+        """(batch, q, slot, ref, dist2) as the plain search gives it: the first k references by index.
+
+        ``auto`` joins by cells of the radius; blocks meet the blocks within the radius, unless its square is lost in single precision.
+        """
         m.check_radius(radius, k)
-        if self._scan(queries):
-            return ball_query(queries, self.points, radius, k)
-        if self.backend == "auto":
+        limit = m.dense_threshold(radius)
+        if self.backend != "blocks" or k == 0 or m.f32(radius) < TINY or limit == float("inf"):
             return ball_query(queries, self.points, radius, k)
-        limit = m.flit(m.dense_threshold(radius))
-        placed, zones, _ = _place(queries, BLOCK)
-        asked = zones.select("batch", F.col("blk").alias("qblk"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-        gap, _ = _apart("lo", "hi", "qlo", "qhi")
-        groups = asked.join(self.groups, "batch").where(gap < limit).select("batch", "qblk", "qlo", "qhi", "grp")
-        leaves = self.blocks.withColumn("grp", F.expr(f"blk div {FAN}"))
-        boxes = groups.join(leaves, ["batch", "grp"]).where(gap < limit).select("batch", "qblk", "blk", "lo", "hi")
-        q = placed.select("batch", F.col("blk").alias("qblk"), F.col("idx").alias("q"), F.col("pos").alias("qpos"))
-        near, _ = bounds(F.col("qpos"))
-        kept = q.join(boxes, ["batch", "qblk"]).where(near < limit).select("batch", "q", "qpos", "blk")
-        r = self.points.select("batch", "blk", F.col("idx").alias("ref"), F.col("pos").alias("rpos"))
-        found = kept.join(r, ["batch", "blk"]).select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), 3).alias("dist2")).where(F.col("dist2") < limit)
-        return _first(found, k).select("batch", "q", "slot", "ref", "dist2")
+        asked = Pyramid.build(finite_points(queries, 3), 3, 1)
+        return pyramid.within(asked, self.tree, limit, k, ranges=LOCAL).select("batch", "q", "slot", "ref", F.col("d").alias("dist2"))
 
     def distance_gradients(self, found: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(batch, idx, feat) gradients of queries and of indexed points for found pairs (batch, q, ref) with upstream gradient g of dist2."""
-        return pair_gradients(found, queries.select("batch", "idx", "pos"), self.points.select("batch", "idx", "pos"))
+        return pair_gradients(found, queries.select("batch", "idx", "pos"), cut(self.points))
+
+
+def _check_backend(backend: str) -> None:
+    if backend not in ("auto", "scan", "blocks"):
+        raise ValueError("backend must be auto, scan or blocks")

@@ -130,6 +130,11 @@ def three_nn(unknown: DataFrame, known: DataFrame) -> DataFrame:
     return knn(unknown, known, 3).withColumn("ref", F.col("ref").cast("int"))
 
 
+def lane_rank(local: Column) -> Column:
+    """Order of (local index mod 1024, local index)."""
+    return F.shiftleft(local % 1024, 52).bitwiseOR(local)
+
+
 def nearest(x: DataFrame, y: DataFrame, dim: int = 3) -> DataFrame:
     """(idx, nearest): for each x the global index of its nearest y of equal batch.
 
@@ -139,10 +144,10 @@ def nearest(x: DataFrame, y: DataFrame, dim: int = 3) -> DataFrame:
     bx, by = x.select("batch").distinct(), y.select("batch").distinct()
     if bx.join(by, "batch", "left_anti").limit(1).count() or by.join(bx, "batch", "left_anti").limit(1).count():
         raise ValueError("x and y must occupy the same batches")
-    base = y.groupBy("batch").agg(F.min("idx").alias("first"))
-    found = candidates(x, y, 1, dim, keep_ties=True, infinite=False).where((F.col("d") < m.FLOAT_MAX_KEY) & ~F.isnan("d")).join(base, "batch")
-    local = F.col("ref") - F.col("first")
-    best = found.groupBy("q").agg(F.min(F.struct("d", (local % 1024).alias("lane"), local.alias("local"), F.col("ref").alias("ref"))).alias("b"))
+    first = y.groupBy("batch").agg(F.min("idx").alias("first"))
+    ranked = y.join(first, "batch").withColumn("rank", lane_rank(F.col("idx") - F.col("first"))).drop("first")
+    found = candidates(x, ranked, 1, dim, rank=F.col("rank"), infinite=False).where((F.col("d") < m.FLOAT_MAX_KEY) & ~F.isnan("d")).join(first, "batch")
+    best = found.groupBy("q").agg(F.min(F.struct("d", lane_rank(F.col("ref") - F.col("first")).alias("rank"), F.col("ref").alias("ref"))).alias("b"))
     return x.select(F.col("idx").alias("q")).join(best, "q", "left").select(F.col("q").alias("idx"), F.coalesce("b.ref", F.lit(0)).alias("nearest"))
 
 

@@ -1,30 +1,15 @@
-"""Candidates of exact nearest-neighbour searches in up to three dimensions, by bounds and a cell equi-join.
-
-Queries and references are put in one z-order. The references next to a query along it bound its k-th distance, and
-the bound chooses the level of a hierarchy of grids whose cells are just as wide. References are listed in the levels in use,
-queries look in the cells that their ball reaches, and what lies in the ball is a candidate. So dense and sparse regions
-alike compare about as many points per query, whatever the number of points.
-"""
+"""Candidates of exact nearest-neighbour searches: all pairs of small clouds, else what a descent of occupancy pyramids finds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
-from ..functions import morton
-from ..plans.order import cut
+from .pyramid import Pyramid, finite_points, nearest
 
-LEVELS = 20
 SCAN = 1_000_000  # pairs up to which all are compared
-ROWS = 16_384  # rows of the z-order that are looked at together
-SLACK = 1e-5  # relative, for rounding of distances and cells
 
 
 def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFrame:
@@ -34,89 +19,21 @@ def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFram
     return q.join(r, "batch").select("batch", "q", "ref", distance(F.col("qpos"), F.col("rpos"), dim).alias("d"))
 
 
-def _bounds(t: pa.Table, k: int, dim: int, norm: int, extent: float, keep_ties: bool) -> pa.RecordBatch:
-    """Queries with a bound of their k-th distance (squared for norm 2) and their level; references without needless repeats.
-
-    Of references at one place only the k first can be among the k nearest.
-    """
-    batch, own = t.column("batch").to_numpy(), t.column("is_ref").to_numpy(zero_copy_only=False)
-    pos = np.stack([pc.list_element(t.column("pos"), i).to_numpy() for i in range(dim)], axis=1).astype(np.float32)
-    ref, query = np.flatnonzero(own), np.flatnonzero(~own)
-    bound, level, keep = np.zeros(len(own), np.float32), np.zeros(len(own), np.int32), np.ones(len(own), bool)
-    if len(query):
-        w = max(16, 2 * k)
-        best = np.full((len(query), min(2 * w, len(ref))), np.inf, np.float32)
-        first = np.clip(np.searchsorted(ref, query) - w, 0, len(ref) - best.shape[1])
-        with np.errstate(over="ignore"):
-            for c in range(best.shape[1]):
-                r = ref[first + c]
-                for i in range(dim):
-                    step = pos[r, i] - pos[query, i]
-                    term = step * step if norm == 2 else np.abs(step)
-                    total = term if i == 0 else total + term
-                best[:, c] = np.where(batch[r] == batch[query], total, np.inf)
-        b = np.partition(best, k - 1, axis=1)[:, k - 1] if best.shape[1] >= k else np.full(len(query), np.inf, np.float32)
-        bound[query] = b * np.float32(1 + SLACK)
-        reach = np.sqrt(b.astype(float)) if norm == 2 else b.astype(float)
-        with np.errstate(divide="ignore"):
-            level[query] = np.clip(np.floor(np.log2(extent / (reach * (1 + SLACK)))), 0, LEVELS)
-    if len(ref) and not keep_ties:
-        new = np.ones(len(ref), bool)
-        new[1:] = (batch[ref[1:]] != batch[ref[:-1]]) | (pos[ref[1:]] != pos[ref[:-1]]).any(axis=1)
-        at = np.arange(len(ref))
-        keep[ref] = at - np.maximum.accumulate(np.where(new, at, 0)) < k
-    t = t.append_column("bound", pa.array(bound)).append_column("level", pa.array(level)).filter(pa.array(keep))
-    return t.combine_chunks().to_batches()[0]
-
-
-def candidates(query: DataFrame, ref: DataFrame, k: int, dim: int, norm: int = 2, keep_ties: bool = False, infinite: bool = True) -> DataFrame:
-    """(batch, q, ref, d): at least the k smallest (d, ref) of each query that are not NaN; with ``keep_ties`` all that tie for the k-th.
+def candidates(query: DataFrame, ref: DataFrame, k: int, dim: int, norm: int = 2, rank: Column | None = None, infinite: bool = True) -> DataFrame:
+    """(batch, q, ref, d): at least the k smallest (d, rank) of each query that are not NaN; the rank is an integer over ``ref``, by default its index.
 
     norm 2 gives squared distances, 1 absolute ones. Without ``infinite``, points that are not finite have no rows.
     """
     distance = m.d2 if norm == 2 else m.l1
     if k == 0 or dim > 3 or query.count() * ref.count() <= SCAN:
         return pairs(query, ref, dim, distance)
-    used_axes = F.slice("pos", 1, dim)
-    fine = m.all_finite(used_axes)
-    both = query.where(fine).select("batch", "idx", "pos", F.lit(False).alias("is_ref")).union(ref.where(fine).select("batch", "idx", "pos", F.lit(True)))
-    edge = both.agg(*[f(F.col("pos")[i].cast("double")) for f in (F.min, F.max) for i in range(dim)]).first()
-    low = [edge[i] or 0.0 for i in range(dim)]
-    extent = max([(edge[i + dim] or 0.0) - low[i] for i in range(dim)] + [1e-30]) * (1 + SLACK)
-    fine_cell = [F.floor((F.col("pos")[i].cast("double") - low[i]) / (extent / (1 << 20))) for i in range(dim)] + [F.lit(0)] * (3 - dim)
-    parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("batch"), F.col("z"), F.col("idx")]
-    sorted_ = both.withColumn("z", morton.encode(*fine_cell)).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("batch", "idx", "pos", "is_ref")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, refs = [], 0, 0
-        for b in batches:
-            held.append(b)
-            rows, refs = rows + b.num_rows, refs + pc.sum(b.column(3)).as_py() if b.num_rows else refs
-            if rows >= ROWS and refs >= 8 * k:
-                yield _bounds(pa.Table.from_batches(held), k, dim, norm, extent, keep_ties)
-                held, rows, refs = [], 0, 0
-        if rows:
-            yield _bounds(pa.Table.from_batches(held), k, dim, norm, extent, keep_ties)
-
-    schema = f"batch {both.schema['batch'].dataType.simpleString()}, idx {both.schema['idx'].dataType.simpleString()}, pos array<float>, is_ref boolean, bound float, level int"
-    placed = cut(sorted_.mapInArrow(bounded, schema))
-    used = [r[0] for r in placed.where("not is_ref").select("level").distinct().collect()]  # at most LEVELS + 1
-    width = F.lit(extent) / F.expr("shiftleft(1, level)")
-    at = [(F.col("pos")[i].cast("double") - low[i]) / width for i in range(dim)]
-    cells = [f"c{i}" for i in range(dim)]
-    r = placed.where("is_ref").select("batch", F.col("idx").alias("ref"), "pos", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")).alias("level"))
-    r = r.select("batch", "ref", F.col("pos").alias("rpos"), "level", *[F.floor(at[i]).alias(c) for i, c in enumerate(cells)])
-    q = placed.where("not is_ref").select("batch", F.col("idx").alias("q"), "pos", "bound", "level", *[F.floor(at[i]).alias(c) for i, c in enumerate(cells)], *[(at[i] - F.floor(at[i])).alias(f"f{i}") for i in range(dim)], (F.col("bound").cast("double") / (width * width if norm == 2 else width)).alias("ball"))
-    for i in range(dim):
-        q = q.withColumn(f"o{i}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    gap = [F.when(F.col(f"o{i}") < 0, F.col(f"f{i}")).when(F.col(f"o{i}") > 0, 1 - F.col(f"f{i}")).otherwise(0.0) for i in range(dim)]
-    q = q.where(sum((g * g if norm == 2 else g for g in gap), F.lit(0.0)) <= F.col("ball") * (1 + SLACK) + SLACK)
-    q = q.select("batch", "q", F.col("pos").alias("qpos"), "bound", "level", *[(F.col(c) + F.col(f"o{i}")).alias(c) for i, c in enumerate(cells)])
-    d = distance(F.col("qpos"), F.col("rpos"), dim)
-    found = q.join(r, ["batch", "level", *cells]).select("batch", "q", "ref", "bound", d.alias("d")).where(F.col("d") <= F.col("bound")).drop("bound")
+    r = Pyramid.build(finite_points(ref, dim, rank), dim, k)
+    q = r if query is ref else Pyramid.build(finite_points(query, dim), dim, k)
+    found = nearest(q, r, k, norm)
     if not infinite:
         return found
     # a reference that is not finite is at an infinite distance from all finite queries, so only the first ones count
-    odd = ref.where(~fine & ~F.exists(used_axes, F.isnan)).withColumn("__n", F.row_number().over(Window.partitionBy("batch").orderBy("idx"))).where(F.col("__n") <= k).drop("__n")
+    axes = F.slice("pos", 1, dim)
+    fine, number = m.all_finite(axes), Window.partitionBy("batch").orderBy("idx" if rank is None else rank)
+    odd = ref.where(~fine & ~F.exists(axes, F.isnan)).withColumn("__n", F.row_number().over(number)).where(F.col("__n") <= k).drop("__n")
     return found.union(pairs(query.where(fine), odd, dim, distance)).union(pairs(query.where(~fine), ref, dim, distance))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from . import ingest
 from .functions import metric as m
 from .functions import morton
 from .operators import gather, graph, index, knn, loss, radius, sampling, sparse, voxel
-from .plans.order import cut, global_order
+from .plans.order import cut, global_order, shared_dir
 from .sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,6 +554,16 @@ def bvh_blocks(spark, d):
     return b.groupBy("batch").agg(F.sum("n").alias("n"), *box, F.min("min_idx").alias("min_idx"))
 
 
+@query("bvh_reopened", f"WITH {CELLS} SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('far', 'cloud', 4)})".replace(" SELECT batch, q, slot", ", far AS (SELECT batch, idx, (x + 64)::FLOAT AS x, (y + 256)::FLOAT AS y, z FROM cells) SELECT batch, q, slot", 1))
+def bvh_reopened(spark, d):
+    """A written index opened by its path, asked from far outside the cloud."""
+    cloud = t.events_cloud(spark, d)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.SpatialIndex.build(cloud, path=path)
+    away = F.array(*[(F.col("pos")[i] + F.lit(s)).cast("float") for i, s in enumerate((64.0, 256.0, 0.0))])
+    return index.SpatialIndex.open(spark, path).knn(t.cell_cloud(cloud).withColumn("pos", away), 4)
+
+
 @query("bvh_radius", f"WITH {CELLS} SELECT batch, q, slot, ref, d AS dist2 FROM ({_BALL})")
 def bvh_radius(spark, d):
     cloud = t.events_cloud(spark, d)
