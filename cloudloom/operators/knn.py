@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
 from ..ingest import with_batch
-from .pruned import candidates
+from . import pivots
+from .pruned import SCAN, candidates
 
 CEILING = 1e10  # squared distances from here on count as missing in the offset interface
 MISSING = 1e5
-UNROLLED = 8  # dimensions up to which distances are generated code; wider vectors are compared in blocks
-CELL = 2_000  # rows of either side in a block
+UNROLLED = 8  # dimensions up to which all pairs of small clouds are compared by generated code
 
 
 def smallest(candidates: DataFrame, k: int) -> DataFrame:
@@ -24,45 +22,6 @@ def smallest(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("batch", "q", (F.col("rn") - 1).cast("int").alias("slot"), "ref", "d")
 
 
-def _blocked(query: DataFrame, ref: DataFrame, k: int) -> DataFrame:
-    """Candidates (batch, q, ref, d) for the k smallest finite distances: each pair of blocks keeps its own k per query.
-
-    Distances are summed a dimension at a time in single precision, the order that generated code has.
-    """
-    def cells(df: DataFrame) -> int:
-        most = df.groupBy("batch").count().agg(F.max("count")).first()[0] or 1
-        return -(-int(most) // CELL)
-
-    nq, nr = cells(query), cells(ref)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
-    a = query.select("batch", "idx", "pos", own(nq).alias("bq")).withColumn("br", every(nr))
-    b = ref.select("batch", "idx", "pos", own(nr).alias("br")).withColumn("bq", every(nq))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("idx")
-            x, y = np.stack(left["pos"].to_numpy()).astype(np.float32), np.stack(right["pos"].to_numpy()).astype(np.float32)
-            ids, batch = right["idx"].to_numpy(), left["batch"].iloc[0]
-            for lo in range(0, len(x), 256):
-                d = np.zeros((len(x[lo : lo + 256]), len(y)), np.float32)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    for i in range(x.shape[1]):
-                        step = y[None, :, i] - x[lo : lo + 256, i, None]
-                        d = step * step if i == 0 else d + step * step
-                d[np.isnan(d)] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(d, order, 1)
-                ok = np.isfinite(value)
-                q = np.repeat(left["idx"].to_numpy()[lo : lo + 256], ok.sum(1))
-                out.append(pd.DataFrame({"batch": batch, "q": q, "ref": ids[order[ok]], "d": value[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"batch": pd.Series(dtype="int64"), "q": pd.Series(dtype="int64"), "ref": pd.Series(dtype="int64"), "d": pd.Series(dtype="float32")})
-
-    keys = ["batch", "bq", "br"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(best, "batch long, q long, ref long, d float")
-
-
 def knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, drop_nonfinite: bool = False) -> DataFrame:
     """(batch, q, slot, ref, dist): Euclidean distance of the k nearest references of each query of equal batch.
 
@@ -71,7 +30,9 @@ def knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, drop_nonfinite:
     """
     m.check_count(k)
     only_finite = drop_nonfinite or dim != 3
-    found = _blocked(query, ref, k) if dim > UNROLLED else candidates(query, ref, k, dim, infinite=not only_finite).where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
+    wide = k and dim > UNROLLED or k and dim > 3 and query.count() * ref.count() > SCAN
+    found = pivots.nearest(query, ref, k, dim) if wide else candidates(query, ref, k, dim, infinite=not only_finite)
+    found = found.where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
     return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
 

@@ -56,7 +56,7 @@ def _ends(z: np.ndarray, size: int) -> list[int]:
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int, front: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of one partition of z-ordered points (batch, idx, rank, pos, z).
+    """Blocks of one partition of ordered points (batch, idx, rank, pos, z), with boxes of the places pos, or of the column ``at`` where there is one.
 
     Of the points of one place, the ``front`` first are in front blocks and the rest in others: a search for so few never needs those.
     """
@@ -66,7 +66,8 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int, front: i
         nonlocal made
         t = t.combine_chunks()
         batch, z, idx, rank = (t.column(c).to_numpy() for c in ("batch", "z", "idx", "rank"))
-        pos = t.column("pos").combine_chunks().flatten().to_numpy().reshape(len(z), -1)[:, :dim]
+        pos = t.column("pos").combine_chunks().flatten().to_numpy().reshape(len(z), -1)
+        place, room = (t.column("at").combine_chunks().flatten().to_numpy().reshape(len(z), dim), np.inf) if "at" in t.column_names else (pos, 0)
         new = np.ones(len(z), bool)
         new[1:] = (batch[1:] != batch[:-1]) | (pos[1:] != pos[:-1]).any(axis=1)
         at = np.arange(len(z))
@@ -82,7 +83,8 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int, front: i
                 for end in _ends(z[own[lo:hi]], size):
                     rows.append((lead, own[start : lo + end]))
                     start = lo + end
-        box = [(pos[r].min(axis=0), pos[r].max(axis=0)) for _, r in rows]
+        box = [(place[r].min(axis=0).astype(np.float32), place[r].max(axis=0).astype(np.float32)) for _, r in rows]
+        box = [(np.nextafter(lo, -room, dtype=np.float32), np.nextafter(hi, room, dtype=np.float32)) if room else (lo, hi) for lo, hi in box]
         columns = {
             "pid": pa.array(np.full(len(rows), pid, np.int64)), "i": pa.array(made + np.arange(len(rows))), "batch": pa.array([batch[r[0]] for _, r in rows], t.schema.field("batch").type),
             "n": pa.array([len(r) for _, r in rows], pa.int64()), "front": pa.array([lead for lead, _ in rows]),
@@ -118,16 +120,20 @@ class Pyramid:
 
     @classmethod
     def build(cls, points: DataFrame, dim: int, front: int, path: str | None = None, block: int = BLOCK) -> Pyramid:
-        """Of points (batch, idx, rank, pos), all finite; written to ``path`` where one is given, else to the shared folder."""
-        kind = points.schema["batch"].dataType.simpleString()
-        size, boxes = max(block, front), ", ".join(f"{c}{i} float" for c in ("lo", "hi") for i in range(dim))
-        schema = f"pid long, i long, batch {kind}, n long, front boolean, ids array<long>, ranks array<long>, xyz array<float>, {boxes}"
+        """Of points (batch, idx, rank, pos), all finite, in z-order; written to ``path`` where one is given, else to the shared folder."""
         ordered = _z_order(points.select("batch", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"), F.slice("pos", 1, dim).alias("pos")), dim)
-        made = ordered.select("batch", "idx", "rank", "pos", "z").mapInArrow(lambda it: _cut_blocks(it, dim, size, front), schema)
+        return cls.of_ordered(ordered.select("batch", "idx", "rank", "pos", "z"), dim, front, path, block)
+
+    @classmethod
+    def of_ordered(cls, ordered: DataFrame, dim: int, front: int, path: str | None = None, block: int = BLOCK) -> Pyramid:
+        """Of range partitions sorted by (batch, z, pos, rank)."""
+        size, boxes = max(block, front), ", ".join(f"{c}{i} float" for c in ("lo", "hi") for i in range(dim))
+        schema = f"pid long, i long, batch {ordered.schema['batch'].dataType.simpleString()}, n long, front boolean, ids array<long>, ranks array<long>, xyz array<float>, {boxes}"
+        made = ordered.mapInArrow(lambda it: _cut_blocks(it, dim, size, front), schema)
         if path is None:
             return cls.of(cut(made), dim, front)
         made.write.option("parquet.block.size", GROUP).parquet(path)
-        return cls.of(points.sparkSession.read.schema(schema).parquet(path), dim, front)
+        return cls.of(ordered.sparkSession.read.schema(schema).parquet(path), dim, front)
 
     @classmethod
     def of(cls, written: DataFrame, dim: int, front: int, upper: DataFrame | None = None) -> Pyramid:
@@ -284,7 +290,7 @@ def _expand(batches: Iterator[pa.RecordBatch], keep, dim: int, schema: pa.Schema
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def _pairs(query: Pyramid, ref: Pyramid, front: bool, keep) -> DataFrame:
+def descend(query: Pyramid, ref: Pyramid, front: bool, keep) -> DataFrame:
     """(batch, q, r, near, lead, box): the pairs of blocks left by a descent that keeps what ``keep`` says of the boxes of children."""
     kind, dim, top = query.blocks.schema["batch"].dataType, ref.dim, max(query.levels(), ref.levels()) + 1
     parts = int(query.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -303,7 +309,7 @@ def _pairs(query: Pyramid, ref: Pyramid, front: bool, keep) -> DataFrame:
 
 def block_pairs(query: Pyramid, ref: Pyramid, k: int, norm: int = 2) -> DataFrame:
     """Blocks of references that can hold one of the k nearest of a place in the box of a block of queries."""
-    return _pairs(query, ref, k <= ref.front, lambda q, r, n: reachable(q, r, n, k, norm))
+    return descend(query, ref, k <= ref.front, lambda q, r, n: reachable(q, r, n, k, norm))
 
 
 def within_pairs(query: Pyramid, ref: Pyramid, limit: float) -> DataFrame:
@@ -313,7 +319,7 @@ def within_pairs(query: Pyramid, ref: Pyramid, limit: float) -> DataFrame:
         near = _near(q, r, 2)
         return near <= limit * (1 + SLACK) + LEAST, near, np.zeros(near.shape, bool)
 
-    return _pairs(query, ref, False, keep)
+    return descend(query, ref, False, keep)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -336,6 +342,8 @@ def distances(query: np.ndarray, ref: np.ndarray, norm: int) -> np.ndarray:
 class Nearest:
     """The k smallest (distance, rank) of each query of a block, over blocks of references as they come."""
 
+    slack = SLACK
+
     def __init__(self, ids: np.ndarray, pos: np.ndarray, k: int, norm: int):
         self.ids, self.pos, self.norm, self.k = ids, pos, norm, k
         self.d = np.full((len(ids), k), np.inf, np.float32)
@@ -343,12 +351,20 @@ class Nearest:
         self.ref = np.full((len(ids), k), -1)
         self.compared = 0
 
-    def offer(self, ids: np.ndarray, ranks: np.ndarray, pos: np.ndarray, near: float) -> None:
-        worst = self.d[:, -1].astype(np.float64) * (1 + SLACK) + LEAST
+    def worst(self) -> np.ndarray:
+        """What the k-th distances found can be beyond rounding."""
+        return self.d[:, -1].astype(np.float64) * (1 + self.slack) + LEAST
+
+    def least(self, box: np.ndarray) -> np.ndarray:
+        """(query, box): a distance that no place of the box is below."""
+        own = self.pos.astype(np.float64)
+        return _near(np.stack([own, own], axis=1), box, self.norm)
+
+    def offer(self, ids: np.ndarray, ranks: np.ndarray, pos: np.ndarray, near: float, box: np.ndarray) -> None:
+        worst = self.worst()
         if near > worst.max(initial=-1.0):
             return
-        gap = np.maximum(pos.min(axis=0).astype(np.float64) - self.pos, 0) + np.maximum(self.pos.astype(np.float64) - pos.max(axis=0), 0)
-        rows = np.flatnonzero(((gap * gap).sum(axis=1) if self.norm == 2 else gap.sum(axis=1)) <= worst)
+        rows = np.flatnonzero(self.least(box[None])[:, 0] <= worst)
         if not len(rows):
             return
         self.compared += len(rows) * len(ids)
@@ -378,7 +394,7 @@ class Within:
         self.ref = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.d = np.zeros((len(ids), k), np.float32)
 
-    def offer(self, ids: np.ndarray, ranks: np.ndarray, pos: np.ndarray, near: float) -> None:
+    def offer(self, ids: np.ndarray, ranks: np.ndarray, pos: np.ndarray, near: float, box: np.ndarray) -> None:
         d = distances(self.pos, pos, 2)
         hit = (d < self.limit) & (ids[None] < self.ref[:, -1:])
         rows, use = np.flatnonzero(hit.any(axis=1)), hit.any(axis=0)
@@ -394,25 +410,28 @@ class Within:
         return q, at, self.ref[q, at], self.d[q, at]
 
 
-def _blocks_met(batches: Iterator[pa.RecordBatch], k: int, dim: int, norm: int, make=None) -> Iterator[tuple]:
-    """Each block of queries of a sorted stream after its blocks of references were offered, nearest first; and what came without points.
+def _blocks_met(batches: Iterator[pa.RecordBatch], make, dim: int) -> Iterator[tuple]:
+    """Each block of queries of a sorted stream after its blocks of references were offered, nearest first; and the boxes that came without points.
 
-    Rows are (batch, q, r, first, near, box, ids, ranks, xyz): the block of queries, blocks of references, and boxes whose points are not there.
+    Rows are (batch, q, r, first, near, box, ids, ranks, xyz): the block of queries, of which ``make`` gives what collects, then the others.
     """
     block, own, left = None, None, []
-    make = make or (lambda ids, pos: Nearest(ids, pos, k, norm))
     for b in batches:
         first, near, key, r = b.column("first").to_numpy(zero_copy_only=False), b.column("near").to_numpy(), b.column("q").to_numpy(), b.column("r").to_numpy(zero_copy_only=False)
         (ids, at), (ranks, _), (xyz, xat), (box, bat) = (_column(b, c) for c in ("ids", "ranks", "xyz", "box"))
         for i in range(b.num_rows):
+            n = int(at[i + 1] - at[i])
+            pos = xyz[xat[i] : xat[i + 1]].reshape(n, -1) if n else None
             if first[i]:
                 if block is not None:
                     yield block, own, left
-                block, own, left = make(ids[at[i] : at[i + 1]].copy(), xyz[xat[i] : xat[i + 1]].reshape(-1, dim).copy()), (b.column("batch")[i], int(key[i])), []
-            elif at[i + 1] > at[i]:
-                block.offer(ids[at[i] : at[i + 1]], ranks[at[i] : at[i + 1]], xyz[xat[i] : xat[i + 1]].reshape(-1, dim), float(near[i]))
+                block, own, left = make(ids[at[i] : at[i + 1]].copy(), pos.copy()), (b.column("batch")[i], int(key[i])), []
+                continue
+            room = box[bat[i] : bat[i + 1]].reshape(2, dim).astype(np.float64)
+            if n:
+                block.offer(ids[at[i] : at[i + 1]], ranks[at[i] : at[i + 1]], pos, float(near[i]), room)
             else:
-                left.append((int(r[i]), float(near[i]), box[bat[i] : bat[i + 1]].reshape(2, dim).astype(np.float64)))
+                left.append((int(r[i]), float(near[i]), room))
     if block is not None:
         yield block, own, left
 
@@ -429,27 +448,24 @@ def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _needed(batches: Iterator[pa.RecordBatch], k: int, dim: int, norm: int) -> Iterator[pa.RecordBatch]:
+def _needed(batches: Iterator[pa.RecordBatch], make, dim: int) -> Iterator[pa.RecordBatch]:
     """(batch, q, r, near) of the boxes that a query of the block can need, given its distances to the lead blocks."""
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for block, (batch, q), left in _blocks_met(batches, k, dim, norm):
+        for block, (batch, q), left in _blocks_met(batches, make, dim):
             if left:
-                box = np.stack([x for _, _, x in left])
-                point = np.stack([block.pos, block.pos], axis=1).astype(np.float64)
-                worst = block.d[:, -1].astype(np.float64) * (1 + SLACK) + LEAST
-                near = _near(point, box, norm)
-                use = np.flatnonzero((near <= worst[:, None]).any(axis=0))
+                near = block.least(np.stack([x for _, _, x in left]))
+                use = np.flatnonzero((near <= block.worst()[:, None]).any(axis=0))
                 yield pa.record_batch([pa.array([batch.as_py()] * len(use), batch.type), pa.array(np.full(len(use), q)), pa.array(np.array([left[u][0] for u in use], np.int64)), pa.array(near[:, use].min(axis=0, initial=np.inf))], names=["batch", "q", "r", "near"])
 
     yield from _batched(rows())
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int, norm: int, count: bool) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], make, dim: int, count: bool) -> Iterator[pa.RecordBatch]:
     """(batch, q, ref, d) of the nearest found; with ``count`` the numbers of queries and of comparisons as q and ref."""
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for block, (batch, _), _ in _blocks_met(batches, k, dim, norm):
+        for block, (batch, _), _ in _blocks_met(batches, make, dim):
             q, ref, d = block.rows()
             ids = block.ids[q]
             if count:
@@ -464,8 +480,9 @@ def _streams(pairs: DataFrame, query: Pyramid, ref: Pyramid, boxes: DataFrame |
     parts = int(query.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none, points = F.array().cast("array<float>"), ["ids", "ranks", "xyz"]
     own = query.blocks.select("batch", F.col("id").alias("q"), F.lit(-1).cast("long").alias("r"), F.lit(0).alias("turn"), F.lit(-1.0).alias("near"), none.alias("box"), *points)
-    met = pairs.join(ref.blocks.select("batch", F.col("id").alias("r"), *points), ["batch", "r"])
-    rows = own.unionByName(met.select("batch", "q", "r", F.lit(1).alias("turn"), "near", none.alias("box"), *points))
+    room = F.array(*[f"{c}{i}" for c in ("lo", "hi") for i in range(ref.dim)]).alias("box")
+    met = pairs.select("batch", "q", "r", "near").join(ref.blocks.select("batch", F.col("id").alias("r"), room, *points), ["batch", "r"])
+    rows = own.unionByName(met.select("batch", "q", "r", F.lit(1).alias("turn"), "near", "box", *points))
     if boxes is not None:
         empty = F.array().cast("array<long>")
         rows = rows.unionByName(boxes.select("batch", "q", "r", F.lit(2).alias("turn"), "near", "box", empty.alias("ids"), empty.alias("ranks"), none.alias("xyz")))
@@ -473,13 +490,18 @@ def _streams(pairs: DataFrame, query: Pyramid, ref: Pyramid, boxes: DataFrame |
     return sorted_.select("batch", "q", "r", (F.col("turn") == 0).alias("first"), "near", "box", *points)
 
 
-def _needed_pairs(query: Pyramid, ref: Pyramid, k: int, norm: int) -> DataFrame:
-    """Pairs of blocks left once every query knows its k-th distance among the points of the lead blocks."""
-    kind, dim = query.blocks.schema["batch"].dataType.simpleString(), ref.dim
-    pairs = cut(block_pairs(query, ref, k, norm))
+def needed_pairs(query: Pyramid, ref: Pyramid, pairs: DataFrame, make) -> DataFrame:
+    """Of ``pairs`` of blocks (batch, q, r, near, lead, box) those left once every query knows its k-th distance among the points of the lead blocks."""
+    kind, dim, pairs = query.blocks.schema["batch"].dataType.simpleString(), ref.dim, cut(pairs)
     lead = pairs.where("lead").select("batch", "q", "r", "near")
-    rest = _streams(lead, query, ref, pairs.where("not lead")).mapInArrow(lambda it: _needed(it, k, dim, norm), f"batch {kind}, q long, r long, near double")
-    return lead.union(rest)
+    rest = _streams(lead, query, ref, pairs.where("not lead")).mapInArrow(lambda it: _needed(it, make, dim), f"batch {kind}, q long, r long, near double")
+    return cut(lead.union(rest))
+
+
+def searched(query: Pyramid, ref: Pyramid, pairs: DataFrame, make, count: bool = False) -> DataFrame:
+    """(batch, q, ref, d) of what ``make`` collects of each block of queries over its ``pairs`` (batch, q, r, near)."""
+    kind, dim = query.blocks.schema["batch"].dataType.simpleString(), ref.dim
+    return _streams(pairs, query, ref).mapInArrow(lambda it: _search(it, make, dim, count), f"batch {kind}, q long, ref long, d float")
 
 
 def nearest(query: Pyramid, ref: Pyramid, k: int, norm: int = 2, ranges: int = 0) -> DataFrame:
@@ -487,20 +509,27 @@ def nearest(query: Pyramid, ref: Pyramid, k: int, norm: int = 2, ranges: int = 0
 
     With ``ranges`` the blocks of references are read in so many spans at most, as far as they are needed.
     """
-    kind, dim = query.blocks.schema["batch"].dataType.simpleString(), ref.dim
-    pairs = _needed_pairs(query, ref, k, norm)
-    if ranges:
-        pairs = cut(pairs)
-        ref = replace(ref, blocks=ref.read(pairs, ranges))
-    rows = _streams(pairs, query, ref)
-    return rows.mapInArrow(lambda it: _search(it, k, dim, norm, False), f"batch {kind}, q long, ref long, d float")
+    make = lambda ids, pos: Nearest(ids, pos, k, norm)
+    pairs = needed_pairs(query, ref, block_pairs(query, ref, k, norm), make)
+    return searched(query, replace(ref, blocks=ref.read(pairs, ranges)) if ranges else ref, pairs, make)
+
+
+def compared(query: Pyramid, ref: Pyramid, k: int, norm: int = 2) -> float:
+    """Points that a query is compared with in the last step of ``nearest``, on average."""
+    make = lambda ids, pos: Nearest(ids, pos, k, norm)
+    return mean_compared(searched(query, ref, needed_pairs(query, ref, block_pairs(query, ref, k, norm), make), make, True))
+
+
+def mean_compared(counted: DataFrame) -> float:
+    found = counted.agg(F.sum("ref"), F.sum("q")).first()
+    return (found[0] or 0) / max(found[1] or 0, 1)
 
 
 def _first_within(batches: Iterator[pa.RecordBatch], k: int, dim: int, limit: float) -> Iterator[pa.RecordBatch]:
     """(batch, q, slot, ref, d): of each query the k first references by index with a squared distance below ``limit``."""
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for block, (batch, _), _ in _blocks_met(batches, k, dim, 2, lambda ids, pos: Within(ids, pos, k, limit)):
+        for block, (batch, _), _ in _blocks_met(batches, lambda ids, pos: Within(ids, pos, k, limit), dim):
             q, slot, ref, d = block.rows()
             yield pa.record_batch([pa.array([batch.as_py()] * len(q), batch.type), pa.array(block.ids[q]), pa.array(slot.astype(np.int32)), pa.array(ref), pa.array(d)], names=["batch", "q", "slot", "ref", "d"])
 
@@ -516,14 +545,6 @@ def within(query: Pyramid, ref: Pyramid, limit: float, k: int, ranges: int = 0)
     return _streams(pairs, query, ref).mapInArrow(lambda it: _first_within(it, k, dim, limit), f"batch {kind}, q long, slot int, ref long, d float")
 
 
-def compared(query: Pyramid, ref: Pyramid, k: int, norm: int = 2) -> float:
-    """Points that a query is compared with in the last step of ``nearest``, on average."""
-    kind, dim = query.blocks.schema["batch"].dataType.simpleString(), ref.dim
-    rows = _streams(_needed_pairs(query, ref, k, norm), query, ref)
-    found = rows.mapInArrow(lambda it: _search(it, k, dim, norm, True), f"batch {kind}, q long, ref long, d float").agg(F.sum("ref"), F.sum("q")).first()
-    return (found[0] or 0) / max(found[1] or 0, 1)
-
-
 def finite_points(points: DataFrame, dim: int, rank: Column | None = None) -> DataFrame:
     """(batch, idx, rank, pos) of the points whose ``dim`` first coordinates are finite; ties go to the smaller rank, by default the index."""
     return points.where(F.col("batch").isNotNull() & m.all_finite(F.slice("pos", 1, dim))).select("batch", "idx", (F.col("idx") if rank is None else rank).alias("rank"), "pos")

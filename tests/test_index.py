@@ -44,7 +44,7 @@ def test_local_search_reads_few_row_groups(spark, monkeypatch):
     built = index.SpatialIndex.build(points(spark, 40_000, 3, batches=1), path=path)
     asked = points(spark, 200, 4, 0.0, 0.1, batches=1)
     tree, q = built.tree, pyramid.Pyramid.build(pyramid.finite_points(asked, 3), 3, 1)
-    pairs = pyramid._needed_pairs(q, tree, 4, 2)
+    pairs = pyramid.needed_pairs(q, tree, pyramid.block_pairs(q, tree, 4), lambda ids, pos: pyramid.Nearest(ids, pos, 4, 2))
     part = tree.read(pairs, index.LOCAL).select("xyz")
     plan = part._jdf.queryExecution().executedPlan()
     part._jdf.queryExecution().toRdd().count()
