@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import metric as m
 from ..functions import morton
 from ..plans.order import cut
-from . import pyramid
-from .knn import knn as brute_knn
+from . import pruned, pyramid
 from .knn import smallest
 from .loss import pair_gradients
 from .pyramid import Pyramid, finite_points
 from .radius import TINY, ball_query
 
-SCAN = 1_000_000  # pairs up to which ``auto`` compares all
 LOCAL = 64  # ranges of blocks that a search reads of the table at most
 
 
@@ -75,7 +73,7 @@ class SpatialIndex:
         return self.tree.blocks.select("batch", F.col("id").alias("blk"), "n", *box, F.array_min("ids").alias("min_idx"))
 
     def _scan(self, queries: DataFrame) -> bool:
-        return self.backend == "scan" or self.backend == "auto" and self.size * queries.count() <= SCAN
+        return self.backend == "scan" or self.backend == "auto" and self.size * queries.count() <= pruned.SCAN
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
         """(batch, q, slot, ref, dist) as the plain search gives it; queries that are not finite have no rows but in a scan.
@@ -84,7 +82,8 @@ class SpatialIndex:
         """
         m.check_count(k)
         if k == 0 or self._scan(queries):
-            return brute_knn(queries, self.points, k)
+            found = pruned.pairs(queries, self.points, 3).where(~F.isnan("d"))
+            return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
         asked = Pyramid.build(finite_points(queries, 3), 3, 1)
         found = pyramid.nearest(asked, self.tree, k, ranges=LOCAL)
         return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from ..functions import metric as m
 from ..ingest import with_batch
 from . import pivots
-from .pruned import SCAN, candidates
+from .pruned import Trees, candidates, few
 
 CEILING = 1e10  # squared distances from here on count as missing in the offset interface
 MISSING = 1e5
@@ -30,7 +30,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, drop_nonfinite:
     """
     m.check_count(k)
     only_finite = drop_nonfinite or dim != 3
-    wide = k and dim > UNROLLED or k and dim > 3 and query.count() * ref.count() > SCAN
+    wide = k and (dim > UNROLLED or dim > 3 and not few(query, ref))
     found = pivots.nearest(query, ref, k, dim) if wide else candidates(query, ref, k, dim, infinite=not only_finite)
     found = found.where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
     return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
@@ -112,9 +112,9 @@ def nearest(x: DataFrame, y: DataFrame, dim: int = 3) -> DataFrame:
     return x.select(F.col("idx").alias("q")).join(best, "q", "left").select(F.col("q").alias("idx"), F.coalesce("b.ref", F.lit(0)).alias("nearest"))
 
 
-def first_minimum(query: DataFrame, ref: DataFrame, dim: int = 3, norm: int = 2) -> DataFrame:
+def first_minimum(query: DataFrame, ref: DataFrame, dim: int = 3, norm: int = 2, trees: Trees | None = None) -> DataFrame:
     """(batch, q, ref, d): nearest reference under squared L2 or L1, smallest index on ties; -1 and 0 in an empty reference cloud."""
     if norm not in (1, 2):
         raise ValueError("norm must be 1 or 2")
-    best = candidates(query, ref, 1, dim, norm).groupBy("batch", "q").agg(F.min(F.struct("d", "ref")).alias("b"))
+    best = candidates(query, ref, 1, dim, norm, trees=trees).groupBy("batch", "q").agg(F.min(F.struct("d", "ref")).alias("b"))
     return query.select("batch", F.col("idx").alias("q")).join(best, ["batch", "q"], "left").select("batch", "q", F.coalesce("b.ref", F.lit(-1)).alias("ref"), F.coalesce("b.d", m.flit(0)).alias("d"))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import metric as m
 from .gather import collect_features, explode_features
 from .knn import first_minimum
+from .pruned import Trees, plant
 
 EPS = 1e-6
 
 
-def point_losses(x: DataFrame, y: DataFrame, dim: int = 3, norm: int = 2) -> DataFrame:
+def point_losses(x: DataFrame, y: DataFrame, dim: int = 3, norm: int = 2, trees: Trees | None = None) -> DataFrame:
     """(batch, q, ref, d): each point's distance to its first nearest, 0 where the other cloud is empty."""
-    return first_minimum(x, y, dim, norm)
+    return first_minimum(x, y, dim, norm, trees)
 
 
 def reduce_points(losses: DataFrame, cloud: DataFrame, how: str | None, value: str = "d") -> DataFrame:
@@ -65,16 +66,18 @@ def chamfer_distance(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: Da
 
     Without point reduction the rows of the directions: (direction, batch, q, ref, d).
     """
+    if point_reduction is None and batch_reduction is not None:
+        raise ValueError("batch reduction needs a point reduction")
+    trees = plant(x, y, dim, 1)
+    back = trees and (trees[1], trees[0])
     if point_reduction is None:
-        if batch_reduction is not None:
-            raise ValueError("batch reduction needs a point reduction")
-        rows = point_losses(x, y, dim, norm).withColumn("direction", F.lit("xy"))
-        return rows if single_directional else rows.unionByName(point_losses(y, x, dim, norm).withColumn("direction", F.lit("yx")))
-    per = reduce_points(point_losses(x, y, dim, norm), cloud_x, point_reduction)
+        rows = point_losses(x, y, dim, norm, trees).withColumn("direction", F.lit("xy"))
+        return rows if single_directional else rows.unionByName(point_losses(y, x, dim, norm, back).withColumn("direction", F.lit("yx")))
+    per = reduce_points(point_losses(x, y, dim, norm, trees), cloud_x, point_reduction)
     if not single_directional:
-        back = reduce_points(point_losses(y, x, dim, norm), cloud_y, point_reduction).withColumnRenamed("loss", "back")
+        other = reduce_points(point_losses(y, x, dim, norm, back), cloud_y, point_reduction).withColumnRenamed("loss", "back")
         both = F.greatest("loss", "back") if point_reduction == "max" else F.col("loss") + F.col("back")
-        per = per.join(back, "batch").select("batch", both.alias("loss"))
+        per = per.join(other, "batch").select("batch", both.alias("loss"))
     return reduce_batches(per, batch_reduction, weights)
 
 

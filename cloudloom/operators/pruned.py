@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,7 +12,13 @@ from pyspark.sql import Window
 from ..functions import metric as m
 from .pyramid import Pyramid, finite_points, nearest
 
-SCAN = 1_000_000  # pairs up to which all are compared
+SCAN = 4_000_000  # pairs up to which all are compared: less work than the steps of a descent
+
+
+def few(query: DataFrame, ref: DataFrame) -> bool:
+    """Whether the points of equal batches make up SCAN pairs at most."""
+    n = query.groupBy("batch").agg(F.count("*").alias("n")).join(ref.groupBy("batch").agg(F.count("*").alias("m")), "batch")
+    return (n.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0) <= SCAN
 
 
 def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFrame:
@@ -19,17 +28,32 @@ def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFram
     return q.join(r, "batch").select("batch", "q", "ref", distance(F.col("qpos"), F.col("rpos"), dim).alias("d"))
 
 
-def candidates(query: DataFrame, ref: DataFrame, k: int, dim: int, norm: int = 2, rank: Column | None = None, infinite: bool = True) -> DataFrame:
+Trees = tuple[Pyramid, Pyramid]
+
+
+def plant(query: DataFrame, ref: DataFrame, dim: int, k: int, rank: Column | None = None) -> Trees | None:
+    """Pyramids of both clouds, built side by side; None where all pairs are compared."""
+    if k == 0 or dim > 3 or few(query, ref):
+        return None
+    if query is ref:
+        own = Pyramid.build(finite_points(ref, dim, rank), dim, k)
+        return own, own
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(inheritable_thread_target(query.sparkSession)(Pyramid.build), finite_points(points, dim, order), dim, k) for points, order in ((query, None), (ref, rank))]
+        return jobs[0].result(), jobs[1].result()
+
+
+def candidates(query: DataFrame, ref: DataFrame, k: int, dim: int, norm: int = 2, rank: Column | None = None, infinite: bool = True, trees: Trees | None = None) -> DataFrame:
     """(batch, q, ref, d): at least the k smallest (d, rank) of each query that are not NaN; the rank is an integer over ``ref``, by default its index.
 
-    norm 2 gives squared distances, 1 absolute ones. Without ``infinite``, points that are not finite have no rows.
+    norm 2 gives squared distances, 1 absolute ones. Without ``infinite``, points that are not finite have no rows. ``trees``
+    are those of ``plant``, if they are there already.
     """
     distance = m.d2 if norm == 2 else m.l1
-    if k == 0 or dim > 3 or query.count() * ref.count() <= SCAN:
+    trees = trees or plant(query, ref, dim, k, rank)
+    if trees is None:
         return pairs(query, ref, dim, distance)
-    r = Pyramid.build(finite_points(ref, dim, rank), dim, k)
-    q = r if query is ref else Pyramid.build(finite_points(query, dim), dim, k)
-    found = nearest(q, r, k, norm)
+    found = nearest(*trees, k, norm)
     if not infinite:
         return found
     # a reference that is not finite is at an infinite distance from all finite queries, so only the first ones count

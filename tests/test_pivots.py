@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cloudloom.operators import knn, pivots, pyramid
+from cloudloom.operators import knn, pivots, pruned, pyramid
 
 SCHEMA = "batch long, idx long, pos array<float>"
 
@@ -31,7 +31,7 @@ def want(x, y, k, batches=1):
 @pytest.mark.parametrize(("width", "k", "batches"), [(12, 3, 1), (64, 5, 3), (5, 300, 2)])
 def test_same_rows_as_all_pairs(spark, monkeypatch, width, k, batches):
     monkeypatch.setattr(pivots, "BLOCK", 16)
-    monkeypatch.setattr(knn, "SCAN", 0)
+    monkeypatch.setattr(pruned, "SCAN", 0)
     rng = np.random.default_rng(width)
     y = np.concatenate([clusters(rng, 250, width, 6), rng.integers(-2, 3, (120, width)).astype(np.float32)])
     y[40:80] = y[7]
