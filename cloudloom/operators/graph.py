@@ -13,7 +13,6 @@ from pyspark.sql import Window
 from ..ingest import validate
 from ..plans.order import cut, discard, global_order
 
-GREEDY = 50_000_000  # nodes and edges that one task orders
 REMAINDER = 200_000  # free edges that one task may finish
 # Multiplier, increment and modulus of the portable generator.
 A, C, M = 1103515245, 12345, 1 << 31
@@ -36,6 +35,45 @@ def sorted_edges(edges: DataFrame, coalesced: bool = True) -> DataFrame:
     return numbered.join(first, "row").select("edge_id", "row", "col", (F.col("edge_id") - F.col("lo")).alias("rn"), "degree")
 
 
+def biased_places(walk: DataFrame, u: Column, adj: DataFrame, degrees: DataFrame, behind: DataFrame, p: float, q: float) -> DataFrame:
+    """(walk_id, rn): the place in the sorted row of its node that each walk (walk_id, node, prev) takes for the number u.
+
+    Weights have three values: that of the node just left, that of neighbours with an edge to it, and that of all others. Only places of the
+    first two are looked up, from the shorter of the node's row and the list of nodes with an edge to ``prev``, so a hub's row is not gone
+    through unless the other list is as long. Between such places the running sum is a straight line, and the place follows by division.
+    """
+    top = max(1 / p, 1.0, 1 / q)
+    back, near, far = (F.lit(x / top).cast("float").cast("double") for x in (1 / p, 1.0, 1 / q))
+    into = behind.groupBy("prev").agg(F.count("*").alias("into"))
+    here = cut(walk.join(degrees.withColumnRenamed("row", "node"), "node").join(into, "prev", "left").select("walk_id", "node", "prev", "degree", F.coalesce("into", F.lit(0)).alias("into"), u.alias("u")))
+    row = adj.select(F.col("row").alias("node"), "rn", F.col("col").alias("nxt"))
+    narrow, wide = here.where("degree <= into"), here.where("degree > into")
+    by_row = narrow.join(row, "node").join(behind, ["nxt", "prev"], "left_semi").select("walk_id", "rn", near.alias("w"))
+    by_list = wide.join(behind, "prev").join(row, ["node", "nxt"]).select("walk_id", "rn", near.alias("w"))
+    left = here.join(row.withColumnRenamed("nxt", "prev"), ["node", "prev"]).select("walk_id", "rn", back.alias("w"))
+    marks = left.union(by_row.union(by_list).join(left, ["walk_id", "rn"], "left_anti"))
+    run = Window.partitionBy("walk_id").orderBy("rn")
+    marks = marks.withColumn("k", F.row_number().over(run)).withColumn("upto", F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("rn", "k", "upto", "w")
+    marks = marks.groupBy("walk_id").agg(F.sort_array(F.collect_list(at)).alias("marks"))  # the shorter list of one walk
+    own = here.join(marks, "walk_id", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<rn:bigint,k:int,upto:double,w:double>>")))
+    last = F.element_at("marks", -1)
+    sum_ = F.when(F.size("marks") > 0, last["upto"] + far * (F.col("degree") - last["k"])).otherwise(far * F.col("degree"))
+    own = own.withColumn("goal", F.col("u") * sum_)
+    reached = lambda x: x["upto"] + far * (x["rn"] + 1 - x["k"])  # noqa: E731  # the running sum at a mark
+    own = own.withColumn("after", F.get(F.filter("marks", lambda x: reached(x) > F.col("goal")), F.lit(0)))
+    own = own.withColumn("past", F.filter("marks", lambda x: reached(x) <= F.col("goal")))
+    own = own.withColumn("before", F.get("past", F.size("past") - 1))
+    base = F.coalesce(reached(F.col("before")), F.lit(0.0))
+    start = F.coalesce(F.col("before.rn") + 1, F.lit(0))
+    guess = F.greatest(F.floor((F.col("goal") - base) / far) - 1, F.lit(0))
+    # the first m with base + far * m beyond the goal, m places after the mark
+    steps = F.coalesce(*[F.when(base + far * (guess + i) > F.col("goal"), guess + i) for i in range(4)], guess + 4)
+    plain = start + F.greatest(steps, F.lit(1)) - 1
+    end = F.coalesce(F.col("after.rn"), F.col("degree") - 1)
+    return own.select("walk_id", F.least(plain, end).cast("long").alias("rn"))
+
+
 def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
     """(walk_id, step, node, edge_id): node2vec walks of ``length`` steps from starts (walk_id, node).
 
@@ -49,8 +87,7 @@ def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0
     degrees = adj.select("row", "degree").distinct()
     walk = starts.select("walk_id", F.lit(0).alias("step"), F.col("node").cast("long").alias("node"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("prev"))
     out = [walk.drop("prev")]
-    exists = adj.select(F.col("row").alias("nxt"), F.col("col").alias("prev")).distinct().withColumn("near", F.lit(True))
-    top = max(1 / p, 1.0, 1 / q)
+    behind = None if p == 1 and q == 1 else cut(adj.select(F.col("row").alias("nxt"), F.col("col").alias("prev")).distinct())
     for step in range(1, length + 1):
         u = uniform(seed, F.col("walk_id"), step)
         if step == 1 or (p == 1 and q == 1):
@@ -59,14 +96,9 @@ def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0
             e = adj.select(F.col("row").alias("node"), "rn", F.col("col").alias("nxt"), F.col("edge_id").alias("e"))
             w = w.join(e, ["node", "rn"], "left").select("walk_id", "node", "nxt", "e")
         else:
-            c = walk.join(adj.select(F.col("row").alias("node"), "rn", F.col("col").alias("nxt"), F.col("edge_id").alias("e")), "node")
-            c = c.join(exists, ["nxt", "prev"], "left")
-            weight = F.when(F.col("nxt") == F.col("prev"), F.lit(1 / p / top)).when(F.col("near"), F.lit(1 / top)).otherwise(F.lit(1 / q / top))
-            run = Window.partitionBy("walk_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-            total = Window.partitionBy("walk_id")
-            c = c.withColumn("w", weight.cast("float").cast("double")).withColumn("cum", F.sum("w").over(run)).withColumn("sum", F.sum("w").over(total)).withColumn("last", F.max("rn").over(total))
-            pick = c.where((F.col("cum") > u * F.col("sum")) | (F.col("rn") == F.col("last"))).groupBy("walk_id").agg(F.min(F.struct("rn", "nxt", "e")).alias("b"))
-            w = walk.select("walk_id", "node").join(pick, "walk_id", "left").select("walk_id", "node", F.col("b.nxt").alias("nxt"), F.col("b.e").alias("e"))
+            w = biased_places(walk, u, adj, degrees, behind, p, q)
+            e = adj.select(F.col("row").alias("node"), "rn", F.col("col").alias("nxt"), F.col("edge_id").alias("e"))
+            w = walk.select("walk_id", "node").join(w, "walk_id", "left").join(e, ["node", "rn"], "left").select("walk_id", "node", "nxt", "e")
         walk = w.select("walk_id", F.lit(step).alias("step"), F.coalesce("nxt", "node").alias("node"), F.coalesce("e", F.lit(-1)).alias("edge_id"), F.col("node").alias("prev"))
         walk = cut(walk)
         out.append(walk.drop("prev"))
@@ -99,31 +131,52 @@ def greedy_matching(row: np.ndarray, col: np.ndarray, weight: np.ndarray | None,
     return label
 
 
-def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int | None = 0) -> DataFrame:
+def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int | None = 0, remainder: int = REMAINDER) -> DataFrame:
     """(node, label): greedy matching in an order drawn from a digest of (seed, node), or in node order for seed None.
 
-    The greedy order runs through the whole graph, so one task does it, and a graph of more than GREEDY nodes and edges
-    raises: ``mutual_matching`` is the form for any size.
+    The matching is that of ``greedy_matching``, at any size, in rounds. A node acts in a round if no free node that comes earlier in
+    the order can take it or the neighbour it would choose now, and that neighbour comes later itself; then what it chooses can
+    depend on nothing that is open, and nothing that acts before it is missed. A random order of n nodes takes about log n rounds. When at
+    most ``remainder`` edges are left between free nodes, one task goes through them in order; an order along a longer chain
+    takes a round for each of its nodes until then.
     """
     spark = edges.sparkSession
-    if (size := num_nodes + edges.count()) > GREEDY:
-        raise ValueError(f"{size} nodes and edges are too many for one sequential order; use mutual_matching")
     validate(edges, rows=(F.col("row") >= 0) & (F.col("row") < num_nodes), cols=(F.col("col") >= 0) & (F.col("col") < num_nodes))
-    e = edges.select("row", "col", (F.col("weight") if weighted else F.lit(1.0)).cast("double").alias("w")).withColumn("kind", F.lit(1))
-    rank = F.col("id") if seed is None else F.xxhash64(F.lit(seed), F.col("id"))
-    nodes = spark.range(num_nodes).select(F.col("id").alias("row"), rank.alias("col"), F.lit(0.0).alias("w"), F.lit(0).alias("kind"))
+    arcs = edges.select(F.col("row").cast("long").alias("u"), F.col("col").cast("long").alias("v"), (F.col("weight") if weighted else F.lit(1.0)).cast("double").alias("w"), F.monotonically_increasing_id().alias("place"))
+    arcs = cut(arcs.where((F.col("u") != F.col("v")) & (F.col("w") >= 0) & ~F.isnan("w")))
+    nodes = spark.range(num_nodes)
+    if seed is not None:
+        nodes, _ = global_order(nodes.withColumn("digest", F.xxhash64(F.lit(seed), F.col("id"))), [F.col("digest"), F.col("id")], "at")
+    turn = nodes.select("id", (F.col("id") if seed is None else F.col("at")).alias("turn"))
+    free = cut(arcs.join(turn.toDF("u", "turn_u"), "u").join(turn.toDF("v", "turn_v"), "v"))
+    discard(arcs)
+    mate, best = F.struct("v", "turn_v"), F.max_by if weighted else F.min_by
+    order, done = F.struct("w", "place") if weighted else F.col("place"), None
+    while free.count() > remainder:
+        choice = free.groupBy("u", "turn_u").agg(best(mate, order).alias("m")).select("u", "turn_u", F.col("m.v").alias("v"), F.col("m.turn_v").alias("turn_v"))
+        asked = free.groupBy(F.col("v").alias("x"), F.col("turn_v").alias("turn_x")).agg(F.min("turn_u").alias("first"))
+        own, other = asked.select(F.col("x").alias("u"), F.col("first").alias("first_u")), asked.select(F.col("x").alias("v"), "first")
+        ready = choice.where("turn_v > turn_u").join(own, "u", "left").where("first_u is null or first_u > turn_u")
+        pairs = cut(ready.join(other, "v").where("first = turn_u").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        alone = asked.where("first > turn_x").join(choice.select(F.col("u").alias("x")), "x", "left_anti").select("x")
+        gone = cut(pairs.select(F.explode(F.array("a", "b")).alias("x")).union(alone))
+        left = cut(free.join(gone, F.col("u") == F.col("x"), "left_anti").join(gone, F.col("v") == F.col("x"), "left_anti"))
+        discard(free, gone)
+        free, done = left, pairs if done is None else done.union(pairs)
 
-    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(parts)
-        if held:
-            t = pd.concat(held)
-            node = t[t["kind"] == 0].sort_values("row")
-            edge = t[t["kind"] == 1].sort_values("row", kind="stable")
-            order = node.sort_values(["col", "row"])["row"].to_numpy()
-            label = greedy_matching(edge["row"].to_numpy(), edge["col"].to_numpy(), edge["w"].to_numpy() if weighted else None, order)
-            yield pd.DataFrame({"node": np.arange(len(label)), "label": label})
-
-    return nodes.unionByName(e).coalesce(1).mapInPandas(match, "node long, label long")
+    def finish(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["u", "place"])
+        ids, at = np.unique(np.concatenate([t["u"], t["v"]]), return_inverse=True)
+        row, col = at[: len(t)], at[len(t) :]
+        turns = np.zeros(len(ids), np.int64)
+        turns[row], turns[col] = t["turn_u"], t["turn_v"]
+        label = greedy_matching(row, col, t["w"].to_numpy() if weighted else None, np.argsort(turns))
+        taken = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[label[taken]], "b": ids[taken]})
+
+    last = free.withColumn("rest", F.lit(0)).groupBy("rest").applyInPandas(finish, "a long, b long")  # ``remainder`` edges at most
+    matched = (last if done is None else done.union(last)).select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label"))
+    return spark.range(num_nodes).select(F.col("id").alias("node")).join(matched, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def mutual_matching(edges: DataFrame, num_nodes: int, remainder: int = REMAINDER) -> DataFrame:

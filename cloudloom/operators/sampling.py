@@ -8,12 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import metric as m
 from ..ingest import with_batch
-from ..plans.order import fixed
+from ..plans.order import cut, discard
 
 NEAR = np.float32(1e-3)
+CELLS = 4_096  # cells of a distributed sample, of all its clouds; of more clouds, one each
+TOPS = 4  # points of each that a pass sends to the driver
 
 
 def farthest(points: np.ndarray, count: int, start: int = 0, skip_near_origin: bool = False) -> np.ndarray:
@@ -94,21 +97,71 @@ def offset_fps(points: DataFrame, counts: DataFrame) -> DataFrame:
     return _sample(sized, F.col("m"), F.lit(0), False).withColumn("idx", F.col("idx").cast("int"))
 
 
-def distributed(points: DataFrame, npoint: int, start_idx: int = 0, every: int = 16) -> DataFrame:
-    """The same sample with a partial and final argmax over all tasks at each step, for clouds beyond one task's memory.
+def _squared(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    d = points - at
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2]
 
-    Points are ranked by index; the start is an index. The least distances are checkpointed every few steps.
+
+def certain_picks(cand: pd.DataFrame, box: pd.DataFrame, most: int) -> list[int]:
+    """Rows of ``cand`` that a greedy sample picks next, as far as the candidates prove it; always one at least.
+
+    ``cand`` (cell, idx, x, y, z, least) holds the TOPS farthest points of each cell, ``box`` (cell, n, x0.., x1..) all cells. Points that are not
+    candidates are no farther than the last candidate of their cell was, nor than the far corner of the cell from any pick. A pick is
+    certain while it is farther than all of these.
     """
+    cell = np.searchsorted(box["cell"].to_numpy(), cand["cell"].to_numpy())
+    pos, idx, least = cand[["x", "y", "z"]].to_numpy(np.float32), cand["idx"].to_numpy(), cand["least"].to_numpy(np.float32).copy()
+    bound = np.full(len(box), np.inf)
+    np.minimum.at(bound, cell, least.astype(float))
+    bound[box["n"].to_numpy() <= TOPS] = -np.inf  # all points of the cell are candidates
+    lo, hi = (box[[f"{c}{s}" for c in "xyz"]].to_numpy(float) for s in (0, 1))
+    picks: list[int] = []
+    while len(picks) < most:
+        top = least.max()
+        best = np.flatnonzero(least == top)
+        row = int(best[np.argmin(idx[best])])
+        if picks and not top > bound.max(initial=-np.inf):
+            break
+        picks.append(row)
+        least = np.fmin(least, _squared(pos, pos[row]))
+        at = pos[row].astype(float)
+        span = np.maximum(np.abs(lo - at), np.abs(hi - at))
+        bound = np.fmin(bound, (span * span).sum(axis=1) * (1 + 1e-6) + 1e-37)
+    return picks
+
+
+def distributed(points: DataFrame, npoint: int, start_idx: int = 0) -> DataFrame:
+    """The same sample for clouds beyond one task's memory: several picks with each pass over the points.
+
+    Points are ranked by index; the start is an index. Each cloud is cut in cells, CELLS in all at most. A pass lowers the least distances of
+    all points by the last picks and sends the TOPS farthest points of every cell to the driver, which goes on picking until a
+    point it does not have could be farther; see ``certain_picks``. Least distances are written after each pass.
+    """
+    m.check_count(npoint, "npoint")
     spark = points.sparkSession
-    state = points.select("batch", "idx", "pos", m.flit(float("inf")).alias("least"))
-    chosen = points.where(F.col("idx") == start_idx).select("batch", "idx", "pos").collect()  # one point per cloud
-    out = [(r["batch"], 0, r["idx"]) for r in chosen]
-    for t in range(1, npoint):
-        last = spark.createDataFrame([(r["batch"], r["pos"]) for r in chosen], "batch long, at array<float>")
-        state = state.join(F.broadcast(last), "batch").select("batch", "idx", "pos", F.least("least", m.d2(F.col("at"), F.col("pos"), 3)).alias("least"))
-        if t % every == 0:
-            state = fixed(state)
-        best = state.groupBy("batch").agg(F.max(F.struct("least", (-F.col("idx")).alias("low"), "pos")).alias("b"))
-        chosen = [type("Row", (dict,), {})(batch=r["batch"], idx=-r["b"]["low"], pos=r["b"]["pos"]) for r in best.collect()]
-        out += [(r["batch"], t, r["idx"]) for r in chosen]
-    return spark.createDataFrame(out, _SCHEMA)
+    chosen = {r["batch"]: [(r["idx"], r["pos"])] for r in points.where(F.col("idx") == start_idx).select("batch", "idx", "pos").collect()}  # one point per cloud
+    edge = points.agg(*[f(F.col("pos")[i].cast("double")) for f in (F.min, F.max) for i in range(3)]).first()
+    side = max(1, int((CELLS / max(1, len(chosen))) ** (1 / 3)))
+    axes = [F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor((F.col("pos")[i].cast("double") - (edge[i] or 0.0)) / max((edge[i + 3] or 0.0) - (edge[i] or 0.0), 1e-30) * side))) for i in range(3)]
+    cell = F.coalesce((axes[0] * side + axes[1]) * side + axes[2], F.lit(-1)).cast("long")
+    state = cut(points.select("batch", "idx", "pos", cell.alias("cell"), m.flit(float("inf")).alias("least")))
+    sides = [f(F.col("pos")[i]).alias(f"{c}{s}") for i, c in enumerate("xyz") for s, f in ((0, F.min), (1, F.max))]
+    boxes = dict(list(state.groupBy("batch", "cell").agg(F.count("*").alias("n"), *sides).orderBy("batch", "cell").toPandas().groupby("batch"))) if npoint > 1 else {}
+    fresh = {b: [p for _, p in own] for b, own in chosen.items()}
+    rank = F.row_number().over(Window.partitionBy("batch", "cell").orderBy(F.desc("least"), "idx"))
+    while npoint and any(len(own) < npoint for own in chosen.values()):
+        last = spark.createDataFrame(list(fresh.items()), "batch long, at array<array<float>>")
+        near = F.array_min(F.transform("at", lambda a: m.d2(a, F.col("pos"), 3)))
+        lowered = cut(state.join(F.broadcast(last), "batch").select("batch", "idx", "pos", "cell", F.least("least", near).alias("least")))  # the picks of a pass
+        discard(state)
+        state = lowered
+        tops = state.withColumn("rn", rank).where(F.col("rn") <= TOPS).select("batch", "cell", "idx", *[F.col("pos")[i].alias(c) for i, c in enumerate("xyz")], "least").toPandas()
+        fresh = {}
+        for b, cand in tops.groupby("batch"):
+            cand = cand.reset_index(drop=True)
+            rows = certain_picks(cand, boxes[b].reset_index(drop=True), npoint - len(chosen[b]))
+            fresh[int(b)] = [[float(v) for v in cand.loc[r, ["x", "y", "z"]]] for r in rows]
+            chosen[b] += [(int(cand.loc[r, "idx"]), None) for r in rows]
+    discard(state)
+    return spark.createDataFrame([(int(b), t, i) for b, own in chosen.items() for t, (i, _) in enumerate(own[:npoint])], _SCHEMA)

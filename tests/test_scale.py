@@ -36,12 +36,6 @@ def test_matching_is_greedy_and_maximal(spark, remainder):
         assert [got[i] for i in range(nodes)] == greedy(edges, nodes)
 
 
-def test_one_order_has_a_limit(spark, monkeypatch):
-    monkeypatch.setattr(graph, "GREEDY", 10)
-    with pytest.raises(ValueError, match="mutual_matching"):
-        graph.graclus(spark.createDataFrame([(0, 1, 1.0)], "row long, col long, weight float"), 20)
-
-
 def test_pointers_over_partitions(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 1, 3, 200]) for _ in range(60)]
