@@ -136,7 +136,9 @@ def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int
 
     The matching is that of ``greedy_matching``, at any size, in rounds. A node acts in a round if no free node that comes earlier in
     the order can take it or the neighbour it would choose now, and that neighbour comes later itself; then what it chooses can
-    depend on nothing that is open, and nothing that acts before it is missed. A random order of n nodes takes about log n rounds. When at
+    depend on nothing that is open, and nothing that acts before it is missed. A neighbour is sure to a node if it comes later and no
+    free node before can take it: what the node likes less than a sure neighbour it never takes, so these edges go, which frees others to
+    act, at hubs above all. A random order of n nodes takes about log n rounds. When at
     most ``remainder`` edges are left between free nodes, one task goes through them in order; an order along a longer chain
     takes a round for each of its nodes until then.
     """
@@ -150,18 +152,21 @@ def graclus(edges: DataFrame, num_nodes: int, weighted: bool = False, seed: int
     turn = nodes.select("id", (F.col("id") if seed is None else F.col("at")).alias("turn"))
     free = cut(arcs.join(turn.toDF("u", "turn_u"), "u").join(turn.toDF("v", "turn_v"), "v"))
     discard(arcs)
-    mate, best = F.struct("v", "turn_v"), F.max_by if weighted else F.min_by
+    best, most = (F.max_by, F.max) if weighted else (F.min_by, F.min)
     order, done = F.struct("w", "place") if weighted else F.col("place"), None
     while free.count() > remainder:
-        choice = free.groupBy("u", "turn_u").agg(best(mate, order).alias("m")).select("u", "turn_u", F.col("m.v").alias("v"), F.col("m.turn_v").alias("turn_v"))
         asked = free.groupBy(F.col("v").alias("x"), F.col("turn_v").alias("turn_x")).agg(F.min("turn_u").alias("first"))
-        own, other = asked.select(F.col("x").alias("u"), F.col("first").alias("first_u")), asked.select(F.col("x").alias("v"), "first")
-        ready = choice.where("turn_v > turn_u").join(own, "u", "left").where("first_u is null or first_u > turn_u")
-        pairs = cut(ready.join(other, "v").where("first = turn_u").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        sure = (F.col("first") == F.col("turn_u")) & (F.col("turn_v") > F.col("turn_u"))
+        marked = free.join(asked.select(F.col("x").alias("v"), "first"), "v").withColumn("sure", sure).drop("first")
+        choice = cut(marked.groupBy("u", "turn_u").agg(best(F.struct("v", "sure"), order).alias("m"), most(F.when(F.col("sure"), order)).alias("limit")))
+        own = asked.select(F.col("x").alias("u"), F.col("first").alias("first_u"))
+        ready = choice.where("m.sure").join(own, "u", "left").where("first_u is null or first_u > turn_u")
+        pairs = cut(ready.select(F.least("u", "m.v").alias("a"), F.greatest("u", "m.v").alias("b")))
         alone = asked.where("first > turn_x").join(choice.select(F.col("u").alias("x")), "x", "left_anti").select("x")
         gone = cut(pairs.select(F.explode(F.array("a", "b")).alias("x")).union(alone))
-        left = cut(free.join(gone, F.col("u") == F.col("x"), "left_anti").join(gone, F.col("v") == F.col("x"), "left_anti"))
-        discard(free, gone)
+        kept = free.join(choice.select("u", "limit"), "u").where(F.col("limit").isNull() | (order >= F.col("limit") if weighted else order <= F.col("limit"))).drop("limit")
+        left = cut(kept.join(gone, F.col("u") == F.col("x"), "left_anti").join(gone, F.col("v") == F.col("x"), "left_anti"))
+        discard(free, gone, choice)
         free, done = left, pairs if done is None else done.union(pairs)
 
     def finish(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
