@@ -29,9 +29,17 @@ def uniform(seed: int, walk: Column, step: int) -> Column:
 
 
 def sorted_edges(edges: DataFrame, coalesced: bool = True) -> DataFrame:
-    """(edge_id, row, col, rn, degree): edges in (row, col) order with their places in the row; duplicates stay."""
-    numbered, _ = global_order(edges.select(F.col("row").cast("long"), F.col("col").cast("long")), [F.col("row"), F.col("col")], "edge_id")
-    first = numbered.groupBy("row").agg(F.min("edge_id").alias("lo"), F.count("*").alias("degree"))
+    """(edge_id, row, col, rn, degree): edges in (row, col) order with their places in the row; duplicates stay.
+
+    ``coalesced=False`` keeps the order that a column edge_id gives, from 0 without gaps, and raises unless it has the edges of a row together.
+    """
+    if coalesced:
+        numbered, _ = global_order(edges.select(F.col("row").cast("long"), F.col("col").cast("long")), [F.col("row"), F.col("col")], "edge_id")
+    else:
+        numbered = edges.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("edge_id").cast("long"))
+    first = numbered.groupBy("row").agg(F.min("edge_id").alias("lo"), F.count("*").alias("degree"), F.max("edge_id").alias("hi"))
+    if not coalesced and first.where("hi - lo + 1 <> degree").limit(1).count():
+        raise ValueError("coalesced=False needs the edges of a row next to each other")
     return numbered.join(first, "row").select("edge_id", "row", "col", (F.col("edge_id") - F.col("lo")).alias("rn"), "degree")
 
 
@@ -74,8 +82,10 @@ def biased_places(walk: DataFrame, u: Column, adj: DataFrame, degrees: DataFrame
     return own.select("walk_id", F.least(plain, end).cast("long").alias("rn"))
 
 
-def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
-    """(walk_id, step, node, edge_id): node2vec walks of ``length`` steps from starts (walk_id, node).
+def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0, coalesced: bool = True, num_nodes: int | None = None, return_edge_indices: bool = True) -> DataFrame:
+    """(walk_id, step, node, edge_id): node2vec walks of ``length`` steps from starts (walk_id, node); edge_id only if asked for.
+
+    Edge numbers are those of ``sorted_edges``. With ``num_nodes`` a node beyond it raises.
 
     Step 0 has edge null. A node without edges repeats itself with edge -1. Uniform steps take place
     min(floor(u * degree), degree - 1) of the sorted row. Biased ones weigh a neighbour 1/p if it was just left, 1 if it
@@ -83,7 +93,11 @@ def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0
     """
     if p <= 0 or q <= 0:
         raise ValueError("p and q must be positive")
-    adj = cut(sorted_edges(edges))
+    if num_nodes is not None:
+        inside = lambda c: (F.col(c) >= 0) & (F.col(c) < num_nodes)
+        validate(edges, rows=inside("row"), cols=inside("col"))
+        validate(starts, starts=inside("node"))
+    adj = cut(sorted_edges(edges, coalesced))
     degrees = adj.select("row", "degree").distinct()
     walk = starts.select("walk_id", F.lit(0).alias("step"), F.col("node").cast("long").alias("node"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("prev"))
     out = [walk.drop("prev")]
@@ -105,7 +119,7 @@ def random_walk(edges: DataFrame, starts: DataFrame, length: int, p: float = 1.0
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
-    return result
+    return result if return_edge_indices else result.drop("edge_id")
 
 
 def greedy_matching(row: np.ndarray, col: np.ndarray, weight: np.ndarray | None, order: np.ndarray) -> np.ndarray:

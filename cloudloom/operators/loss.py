@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metric as m
+from ..plans.order import cut
 from .gather import collect_features, explode_features
 from .knn import first_minimum
 from .pruned import Trees, plant
@@ -106,22 +107,31 @@ def chamfer_gradients(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: D
     """(batch, idx, feat) gradients of ``chamfer_distance`` for the points of x and of y, through both reductions and directions.
 
     A pair's upstream gradient is its batch's weight, over the points of its cloud for point mean, over the batches or the
-    sum of weights for batch mean. Points that no pair names have no row.
+    sum of weights for batch mean. Through max it goes to the pair of the farthest point alone, the first of equal ones, of the direction
+    with the larger maximum, and halves where the directions are equal. Points that no pair names have no row.
     """
-    if point_reduction not in ("mean", "sum") or batch_reduction not in ("mean", "sum"):
-        raise ValueError("gradients go through mean and sum reductions")
+    if point_reduction not in ("mean", "sum", "max") or batch_reduction not in ("mean", "sum"):
+        raise ValueError("gradients go through mean, sum and max of points and through mean and sum of batches")
     w = cloud_x.select("batch").withColumn("w", F.lit(1.0)) if weights is None else cloud_x.select("batch").join(weights.select("batch", F.col("w").cast("double")), "batch")
     if batch_reduction == "mean":
         total = w.agg(F.sum("w").alias("t")).select(F.when(F.col("t") > 0, F.col("t")).otherwise(1.0).alias("t"))
         w = w.crossJoin(F.broadcast(total)).select("batch", (F.col("w") / F.col("t")).alias("w"))  # one row
 
-    def direction(a: DataFrame, b: DataFrame, cloud: DataFrame) -> tuple[DataFrame, DataFrame]:
-        each = cloud.join(w, "batch").select("batch", (F.col("w") / F.greatest(F.col("n"), F.lit(1)) if point_reduction == "mean" else F.col("w")).alias("g"))
-        return pair_gradients(point_losses(a, b, dim, norm).join(each, "batch"), a, b, norm)
-
-    to_x, to_y = direction(x, y, cloud_x)
+    trees = plant(x, y, dim, 1)
+    found = [point_losses(x, y, dim, norm, trees)] + ([] if single_directional else [point_losses(y, x, dim, norm, trees and (trees[1], trees[0]))])
+    if point_reduction == "max":
+        top = F.max(F.struct("d", (-F.col("q")).alias("low"), "ref")).alias("b")
+        found = [cut(f.groupBy("batch").agg(top).select("batch", (-F.col("b.low")).alias("q"), "b.ref", "b.d")) for f in found]
+        most = w
+        for i, f in enumerate(found):
+            most = most.join(f.select("batch", F.col("d").alias(f"d{i}")), "batch", "left").withColumn(f"d{i}", F.coalesce(f"d{i}", m.flit(0)))
+        share = lambda i: F.lit(1.0) if single_directional else F.when(F.col(f"d{i}") > F.col(f"d{1 - i}"), 1.0).when(F.col(f"d{i}") == F.col(f"d{1 - i}"), 0.5).otherwise(0.0)
+        up = [most.select("batch", (F.col("w") * share(i)).alias("g")).where("g <> 0") for i in range(len(found))]
+    else:
+        up = [c.join(w, "batch").select("batch", (F.col("w") / F.greatest(F.col("n"), F.lit(1)) if point_reduction == "mean" else F.col("w")).alias("g")) for c in (cloud_x, cloud_y)]
+    to_x, to_y = pair_gradients(found[0].join(up[0], "batch"), x, y, norm)
     if not single_directional:
-        back_y, back_x = direction(y, x, cloud_y)
+        back_y, back_x = pair_gradients(found[1].join(up[1], "batch"), y, x, norm)
         added = lambda u, v: collect_features(explode_features(u.unionByName(v)), ["batch", "idx"], F.sum("v"))
         to_x, to_y = added(to_x, back_x), added(to_y, back_y)
     return to_x, to_y

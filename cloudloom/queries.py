@@ -448,6 +448,16 @@ def chamfer_grad_weighted(spark, d):
     return _xyz(loss.chamfer_gradients(x, y, _sizes(x), _sizes(y), point_reduction="sum", batch_reduction="sum", weights=weights)[0])
 
 
+_FARTHEST = "SELECT batch, q, ref, d FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY d DESC, q) AS far FROM ({0})) WHERE far = 1"
+_SHARE = "SELECT {5}.batch, {0} AS idx, {1} * CASE WHEN {5}.d > {6}.d THEN 1 WHEN {5}.d = {6}.d THEN 0.5 ELSE 0 END * (a.x::DOUBLE - b.x) AS gx, {1} * CASE WHEN {5}.d > {6}.d THEN 1 WHEN {5}.d = {6}.d THEN 0.5 ELSE 0 END * (a.y::DOUBLE - b.y) AS gy, {1} * CASE WHEN {5}.d > {6}.d THEN 1 WHEN {5}.d = {6}.d THEN 0.5 ELSE 0 END * (a.z::DOUBLE - b.z) AS gz, {5}.d >= {6}.d AS own FROM {5} JOIN {6} USING (batch) JOIN {3} a ON a.batch = {5}.batch AND a.idx = {5}.q JOIN {4} b ON b.batch = {5}.batch AND b.idx = {5}.ref"
+
+
+@query("chamfer_grad_max", f"WITH {CELLS}, fx AS ({_FARTHEST.format(top('cells', 'cloud', 1))}), fy AS ({_FARTHEST.format(top('cloud', 'cells', 1))}), g AS ({_SHARE.format('fx.q', '2', '', 'cells', 'cloud', 'fx', 'fy')} UNION ALL {_SHARE.format('fy.ref', '-2', '', 'cloud', 'cells', 'fy', 'fx')}) SELECT batch, idx, round(sum(gx), 3) AS gx, round(sum(gy), 3) AS gy, round(sum(gz), 3) AS gz FROM g WHERE own GROUP BY ALL")
+def chamfer_grad_max(spark, d):
+    x, y = _two(spark, d)
+    return _xyz(loss.chamfer_gradients(x, y, _sizes(x), _sizes(y), point_reduction="max", batch_reduction="sum")[0])
+
+
 @query("chamfer_grad_x_l1", f"WITH {CELLS}, nn AS ({top('cells', 'cloud', 1, L1)}) SELECT nn.batch, q AS idx, CASE WHEN a.x > b.x THEN 1.0 ELSE -1.0 END AS gx, CASE WHEN a.y > b.y THEN 1.0 ELSE -1.0 END AS gy, CASE WHEN a.z > b.z THEN 1.0 ELSE -1.0 END AS gz FROM nn JOIN cells a ON a.batch = nn.batch AND a.idx = q JOIN cloud b ON b.batch = nn.batch AND b.idx = ref")
 def chamfer_grad_x_l1(spark, d):
     x, y = _two(spark, d)

@@ -60,19 +60,23 @@ def test_gradients_by_differences(spark):
     df = lambda c: spark.createDataFrame([(*k, p) for k, p in c.items()], "batch long, idx long, pos array<float>")
     size = lambda n: spark.createDataFrame([(0, n), (1, n)], "batch long, n long")
 
-    def value(x, y):
+    def value(x, y, most=False):
         d = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
         one = lambda s, t, b: sum(min(d(p, q) for (c, _), q in t.items() if c == b) for (c, _), p in s.items() if c == b) / sum(c == b for c, _ in s)
+        far = lambda s, t, b: max(min(d(p, q) for (c, _), q in t.items() if c == b) for (c, _), p in s.items() if c == b)
+        if most:
+            return sum(weight[b] * max(far(x, y, b), far(y, x, b)) for b in range(2)) / sum(weight)
         return sum(weight[b] * (one(x, y, b) + one(y, x, b)) for b in range(2)) / sum(weight)
 
     w = spark.createDataFrame(list(enumerate(weight)), "batch long, w double")
-    for grad, own in zip(loss.chamfer_gradients(df(xs), df(ys), size(5), size(4), weights=w), (xs, ys), strict=True):
+    both = [(grad, own, how == "max") for how in ("mean", "max") for grad, own in zip(loss.chamfer_gradients(df(xs), df(ys), size(5), size(4), point_reduction=how, weights=w), (xs, ys), strict=True)]
+    for grad, own, most in both:
         for r in grad.collect():
             for c in range(3):
                 moved = []
                 for h in (1e-4, -1e-4):
                     p = {**own, (r["batch"], r["idx"]): [v + h * (k == c) for k, v in enumerate(own[r["batch"], r["idx"]])]}
-                    moved.append(value(p, ys) if own is xs else value(xs, p))
+                    moved.append(value(p, ys, most) if own is xs else value(xs, p, most))
                 assert abs((moved[0] - moved[1]) / 2e-4 - r["feat"][c]) < 1e-3
     built = index.SpatialIndex.build(df(ys))
     found = built.knn(df(xs), 1).select("batch", "q", "ref").withColumn("g", loss.F.lit(1.0))
