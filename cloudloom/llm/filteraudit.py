@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .hostrules import WORD, let, without
+from .hostrules import WORD, let
 
 #: What a text fails, over the columns text and w (n words, d distinct words); E, the duplicates, is found by the sort.
 FILTERS: dict[str, str] = {
