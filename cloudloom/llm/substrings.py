@@ -3,7 +3,8 @@
 K-mers of five words are thinned to window minimisers, which equal passages pick alike. Each shared k-mer
 has one owner, its first occurrence by (document, position), and every other occurrence meets only the
 owner, so the matches grow with the text and not with the square of a group. A task links the repeats that it sees
-itself, so a frequent k-mer is shuffled once per stretch of a task. Matches of a pair of
+to the first of them, so a frequent k-mer is shuffled once per stretch of a task; what was linked to a stretch's first
+is then handed on to that one's owner, so the matches do not depend on how documents are dealt to tasks. Matches of a pair of
 documents are chained in order with gap costs, and the chains are aligned word by word. Seeds that gave no passage so
 meet again as pairs of seeds of different owners within MIN_WORDS words, as strings of 4 and 8 consecutive shared seeds and as strings
 that span MIN_WORDS words, each with the first document that holds it as owner: parts of a passage that have different
@@ -203,6 +204,7 @@ def runs(hit: np.ndarray, percent: int = PERCENT, least: int = MIN_WORDS) -> lis
 
 
 _MATCH = "gram long, rid long, pos int, orid long, opos int"
+_OWNED = _MATCH + ", local boolean"
 
 
 @tk.trimmed
@@ -246,13 +248,17 @@ def _firsts(gram: np.ndarray, rid_: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.repeat(rid_[starts] == rid_[last], np.diff(np.append(starts, len(gram))))
 
 
+def _local(b: pa.RecordBatch, local: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, local))], names=[*b.schema.names, "local"])
+
+
 def _matches(gram: np.ndarray, rid_: np.ndarray, pos: np.ndarray, orid: np.ndarray, opos: np.ndarray, no_orid: np.ndarray, no_opos: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(gram), pa.array(rid_), pa.array(pos.astype(np.int32)), pa.array(orid, mask=no_orid), pa.array(opos.astype(np.int32), mask=no_opos)], names=["gram", "rid", "pos", "orid", "opos"])
 
 
 @tk.trimmed
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of the first seeds of all stretches, sorted by gram, rid and pos, with the first document's; matches come as they are.
+    """Matches of the first seeds of all stretches, sorted by gram, rid and pos, with the first document's; matches come as they are, as local ones.
 
     The first document's seeds stay, without a match, if another document has the k-mer.
     """
@@ -266,11 +272,11 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = t.column(4).is_valid().to_numpy()
             np.logical_or.at(shared, first, known | ~alone)
             keep, later = shared[first], rid_ != rid_[first]
-            yield _matches(gram[keep], rid_[keep], pos[keep], rid_[first][keep], pos[first][keep], ~later[keep], ~later[keep])
+            yield _local(_matches(gram[keep], rid_[keep], pos[keep], rid_[first][keep], pos[first][keep], ~later[keep], ~later[keep]), False)
 
     for batch in batches:
         done = batch.column(3).is_valid()
-        yield batch.filter(done)
+        yield _local(batch.filter(done), True)
         t = pa.concat_tables([held, pa.Table.from_batches([batch.filter(pc.invert(done))]).cast(held.schema)])
         gram = t.column(0).to_numpy()
         whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last gram may go on
@@ -437,9 +443,13 @@ def _found(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
     # matches are spread, what may still have an owner elsewhere meets by its k-mer
     deal = F.when(F.col("orid").isNull(), F.col("gram")).otherwise(F.xxhash64("rid", "pos"))
-    matches = cut(source.mapInArrow(_kmers, _MATCH).repartition(deal).sortWithinPartitions("gram", "rid", "pos").mapInArrow(_owned, _MATCH))
+    matches = cut(source.mapInArrow(_kmers, _MATCH).repartition(deal).sortWithinPartitions("gram", "rid", "pos").mapInArrow(_owned, _OWNED))
     release(spark)
-    passages = _passages(matches.where("orid is not null"), source)
+    # a stretch's first document is in that stretch alone, so a key of this join holds at most a stretch's seeds
+    handed = matches.where("not local and orid is not null").groupBy("gram", F.col("rid").alias("orid")).agg(F.min("orid").alias("to_rid"), F.min("opos").alias("to_pos"))
+    local = matches.where("local").join(handed, ["gram", "orid"], "left").select("rid", F.coalesce("to_rid", "orid").alias("orid"), "pos", F.coalesce("to_pos", "opos").alias("opos"))
+    known = matches.where("not local and orid is not null").select("rid", "orid", "pos", "opos")
+    passages = _passages(known.union(local), source)
     release(spark)
     # seeds that gave no passage with their owner meet again as strings, each string with its own owner
     spans = passages.select("rid", F.lit(0).alias("kind"), F.col("first_word").alias("pos"), F.col("end_word").alias("end"), F.lit(None).cast("long").alias("gram"))

@@ -450,6 +450,13 @@ def every_pair(texts):
     return out
 
 
+def test_passages_do_not_depend_on_partitions(spark):
+    """Documents with copies and edited copies of copies, dealt to 1, 4 and 32 tasks, give the same rows."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = [sorted(map(tuple, substrings.find_passages(df.repartition(n)).collect())) for n in (1, 4, 32)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_passages_against_all_pairs(spark):
     """Texts of shared phrases and edited passages: at least nine tenths of the words that chaining all pairs covers."""
     rng = random.Random(31)

@@ -1,8 +1,11 @@
 """Each stage of the corpus pipeline on planted documents, and the stages together."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from cloudloom.llm.common import cut
 
 
@@ -45,6 +48,20 @@ def test_stages(spark, tmp_path):
     assert {tuple(r) for r in ran.collect()} == {tuple(r) for r in docs.collect()}
 
 
+def test_results_of_stages_stay_readable(spark):
+    """A stage called again does not take the tables of a result that is still unread, and runs at once keep to their own."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    halves = [docs.where(F.col("doc_id") % 2 == i) for i in (0, 1)]
+    step = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    first, second = (step(spark, h, sf) for h in halves)
+    want = [{r["doc_id"] for r in cut(step(spark, h, sf)).collect()} for h in halves]
+    assert [{r["doc_id"] for r in df.collect()} for df in (second, first)] == want[::-1]
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: sorted(map(str, corpus_pipeline.run(spark, sf).collect())), range(2)))
+    assert both[0] and both[0] == both[1]
+
+
 def test_odd_rows_through_all_stages(spark):
     """Null, empty and repeated rows pass every stage that keeps documents, with the columns of documents."""
     sf = "/root/testdata/sf0.001"
