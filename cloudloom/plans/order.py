@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-_RECORDS: list[list[str]] = []
+_RECORDS: ContextVar[tuple[list[str], ...]] = ContextVar("records", default=())  # each thread has its own
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _RECORDS:
+    for made in _RECORDS.get():
         made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -38,13 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def recording() -> Iterator[list[str]]:
-    """The paths of all tables that are cut within, for a caller who knows when what reads them is done."""
+    """The paths of all tables that this thread cuts within, for a caller who knows when what reads them is done."""
     made: list[str] = []
-    _RECORDS.append(made)
+    token = _RECORDS.set((*_RECORDS.get(), made))
     try:
         yield made
     finally:
-        _RECORDS.remove(made)
+        _RECORDS.reset(token)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

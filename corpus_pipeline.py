@@ -3,63 +3,32 @@ that hold benchmark items go, and what is left is packed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudloom.llm import decontaminate, jaccard, packing, substrings, toxicity
-from cloudloom.plans.order import cut, discard, recording, remove
-
-_left: list[str] = []  # tables that earlier stages cut
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def stage(f: Stage) -> Stage:
-    """``f``, before which the tables that earlier stages cut are deleted, unless ``docs`` still reads them.
-
-    A stage's result is written and reread before the next one, which then needs nothing else of it.
-    """
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        done = [p for p in _left if not any(p.split(":", 1)[-1] in file for file in read)]
-        remove(spark, *done)
-        _left[:] = [p for p in _left if p not in done]
-        with recording() as made:
-            out = f(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
-
-    return run_stage
+from cloudloom.plans.order import cut, recording, remove
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
-@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs)
 
 
-@stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substrings.drop_passages(docs)
 
 
-@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -75,11 +44,14 @@ ORACLE_SQL = None  # alignment, chaining and packing are not SQL; tests hold eac
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each result written to the shared folder before the next reads it."""
-    docs, before = _table(spark, sf_dir, "documents"), None
+    """The stages applied to ``documents``, each result written to the shared folder before the next reads it.
+
+    A run deletes its own tables once the stage that reads them is written; a stage called alone leaves its tables, as its result reads them.
+    """
+    docs, done = _table(spark, sf_dir, "documents"), []
     for _, step in STAGES[:-1]:
-        docs = cut(step(spark, docs, sf_dir))
-        if before is not None:
-            discard(before)
-        before = docs
+        with recording() as made:
+            docs = cut(step(spark, docs, sf_dir))
+        remove(spark, *done, *made[:-1])  # the last table is the result, which needs no other
+        done = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
