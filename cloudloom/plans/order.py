@@ -90,6 +90,16 @@ def global_order(df: DataFrame, keys: Sequence[Column], name: str = "row_number"
     return out.drop("__at", "__part", "__offset"), total
 
 
+def permutation(df: DataFrame, id_col: str, seed: int = 0, name: str = "place") -> DataFrame:
+    """``df`` with a place 0..n-1 of each row in an order that ``seed`` shuffles; the same for the same ids, however rows are dealt to tasks.
+
+    The order is that of the MD5 of "seed:id" and then of the id, so any engine with MD5 gives it. Ids must be unique for the places
+    to be set: rows that repeat an id follow each other in no set order. A null id counts as the empty string. An empty table gives no rows.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return global_order(df.withColumn("__digest", digest), [F.col("__digest"), F.col(id_col)], name)[0].drop("__digest")
+
+
 def running_sum(df: DataFrame, keys: Sequence[Column], value: str, name: str) -> DataFrame:
     """``df`` with the inclusive sum of ``value`` up to each row in the order of ``keys``, which part all rows: partition sums and offsets."""
     spark = df.sparkSession

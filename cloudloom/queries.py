@@ -12,7 +12,7 @@ from . import ingest
 from .functions import metric as m
 from .functions import morton
 from .operators import gather, graph, index, knn, loss, radius, sampling, sparse, voxel
-from .plans.order import cut, global_order, shared_dir
+from .plans.order import cut, global_order, permutation, shared_dir
 from .sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -726,3 +726,8 @@ def mutual_matching(spark, d):
 @query("sorted_edges", f"WITH {_EDGES} SELECT edge_id, r AS row, c AS col, rn, degree FROM e")
 def sorted_edges(spark, d):
     return graph.sorted_edges(t.parts_graph(spark, d))
+
+
+@query("permutation", "SELECT event_id, row_number() OVER (ORDER BY md5('7:' || event_id::VARCHAR), event_id) - 1 AS place FROM events")
+def shuffled(spark, d):
+    return permutation(spark.read.parquet(f"{d}/events.parquet").select("event_id"), "event_id", seed=7)
