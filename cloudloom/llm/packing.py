@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .common import global_order
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-SETS = 6  # sizes up to which all sets of them are tried
 
 
 @dataclass
@@ -85,15 +84,15 @@ def _best_fit(hist: Sequence[tuple[int, int]], sizes: Sequence[int], price: dict
 
 
 def plan_bins(hist: Sequence[tuple[int, int]], capacities: Sequence[int], bin_cost: float = 0.0) -> Plan:
-    """The cheapest of the best-fit packings that open bins of each set of the permitted sizes (of the smallest ones, beyond SETS sizes).
+    """The cheapest of the best-fit packings that open bins of each set of the permitted sizes.
 
-    A bin costs its final capacity plus ``bin_cost``.
+    A bin costs its final capacity plus ``bin_cost``. All sets are tried at any number of sizes, so the plans double with each size.
     """
     caps = sorted(set(capacities))
     if not caps or caps[0] < 1:
         raise ValueError("capacities must be positive")
     price = {c: c + bin_cost for c in caps}
-    opened = [c for k in range(len(caps), 0, -1) for c in combinations(caps, k)] if len(caps) <= SETS else [caps[:k] for k in range(len(caps), 0, -1)]
+    opened = [c for k in range(len(caps), 0, -1) for c in combinations(caps, k)]
     return min((_best_fit(hist, sizes, price, caps) for sizes in opened), key=lambda p: p.cost)
 
 

@@ -268,6 +268,19 @@ def test_plan_equals_item_by_item(seed):
     assert plan.cost == min(one_by_one(lengths, some, sizes)[0] for k in (1, 2, 3) for some in combinations(sizes, k))
 
 
+def test_every_set_of_seven_sizes_is_tried():
+    rng, gained = random.Random(8), 0
+    for _ in range(30):
+        sizes = sorted(rng.sample(range(20, 200), 7))
+        hist = sorted(Counter(rng.randrange(1, sizes[-1] + 1) for _ in range(60)).items())
+        price = {c: float(c) for c in sizes}
+        cost = packing.plan_bins(hist, sizes).cost
+        sets = [[s for k, s in enumerate(sizes) if mask >> k & 1] for mask in range(1, 128)]
+        assert cost == min(packing._best_fit(hist, opened, price, sizes).cost for opened in sets)
+        gained += cost < min(packing._best_fit(hist, sizes[:k], price, sizes).cost for k in range(1, 8))
+    assert gained > 10
+
+
 def test_pack(spark):
     rng = random.Random(3)
     n = [rng.randrange(0, 90) for _ in range(400)] + [500, 64, 64, 129]
