@@ -6,13 +6,16 @@ Each class y (toxic, ordinary) has
     P_y(v)     = max(n_y(v) - D_y, 0) / n_y + rest_y * P(v)
 
 with c_y the texts of the class with the pair u v, n_y(v) the different words before v in texts of the class, and P(v) the
-same continuation count over the texts of both classes, discounted and shared out to unseen words. The rests make sums of one. So rare
-expressions, of whose counts nothing is left, have the shared probability in both classes. Discounts start from the
-count of counts, n1 / (n1 + 2 n2); as single counts tell the classes apart badly, each order's is the multiple of
-that (WORD_DISCOUNTS, PAIR_DISCOUNTS) that serves best on labelled texts that were not counted. The larger class has the same
-discount in proportion to its counts. A text is measured by the mean over its words of log P_toxic - log P_ordinary, where
-words on which both agree within a factor e^AGREE count as equal, and that times the root of its
-length; a logistic curve makes it a score.
+same continuation count over the texts of both classes, discounted and shared out to unseen words. The rests make sums of one. Each
+discount is Kneser-Ney's own, n1 / (n1 + 2 n2) of the counts it is taken from. A pair of a single text is left to backoff, as with
+the usual count cutoff.
+
+A log ratio log P_toxic - log P_ordinary is of the same size for one chance count as for a hundred, so it enters by its
+expectation: w = 1 / (1 + (1 - q) / q * e^-L) is the probability that the word takes sides, with L the log-likelihood that its texts
+f_toxic, f_ordinary gain by a share of their own over that of the classes, and q the prior for it. The ratio of a word counts w times; what a pair
+adds to its word counts by the same rule, with the word's expected share in place of the classes'. Both priors are the ones that serve best on
+labelled texts that were not counted. A text is measured by the mean over its words, and that times the root of its length; a logistic
+curve makes it a score. Terms within TOLERANCE of their default are not stored and stand at it, when the priors are chosen too.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import cut, discard, release
 
-WORD_DISCOUNTS = (1, 2, 4, 8, 16)
-PAIR_DISCOUNTS = (16, 128, 1024)
-AGREE = 1.0
-CALIBRATION_ROWS = 4_000  # bound expected size of the labelled sample, not counted, that chooses discounts and fits the curve: ids whose digest falls in that share
+WORD_PRIORS = (1e-1, 1e-2, 1e-3, 1e-4)
+PAIR_PRIORS = (1e-2, 1e-3, 1e-4)
+TOLERANCE = 0.05  # of a term of the mean
+ONCE = np.uint64(1)  # stands before a word in the count of its texts
+CALIBRATION_ROWS = 4_000  # bound expected size of the labelled sample, not counted, that chooses priors and fits the curve: ids whose digest falls in that share
 CALIBRATION_SHARE = 0.2  # of the labelled rows, where that is less
 BROADCAST_ROWS = 4_000_000  # of the model, 16 bytes each; a larger one is joined
 BROADCAST_LABELS = 2_000_000
@@ -59,7 +63,7 @@ def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 @tk.trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, toxic, ordinary) sums of the pairs of each task's texts (toxic, text)."""
+    """(u, v, toxic, ordinary) sums of the pairs of each task's texts (toxic, text), and of its words with ONCE for u."""
     held: list[np.ndarray] = []
 
     def merged() -> pa.RecordBatch:
@@ -75,8 +79,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         for lo, hi, data, off in tk.slices(batch.column(1)):
             u, v, d = _marked(tk.words(data, off, loose=True))
-            rows = _distinct(d, u, v)
-            held.append(np.stack([u[rows], v[rows], label[lo:hi][d[rows]]], axis=1))
+            for before in (u, np.full(len(v), ONCE)):
+                rows = _distinct(d, before, v)
+                held.append(np.stack([before[rows], v[rows], label[lo:hi][d[rows]]], axis=1))
             if sum(map(len, held)) >= MERGE:
                 yield merged()
                 held = []
@@ -92,117 +97,134 @@ def _distinct(d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """Tables of counts and their totals. words: v, n_t, n_o, n (continuation counts); pairs: u, v, c_t, c_o of those above the least discount."""
-
-    words: DataFrame
-    pairs: DataFrame
-    contexts: DataFrame  # u, c_t, c_o, and what the i-th discount leaves of them, l_t_i, l_o_i
-    n_t: float
-    n_o: float
-    word_d: list[tuple[float, float]]
-    pair_d: list[tuple[float, float]]
-    rest: list[tuple[float, float]]  # of each discount of words
+    """Tables of counts and their totals, each class with its own discounts of words and pairs."""
+
+    words: DataFrame  # v, n_t, n_o (words before it), f_t, f_o (texts), shared: P(v)
+    pairs: DataFrame  # u, v, c_t, c_o of pairs in two texts or more
+    contexts: DataFrame  # u, t_t, t_o (texts), l_t, l_o (what is left of them to backoff); those of such pairs
+    totals: dict[str, float]  # of n_t and n_o
+    word_d: dict[str, float]
+    pair_d: dict[str, float]
+    rest: dict[str, float]  # of words
     unseen: float
+    side: float  # share of texts with a word that are toxic, over all words
 
-    def p_word(self, i: int) -> tuple[Column, Column]:
-        """P_y(v) under the i-th discount, in n_t, n_o and shared, null for words not seen."""
-        shared = F.coalesce("shared", F.lit(self.unseen))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        (d_t, d_o), (r_t, r_o) = self.word_d[i], self.rest[i]
-        return F.greatest(zero("n_t") - d_t, F.lit(0.0)) / self.n_t + r_t * shared, F.greatest(zero("n_o") - d_o, F.lit(0.0)) / self.n_o + r_o * shared
+    def p_word(self, y: str) -> Column:
+        """P_y(v) from n_y and shared, null for words not seen."""
+        return F.greatest(F.coalesce(f"n_{y}", F.lit(0)) - self.word_d[y], F.lit(0.0)) / self.totals[y] + self.rest[y] * F.coalesce("shared", F.lit(self.unseen))
 
-    def p_pair(self, i: int, j: int) -> tuple[Column, Column]:
-        """P_y(v | u) under the i-th discount of words and the j-th of pairs; u's and the pair's columns may be null."""
+    def p_pair(self, y: str) -> Column:
+        """P_y(v | u); the columns of u and of the pair may be null."""
+        total = F.coalesce(f"t_{y}", F.lit(0))
+        own = F.greatest(F.coalesce(f"c_{y}", F.lit(0)) - self.pair_d[y], F.lit(0.0))
+        return F.when(total > 0, own / total + F.col(f"l_{y}") / total * self.p_word(y)).otherwise(self.p_word(y))
 
-        def one(y: str, base: Column, b: float) -> Column:
-            total = F.coalesce(F.col(f"t_{y}"), F.lit(0))
-            rest = F.when(total > 0, F.col(f"l_{y}_{j}") / total).otherwise(1.0)
-            return F.when(total > 0, F.greatest(F.coalesce(F.col(f"c_{y}"), F.lit(0)) - b, F.lit(0.0)) / total).otherwise(0.0) + rest * base
+    def common(self, q: float) -> float:
+        """The term of a word that was not seen."""
+        return q * float(np.log(self.rest["t"]) - np.log(self.rest["o"]))
 
-        (p_t, p_o), (b_t, b_o) = self.p_word(i), self.pair_d[j]
-        return one("t", p_t, b_t), one("o", p_o, b_o)
+    def word(self, q: float) -> Column:
+        return _stored(self._sides(q) * _ratio(self.p_word), F.lit(self.common(q)))
 
+    def context(self, r: float) -> Column:
+        """The term that u adds before a word with which it makes no counted pair."""
+        rest = lambda y: F.when(F.col(f"t_{y}") > 0, F.col(f"l_{y}") / F.col(f"t_{y}")).otherwise(1.0)
+        return _stored(F.coalesce(r * _ratio(rest), F.lit(0.0)), F.lit(0.0))
 
-def _discounts(n1: float, n2: float, multiples: tuple, ratio: float) -> list[tuple[float, float]]:
-    """(toxic, ordinary) for each multiple; ratio: ordinary counts for each toxic one."""
-    d = n1 / (n1 + 2 * n2) if n1 else 0.5
-    return [(m * d * max(1.0, 1 / ratio), m * d * max(1.0, ratio)) for m in multiples]
+    def pair(self, q: float, r: float) -> Column:
+        """The term that a counted pair adds to its word."""
+        w = self._sides(q)
+        share = w * F.col("f_t") / (F.col("f_t") + F.col("f_o")) + (1 - w) * self.side
+        w = _weight(r, F.col("c_t"), F.col("c_o"), F.greatest(F.least(share, F.lit(1 - 1e-6)), F.lit(1e-6)))
+        return _stored(w * (_ratio(self.p_pair) - _ratio(self.p_word)), self.context(r))
+
+    def _sides(self, q: float) -> Column:
+        return _weight(q, F.coalesce("f_t", F.lit(0)), F.coalesce("f_o", F.lit(0)), F.lit(self.side))
+
+
+def _ratio(p) -> Column:
+    return F.log(p("t")) - F.log(p("o"))
+
+
+def _stored(x: Column, default: Column) -> Column:
+    return F.when(F.abs(x - default) > TOLERANCE, x).otherwise(default)
+
+
+def _weight(prior: float, t: Column, o: Column, share: Column) -> Column:
+    """Probability that t and o have a share of their own, given the prior for it and the share they have otherwise."""
+    part = lambda k, s: F.when(k > 0, k * F.log(k / ((t + o) * s))).otherwise(0.0)
+    gain = part(t, share) + part(o, 1 - share)
+    return 1 / (1 + (1 - prior) / prior * F.exp(-F.least(gain, F.lit(500.0))))
+
+
+def _discount(once: float, twice: float) -> float:
+    return once / (once + 2 * twice) if once else 0.5
 
 
 def count(train: DataFrame, text_col: str) -> Counts | None:
     """Counts of the texts (__toxic, text); None if a class has none."""
-    all_pairs = cut(train.select("__toxic", text_col).mapInArrow(_counts, "u long, v long, toxic long, ordinary long").groupBy("u", "v").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o")))
+    counted = cut(train.select("__toxic", text_col).mapInArrow(_counts, "u long, v long, toxic long, ordinary long").groupBy("u", "v").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o")))
     release(train.sparkSession)
-    some = lambda c: F.sum(F.col(c).cast("int"))
-    words = all_pairs.select("v", (F.col("c_t") > 0).alias("t"), (F.col("c_o") > 0).alias("o")).groupBy("v").agg(some("t").alias("n_t"), some("o").alias("n_o"), F.count("*").alias("n"))
+    word, pair = F.col("u") == int(ONCE), F.col("u") != int(ONCE)
+    many = lambda c: F.sum(c.cast("int"))
+    texts = lambda c: F.coalesce(F.max(F.when(word, F.col(c))), F.lit(0))
+    words = counted.groupBy("v").agg(many(pair & (F.col("c_t") > 0)).alias("n_t"), many(pair & (F.col("c_o") > 0)).alias("n_o"), many(pair).alias("n"), texts("c_t").alias("f_t"), texts("c_o").alias("f_o"))
     words = cut(words)
     release(train.sparkSession)
     is_ = lambda c, k: F.sum((F.col(c) == k).cast("double"))
-    w = words.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n").alias("n"), F.count("*").alias("v"), is_("n", 1).alias("s1"), is_("n", 2).alias("s2"), *[is_(f"n_{y}", k).alias(f"{y}{k}") for y in "to" for k in (1, 2)]).first()
+    some = lambda c: F.sum((F.col(c) > 0).cast("double"))
+    w = words.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n").alias("n"), F.count("*").alias("v"), is_("n", 1).alias("s1"), is_("n", 2).alias("s2"), F.sum("f_t").alias("ft"), F.sum("f_o").alias("fo"),
+        *[is_(f"n_{y}", k).alias(f"{y}{k}") for y in "to" for k in (1, 2)], *[some(f"n_{y}").alias(f"v{y}") for y in "to"]).first()
     if not w["t"] or not w["o"]:
         return None
-    ratio = w["o"] / w["t"]
-    few = "t" if ratio >= 1 else "o"  # the class with fewer counts gives the discount
-    word_d = _discounts(w[f"{few}1"], w[f"{few}2"], WORD_DISCOUNTS, ratio)
-    p = all_pairs.agg(is_(f"c_{few}", 1).alias("n1"), is_(f"c_{few}", 2).alias("n2")).first()
-    pair_d = _discounts(p["n1"], p["n2"], PAIR_DISCOUNTS, ratio)
-    shared_d = _discounts(w["s1"], w["s2"], (1,), 1.0)[0][0]
+    pairs = counted.where(pair)
+    p = pairs.agg(*[is_(f"c_{y}", k).alias(f"{y}{k}") for y in "to" for k in (1, 2)]).first()
+    word_d, pair_d = ({y: _discount(x[f"{y}1"], x[f"{y}2"]) for y in "to"} for x in (w, p))
+    shared_d = _discount(w["s1"], w["s2"])
     unseen = shared_d * w["v"] / (w["v"] + 1) / w["n"]
-    words = words.withColumn("shared", F.greatest(F.col("n") - shared_d, F.lit(0.0)) / w["n"] + unseen)
-    kept = lambda c, d: F.sum(F.greatest(F.col(c) - d, F.lit(0.0)))
-    k = words.agg(*[kept(f"n_{y}", d[z]).alias(f"{y}_{i}") for i, d in enumerate(word_d) for z, y in enumerate("to")]).first()
-    rest = [(1 - k[f"t_{i}"] / w["t"], 1 - k[f"o_{i}"] / w["o"]) for i in range(len(word_d))]
-    left = [(F.sum(f"c_{y}") - kept(f"c_{y}", d[z])).alias(f"l_{y}_{j}") for j, d in enumerate(pair_d) for z, y in enumerate("to")]
-    pairs = cut(all_pairs.where((F.col("c_t") > pair_d[0][0]) | (F.col("c_o") > pair_d[0][1])))
-    used = pairs.select("u").distinct()  # of other contexts nothing is left but the backoff
-    contexts = cut(all_pairs.groupBy("u").agg(F.sum("c_t").alias("t_t"), F.sum("c_o").alias("t_o"), *left).join(used, "u", "left_semi"))
-    discard(all_pairs)
-    return Counts(words, pairs, contexts, float(w["t"]), float(w["o"]), word_d, pair_d, rest, unseen)
-
-
-def _log_ratio(p: tuple[Column, Column]) -> Column:
-    return F.log(p[0]) - F.log(p[1])
+    words = words.withColumn("shared", F.greatest(F.col("n") - shared_d, F.lit(0.0)) / w["n"] + unseen).drop("n")
+    kept = F.col("c_t") + F.col("c_o") > 1
+    left = [F.sum(F.when(kept, F.least(F.col(f"c_{y}"), F.lit(pair_d[y]))).otherwise(F.col(f"c_{y}"))).alias(f"l_{y}") for y in "to"]
+    contexts = cut(pairs.groupBy("u").agg(F.sum("c_t").alias("t_t"), F.sum("c_o").alias("t_o"), *left, F.max(kept).alias("some")).where("some").drop("some"))
+    pairs = cut(pairs.where(kept))
+    discard(counted)
+    return Counts(words, pairs, contexts, {y: float(w[y]) for y in "to"}, word_d, pair_d, {y: word_d[y] * w[f"v{y}"] / w[y] for y in "to"}, unseen, w["ft"] / (w["ft"] + w["fo"]))
 
 
-def _agreed(x: Column) -> Column:
-    return F.when(F.abs(x) > AGREE, x).otherwise(0.0)
-
-
-def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[int, int, tuple[float, float, float]]:
-    """The discounts of words and of pairs with the least logistic loss on labelled texts (__toxic, text), and their curve.
+def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[float, float, tuple[float, float, float]]:
+    """The priors of words and of pairs with the least logistic loss on labelled texts (__toxic, text), and their curve.
 
     The sample has a bounded number of texts; one row for each of them comes to the driver.
     """
     used, keyed = _tokens(sample.select("__toxic", text_col))
-    used = used.join(counts.words.select("v", "n_t", "n_o", "shared"), "v", "left").join(counts.contexts, "u", "left").join(counts.pairs, ["u", "v"], "left")
-    tried = [(i, j) for i in range(len(WORD_DISCOUNTS)) for j in range(len(PAIR_DISCOUNTS))]
-    sums = used.groupBy("__k").agg(F.sum("count").alias("n"), *[F.sum(F.col("count") * _agreed(_log_ratio(counts.p_pair(i, j)))).alias(f"x{i}_{j}") for i, j in tried])
+    used = used.join(counts.words, "v", "left").join(counts.contexts, "u", "left").join(counts.pairs, ["u", "v"], "left")
+    tried = [(q, r) for q in WORD_PRIORS for r in PAIR_PRIORS]
+    term = lambda q, r: counts.word(q) + F.when(F.col("c_t").isNotNull(), counts.pair(q, r)).otherwise(counts.context(r))
+    sums = used.groupBy("__k").agg(F.sum("count").alias("n"), *[F.sum(F.col("count") * term(*t)).alias(f"x{i}") for i, t in enumerate(tried)])
     fit = keyed.select("__k", "__toxic").join(sums, "__k", "left").na.fill(0).drop("__k").toPandas()
     y, n = fit["__toxic"].to_numpy(float), fit["n"].to_numpy(float)
     best = None
-    for i, j in tried:
-        x = fit[f"x{i}_{j}"].to_numpy(float) / np.maximum(n, 1)
+    for i, (q, r) in enumerate(tried):
+        x = fit[f"x{i}"].to_numpy(float) / np.maximum(n, 1)
         curve = _curve(x, n, y)
         z = np.clip(curve[0] + curve[1] * x + curve[2] * x * np.sqrt(n), -30, 30)
         loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).mean()) if len(y) else 0.0
         if best is None or loss < best[0]:
-            best = (loss, i, j, curve)
+            best = (loss, q, r, curve)
     return best[1:]
 
 
-def learn(counts: Counts, i: int, j: int) -> tuple[DataFrame, float]:
-    """Log ratios (kind, key, ratio) under the chosen discounts, and that of all words whose counts the discount takes whole.
+def learn(counts: Counts, q: float, r: float) -> tuple[DataFrame, float]:
+    """Terms (kind, key, ratio) under the chosen priors, and that of all words without one.
 
-    Kind 0: of a word; 1: what a word before adds; 2: of a pair, in place of both.
+    Kind 0: of a word; 1: what a word before adds; 2: what it adds as a counted pair, in place of kind 1.
     """
-    (d_t, d_o), (b_t, b_o) = counts.word_d[i], counts.pair_d[j]
-    single = counts.words.where((F.col("n_t") > d_t) | (F.col("n_o") > d_o)).select(F.lit(0).alias("kind"), F.col("v").alias("key"), _log_ratio(counts.p_word(i)).alias("ratio"))
-    rest = lambda y: F.when(F.col(f"t_{y}") > 0, F.col(f"l_{y}_{j}") / F.col(f"t_{y}")).otherwise(1.0)
-    context = counts.contexts.select(F.lit(1), F.col("u"), _log_ratio((rest("t"), rest("o"))).alias("ratio")).where("ratio <> 0")
-    some = counts.pairs.where((F.col("c_t") > b_t) | (F.col("c_o") > b_o)).join(counts.contexts, "u").join(counts.words.select("v", "n_t", "n_o", "shared"), "v")
-    pair = some.select("u", "v", _log_ratio(counts.p_pair(i, j)).alias("ratio")).mapInArrow(_pair_keys, "kind int, key long, ratio double")
-    r_t, r_o = counts.rest[i]
-    return cut(single.union(context).union(pair)), float(np.log(r_t) - np.log(r_o))
+    common = counts.common(q)
+    single = counts.words.select(F.lit(0).alias("kind"), F.col("v").alias("key"), counts.word(q).alias("ratio")).where(F.col("ratio") != common)
+    context = counts.contexts.select(F.lit(1), F.col("u"), counts.context(r).alias("ratio")).where("ratio <> 0")
+    some = counts.pairs.join(counts.contexts, "u").join(counts.words, "v").select("u", "v", counts.pair(q, r).alias("ratio"), counts.context(r).alias("default"))
+    pair = some.where("ratio <> default").select("u", "v", "ratio").mapInArrow(_pair_keys, "kind int, key long, ratio double")
+    return cut(single.union(context).union(pair)), common
 
 
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +235,7 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The ratios as sorted arrays, for a broadcast of bounded size."""
+    """The terms as sorted arrays, for a broadcast of bounded size."""
 
     tables: list[tuple[np.ndarray, np.ndarray]]
     common: float
@@ -238,16 +260,17 @@ class Model:
         return ok, ratios[at[ok]]
 
     def sums(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log ratios and number of words of each text."""
+        """Sum of terms and number of words of each text."""
         u, v, doc = _marked(w)
         x = np.full(len(v), self.common)
         at, r = self._find(0, v)
         x[at] = r
+        added = np.zeros(len(v))
         at, r = self._find(1, u)
-        x[at] += r
+        added[at] = r
         at, r = self._find(2, _pair(u, v))
-        x[at] = r
-        x[np.abs(x) <= AGREE] = 0
+        added[at] = r
+        x += added
         n = np.diff(w.first)
         return np.bincount(doc, x, minlength=len(n)), n
 
@@ -291,7 +314,7 @@ def _features_joined(rows: DataFrame, ratios: DataFrame, common: float, columns:
     used, keyed = _tokens(rows.select(*[c for c in columns if c != text_col], text_col))
     for k, name in enumerate(("v", "u", "uv")):
         used = used.join(ratios.where(F.col("kind") == k).select(F.col("key").alias(name), F.col("ratio").alias(f"r{k}")), name, "left")
-    x = _agreed(F.coalesce(F.col("r2"), F.coalesce(F.col("r0"), F.lit(common)) + F.coalesce(F.col("r1"), F.lit(0.0))))
+    x = F.coalesce("r0", F.lit(common)) + F.coalesce("r2", "r1", F.lit(0.0))
     sums = used.groupBy("__k").agg((F.sum(F.col("count") * x) / F.sum("count")).alias("__x"), F.sum("count").alias("__n"))
     return keyed.join(sums, "__k", "left").select(*columns, F.coalesce("__x", F.lit(0.0)).alias("__x"), F.coalesce("__n", F.lit(0)).alias("__n"))
 
@@ -340,8 +363,8 @@ def _measured(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: st
         rate = labelled.agg(F.avg("__toxic")).first()[0]
         a, b, c = _curve(np.zeros(0), np.zeros(0), np.zeros(0)) if not rate else _curve(np.zeros(1), np.zeros(1), np.ones(1))
     else:
-        i, j, (a, b, c) = choose(counts, labelled.where(sampled), text_col)
-        ratios, common = learn(counts, i, j)
+        q, r, (a, b, c) = choose(counts, labelled.where(sampled), text_col)
+        ratios, common = learn(counts, q, r)
     model = Model.collect(ratios, common) if ratios.count() <= broadcast_rows else None
 
     logit = F.lit(a) + F.lit(b) * F.col("__x") + F.lit(c) * F.col("__x") * F.sqrt(F.col("__n"))
@@ -353,7 +376,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row per input row: id, held_out, score, predicted.
 
     Of the labelled rows those with crc32(id as text) mod 3 of 1 are held out; of all others about CALIBRATION_ROWS, or
-    CALIBRATION_SHARE if less, choose discounts and fit the curve, and the rest give counts. Scores use the text alone. A null or empty text scores as the curve at 0. A null id is not
+    CALIBRATION_SHARE if less, choose priors and fit the curve, and the rest give counts. Scores use the text alone. A null or empty text scores as the curve at 0. A null id is not
     held out and never labelled. Several labels of an id: the largest holds. Repeated rows get a row each. Without
     labels all texts score alike, below the threshold. An empty table gives no rows. Other columns are ignored.
     """

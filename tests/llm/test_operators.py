@@ -687,51 +687,82 @@ def test_string_ids(spark):
 
 
 def test_kneser_ney_equals_plain_model(spark):
-    """Log ratios of a small corpus against dictionaries."""
+    """Terms of a small corpus against dictionaries."""
     rng = random.Random(4)
     texts = [" ".join(words(rng, rng.randrange(3, 40), 30) + (["bad"] * (k % 3) if k % 4 == 0 else [])) for k in range(120)]
     label = [int(k % 4 == 0) for k in range(120)]
     df = spark.createDataFrame(list(zip(label, texts, strict=True)), "__toxic int, text string")
     c = toxicity.count(df, "text")
-    pair = [Counter(), Counter()]
+    pair, inside = [Counter(), Counter()], [Counter(), Counter()]
     for t, y in zip(texts, label, strict=True):
         w = t.split()
         pair[y].update(set(zip([None, *w], w, strict=False)))
+        inside[y].update(set(w))
     before = [Counter(v for _, v in p) for p in pair]
     both = Counter(v for _, v in pair[0].keys() | pair[1].keys())
     n, total = [sum(b.values()) for b in before], sum(both.values())
-    one, two = (sum(x == k for x in both.values()) for k in (1, 2))
-    ds = one / (one + 2 * two) if one else 0.5
-    few = int(n[1] <= n[0])
-    scale = [max(1.0, n[y] / n[1 - y]) for y in (0, 1)]
     kn = lambda counts: (lambda a, b: a / (a + 2 * b) if a else 0.5)(*(sum(x == k for x in counts.values()) for k in (1, 2)))
+    ds = kn(both)
     base = ds * len(both) / (len(both) + 1) / total
-    context = [Counter() for _ in pair]
-    for p, x in zip(pair, context, strict=True):
-        for (u, _), k in p.items():
-            x[u] += k
+    side = sum(inside[1].values()) / sum(sum(f.values()) for f in inside)
+    counted = {p for p in pair[0].keys() | pair[1].keys() if pair[0][p] + pair[1][p] > 1}
 
-    def p_word(y, v, m):
-        d = m * kn(before[few]) * scale[y]
+    def p_word(y, v):
+        d = kn(before[y])
         kept = sum(max(k - d, 0) for k in before[y].values())
         return max(before[y][v] - d, 0) / n[y] + (1 - kept / n[y]) * (max(both[v] - ds, 0) / total + base)
 
-    def p_pair(y, u, v, m, mb):
-        d = mb * kn(pair[few]) * scale[y]
-        if not context[y][u]:
-            return p_word(y, v, m)
-        kept = sum(max(k - d, 0) for (a, _), k in pair[y].items() if a == u)
-        return max(pair[y][u, v] - d, 0) / context[y][u] + (1 - kept / context[y][u]) * p_word(y, v, m)
+    def p_pair(y, u, v):
+        d, all_ = kn(pair[y]), sum(k for (a, _), k in pair[y].items() if a == u)
+        if not all_ or not any(a == u for a, _ in counted):
+            return p_word(y, v)
+        kept = sum(max(k - d, 0) for (a, b), k in pair[y].items() if a == u and (a, b) in counted)
+        return (max(pair[y][u, v] - d, 0) / all_ if (u, v) in counted else 0) + (1 - kept / all_) * p_word(y, v)
+
+    def weight(prior, t, o, share):
+        gain = sum(k * np.log(k / (t + o) / s) for k, s in ((t, share), (o, 1 - share)) if k)
+        return 1 / (1 + (1 - prior) / prior * np.exp(-gain))
+
+    ratio = lambda p, *a: np.log(p(1, *a)) - np.log(p(0, *a))
+    stored = lambda x, default: x if abs(x - default) > toxicity.TOLERANCE else default
+    for q, r in ((0.01, 0.001), (0.2, 0.3)):
+        model = toxicity.Model.collect(*toxicity.learn(c, q, r))
+        assert len(model.tables[0][0])
+
+        def term(u, v):
+            t, o = inside[1][v], inside[0][v]
+            w = weight(q, t, o, side)
+            unseen = q * ratio(p_word, "not seen")
+            fallback = stored(r * (ratio(p_pair, u, "not seen") - ratio(p_word, "not seen")), 0.0)
+            added = fallback
+            if (u, v) in counted:
+                share = min(max(w * t / (t + o) + (1 - w) * side, 1e-6), 1 - 1e-6)
+                added = stored(weight(r, pair[1][u, v], pair[0][u, v], share) * (ratio(p_pair, u, v) - ratio(p_word, v)), fallback)
+            return stored(w * ratio(p_word, v), unseen) + added
 
-    for i, j in ((0, 0), (2, 1)):
-        m, mb = toxicity.WORD_DISCOUNTS[i], toxicity.PAIR_DISCOUNTS[j]
-        model = toxicity.Model.collect(*toxicity.learn(c, i, j))
         for t in [*texts[:20], "bad w1x bad", "never seen w2x"]:
             w = t.split()
-            want = [np.log(p_pair(1, u, v, m, mb)) - np.log(p_pair(0, u, v, m, mb)) for u, v in zip([None, *w], w, strict=False)]
             data, off = tk.text_buffer(pa.array([t]))
             x, k = model.sums(tk.words(data, off, loose=True))
-            assert k[0] == len(w) and abs(x[0] - sum(r for r in want if abs(r) > toxicity.AGREE)) < 1e-9
+            assert k[0] == len(w) and abs(x[0] - sum(term(u, v) for u, v in zip([None, *w], w, strict=False))) < 1e-9
+    assert max(*c.word_d.values(), *c.pair_d.values()) < 1
+
+
+def test_pairs_alone_tell_classes_apart(spark):
+    """Both classes have the same words equally often; only their order differs."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(1200):
+        body = words(rng, rng.randrange(30, 80), 400)
+        for _ in range(4):
+            at = rng.randrange(len(body))
+            body[at:at] = ["green", "tide"] if k % 3 == 0 else ["tide", "green"]
+        texts.append(" ".join(body))
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    rows = toxicity.score_toxicity(docs(spark, texts), lab).collect()
+    for held in (True, False):
+        these = [r for r in rows if r["held_out"] == held]
+        assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in these) >= 0.97 * len(these)
 
 
 def test_divided_anchors_equal_one_array(spark, monkeypatch):
