@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import ingest
 from .functions import metric as m
 from .functions import morton
-from .operators import gather, graph, index, knn, loss, radius, sampling, sparse, voxel
+from .operators import gather, graph, index, knn, loss, radius, rings, sampling, sparse, voxel
 from .plans.order import cut, global_order, permutation, shared_dir
 from .sources import tables as t
 
@@ -81,6 +81,19 @@ def knn_cells(spark, d):
     return knn.knn(t.cell_cloud(cloud), cloud, 8)
 
 
+@query("grid_knn", f"WITH {CELLS} SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('cells', 'cloud', 5)})")
+def grid_knn(spark, d):
+    cloud = t.events_cloud(spark, d)
+    return rings.grid_knn(t.cell_cloud(cloud), cloud, 5, 2.0)
+
+
+@query("grid_knn_far", f"WITH {CELLS}, far AS (SELECT batch, idx, x + 512::FLOAT AS x, y - 512::FLOAT AS y, z FROM cells) SELECT batch, q, slot, ref, sqrt(d)::FLOAT AS dist FROM ({top('far', 'cloud', 2)})")
+def grid_knn_far(spark, d):
+    cloud = t.events_cloud(spark, d)
+    moved = t.cell_cloud(cloud).withColumn("pos", F.array(F.col("pos")[0] + m.flit(512), F.col("pos")[1] - m.flit(512), F.col("pos")[2]))
+    return rings.grid_knn(moved, cloud, 2, 4.0)
+
+
 def _flat(cloud: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat points (idx, pos) in the order of batch and idx, and their pointers (batch, lo, hi)."""
     numbered, _ = global_order(cloud.select("batch", "idx", "pos"), [F.col("batch"), F.col("idx")], "g")
