@@ -27,8 +27,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BREAK = _SPACE.copy()
 _BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-_powers = np.ones(1, dtype=U64)
-_inverse = np.ones(1, dtype=U64)
+_tables = np.ones(1, dtype=U64), np.ones(1, dtype=U64)  # of _power_tables
 
 
 def trimmed(f: Callable) -> Callable:
@@ -45,15 +44,17 @@ def trimmed(f: Callable) -> Callable:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, grown by doubling and kept per process."""
-    global _powers, _inverse
-    while len(_powers) < n:
-        m = len(_powers)
+    """base**i and base**-i modulo 2**64 for i < n, grown by doubling and kept per process; both change together, for threads of the driver."""
+    global _tables
+    powers, inverse = _tables
+    while len(powers) < n:
+        m = len(powers)
         step, back = U64(pow(_BASE, m, 1 << 64)), U64(pow(_BASE, -m, 1 << 64))
         with np.errstate(over="ignore"):
-            _powers = np.concatenate([_powers, _powers * step])
-            _inverse = np.concatenate([_inverse, _inverse * back])
-    return _powers, _inverse
+            powers = np.concatenate([powers, powers * step])
+            inverse = np.concatenate([inverse, inverse * back])
+        _tables = powers, inverse
+    return powers, inverse
 
 
 def mix(h: np.ndarray) -> np.ndarray:
