@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import metric as m
+from ..plans.order import cut
 from .pyramid import Pyramid, finite_points, nearest
 
 SCAN = 4_000_000  # pairs up to which all are compared: less work than the steps of a descent
@@ -28,6 +30,19 @@ def pairs(query: DataFrame, ref: DataFrame, dim: int, distance=m.d2) -> DataFram
     return q.join(r, "batch").select("batch", "q", "ref", distance(F.col("qpos"), F.col("rpos"), dim).alias("d"))
 
 
+def by_place(query: DataFrame, dim: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows (batch, q, ...) of ``search``, which is asked with the first point of each place alone, for all points of that place.
+
+    Rows of a place travel as one array, so that copies cost a row each. Both joins are by shuffle: their sizes can't be foretold.
+    """
+    own = query.select("batch", F.col("idx").alias("q"), F.slice("pos", 1, dim).alias("place"))
+    first = cut(own.groupBy("batch", "place").agg(F.min("q").alias("first")))
+    found = search(first.select("batch", F.col("first").alias("idx"), F.col("place").alias("pos")))
+    packed = found.groupBy("batch", F.col("q").alias("first")).agg(F.collect_list(F.struct(*[c for c in found.columns if c not in ("batch", "q")])).alias("rows"))
+    at = first.hint("merge").join(packed, ["batch", "first"]).select("batch", "place", "rows")
+    return own.hint("merge").join(at, ["batch", "place"]).select("batch", "q", F.inline("rows"))
+
+
 Trees = tuple[Pyramid, Pyramid]
 
 

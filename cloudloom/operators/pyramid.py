@@ -395,6 +395,8 @@ class Within:
         self.d = np.zeros((len(ids), k), np.float32)
 
     def offer(self, ids: np.ndarray, ranks: np.ndarray, pos: np.ndarray, near: float, box: np.ndarray) -> None:
+        if ids.min() >= self.ref[:, -1].max(initial=0):
+            return
         d = distances(self.pos, pos, 2)
         hit = (d < self.limit) & (ids[None] < self.ref[:, -1:])
         rows, use = np.flatnonzero(hit.any(axis=1)), hit.any(axis=0)
