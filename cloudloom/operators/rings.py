@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..plans.order import cut, discard
 from .knn import knn, smallest
 
 RINGS = ((0, 1), (2, 3), (4, 7))  # of the rounds, counted from the first ring that meets the box of the references
+FAR = 8  # first rings from here on hold much of the cloud at once: their queries go to the pyramids
 LARGEST_CELL = 1e9  # beyond, cells are finer than their rounding
 
 
@@ -38,9 +41,10 @@ def _around(active: DataFrame, lo: int, hi: int, dim: int) -> DataFrame:
 def grid_knn(query: DataFrame, ref: DataFrame, k: int, size: float, dim: int = 3, rings: tuple = RINGS) -> DataFrame:
     """(batch, q, slot, ref, dist): the rows of ``knn``, by cells of width ``size``.
 
-    A query starts at the first ring of cells around its own that meets the box of the occupied cells, so one far outside
-    jumps there, and looks only at cells in that box. It leaves when its k-th distance is less than any in the next ring, or no ring
-    is left. Queries that are still there after ``rings`` (sparse surroundings, cells much too fine) go to ``knn``. Points that
+    A query starts at the first ring of cells around its own that meets the box of the occupied cells, and looks only at cells
+    in that box. It leaves when its k-th distance is less than any in the next ring, or no ring is left. Queries that are still there after
+    ``rings`` (sparse surroundings, cells much too fine) go to ``knn``, and so do at once those that start FAR rings out, to which a ring is a
+    slab that can hold the whole cloud. Points that
     are not finite and distances that overflow take no part; ties go to the smaller index. Sizes that make cell numbers
     larger than LARGEST_CELL are refused.
     """
@@ -63,8 +67,13 @@ def grid_knn(query: DataFrame, ref: DataFrame, k: int, size: float, dim: int = 3
     widest = active.agg(F.max("wide")).first()[0] or 0
     if widest > LARGEST_CELL:
         raise ValueError(f"cells of width {size} are too fine for these coordinates")
+    away = active.where(F.col("first") >= FAR).select("batch", F.col("q").alias("idx"), F.col("qpos").alias("pos"))
+    far, active = not away.isEmpty(), active.where(F.col("first") < FAR)
     settled, best = [], None
     for lo, hi in rings:
+        if far and active.isEmpty():
+            active = None
+            break
         near = _around(active, lo, hi, dim).join(points, ["batch", *[f"c{i}" for i in range(dim)]])
         near = near.select("batch", "q", "ref", m.d2(F.col("qpos"), F.col("rpos"), dim).alias("d")).where(m.finite(F.col("d")))
         found = near if best is None else near.union(best.join(active, ["batch", "q"], "left_semi").select("batch", "q", "ref", "d"))
@@ -79,11 +88,10 @@ def grid_knn(query: DataFrame, ref: DataFrame, k: int, size: float, dim: int = 3
             active = None
             break
     discard(points)
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.union(more)
-    out = out.select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
+    parts = [found.select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist")) for found in settled]
+    rest = [away] if far else []
     if active is not None:
-        rest = active.select("batch", F.col("q").alias("idx"), F.col("qpos").alias("pos"))
-        out = out.union(knn(rest, ref, k, dim, drop_nonfinite=True))
-    return out
+        rest.append(active.select("batch", F.col("q").alias("idx"), F.col("qpos").alias("pos")))
+    if rest:
+        parts.append(knn(reduce(DataFrame.union, rest), ref, k, dim, drop_nonfinite=True))
+    return reduce(DataFrame.union, parts)
