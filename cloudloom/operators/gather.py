@@ -48,9 +48,9 @@ def explode_features(df: DataFrame, column: str = "feat") -> DataFrame:
     return df.select("*", F.posexplode(column).alias("c", "v")).drop(column)
 
 
-def collect_features(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+def collect_features(df: DataFrame, keys: list[str], value: Column, kind: str = "float") -> DataFrame:
     """The array again from (keys, c) groups: ``value`` is an aggregate of each channel."""
-    per = df.groupBy(*keys, "c").agg(value.cast("float").alias("v"))
+    per = df.groupBy(*keys, "c").agg(value.cast(kind).alias("v"))
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s.v).alias("feat"))
 
 
@@ -66,10 +66,10 @@ def three_interpolate(features: DataFrame, weights: DataFrame) -> DataFrame:
     return slots.select("batch", "q", total.alias("feat"))
 
 
-def three_interpolate_grad(grad: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(batch, ref, feat) gradients of the features and (batch, q, slot, w) of the weights, which are zero."""
+def three_interpolate_grad(grad: DataFrame, weights: DataFrame, kind: str = "float") -> tuple[DataFrame, DataFrame]:
+    """(batch, ref, feat) gradients of the features, as ``kind``, and (batch, q, slot, w) of the weights, which are zero."""
     g = weights.join(grad.select("batch", "q", "feat"), ["batch", "q"]).withColumn("feat", F.transform("feat", lambda x: x * F.col("w")))
-    return collect_features(explode_features(g), ["batch", "ref"], F.sum("v")), weights.select("batch", "q", "slot", m.flit(0).alias("w"))
+    return collect_features(explode_features(g), ["batch", "ref"], F.sum("v"), kind), weights.select("batch", "q", "slot", m.flit(0).alias("w"))
 
 
 def inverse_distance_weights(found: DataFrame) -> DataFrame:
@@ -80,12 +80,15 @@ def inverse_distance_weights(found: DataFrame) -> DataFrame:
     return r.join(total, ["batch", "q"]).withColumn("w", (F.col("raw") / F.greatest(F.col("total"), F.lit(1e-20))).cast("float")).drop("raw", "total")
 
 
-def interpolation(points: DataFrame, targets: DataFrame, features: DataFrame, channels: int, k: int = 3) -> DataFrame:
-    """(batch, q, feat): inverse-distance mean of the features of the k nearest points, zeros where there is none."""
+def interpolation(points: DataFrame, targets: DataFrame, features: DataFrame, channels: int, k: int = 3, kind: str = "float") -> DataFrame:
+    """(batch, q, feat): inverse-distance mean of the features of the k nearest points, zeros where there is none.
+
+    Sums are kept in double precision; ``kind`` double gives them as they are, for one who rounds them.
+    """
     w = inverse_distance_weights(_knn.offset_knn(targets, points, k))
     f = features.select("batch", F.col("idx").alias("ref"), "feat")
     rows = w.join(f, ["batch", "ref"], "left").withColumn("feat", F.transform(F.coalesce("feat", zeros(channels)), lambda x: x * F.col("w")))
-    return collect_features(explode_features(rows), ["batch", "q"], F.sum("v"))
+    return collect_features(explode_features(rows), ["batch", "q"], F.sum("v"), kind)
 
 
 def edge_features(points: DataFrame, k: int, dim: int) -> DataFrame:

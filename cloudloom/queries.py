@@ -230,15 +230,15 @@ _W = f"w AS (SELECT batch, q, slot, ref, (1 / (sqrt(d)::FLOAT + 1e-8::DOUBLE)) A
 
 
 def _cell_features(cells):
-    return cells.select("batch", "idx", F.array(F.col("pos")[0] + F.col("pos")[1], F.col("pos")[2] * 2).alias("feat"))
+    return cells.select("batch", "idx", F.array(F.col("pos")[0] + F.col("pos")[1], F.col("pos")[2] * m.flit(2)).alias("feat"))
 
 
 @query("interpolate_idw", f"WITH {CELLS}, {_W} SELECT ww.batch, q, round(sum(((c.x + c.y) * w)::DOUBLE), 1) AS f0, round(sum(((c.z * 2)::FLOAT * w)::DOUBLE), 1) AS f1 FROM ww JOIN cells c ON c.batch = ww.batch AND c.idx = ref GROUP BY ALL")
 def interpolate_idw(spark, d):
     cloud = t.events_cloud(spark, d)
     cells = t.cell_cloud(cloud)
-    out = gather.interpolation(cells, cloud, _cell_features(cells), 2)
-    return out.select("batch", "q", *[F.round(F.col("feat")[i].cast("double"), 1).alias(f"f{i}") for i in range(2)])
+    out = gather.interpolation(cells, cloud, _cell_features(cells), 2, kind="double")
+    return out.select("batch", "q", *[F.round(F.col("feat")[i], 1).alias(f"f{i}") for i in range(2)])
 
 
 def _three(spark, d):
@@ -257,8 +257,8 @@ def three_interpolate(spark, d):
 @query("three_interpolate_grad", f"WITH {CELLS}, {_W} SELECT ww.batch, ref, round(sum((c.f0 * w)::DOUBLE), 1) AS g0, round(sum((c.f1 * w)::DOUBLE), 1) AS g1 FROM ww JOIN cloud c ON c.batch = ww.batch AND c.idx = q GROUP BY ALL")
 def three_interpolate_grad(spark, d):
     cloud, _, w = _three(spark, d)
-    g, _ = gather.three_interpolate_grad(cloud.select("batch", F.col("idx").alias("q"), "feat"), w)
-    return g.select("batch", F.col("ref").cast("long").alias("ref"), *[F.round(F.col("feat")[i].cast("double"), 1).alias(f"g{i}") for i in range(2)])
+    g, _ = gather.three_interpolate_grad(cloud.select("batch", F.col("idx").alias("q"), "feat"), w, "double")
+    return g.select("batch", F.col("ref").cast("long").alias("ref"), *[F.round(F.col("feat")[i], 1).alias(f"g{i}") for i in range(2)])
 
 
 @query("edge_conv", f"""WITH {CELLS}, n AS (SELECT s.batch, q, a.x AS ax, a.y AS ay, a.z AS az, greatest(b.x - a.x, 0) AS x, greatest(b.y - a.y, 0) AS y, greatest(b.z - a.z, 0) AS z FROM ({top('cells', 'cells', 5)}) s JOIN cells a ON a.batch = s.batch AND a.idx = q JOIN cells b ON b.batch = s.batch AND b.idx = ref)
