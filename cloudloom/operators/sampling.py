@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -40,25 +41,96 @@ def farthest(points: np.ndarray, count: int, start: int = 0, skip_near_origin: b
     return out
 
 
-_SCHEMA = "batch long, slot int, idx long"
+LEAF = 128  # points of a box, at most
+PLAIN = 4_096  # points up to which all distances are computed
+SLACK = 1e-6  # relative, above what single-precision distances are off by
+
+
+def _leaves(p: np.ndarray) -> np.ndarray:
+    """Rows of ``p`` in boxes of LEAF at most by halving the widest axis: (box, place), each ascending, short ones filled with their last row."""
+    parts, out = [np.arange(len(p))], []
+    while parts:
+        rows = parts.pop()
+        if len(rows) <= LEAF:
+            out.append(np.sort(rows))
+            continue
+        own = p[rows]
+        axis, half = int(np.argmax(own.max(axis=0) - own.min(axis=0))), len(rows) // 2
+        order = np.argpartition(own[:, axis], half)
+        parts += [rows[order[:half]], rows[order[half:]]]
+    size = max(map(len, out))
+    return np.stack([np.pad(rows, (0, size - len(rows)), mode="edge") for rows in out])
+
+
+def farthest_in_boxes(points: np.ndarray, count: int, start: int = 0, skip_near_origin: bool = False) -> tuple[np.ndarray, int]:
+    """The rows of ``farthest`` for finite points, and the number of distances computed.
+
+    A pick lowers least distances only in boxes that are nearer to it than their largest least distance, so ever fewer boxes are
+    gone through as the sample gets dense. Once all least distances are 0 every further pick is the same row.
+    """
+    p = np.asarray(points, np.float32)
+    out = np.zeros(count, np.int64)
+    if not count:
+        return out, 0
+    rows = _leaves(p)
+    pos = p[rows]
+    lo, hi = pos.min(axis=1).astype(float), pos.max(axis=1).astype(float)
+    least = np.full(rows.shape, np.inf, np.float32)
+    if skip_near_origin:
+        least[((pos[..., 0] * pos[..., 0] + pos[..., 1] * pos[..., 1]) + pos[..., 2] * pos[..., 2]) < NEAR] = -np.inf
+    top, best, compared = least.max(axis=1), rows[np.arange(len(rows)), least.argmax(axis=1)], 0
+    out[0] = start
+    for t in range(1, count):
+        at = p[out[t - 1]]
+        gap = np.maximum(np.maximum(lo - at, at - hi), 0)
+        use = np.flatnonzero((gap * gap).sum(axis=1) * (1 - SLACK) <= top)
+        with np.errstate(over="ignore"):
+            d = pos[use] - at
+            low = np.minimum(least[use], (d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1]) + d[..., 2] * d[..., 2])
+        compared += low.size
+        least[use], top[use] = low, low.max(axis=1)
+        best[use] = rows[use, low.argmax(axis=1)]
+        most = top.max()
+        out[t] = best[top == most].min() if most > -np.inf else 0
+        if most <= 0:
+            out[t:] = out[t]
+            break
+    return out, compared
+
 
+_SCHEMA = "batch long, slot int, idx long"
 
-def _sample(points: DataFrame, count: Column, start: Column, skip: bool) -> DataFrame:
-    """(batch, slot, idx) with the number of samples and first local row of each cloud in columns."""
-    rows = points.withColumn("__count", count).withColumn("__start", start)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        at = farthest(np.stack(pdf["pos"].to_numpy()), int(pdf["__count"].iloc[0]), int(pdf["__start"].iloc[0]) % len(pdf), skip)
-        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "slot": np.arange(len(at), dtype=np.int32), "idx": pdf["idx"].to_numpy()[at]})
+def _sample(points: DataFrame, count: Column, start: Column | None, skip: bool) -> DataFrame:
+    """(batch, slot, idx) with the number of samples and first local row (0 for None) of each cloud in columns.
 
-    return rows.select("batch", "idx", "pos", "__count", "__start").groupBy("batch").applyInPandas(one, _SCHEMA)
+    Points of one place have equal distances and the first of them is picked, so a task gets the first of each place and the start.
+    """
+    rows = points.select("batch", "idx", *[F.col("pos")[i].alias(c) for i, c in enumerate("xyz")], count.cast("long").alias("count"), *([] if start is None else [start.cast("long").alias("start")]))
+    sent = rows.groupBy("batch", "x", "y", "z").agg(F.min("idx").alias("idx"), F.first("count").alias("count")).withColumn("begin", F.lit(False))
+    if start is not None:
+        number = F.row_number().over(Window.partitionBy("batch").orderBy("idx")) - 1
+        size = rows.groupBy("batch").agg(F.count("*").alias("n"))
+        begin = rows.withColumn("at", number).join(size, "batch").where("at = start % n").select("batch", "x", "y", "z", "idx", "count", F.lit(True).alias("begin"))
+        sent = sent.unionByName(begin)
+
+    def one(t: pa.Table) -> pa.Table:
+        idx = t.column("idx").to_numpy()
+        order = np.argsort(idx, kind="stable")
+        idx, begin = idx[order], np.flatnonzero(t.column("begin").to_numpy()[order])
+        p = np.stack([t.column(c).to_numpy()[order] for c in "xyz"], axis=1)
+        asked, first = int(t.column("count")[0].as_py()), int(begin[0]) if len(begin) else 0
+        at = farthest_in_boxes(p, asked, first, skip)[0] if len(p) > PLAIN and asked > 1 and np.isfinite(p).all() else farthest(p, asked, first, skip)
+        columns = [pa.array([t.column("batch")[0].as_py()] * len(at), pa.int64()), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(idx[at])]
+        return pa.table(columns, names=["batch", "slot", "idx"])
+
+    return sent.groupBy("batch").applyInArrow(one, _SCHEMA)
 
 
 def furthest_point_sample(points: DataFrame, npoint: int, start_idx: int = 0, skip_near_origin: bool = False) -> DataFrame:
-    """(batch, slot, idx): npoint samples of each cloud; one task holds one cloud. See ``distributed`` for larger ones."""
+    """(batch, slot, idx): npoint samples of each cloud; one task holds the places of one cloud. See ``distributed`` for larger ones."""
     m.check_count(npoint, "npoint")
-    return _sample(points, F.lit(npoint), F.lit(start_idx), skip_near_origin)
+    return _sample(points, F.lit(npoint), F.lit(start_idx) if start_idx else None, skip_near_origin)
 
 
 def sampled_from_origin_free(points: DataFrame, npoint: int) -> DataFrame:
@@ -80,7 +152,7 @@ def ratio_fps(points: DataFrame, ratio: float | None = 0.5, random_start: bool =
     if ratio < 0 or not math.isfinite(ratio):
         raise ValueError("ratio must be finite and not negative")
     sized = points.join(points.groupBy("batch").agg(F.count("*").alias("__n")), "batch")
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("batch")), F.col("__n")) if random_start else F.lit(0)
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col("batch")), F.col("__n")) if random_start else None
     return _sample(sized, ratio_count(F.col("__n"), ratio), start, False)
 
 
@@ -94,7 +166,7 @@ def offset_fps(points: DataFrame, counts: DataFrame) -> DataFrame:
     sized = points.join(points.groupBy("batch").agg(F.count("*").alias("__n")), "batch").join(counts.select("batch", "m"), "batch")
     if sized.where("m > __n").limit(1).count():
         raise ValueError("more samples asked than points")
-    return _sample(sized, F.col("m"), F.lit(0), False).withColumn("idx", F.col("idx").cast("int"))
+    return _sample(sized, F.col("m"), None, False).withColumn("idx", F.col("idx").cast("int"))
 
 
 def _squared(points: np.ndarray, at: np.ndarray) -> np.ndarray:
