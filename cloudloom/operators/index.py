@@ -84,9 +84,8 @@ class SpatialIndex:
         if k == 0 or self._scan(queries):
             found = pruned.pairs(queries, self.points, 3).where(~F.isnan("d"))
             return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
-        asked = Pyramid.build(finite_points(queries, 3), 3, 1)
-        found = pyramid.nearest(asked, self.tree, k, ranges=LOCAL)
-        return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
+        search = lambda places: smallest(pyramid.nearest(Pyramid.build(finite_points(places, 3), 3, 1), self.tree, k, ranges=LOCAL), k)
+        return pruned.by_place(queries, 3, search).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
     def ball_query(self, queries: DataFrame, radius: float, k: int) -> DataFrame:
         """(batch, q, slot, ref, dist2) as the plain search gives it: the first k references by index.

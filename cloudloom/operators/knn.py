@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from ..functions import metric as m
 from ..ingest import with_batch
 from . import pivots
-from .pruned import Trees, candidates, few
+from .pruned import Trees, by_place, candidates, few
 
 CEILING = 1e10  # squared distances from here on count as missing in the offset interface
 MISSING = 1e5
@@ -31,9 +31,12 @@ def knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, drop_nonfinite:
     m.check_count(k)
     only_finite = drop_nonfinite or dim != 3
     wide = k and (dim > UNROLLED or dim > 3 and not few(query, ref))
-    found = pivots.nearest(query, ref, k, dim) if wide else candidates(query, ref, k, dim, infinite=not only_finite)
-    found = found.where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
-    return smallest(found, k).select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
+    counts = lambda found: found.where(m.finite(F.col("d")) if only_finite else ~F.isnan("d"))
+    if wide or k == 0 or dim > 3 or few(query, ref):
+        found = smallest(counts(pivots.nearest(query, ref, k, dim) if wide else candidates(query, ref, k, dim, infinite=not only_finite)), k)
+    else:
+        found = by_place(query, dim, lambda places: smallest(counts(candidates(places, ref, k, dim, infinite=not only_finite)), k))
+    return found.select("batch", "q", "slot", "ref", m.root(F.col("d")).alias("dist"))
 
 
 def flat_knn(query: DataFrame, ref: DataFrame, k: int, dim: int = 3, cosine: bool = False) -> DataFrame:
@@ -78,7 +81,8 @@ def padded(query: DataFrame, found: DataFrame, k: int, values: dict[str, Column]
 
 def offset_knn(query: DataFrame, ref: DataFrame, nsample: int, dim: int = 3) -> DataFrame:
     """(batch, q, slot, ref INT, dist) with nsample slots; missing or at squared distance 1e10 and beyond is (-1, 1e5)."""
-    found = smallest(candidates(query, ref, nsample, dim, infinite=False).where(F.col("d") < CEILING), nsample)
+    near = lambda asked: smallest(candidates(asked, ref, nsample, dim, infinite=False).where(F.col("d") < CEILING), nsample)
+    found = near(query) if nsample == 0 or dim > 3 or few(query, ref) else by_place(query, dim, near)
     found = found.select("batch", "q", "slot", F.col("ref").cast("int").alias("ref"), m.root(F.col("d")).alias("dist"))
     return padded(query, found, nsample, {"ref": F.lit(-1), "dist": m.flit(MISSING)})
 

@@ -9,7 +9,7 @@ from ..functions import metric as m
 from ..plans.order import cut
 from .gather import collect_features, explode_features
 from .knn import first_minimum
-from .pruned import Trees, plant
+from .pruned import Trees, by_place, places, plant
 
 EPS = 1e-6
 
@@ -19,11 +19,17 @@ def point_losses(x: DataFrame, y: DataFrame, dim: int = 3, norm: int = 2, trees:
     return first_minimum(x, y, dim, norm, trees)
 
 
+def spread(losses: DataFrame, points: DataFrame, dim: int) -> DataFrame:
+    """The losses of places for all points that stand there."""
+    return by_place(points, dim, lambda asked: losses)
+
+
 def reduce_points(losses: DataFrame, cloud: DataFrame, how: str | None, value: str = "d") -> DataFrame:
-    """(batch, loss) by mean (over max(n, 1)), sum or max (0 if empty); the rows themselves for None."""
+    """(batch, loss) by mean (over max(n, 1)), sum or max (0 if empty); the rows themselves for None. A row with ``copies`` counts as so many."""
     if how is None:
         return losses
-    total = {"mean": F.sum(value), "sum": F.sum(value), "max": F.max(value)}[how]
+    each = F.col(value) * F.col("copies") if "copies" in losses.columns else F.col(value)
+    total = {"mean": F.sum(each), "sum": F.sum(each), "max": F.max(value)}[how]
     out = cloud.select("batch", "n").join(losses.groupBy("batch").agg(total.cast("double").alias("loss")), "batch", "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
     return out.select("batch", (F.col("loss") / F.greatest(F.col("n"), F.lit(1)) if how == "mean" else F.col("loss")).alias("loss"))
 
@@ -69,14 +75,16 @@ def chamfer_distance(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: Da
     """
     if point_reduction is None and batch_reduction is not None:
         raise ValueError("batch reduction needs a point reduction")
-    trees = plant(x, y, dim, 1)
+    px, py = places(x, dim), places(y, dim)
+    trees = plant(px, py, dim, 1)
     back = trees and (trees[1], trees[0])
     if point_reduction is None:
-        rows = point_losses(x, y, dim, norm, trees).withColumn("direction", F.lit("xy"))
-        return rows if single_directional else rows.unionByName(point_losses(y, x, dim, norm, back).withColumn("direction", F.lit("yx")))
-    per = reduce_points(point_losses(x, y, dim, norm, trees), cloud_x, point_reduction)
+        rows = spread(point_losses(px, py, dim, norm, trees), x, dim).withColumn("direction", F.lit("xy"))
+        return rows if single_directional else rows.unionByName(spread(point_losses(py, px, dim, norm, back), y, dim).withColumn("direction", F.lit("yx")))
+    many = lambda losses, own: losses.join(own.select("batch", F.col("idx").alias("q"), F.col("copies").cast("double").alias("copies")), ["batch", "q"])
+    per = reduce_points(many(point_losses(px, py, dim, norm, trees), px), cloud_x, point_reduction)
     if not single_directional:
-        other = reduce_points(point_losses(y, x, dim, norm, back), cloud_y, point_reduction).withColumnRenamed("loss", "back")
+        other = reduce_points(many(point_losses(py, px, dim, norm, back), py), cloud_y, point_reduction).withColumnRenamed("loss", "back")
         both = F.greatest("loss", "back") if point_reduction == "max" else F.col("loss") + F.col("back")
         per = per.join(other, "batch").select("batch", both.alias("loss"))
     return reduce_batches(per, batch_reduction, weights)
@@ -117,9 +125,10 @@ def chamfer_gradients(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: D
         total = w.agg(F.sum("w").alias("t")).select(F.when(F.col("t") > 0, F.col("t")).otherwise(1.0).alias("t"))
         w = w.crossJoin(F.broadcast(total)).select("batch", (F.col("w") / F.col("t")).alias("w"))  # one row
 
-    trees = plant(x, y, dim, 1)
-    found = [point_losses(x, y, dim, norm, trees)] + ([] if single_directional else [point_losses(y, x, dim, norm, trees and (trees[1], trees[0]))])
-    if point_reduction == "max":
+    px, py = places(x, dim), places(y, dim)
+    trees = plant(px, py, dim, 1)
+    found = [point_losses(px, py, dim, norm, trees)] + ([] if single_directional else [point_losses(py, px, dim, norm, trees and (trees[1], trees[0]))])
+    if point_reduction == "max":  # the farthest point is the first of its place
         top = F.max(F.struct("d", (-F.col("q")).alias("low"), "ref")).alias("b")
         found = [cut(f.groupBy("batch").agg(top).select("batch", (-F.col("b.low")).alias("q"), "b.ref", "b.d")) for f in found]
         most = w
@@ -128,6 +137,7 @@ def chamfer_gradients(x: DataFrame, y: DataFrame, cloud_x: DataFrame, cloud_y: D
         share = lambda i: F.lit(1.0) if single_directional else F.when(F.col(f"d{i}") > F.col(f"d{1 - i}"), 1.0).when(F.col(f"d{i}") == F.col(f"d{1 - i}"), 0.5).otherwise(0.0)
         up = [most.select("batch", (F.col("w") * share(i)).alias("g")).where("g <> 0") for i in range(len(found))]
     else:
+        found = [spread(f, own, dim) for f, own in zip(found, (x, y), strict=False)]
         up = [c.join(w, "batch").select("batch", (F.col("w") / F.greatest(F.col("n"), F.lit(1)) if point_reduction == "mean" else F.col("w")).alias("g")) for c in (cloud_x, cloud_y)]
     to_x, to_y = pair_gradients(found[0].join(up[0], "batch"), x, y, norm)
     if not single_directional:

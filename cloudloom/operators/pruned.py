@@ -43,6 +43,12 @@ def by_place(query: DataFrame, dim: int, search: Callable[[DataFrame], DataFrame
     return own.hint("merge").join(at, ["batch", "place"]).select("batch", "q", F.inline("rows"))
 
 
+def places(points: DataFrame, dim: int) -> DataFrame:
+    """(batch, idx, pos, copies): the first point of each place, which nearest neighbours of one point alone depend on, with the number of points there."""
+    at = points.groupBy("batch", F.slice("pos", 1, dim).alias("pos")).agg(F.min("idx").alias("idx"), F.count("*").alias("copies"))
+    return cut(at.select("batch", "idx", "pos", "copies"))
+
+
 Trees = tuple[Pyramid, Pyramid]
 
 
