@@ -21,6 +21,7 @@ from .pyramid import LEAST, Nearest, Pyramid, descend, finite_points, needed_pai
 PIVOTS = 24
 SAMPLE = 2_000  # vectors of which the pivots are taken
 BLOCK = 256
+TILE = 8  # bits: 256 blocks of queries that a block of references is sent to at once, fewer if cores would have no tile of their own
 
 
 def choose(vectors: np.ndarray, count: int = PIVOTS) -> np.ndarray:
@@ -110,6 +111,7 @@ def nearest(query: DataFrame, ref: DataFrame, k: int, width: int, count: bool =
         pivots = np.zeros((1, width))
     refs = build(r, width, pivots, k)
     asked = refs if query is ref else build(finite_points(query, width), width, pivots, k)
+    tile = max(0, min(TILE, (asked.size // (2 * BLOCK * query.sparkSession.sparkContext.defaultParallelism)).bit_length() - 1))
     make = lambda ids, pos: PivotNearest(ids, pos, k, pivots)
     pairs = descend(asked, refs, True, lambda a, b, n: reachable(a, b, n, k, width))
-    return searched(asked, refs, needed_pairs(asked, refs, pairs, make), make, count)
+    return searched(asked, refs, needed_pairs(asked, refs, pairs, make), make, count, tile)

@@ -463,11 +463,32 @@ def _needed(batches: Iterator[pa.RecordBatch], make, dim: int) -> Iterator[pa.Re
     yield from _batched(rows())
 
 
-def _search(batches: Iterator[pa.RecordBatch], make, dim: int, count: bool) -> Iterator[pa.RecordBatch]:
+def _tiles_met(batches: Iterator[pa.RecordBatch], make, dim: int) -> Iterator[tuple]:
+    """Each block of queries after the blocks of references it is paired with were offered; rows (batch, tile, q, first, qs, nears, ids, ranks, xyz, box)."""
+    tile, held = None, {}
+    for b in batches:
+        first, tiles, key = b.column("first").to_numpy(zero_copy_only=False), b.column("tile").to_numpy(), b.column("q").to_numpy()
+        (ids, at), (ranks, _), (xyz, xat), (box, bat), (qs, qat), (nears, _) = (_column(b, c) for c in ("ids", "ranks", "xyz", "box", "qs", "nears"))
+        for i in range(b.num_rows):
+            own = (b.column("batch")[i], int(tiles[i]))
+            if own != tile:
+                yield from ((block, (tile[0], q), []) for q, block in held.items())
+                tile, held = own, {}
+            pos = xyz[xat[i] : xat[i + 1]].reshape(int(at[i + 1] - at[i]), -1)
+            if first[i]:
+                held[int(key[i])] = make(ids[at[i] : at[i + 1]].copy(), pos.copy())
+                continue
+            room = box[bat[i] : bat[i + 1]].reshape(2, dim).astype(np.float64)
+            for q, near in zip(qs[qat[i] : qat[i + 1]].tolist(), nears[qat[i] : qat[i + 1]].tolist(), strict=True):
+                held[q].offer(ids[at[i] : at[i + 1]], ranks[at[i] : at[i + 1]], pos, near, room)
+    yield from ((block, (tile[0], q), []) for q, block in held.items())
+
+
+def _search(batches: Iterator[pa.RecordBatch], make, dim: int, count: bool, meet=_blocks_met) -> Iterator[pa.RecordBatch]:
     """(batch, q, ref, d) of the nearest found; with ``count`` the numbers of queries and of comparisons as q and ref."""
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for block, (batch, _), _ in _blocks_met(batches, make, dim):
+        for block, (batch, _), _ in meet(batches, make, dim):
             q, ref, d = block.rows()
             ids = block.ids[q]
             if count:
@@ -492,6 +513,19 @@ def _streams(pairs: DataFrame, query: Pyramid, ref: Pyramid, boxes: DataFrame |
     return sorted_.select("batch", "q", "r", (F.col("turn") == 0).alias("first"), "near", "box", *points)
 
 
+def _tiles(pairs: DataFrame, query: Pyramid, ref: Pyramid, tile: int) -> DataFrame:
+    """``_streams`` for 2^tile blocks of queries at a time: a block of references is sent once to all of them that it is paired with."""
+    parts = int(query.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points, of = ["ids", "ranks", "xyz"], F.shiftright("q", tile).alias("tile")
+    own = query.blocks.withColumn("q", F.col("id")).select("batch", of, "q", F.lit(0).alias("turn"), F.lit(-1.0).alias("near"), F.array().cast("array<long>").alias("qs"), F.array().cast("array<double>").alias("nears"), F.array().cast("array<float>").alias("box"), *points)
+    met = pairs.groupBy("batch", of, "r").agg(F.collect_list(F.struct("q", "near")).alias("all"), F.min("near").alias("near"))
+    room = F.array(*[f"{c}{i}" for c in ("lo", "hi") for i in range(ref.dim)]).alias("box")
+    met = met.join(ref.blocks.select("batch", F.col("id").alias("r"), room, *points), ["batch", "r"])
+    met = met.select("batch", "tile", F.lit(-1).cast("long").alias("q"), F.lit(1).alias("turn"), "near", F.col("all.q").alias("qs"), F.col("all.near").alias("nears"), "box", *points)
+    sorted_ = own.unionByName(met).repartition(parts, "batch", "tile").sortWithinPartitions("batch", "tile", "turn", "near")
+    return sorted_.select("batch", "tile", "q", (F.col("turn") == 0).alias("first"), "qs", "nears", "box", *points)
+
+
 def needed_pairs(query: Pyramid, ref: Pyramid, pairs: DataFrame, make) -> DataFrame:
     """Of ``pairs`` of blocks (batch, q, r, near, lead, box) those left once every query knows its k-th distance among the points of the lead blocks."""
     kind, dim, pairs = query.blocks.schema["batch"].dataType.simpleString(), ref.dim, cut(pairs)
@@ -500,10 +534,11 @@ def needed_pairs(query: Pyramid, ref: Pyramid, pairs: DataFrame, make) -> DataFr
     return cut(lead.union(rest))
 
 
-def searched(query: Pyramid, ref: Pyramid, pairs: DataFrame, make, count: bool = False) -> DataFrame:
-    """(batch, q, ref, d) of what ``make`` collects of each block of queries over its ``pairs`` (batch, q, r, near)."""
+def searched(query: Pyramid, ref: Pyramid, pairs: DataFrame, make, count: bool = False, tile: int = 0) -> DataFrame:
+    """(batch, q, ref, d) of what ``make`` collects of each block of queries over its ``pairs`` (batch, q, r, near); 2^tile blocks of queries are met at once."""
     kind, dim = query.blocks.schema["batch"].dataType.simpleString(), ref.dim
-    return _streams(pairs, query, ref).mapInArrow(lambda it: _search(it, make, dim, count), f"batch {kind}, q long, ref long, d float")
+    rows, meet = (_tiles(pairs, query, ref, tile), _tiles_met) if tile else (_streams(pairs, query, ref), _blocks_met)
+    return rows.mapInArrow(lambda it: _search(it, make, dim, count, meet), f"batch {kind}, q long, ref long, d float")
 
 
 def nearest(query: Pyramid, ref: Pyramid, k: int, norm: int = 2, ranges: int = 0) -> DataFrame:
