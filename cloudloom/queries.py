@@ -12,7 +12,7 @@ from . import ingest
 from .functions import metric as m
 from .functions import morton
 from .operators import gather, graph, index, knn, loss, radius, rings, sampling, sparse, voxel
-from .plans.order import cut, global_order, permutation, shared_dir
+from .plans.order import cut, discard, global_order, permutation, shared_dir
 from .sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -732,8 +732,10 @@ def graclus(spark, d):
 
 @query("mutual_matching")
 def mutual_matching(spark, d):
-    e = t.parts_graph(spark, d)
-    return graph.mutual_matching(e, _nodes(e))
+    one = cut(t.parts_edges(spark, d))
+    out = graph.mutual_matching(one, _nodes(one))  # either direction stands for both
+    discard(one)
+    return out
 
 
 @query("sorted_edges", f"WITH {_EDGES} SELECT edge_id, r AS row, c AS col, rn, degree FROM e")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..plans.order import tasks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,13 +37,22 @@ def embeddings_cloud(spark: SparkSession, sf_dir: str, by_label: bool = False) -
     return e.select((F.col("label") if by_label else F.lit(0)).cast("long").alias("batch"), F.col("vec_id").alias("idx"), F.col("embedding").alias("pos"))
 
 
-def parts_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row, col, weight): distinct part-supplier pairs of all line items as edges in both directions; suppliers follow the parts."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("float").alias("weight"))
-    one = li.select((F.col("l_partkey") * 2).alias("row"), (F.col("l_suppkey") * 2 + 1).alias("col"), "weight")
+def parts_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, col, weight): distinct part-supplier pairs of all line items with their number; suppliers follow the parts."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    li = li.repartition(tasks(spark, li.count()), "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("float").alias("weight"))
+    return li.select((F.col("l_partkey") * 2).alias("row"), (F.col("l_suppkey") * 2 + 1).alias("col"), "weight")
+
+
+def both_ways(one: DataFrame) -> DataFrame:
     return one.union(one.select("col", "row", "weight"))
 
 
+def parts_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``parts_edges`` in both directions."""
+    return both_ways(parts_edges(spark, sf_dir))
+
+
 def event_sites(cloud: DataFrame) -> DataFrame:
     """(row, b, a0, a1, a2, features): occupied 1 x 4 x 4 cells with count and sum of values; one row per cell."""
     cell = [F.floor(F.col("pos")[i] / s).cast("int").alias(f"a{i}") for i, s in enumerate((1, 4, 4))]
