@@ -726,8 +726,10 @@ def _nodes(edges: DataFrame) -> int:
 
 @query("graclus")
 def graclus(spark, d):
-    e = t.parts_graph(spark, d)
-    return graph.graclus(e, _nodes(e), weighted=True)
+    one = cut(t.parts_edges(spark, d))  # several passes read the edges
+    out = graph.graclus(t.both_ways(one), _nodes(one), weighted=True)
+    discard(one)
+    return out
 
 
 @query("mutual_matching")
