@@ -778,6 +778,27 @@ def test_divided_anchors_equal_one_array(spark, monkeypatch):
         assert got == dict(enumerate(want)), (shard, levels)
 
 
+def test_divided_anchors_read_texts_no_more(spark, monkeypatch):
+    """Texts are gone through equally often with and without anchors to divide: stretches carry their bytes once they are cut."""
+    rng = random.Random(18)
+    shared = " ".join(words(rng, 40))
+    texts = [" ".join(words(rng, 9)) + shared[: rng.randrange(60, 300)] + " ".join(words(rng, 9)) for _ in range(40)]
+    read = []
+    for shard in (1 << 19, 2000):
+        monkeypatch.setattr(suffixes, "SHARD", shard)
+        seen = spark.sparkContext.accumulator(0)
+
+        def passed(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        table = docs(spark, texts)
+        suffixes.dedup_substrings(table.mapInArrow(passed, table.schema), 60).collect()
+        read.append(seen.value)
+    assert read[0] == read[1]
+
+
 def test_long_licenses_by_digest(spark):
     """Whole long licences in other capitals and wrapping; only where the system has their texts."""
     import os
