@@ -223,12 +223,13 @@ def drop_leaks(docs: DataFrame, items: DataFrame, n: int = N, min_score: float =
         gone = _joined_leaks(texts, tests, n, min_score).select(F.col("k").alias("__k")).distinct()
         return keyed.join(gone, "__k", "left_anti").select(*docs.columns)
 
+    @tk.trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = sent.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
             for lo, hi, data, off in tk.slices(batch.column(at)):
-                keep[[lo + x[0] for x in _leaks(part, tk.words(data, off, loose=True), min_score)]] = False
-            yield batch.filter(pa.array(keep))
+                keep = np.ones(hi - lo, bool)
+                keep[[x[0] for x in _leaks(part, tk.words(data, off, loose=True), min_score)]] = False
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -421,6 +422,18 @@ def test_edited_passages_share_seeds():
         assert len(a & b) >= substrings.MIN_SEEDS
 
 
+def test_slices_take_bounded_memory():
+    """Arrays of a task that goes through long batches of texts."""
+    rng = random.Random(9)
+    texts = pa.record_batch([pa.array(range(2000)), pa.array([" ".join(words(rng, 600)) for _ in range(2000)])], names=["rid", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(1 for _, _, data, off in tk.slices(texts.column(1)) if tk.words(data, off, loose=True))
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("edits", [False, True])
 def test_passage_in_parts_of_other_owners(spark, edits):
     """Documents that hold overlapping parts own all seeds; two later ones share the whole passage."""
