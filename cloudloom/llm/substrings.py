@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, discard, groups, keyed, release, rid
+from .common import cut, discard, keyed, release, rid, whole
 
 K = 5
 WINDOW = 4
@@ -33,7 +33,9 @@ MAX_GAP = 60  # words between two blocks of a chain
 GAP_COST = 0.02  # per word of gap on either side, in seeds
 MIN_SEEDS = 2
 PAD = 48  # words by which a chain may grow in the alignment
+FEW = 32  # blocks of a pair that are compared one by one instead of by a tree
 HELD = 500_000  # k-mers among which a task links repeats itself
+ROWS = 1024  # of texts that are gone through as Python strings
 ASKED = 4096  # stretches of a text that are cut out by one task
 SHARED = -1  # in place of a position: no match, but other documents have the k-mer
 
@@ -87,16 +89,55 @@ class Fenwick:
         return out
 
 
-def blocks(pos: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Seeds merged along diagonals: rows (pos, other, end, seeds), sorted by pos then other."""
-    order = np.lexsort((pos, pos - other))
-    p, o = pos[order], other[order]
+def blocks(pos: np.ndarray, other: np.ndarray, pair: np.ndarray | None = None) -> np.ndarray:
+    """Seeds of pairs of documents merged along diagonals: rows (pos, other, end, seeds, pair), sorted by pair, pos and other. Equal seeds count once."""
+    pair = np.zeros(len(pos), np.int64) if pair is None else pair
+    order = np.lexsort((pos, pos - other, pair))
+    d, p, o = pair[order], pos[order], other[order]
+    like = (d[1:] == d[:-1]) & (p[1:] - o[1:] == p[:-1] - o[:-1])
+    once = np.ones(len(p), bool)
+    once[1:] = ~(like & (p[1:] == p[:-1]))
     new = np.ones(len(p), bool)
-    new[1:] = (p[1:] - o[1:] != p[:-1] - o[:-1]) | (p[1:] - p[:-1] > MAX_GAP)
+    new[1:] = ~like | (p[1:] - p[:-1] > MAX_GAP)
+    d, p, o, new = d[once], p[once], o[once], new[once]
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(p))
-    out = np.stack([p[starts], o[starts], p[ends - 1] + K, ends - starts], axis=1)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
+    out = np.stack([p[starts], o[starts], p[ends - 1] + K, ends - starts, d[starts]], axis=1)
+    return out[np.lexsort((out[:, 1], out[:, 0], out[:, 4]))]
+
+
+def _forerunners(left: list[list[int]]) -> tuple[list[float], list[int]]:
+    """The score of the best chain that ends with each block, and the block before it there (-1: none)."""
+    score, back = [0.0] * len(left), [-1] * len(left)
+
+    def put(i: int, value: float, j: int) -> None:
+        gain = value - GAP_COST * float(left[i][0] + left[i][1])
+        score[i], back[i] = float(left[i][3]) + max(gain, 0.0), j if gain > 0 else -1
+
+    if len(left) <= FEW:
+        worth: list[float] = []
+        for i, (p, o, end, _) in enumerate(left):
+            best = (float("-inf"), -1)
+            for j in range(i):
+                q = left[j]
+                if q[2] <= p and q[1] + q[2] - q[0] <= o and (worth[j], j) > best:
+                    best = (worth[j], j)
+            put(i, *best)
+            worth.append(score[i] + GAP_COST * float(end + o + end - p))
+        return score, back
+    rows = np.array(left)
+    end_other = rows[:, 1] + rows[:, 2] - rows[:, 0]
+    values = np.unique(np.concatenate([rows[:, 1], end_other]))
+    tree, done = Fenwick(len(values)), 0
+    by_end = np.argsort(rows[:, 2], kind="stable").tolist()
+    place, start_place, end_other = np.searchsorted(values, end_other).tolist(), np.searchsorted(values, rows[:, 1], side="right").tolist(), end_other.tolist()
+    for i in range(len(left)):
+        while done < len(left) and left[by_end[done]][2] <= left[i][0]:
+            j = by_end[done]
+            tree.put(place[j], (score[j] + GAP_COST * float(left[j][2] + end_other[j]), j))
+            done += 1
+        put(i, *tree.get(start_place[i]))
+    return score, back
 
 
 def chains(seeds: np.ndarray) -> list[np.ndarray]:
@@ -105,35 +146,18 @@ def chains(seeds: np.ndarray) -> list[np.ndarray]:
     The score of a chain is its seeds less GAP_COST for each word of gap on either side; a Fenwick tree over the
     ends in the other document finds each block's best forerunner. A block joins one only past its end on one side.
     """
-    left, out = seeds, []
-    while len(left):
-        end_other = left[:, 1] + left[:, 2] - left[:, 0]
-        values = np.unique(np.concatenate([left[:, 1], end_other]))
-        tree = Fenwick(len(values))
-        by_end = np.argsort(left[:, 2], kind="stable")
-        score, back, done = [0.0] * len(left), [-1] * len(left), 0
-        place, start_place = np.searchsorted(values, end_other), np.searchsorted(values, left[:, 1], side="right")
-        for i in range(len(left)):
-            while done < len(left) and left[by_end[done], 2] <= left[i, 0]:
-                j = int(by_end[done])
-                if score[j]:
-                    tree.put(int(place[j]), (score[j] + GAP_COST * float(left[j, 2] + end_other[j]), j))
-                done += 1
-            value, j = tree.get(int(start_place[i]))
-            gain = value - GAP_COST * float(left[i, 0] + left[i, 1])
-            score[i], back[i] = float(left[i, 3]) + max(gain, 0.0), j if gain > 0 else -1
-        i = int(np.argmax(score))
-        chain = [i]
+    left, out = seeds[:, :4].tolist(), []
+    while left:
+        score, back = _forerunners(left)
+        chain = [score.index(max(score))]
         while back[chain[-1]] >= 0:
             chain.append(back[chain[-1]])
-        chain = chain[::-1]
-        if left[chain, 3].sum() < MIN_SEEDS:
+        rows = [left[i] for i in reversed(chain)]
+        if sum(r[3] for r in rows) < MIN_SEEDS:
             break
-        out.append(left[chain])
-        keep = np.ones(len(left), bool)
-        lo, hi = left[chain[0], 0], left[chain[-1], 2]
-        keep[(left[:, 0] < hi) & (left[:, 2] > lo)] = False  # what overlaps the chain's stretch is explained by it
-        left = left[keep]
+        out.append(np.array(rows))
+        lo, hi = rows[0][0], rows[-1][2]
+        left = [r for r in left if r[0] >= hi or r[2] <= lo]  # what overlaps the chain's stretch is explained by it
     return out
 
 
@@ -155,10 +179,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, most: bool = False) -> np.ndarray:
     """Which words of a meet an equal word of b, as the chain's anchors (pos, other, end) order them.
 
-    Along a block and outwards from the ends words are compared one to one; between blocks by longest common subsequence.
+    Along a block and outwards from the ends words are compared one to one; between blocks by longest common subsequence,
+    or with ``most`` not at all: then all words between blocks count, so that no alignment has more.
     """
     hit = np.zeros(len(a), bool)
     done_a = done_b = 0
@@ -171,8 +196,11 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
             n = min(p, o)
             hit[p - n : p] = a[p - n : p] == b[o - n : o]
         elif p - done_a and o - done_b and max(p - done_a, o - done_b) <= 4 * MAX_GAP:
-            for i, _ in _pairs(a[done_a:p], b[done_b:o]):
-                hit[done_a + i] = True
+            if most:
+                hit[done_a:p] = True
+            else:
+                for i, _ in _pairs(a[done_a:p], b[done_b:o]):
+                    hit[done_a + i] = True
         hit[p:end] = a[p:end] == b[o : o + end - p]
         done_a, done_b = end, o + end - p
     n = min(len(a) - done_a, len(b) - done_b)
@@ -215,15 +243,20 @@ def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: list[tuple[np.ndarray, ...]] = []
 
-    def linked() -> pa.RecordBatch:
+    def linked() -> Iterator[pa.RecordBatch]:
         gram, rid_, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
         held.clear()
-        order = np.lexsort((pos, rid_, gram))
-        gram, rid_, pos = gram[order], rid_[order], pos[order]
+        order = np.argsort(gram)
+        like = gram[order][1:] == gram[order][:-1]
+        many = np.append(like, False) | np.append(False, like)
+        one, some = order[~many], order[many]  # most k-mers occur once
+        yield _matches(gram[one], rid_[one], pos[one], rid_[one], pos[one], np.ones(len(one), bool), np.ones(len(one), bool))
+        some = some[np.lexsort((pos[some], rid_[some], gram[some]))]
+        gram, rid_, pos = gram[some], rid_[some], pos[some]
         first, alone = _firsts(gram, rid_)
         later = rid_ != rid_[first]
         none = ~later & alone
-        return _matches(gram, rid_, pos, rid_[first], np.where(later, pos[first], SHARED), ~later, none)
+        yield _matches(gram, rid_, pos, rid_[first], np.where(later, pos[first], SHARED), ~later, none)
 
     for batch in batches:
         rids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -232,9 +265,9 @@ def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = minimisers(h, np.searchsorted(d, np.arange(hi - lo + 1)), WINDOW)
             held.append((tk.signed(h[pick]), rids[lo:hi][d[pick]], p[pick].astype(np.int32)))
             if sum(len(x[0]) for x in held) >= HELD:
-                yield linked()
+                yield from linked()
     if held:
-        yield linked()
+        yield from linked()
 
 
 def _firsts(gram: np.ndarray, rid_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +277,7 @@ def _firsts(gram: np.ndarray, rid_: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new[1:] = gram[1:] != gram[:-1]
     first = np.maximum.accumulate(np.where(new, at, 0))
     starts = np.flatnonzero(new)
-    last = np.append(starts[1:], len(gram)) - 1
+    last = np.append(starts[1:], len(gram))[: len(starts)] - 1
     return first, np.repeat(rid_[starts] == rid_[last], np.diff(np.append(starts, len(gram))))
 
 
@@ -258,7 +291,7 @@ def _matches(gram: np.ndarray, rid_: np.ndarray, pos: np.ndarray, orid: np.ndarr
 
 @tk.trimmed
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of the first seeds of all stretches, sorted by gram, rid and pos, with the first document's; matches come as they are, as local ones.
+    """Matches of the first seeds of all stretches, sorted by gram, with the first document's; matches come as they are, as local ones.
 
     The first document's seeds stay, without a match, if another document has the k-mer.
     """
@@ -267,9 +300,13 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows:
             gram, rid_, pos = (t.column(k).to_numpy() for k in range(3))
+            known = t.column(4).is_valid().to_numpy()
+            like = gram[1:] == gram[:-1]
+            some = np.flatnonzero(known | np.append(like, False) | np.append(False, like))  # most k-mers occur once
+            some = some[np.lexsort((pos[some], rid_[some], gram[some]))]
+            gram, rid_, pos, known = gram[some], rid_[some], pos[some], known[some]
             first, alone = _firsts(gram, rid_)
             shared = np.zeros(len(gram), bool)
-            known = t.column(4).is_valid().to_numpy()
             np.logical_or.at(shared, first, known | ~alone)
             keep, later = shared[first], rid_ != rid_[first]
             yield _local(_matches(gram[keep], rid_[keep], pos[keep], rid_[first][keep], pos[first][keep], ~later[keep], ~later[keep]), False)
@@ -288,39 +325,34 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CHAIN = "rid long, chain int, orid long, lo int, hi int, olo int, ohi int, anchors binary"
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a stream sorted by rid and orid without those alone in their pair of documents; a batch's first and last row stay."""
-    for b in batches:
-        rid_, orid = b.column(0).to_numpy(), b.column(1).to_numpy()
-        like = (rid_[1:] == rid_[:-1]) & (orid[1:] == orid[:-1])
-        keep = np.ones(b.num_rows, bool)
-        keep[1:-1] = like[1:] | like[:-1]
-        yield b.filter(pa.array(keep))
-
-
 @tk.trimmed
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, last, rows = 0, None, []
-    for g in groups(_paired(batches), ["rid", "orid"]):
-        rid_, orid = g.column("rid")[0].as_py(), g.column("orid")[0].as_py()
-        if rid_ != last:
-            number, last = 0, rid_
-        if g.num_rows < MIN_SEEDS:
-            continue
-        pos, other = g.column("pos").to_numpy().astype(np.int64), g.column("opos").to_numpy().astype(np.int64)
-        new = np.ones(len(pos), bool)  # strings of seeds share their ends
-        new[1:] = (np.diff(pos) != 0) | (np.diff(other) != 0)
-        pos, other = pos[new], other[new]
-        for c in chains(blocks(pos, other)):
-            lo, olo = max(0, int(c[0, 0]) - PAD), max(0, int(c[0, 1]) - PAD)
-            hi, ohi = int(c[-1, 2]) + PAD, int(c[-1, 1] + c[-1, 2] - c[-1, 0]) + PAD
-            anchors = (c[:, :3] - np.array([lo, olo, lo])).astype(np.int32)
-            rows.append((rid_, number, orid, lo, hi, olo, ohi, anchors.tobytes()))
-            number += 1
-        if len(rows) >= 2000:
-            yield _rows(rows)
-            rows = []
-    yield _rows(rows)
+    """Chains of the matches of each pair of documents, in a stream sorted by rid. All pairs of a batch are merged to blocks at once."""
+    for t in whole(batches, "rid"):
+        rid_, orid, pos, other = (t.column(c).to_numpy().astype(np.int64) for c in ("rid", "orid", "pos", "opos"))
+        order = np.lexsort((orid, rid_))
+        new = np.ones(len(order), bool)
+        new[1:] = (rid_[order][1:] != rid_[order][:-1]) | (orid[order][1:] != orid[order][:-1])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        first = order[new]
+        found = blocks(pos, other, pair)
+        starts = np.flatnonzero(np.diff(found[:, 4], prepend=-1))
+        ends = np.append(starts[1:], len(found))
+        some = (ends - starts > 1) | (found[starts, 3] >= MIN_SEEDS)
+        rows: list[tuple] = []
+        number, last = 0, None
+        for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+            at = first[found[a, 4]]
+            own, source = int(rid_[at]), int(orid[at])
+            if own != last:
+                number, last = 0, own
+            for c in chains(found[a:b, :4]) if b - a > 1 else (found[a:b, :4],):
+                (p, o), (q, r, end) = c[0, :2].tolist(), c[-1, :3].tolist()
+                lo, olo = max(0, p - PAD), max(0, o - PAD)
+                rows.append((own, number, source, lo, end + PAD, olo, r + end - q + PAD, (c[:, :3] - np.array([lo, olo, lo])).astype(np.int32).tobytes()))
+                number += 1
+        yield _rows(rows)
 
 
 def _rows(rows: list) -> pa.RecordBatch:
@@ -357,7 +389,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             a, b = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
-            for lo, hi, hits in runs(align(a, b, np.frombuffer(r["anchors"], np.int32).reshape(-1, 3))):
+            anchors = np.frombuffer(r["anchors"], np.int32).reshape(-1, 3)
+            if len(anchors) > 1 and not runs(align(a, b, anchors, most=True)):
+                continue  # a stretch of fewer hits lies within one of more
+            for lo, hi, hits in runs(align(a, b, anchors)):
                 rows.append((r["rid"], r["orid"], r["lo"] + lo, r["lo"] + hi, hits / (hi - lo)))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()])], names=["rid", "source_rid", "first_word", "end_word", "identity"])
 
@@ -365,16 +400,20 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @tk.trimmed
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared seeds (gram, rid, pos, owner, open), open: matched, but in no passage. Rows of a document: its passages (kind 0, pos to end), its seeds (1, or 2 as owner)."""
-    for g in groups(batches, ["rid"]):
-        kind, pos = g.column("kind").to_numpy(), g.column("pos").to_numpy().astype(np.int64)
-        seed = np.flatnonzero(kind > 0)
+    for t in whole(batches, "rid"):
+        rid_, pos, kind = t.column("rid").to_numpy(), t.column("pos").to_numpy().astype(np.int64), t.column("kind").to_numpy()
+        place = (np.cumsum(np.diff(rid_, prepend=rid_[:1]) != 0) << 32) + pos  # documents one after the other
+        seed, span = np.flatnonzero(kind > 0), np.flatnonzero(kind == 0)
         if not len(seed):
             continue
-        at, owner = pos[seed], kind[seed] == 2
-        left = ~owner
-        for lo, hi in zip(pos[kind == 0].tolist(), g.column("end").to_numpy()[kind == 0].tolist(), strict=True):
-            left[np.searchsorted(at, lo) : np.searchsorted(at, hi - K, side="right")] = False
-        yield pa.record_batch([g.column("gram").combine_chunks().take(pa.array(seed)), g.column("rid").combine_chunks().take(pa.array(seed)), pa.array(at.astype(np.int32)), pa.array(owner), pa.array(left)], names=["gram", "rid", "pos", "owner", "open"])
+        seed = seed[np.argsort(place[seed])]
+        at, owner = place[seed], kind[seed] == 2
+        ends = place[span] - pos[span] + t.column("end").to_numpy()[span]
+        inside = np.zeros(len(seed) + 1, np.int64)
+        np.add.at(inside, np.searchsorted(at, place[span]), 1)
+        np.add.at(inside, np.searchsorted(at, ends - K, side="right"), -1)
+        left = ~owner & (np.cumsum(inside)[:-1] == 0)
+        yield pa.record_batch([t.column("gram").combine_chunks().take(pa.array(seed)), pa.array(rid_[seed]), pa.array(pos[seed].astype(np.int32)), pa.array(owner), pa.array(left)], names=["gram", "rid", "pos", "owner", "open"])
 
 
 def strings(gram: np.ndarray, pos: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -411,19 +450,22 @@ def strings(gram: np.ndarray, pos: np.ndarray, low: np.ndarray) -> tuple[np.ndar
 @tk.trimmed
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of each document (gram, rid, pos, width, open), open: some seed is open, and none is its owner's, whose strings no earlier document has."""
-    for g in groups(batches, ["rid"]):
-        pos = g.column("pos").to_numpy().astype(np.int64)
-        h, i, j = strings(g.column("gram").to_numpy().view(np.uint64), pos, g.column("low").to_numpy())
-        some, own = (np.concatenate([[0], np.cumsum(g.column(k).to_numpy(zero_copy_only=False))]) for k in ("open", "owner"))
+    for t in whole(batches, "rid"):
+        order = np.lexsort((t.column("pos").to_numpy(), t.column("rid").to_numpy()))
+        gram, rid_, pos, low, opens, owner = (t.column(c).to_numpy(zero_copy_only=False)[order] for c in ("gram", "rid", "pos", "low", "open", "owner"))
+        pos = pos.astype(np.int64)
+        turn = np.diff(rid_, prepend=rid_[:1]) != 0
+        apart = np.cumsum(np.where(turn, np.roll(pos, 1) + MAX_GAP + MIN_WORDS + 1, 0))  # documents one after the other, too far apart for a string
+        h, i, j = strings(gram.view(np.uint64), pos + apart, low)
+        some, own = (np.concatenate([[0], np.cumsum(x)]) for x in (opens, owner))
         asks = (some[j + 1] > some[i]) & (own[j + 1] == own[i])
-        rid_ = np.full(len(h), g.column("rid")[0].as_py(), np.int64)
-        yield pa.record_batch([pa.array(tk.signed(h)), pa.array(rid_), pa.array(pos[i].astype(np.int32)), pa.array((pos[j] - pos[i]).astype(np.int32)), pa.array(asks)], names=["gram", "rid", "pos", "width", "open"])
+        yield pa.record_batch([pa.array(tk.signed(h)), pa.array(rid_[i]), pa.array(pos[i].astype(np.int32)), pa.array((pos[j] - pos[i]).astype(np.int32)), pa.array(asks)], names=["gram", "rid", "pos", "width", "open"])
 
 
 def _passages(matches: DataFrame, source: DataFrame) -> DataFrame:
     """Aligned stretches (rid, source_rid, first_word, end_word, identity) of the chains of seeds (rid, orid, pos, opos), cut."""
     key = ["rid", "orid", "pos", "opos"]
-    found = cut(matches.select(*key).repartition("rid").sortWithinPartitions(*key).mapInArrow(_chained, _CHAIN))
+    found = cut(matches.select(*key).repartition("rid").sortWithinPartitions("rid").mapInArrow(_chained, _CHAIN))
     release(source.sparkSession)
     asked = found.select("rid", F.col("rid").alias("for_rid"), "chain", F.lit(0).alias("side"), "lo", "hi").union(
         found.select("orid", "rid", "chain", F.lit(1), "olo", "ohi")
@@ -443,7 +485,7 @@ def _found(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
     # matches are spread, what may still have an owner elsewhere meets by its k-mer
     deal = F.when(F.col("orid").isNull(), F.col("gram")).otherwise(F.xxhash64("rid", "pos"))
-    matches = cut(source.mapInArrow(_kmers, _MATCH).repartition(deal).sortWithinPartitions("gram", "rid", "pos").mapInArrow(_owned, _OWNED))
+    matches = cut(source.mapInArrow(_kmers, _MATCH).repartition(deal).sortWithinPartitions("gram").mapInArrow(_owned, _OWNED))
     release(spark)
     # a stretch's first document is in that stretch alone, so a key of this join holds at most a stretch's seeds
     handed = matches.where("not local and orid is not null").groupBy("gram", F.col("rid").alias("orid")).agg(F.min("orid").alias("to_rid"), F.min("opos").alias("to_pos"))
@@ -454,12 +496,12 @@ def _found(source: DataFrame) -> DataFrame:
     # seeds that gave no passage with their owner meet again as strings, each string with its own owner
     spans = passages.select("rid", F.lit(0).alias("kind"), F.col("first_word").alias("pos"), F.col("end_word").alias("end"), F.lit(None).cast("long").alias("gram"))
     seeds = matches.select("rid", F.when(F.col("orid").isNull(), 2).otherwise(1), "pos", F.lit(0), "gram")
-    marked = cut(spans.union(seeds).repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_open, "gram long, rid long, pos int, owner boolean, open boolean"))
+    marked = cut(spans.union(seeds).repartition("rid").sortWithinPartitions("rid").mapInArrow(_open, "gram long, rid long, pos int, owner boolean, open boolean"))
     discard(matches)
     release(spark)
     again = marked.groupBy("gram").agg(F.min("rid").alias("low"), F.max("open").alias("some")).where("some").select("gram", "low")
     spots = marked.join(again, "gram")
-    chosen = cut(spots.repartition("rid").sortWithinPartitions("rid", "pos").mapInArrow(_strings, "gram long, rid long, pos int, width int, open boolean"))
+    chosen = cut(spots.repartition("rid").sortWithinPartitions("rid").mapInArrow(_strings, "gram long, rid long, pos int, width int, open boolean"))
     discard(marked)
     release(spark)
     owner = chosen.groupBy("gram").agg(F.min(F.struct("rid", "pos", "width")).alias("first"), F.max(F.when(F.col("open"), F.col("rid"))).alias("last")).where("first.rid < last")
@@ -508,8 +550,9 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.withColumn("__rid", rid(unique, id_col, text_col)).join(spans, "__rid", "left").drop("__rid")
     at, width = docs.columns.index(text_col), len(docs.columns)
 
+    @tk.trimmed
     def erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = batch.column(at)
             spans = batch.column(width)
             some = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))

@@ -422,6 +422,43 @@ def test_edited_passages_share_seeds():
         assert len(a & b) >= substrings.MIN_SEEDS
 
 
+def test_seeds_of_many_documents_at_once(monkeypatch):
+    """A batch of many short documents takes one pass, with the strings of each document alone; a document goes on over batches."""
+    rng = np.random.default_rng(8)
+    rid = np.sort(rng.integers(0, 500, 3000))
+    pos = np.concatenate([rng.permutation(4 * n)[:n] for n in np.unique(rid, return_counts=True)[1]])
+    table = pa.table({"gram": rng.integers(0, 40, 3000), "rid": rid, "pos": pos.astype(np.int32), "owner": rng.random(3000) < 0.2, "open": rng.random(3000) < 0.5, "low": rng.integers(0, 9, 3000)})
+    want = []
+    for k in np.unique(rid):
+        own = table.filter(pa.array(rid == k)).sort_by("pos")
+        at = own["pos"].to_numpy().astype(np.int64)
+        h, i, j = substrings.strings(own["gram"].to_numpy().view(np.uint64), at, own["low"].to_numpy())
+        owner, left = (own[c].to_numpy() for c in ("owner", "open"))
+        want += [(x, k, at[a], at[b] - at[a], left[a : b + 1].any() and not owner[a : b + 1].any()) for x, a, b in zip(h.view(np.int64).tolist(), i, j)]
+    calls, plain = [], substrings.strings
+    monkeypatch.setattr(substrings, "strings", lambda *x: calls.append(1) or plain(*x))
+    for size in (3000, 700, 3):
+        calls.clear()
+        got = [tuple(r.values()) for b in substrings._strings(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want) and (size < 700 or len(calls) <= 3000 // size + 2)
+
+
+def test_seeds_in_passages_are_not_open():
+    rng = np.random.default_rng(10)
+    rows, want = [], []
+    for k in range(60):
+        spans = [(int(lo), int(lo + rng.integers(40, 90))) for lo in rng.integers(0, 300, rng.integers(3))]
+        rows += [(k, 0, lo, hi, None) for lo, hi in spans]
+        for p in rng.permutation(400)[:30].tolist():
+            kind, gram = int(rng.integers(1, 3)), int(rng.integers(-(2**63), 2**63))
+            rows.append((k, kind, p, 0, gram))
+            want.append((gram, k, p, kind == 2, kind == 1 and not any(lo <= p <= hi - substrings.K for lo, hi in spans)))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["rid", "kind", "pos", "end", "gram"])
+    for size in (2000, 70, 7):
+        got = [tuple(r.values()) for b in substrings._open(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_slices_take_bounded_memory():
     """Arrays of a task that goes through long batches of texts."""
     rng = random.Random(9)
