@@ -20,7 +20,7 @@ curve makes it a score. Terms within TOLERANCE of their default are not stored a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ BROADCAST_ROWS = 4_000_000  # of the model, 16 bytes each; a larger one is joine
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.7
 MERGE = 1_500_000  # pairs that a task gathers before it merges equal ones
+MERGE_SUMS = 100_000  # sums of texts, 13 doubles each, that it gathers
 
 
 def remainder(id_col: str) -> Column:
@@ -95,13 +96,13 @@ def _distinct(d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.unique(tk.mix(_pair(u, v) + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
 
 
+Arrays = dict[str, np.ndarray]
+
+
 @dataclass
-class Counts:
-    """Tables of counts and their totals, each class with its own discounts of words and pairs."""
+class Rates:
+    """Totals and discounts of the counts, each class with its own of words and pairs, and the terms of rows of counts."""
 
-    words: DataFrame  # v, n_t, n_o (words before it), f_t, f_o (texts), shared: P(v)
-    pairs: DataFrame  # u, v, c_t, c_o of pairs in two texts or more
-    contexts: DataFrame  # u, t_t, t_o (texts), l_t, l_o (what is left of them to backoff); those of such pairs
     totals: dict[str, float]  # of n_t and n_o
     word_d: dict[str, float]
     pair_d: dict[str, float]
@@ -109,52 +110,74 @@ class Counts:
     unseen: float
     side: float  # share of texts with a word that are toxic, over all words
 
-    def p_word(self, y: str) -> Column:
-        """P_y(v) from n_y and shared, null for words not seen."""
-        return F.greatest(F.coalesce(f"n_{y}", F.lit(0)) - self.word_d[y], F.lit(0.0)) / self.totals[y] + self.rest[y] * F.coalesce("shared", F.lit(self.unseen))
+    def p_word(self, y: str, x: Arrays) -> np.ndarray:
+        """P_y(v) from n_y and shared."""
+        return np.maximum(x[f"n_{y}"] - self.word_d[y], 0) / self.totals[y] + self.rest[y] * x["shared"]
 
-    def p_pair(self, y: str) -> Column:
-        """P_y(v | u); the columns of u and of the pair may be null."""
-        total = F.coalesce(f"t_{y}", F.lit(0))
-        own = F.greatest(F.coalesce(f"c_{y}", F.lit(0)) - self.pair_d[y], F.lit(0.0))
-        return F.when(total > 0, own / total + F.col(f"l_{y}") / total * self.p_word(y)).otherwise(self.p_word(y))
+    def p_pair(self, y: str, x: Arrays) -> np.ndarray:
+        """P_y(v | u), from the columns of u and of the pair too."""
+        total, single = x[f"t_{y}"], self.p_word(y, x)
+        own, some = np.maximum(x[f"c_{y}"] - self.pair_d[y], 0), np.maximum(total, 1)
+        return np.where(total > 0, own / some + x[f"l_{y}"] / some * single, single)
 
     def common(self, q: float) -> float:
         """The term of a word that was not seen."""
         return q * float(np.log(self.rest["t"]) - np.log(self.rest["o"]))
 
-    def word(self, q: float) -> Column:
-        return _stored(self._sides(q) * _ratio(self.p_word), F.lit(self.common(q)))
+    def word(self, q: float, x: Arrays) -> np.ndarray:
+        return _stored(self._sides(q, x) * _ratio(self.p_word, x), self.common(q))
 
-    def context(self, r: float) -> Column:
+    def context(self, r: float, x: Arrays) -> np.ndarray:
         """The term that u adds before a word with which it makes no counted pair."""
-        rest = lambda y: F.when(F.col(f"t_{y}") > 0, F.col(f"l_{y}") / F.col(f"t_{y}")).otherwise(1.0)
-        return _stored(F.coalesce(r * _ratio(rest), F.lit(0.0)), F.lit(0.0))
+        rest = lambda y, x: np.where(x[f"t_{y}"] > 0, x[f"l_{y}"] / np.maximum(x[f"t_{y}"], 1), 1.0)
+        return _stored(r * _ratio(rest, x), 0.0)
 
-    def pair(self, q: float, r: float) -> Column:
+    def pair(self, q: float, r: float, x: Arrays) -> np.ndarray:
         """The term that a counted pair adds to its word."""
-        w = self._sides(q)
-        share = w * F.col("f_t") / (F.col("f_t") + F.col("f_o")) + (1 - w) * self.side
-        w = _weight(r, F.col("c_t"), F.col("c_o"), F.greatest(F.least(share, F.lit(1 - 1e-6)), F.lit(1e-6)))
-        return _stored(w * (_ratio(self.p_pair) - _ratio(self.p_word)), self.context(r))
+        w = self._sides(q, x)
+        share = np.clip(w * x["f_t"] / (x["f_t"] + x["f_o"]) + (1 - w) * self.side, 1e-6, 1 - 1e-6)
+        return _stored(_weight(r, x["c_t"], x["c_o"], share) * (_ratio(self.p_pair, x) - _ratio(self.p_word, x)), self.context(r, x))
+
+    def _sides(self, q: float, x: Arrays) -> np.ndarray:
+        return _weight(q, x["f_t"], x["f_o"], self.side)
+
+
+@dataclass
+class Counts:
+    """Tables of counts and their rates."""
+
+    words: DataFrame  # v, n_t, n_o (words before it), f_t, f_o (texts), shared: P(v)
+    pairs: DataFrame  # u, v, c_t, c_o of pairs in two texts or more
+    contexts: DataFrame  # u, t_t, t_o (texts), l_t, l_o (what is left of them to backoff); those of such pairs
+    rates: Rates
 
-    def _sides(self, q: float) -> Column:
-        return _weight(q, F.coalesce("f_t", F.lit(0)), F.coalesce("f_o", F.lit(0)), F.lit(self.side))
+    @property
+    def word_d(self) -> dict[str, float]:
+        return self.rates.word_d
 
+    @property
+    def pair_d(self) -> dict[str, float]:
+        return self.rates.pair_d
 
-def _ratio(p) -> Column:
-    return F.log(p("t")) - F.log(p("o"))
 
+def _ratio(p: Callable, x: Arrays) -> np.ndarray:
+    return np.log(p("t", x)) - np.log(p("o", x))
 
-def _stored(x: Column, default: Column) -> Column:
-    return F.when(F.abs(x - default) > TOLERANCE, x).otherwise(default)
 
+def _stored(x: np.ndarray, default: np.ndarray | float) -> np.ndarray:
+    return np.where(np.abs(x - default) > TOLERANCE, x, default)
 
-def _weight(prior: float, t: Column, o: Column, share: Column) -> Column:
+
+def _weight(prior: float, t: np.ndarray, o: np.ndarray, share: np.ndarray | float) -> np.ndarray:
     """Probability that t and o have a share of their own, given the prior for it and the share they have otherwise."""
-    part = lambda k, s: F.when(k > 0, k * F.log(k / ((t + o) * s))).otherwise(0.0)
+    part = lambda k, s: k * np.log(np.where(k > 0, k / (np.maximum(t + o, 1) * s), 1.0))
     gain = part(t, share) + part(o, 1 - share)
-    return 1 / (1 + (1 - prior) / prior * F.exp(-F.least(gain, F.lit(500.0))))
+    return 1 / (1 + (1 - prior) / prior * np.exp(-np.minimum(gain, 500.0)))
+
+
+def _arrays(batch: pa.RecordBatch) -> Arrays:
+    """Columns without nulls; counts as doubles."""
+    return {n: c.to_numpy(zero_copy_only=False) if n in ("__k", "u", "v") else c.to_numpy(zero_copy_only=False).astype(float) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 def _discount(once: float, twice: float) -> float:
@@ -188,7 +211,14 @@ def count(train: DataFrame, text_col: str) -> Counts | None:
     contexts = cut(pairs.groupBy("u").agg(F.sum("c_t").alias("t_t"), F.sum("c_o").alias("t_o"), *left, F.max(kept).alias("some")).where("some").drop("some"))
     pairs = cut(pairs.where(kept))
     discard(counted)
-    return Counts(words, pairs, contexts, {y: float(w[y]) for y in "to"}, word_d, pair_d, {y: word_d[y] * w[f"v{y}"] / w[y] for y in "to"}, unseen, w["ft"] / (w["ft"] + w["fo"]))
+    rates = Rates({y: float(w[y]) for y in "to"}, word_d, pair_d, {y: word_d[y] * w[f"v{y}"] / w[y] for y in "to"}, unseen, w["ft"] / (w["ft"] + w["fo"]))
+    return Counts(words, pairs, contexts, rates)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of all parts, and their sums of each row of values."""
+    k, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return k, np.stack([np.bincount(at, x, minlength=len(k)) for x in np.concatenate([x for _, x in parts], axis=1)])
 
 
 def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[float, float, tuple[float, float, float]]:
@@ -199,8 +229,41 @@ def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[float, flo
     used, keyed = _tokens(sample.select("__toxic", text_col))
     used = used.join(counts.words, "v", "left").join(counts.contexts, "u", "left").join(counts.pairs, ["u", "v"], "left")
     tried = [(q, r) for q in WORD_PRIORS for r in PAIR_PRIORS]
-    term = lambda q, r: counts.word(q) + F.when(F.col("c_t").isNotNull(), counts.pair(q, r)).otherwise(counts.context(r))
-    sums = used.groupBy("__k").agg(F.sum("count").alias("n"), *[F.sum(F.col("count") * term(*t)).alias(f"x{i}") for i, t in enumerate(tried)])
+    names = ["n", *[f"x{i}" for i in range(len(tried))]]
+    rates = counts.rates
+
+    @tk.trimmed
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and, for each choice of priors, terms of each text, summed as far as a task gathers them. As expressions of
+        Spark the terms of all choices would make a plan of a MB, which the driver writes out at each step."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            k, x = _merged(held)
+            return pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, x)], names=["__k", *names])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _arrays(b)
+            paired = np.flatnonzero(x["c_t"] + x["c_o"])
+            own = {n: c[paired] for n, c in x.items()}
+            word, context = {q: rates.word(q, x) for q in WORD_PRIORS}, {r: rates.context(r, x) for r in PAIR_PRIORS}
+            sums = [x["count"]]
+            for q, r in tried:
+                added = context[r].copy()
+                added[paired] = rates.pair(q, r, own)
+                sums.append(x["count"] * (word[q] + added))
+            held.append(_merged([(x["__k"], np.stack(sums))]))
+            if sum(len(k) for k, _ in held) >= MERGE_SUMS:
+                yield sent()
+                held = []
+        if held:
+            yield sent()
+
+    known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_t", "n_o", "f_t", "f_o", "t_t", "t_o", "l_t", "l_o", "c_t", "c_o")]
+    parts = used.select("__k", "count", *known, F.coalesce("shared", F.lit(rates.unseen)).alias("shared")).mapInArrow(summed, ", ".join(["__k long", *[f"{n} double" for n in names]]))
+    sums = parts.groupBy("__k").agg(*[F.sum(n).alias(n) for n in names])
     fit = keyed.select("__k", "__toxic").join(sums, "__k", "left").na.fill(0).drop("__k").toPandas()
     y, n = fit["__toxic"].to_numpy(float), fit["n"].to_numpy(float)
     best = None
@@ -219,18 +282,25 @@ def learn(counts: Counts, q: float, r: float) -> tuple[DataFrame, float]:
 
     Kind 0: of a word; 1: what a word before adds; 2: what it adds as a counted pair, in place of kind 1.
     """
-    common = counts.common(q)
-    single = counts.words.select(F.lit(0).alias("kind"), F.col("v").alias("key"), counts.word(q).alias("ratio")).where(F.col("ratio") != common)
-    context = counts.contexts.select(F.lit(1), F.col("u"), counts.context(r).alias("ratio")).where("ratio <> 0")
-    some = counts.pairs.join(counts.contexts, "u").join(counts.words, "v").select("u", "v", counts.pair(q, r).alias("ratio"), counts.context(r).alias("default"))
-    pair = some.where("ratio <> default").select("u", "v", "ratio").mapInArrow(_pair_keys, "kind int, key long, ratio double")
+    rates = counts.rates
+    common = rates.common(q)
+    single = _terms(counts.words, 0, lambda x: (x["v"], rates.word(q, x), common))
+    context = _terms(counts.contexts, 1, lambda x: (x["u"], rates.context(r, x), 0.0))
+    paired = counts.pairs.join(counts.contexts, "u").join(counts.words, "v")
+    pair = _terms(paired, 2, lambda x: (tk.signed(_pair(x["u"].view(np.uint64), x["v"].view(np.uint64))), rates.pair(q, r, x), rates.context(r, x)))
     return cut(single.union(context).union(pair)), common
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key = tk.signed(_pair(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2, np.int32)), pa.array(key), b.column(2)], names=["kind", "key", "ratio"])
+def _terms(table: DataFrame, kind: int, term: Callable) -> DataFrame:
+    """(kind, key, ratio) of the rows whose (key, ratio, default) by ``term`` has a ratio of its own."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, ratio, default = term(_arrays(b))
+            at = np.flatnonzero(ratio != default)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(key[at]), pa.array(ratio[at])], names=["kind", "key", "ratio"])
+
+    return table.mapInArrow(own, "kind int, key long, ratio double")
 
 
 @dataclass
