@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ CALIBRATION_SHARE = 0.2  # of the labelled rows, where that is less
 BROADCAST_ROWS = 4_000_000  # of the model, 16 bytes each; a larger one is joined
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.7
+ROUNDS = 2  # in which pairs are counted, by their digest: what one has shuffled is gone before the next
 MERGE = 1_500_000  # pairs that a task gathers before it merges equal ones
 MERGE_SUMS = 100_000  # sums of texts, 13 doubles each, that it gathers
 
@@ -63,8 +65,8 @@ def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 @tk.trimmed
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, toxic, ordinary) sums of the pairs of each task's texts (toxic, text), and of its words with ONCE for u."""
+def _counts(batches: Iterator[pa.RecordBatch], part: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """(u, v, toxic, ordinary) sums of the pairs of each task's texts (toxic, text), and of its words with ONCE for u; those whose digest falls in this one of the rounds."""
     held: list[np.ndarray] = []
 
     def merged() -> pa.RecordBatch:
@@ -81,7 +83,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, off in tk.slices(batch.column(1)):
             u, v, d = _marked(tk.words(data, off, loose=True))
             for before in (u, np.full(len(v), ONCE)):
-                rows = _distinct(d, before, v)
+                mine = np.flatnonzero(_pair(before, v) % np.uint64(rounds) == part)
+                rows = mine[_distinct(d[mine], before[mine], v[mine])]
                 held.append(np.stack([before[rows], v[rows], label[lo:hi][d[rows]]], axis=1))
             if sum(map(len, held)) >= MERGE:
                 yield merged()
@@ -186,14 +189,18 @@ def _discount(once: float, twice: float) -> float:
 
 def count(train: DataFrame, text_col: str) -> Counts | None:
     """Counts of the texts (__toxic, text); None if a class has none."""
-    counted = cut(train.select("__toxic", text_col).mapInArrow(_counts, "u long, v long, toxic long, ordinary long").groupBy("u", "v").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o")))
-    release(train.sparkSession)
+    spark, n, tables = train.sparkSession, ROUNDS, []
+    for part in range(n):
+        pieces = train.select("__toxic", text_col).mapInArrow(lambda b, p=part: _counts(b, p, n), "u long, v long, toxic long, ordinary long")
+        tables.append(cut(pieces.groupBy("u", "v").agg(F.sum("toxic").alias("c_t"), F.sum("ordinary").alias("c_o"))))
+        release(spark)
+    counted = reduce(DataFrame.union, tables)
     word, pair = F.col("u") == int(ONCE), F.col("u") != int(ONCE)
     many = lambda c: F.sum(c.cast("int"))
     texts = lambda c: F.coalesce(F.max(F.when(word, F.col(c))), F.lit(0))
     words = counted.groupBy("v").agg(many(pair & (F.col("c_t") > 0)).alias("n_t"), many(pair & (F.col("c_o") > 0)).alias("n_o"), many(pair).alias("n"), texts("c_t").alias("f_t"), texts("c_o").alias("f_o"))
     words = cut(words)
-    release(train.sparkSession)
+    release(spark)
     is_ = lambda c, k: F.sum((F.col(c) == k).cast("double"))
     some = lambda c: F.sum((F.col(c) > 0).cast("double"))
     w = words.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n").alias("n"), F.count("*").alias("v"), is_("n", 1).alias("s1"), is_("n", 2).alias("s2"), F.sum("f_t").alias("ft"), F.sum("f_o").alias("fo"),
@@ -210,7 +217,8 @@ def count(train: DataFrame, text_col: str) -> Counts | None:
     left = [F.sum(F.when(kept, F.least(F.col(f"c_{y}"), F.lit(pair_d[y]))).otherwise(F.col(f"c_{y}"))).alias(f"l_{y}") for y in "to"]
     contexts = cut(pairs.groupBy("u").agg(F.sum("c_t").alias("t_t"), F.sum("c_o").alias("t_o"), *left, F.max(kept).alias("some")).where("some").drop("some"))
     pairs = cut(pairs.where(kept))
-    discard(counted)
+    discard(*tables)
+    release(spark)
     rates = Rates({y: float(w[y]) for y in "to"}, word_d, pair_d, {y: word_d[y] * w[f"v{y}"] / w[y] for y in "to"}, unseen, w["ft"] / (w["ft"] + w["fo"]))
     return Counts(words, pairs, contexts, rates)
 
@@ -265,6 +273,7 @@ def choose(counts: Counts, sample: DataFrame, text_col: str) -> tuple[float, flo
     parts = used.select("__k", "count", *known, F.coalesce("shared", F.lit(rates.unseen)).alias("shared")).mapInArrow(summed, ", ".join(["__k long", *[f"{n} double" for n in names]]))
     sums = parts.groupBy("__k").agg(*[F.sum(n).alias(n) for n in names])
     fit = keyed.select("__k", "__toxic").join(sums, "__k", "left").na.fill(0).drop("__k").toPandas()
+    release(sample.sparkSession)
     y, n = fit["__toxic"].to_numpy(float), fit["n"].to_numpy(float)
     best = None
     for i, (q, r) in enumerate(tried):
@@ -288,7 +297,9 @@ def learn(counts: Counts, q: float, r: float) -> tuple[DataFrame, float]:
     context = _terms(counts.contexts, 1, lambda x: (x["u"], rates.context(r, x), 0.0))
     paired = counts.pairs.join(counts.contexts, "u").join(counts.words, "v")
     pair = _terms(paired, 2, lambda x: (tk.signed(_pair(x["u"].view(np.uint64), x["v"].view(np.uint64))), rates.pair(q, r, x), rates.context(r, x)))
-    return cut(single.union(context).union(pair)), common
+    terms = cut(single.union(context).union(pair))
+    release(terms.sparkSession)
+    return terms, common
 
 
 def _terms(table: DataFrame, kind: int, term: Callable) -> DataFrame:

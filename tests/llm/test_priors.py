@@ -47,3 +47,19 @@ def test_sums_equal_those_of_the_model(corpus, monkeypatch):
             got = fit[["n", f"x{i}"]].to_numpy(float)
             want = np.stack([n, x], axis=1)
             assert np.abs(got[np.lexsort(got.T[::-1])] - want[np.lexsort(want.T[::-1])]).max() < 1e-9
+
+
+def test_rounds_count_the_same(spark, monkeypatch):
+    """However many rounds the pairs are counted in, the counts are those of all pairs; no round shuffles them all."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k % 2, " ".join(f"w{rng.randrange(40)}x" for _ in range(30))) for k in range(80)], "__toxic int, text string")
+    seen = []
+    for rounds in (1, 2, 5):
+        monkeypatch.setattr(toxicity, "ROUNDS", rounds)
+        monkeypatch.setattr(toxicity, "cut", lambda t, real=toxicity.cut: sizes.append((t.columns, real(t))) or sizes[-1][1])
+        sizes = []
+        c = toxicity.count(df, "text")
+        monkeypatch.undo()
+        assert len([1 for columns, _ in sizes if columns == ["u", "v", "c_t", "c_o"]]) == rounds + 1  # and the pairs that stay
+        seen.append((c.rates, *[sorted(tuple(round(x, 9) for x in r) for r in t.collect()) for t in (c.words, c.pairs, c.contexts)]))  # the order of sums is open
+    assert seen[0] == seen[1] == seen[2]
