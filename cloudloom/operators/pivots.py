@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metric as m
-from .pyramid import LEAST, Nearest, Pyramid, descend, finite_points, needed_pairs, searched
+from .pyramid import LEAST, MOST, Nearest, Pyramid, descend, finite_points, needed_pairs, searched
 
 PIVOTS = 24
 SAMPLE = 2_000  # vectors of which the pivots are taken
 BLOCK = 256
+GROWTH = 8  # times that size, of many vectors: a matrix product takes large blocks, and fewer pairs of blocks are listed
+SPARSE = 0.1  # of pairs of two blocks that are summed up one by one
+BOXES = 128  # compared with a block of queries at once
 TILE = 8  # bits: 256 blocks of queries that a block of references is sent to at once, fewer if cores would have no tile of their own
 
 
@@ -58,9 +61,45 @@ class PivotNearest(Nearest):
         super().__init__(ids, pos, k, 2)
         own = to_pivots(pos, pivots)
         self.own, self.slack = np.stack([own, own], axis=1), slack(pos.shape[1])
+        self.centre = pos.mean(axis=0, dtype=np.float64)
+        near, self.square = self.centred(pos)
+        self.left = np.concatenate([-2 * near, np.ones((len(pos), 1), np.float32)], axis=1)
+
+    def centred(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors less the mean of the queries, in single precision, and their squared lengths: both are small where distances are."""
+        with np.errstate(over="ignore"):
+            near = (pos - self.centre).astype(np.float32)
+        return near, np.square(near, dtype=np.float64).sum(axis=1)
 
     def least(self, box: np.ndarray) -> np.ndarray:
-        return _least(self.own, box)
+        """(query, box), some boxes at a time."""
+        return np.concatenate([_least(self.own, box[at : at + BOXES]) for at in range(0, max(len(box), 1), BOXES)], axis=1)
+
+    def hits(self, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As of all distances, but a matrix product first tells which pairs can be close enough; only these are summed up axis by axis.
+
+        The product gives |r|^2 - 2 qr, off by less than slack * (|q|^2 + |r|^2) with all roundings; so far it may be beyond
+        what the k-th distance allows.
+        """
+        near, square = self.centred(pos)
+        if max(self.square.max(initial=0.0), square.max(initial=0.0)) > MOST / 16:  # products could leave single precision
+            return super().hits(rows, pos)
+        right = np.concatenate([near, (square * (1 - self.slack))[:, None].astype(np.float32)], axis=1)
+        room = self.worst()[rows] - self.square[rows] * (1 - self.slack)
+        with np.errstate(over="ignore"):
+            room = np.nextafter(room.astype(np.float32), np.float32(np.inf))[:, None]
+        close = np.flatnonzero(self.left[rows] @ right.T <= room)
+        if len(close) > SPARSE * len(rows) * len(pos):
+            return super().hits(rows, pos)
+        i, j = np.divmod(close, len(pos))
+        i = rows[i]
+        d = np.zeros(len(i), np.float32)
+        with np.errstate(over="ignore"):
+            for x, y in zip(self.pos[i].T, pos[j].T, strict=True):  # in the order and precision of ``distances``
+                step = y - x
+                d += step * step
+        fits = d <= self.d[i, -1]
+        return i[fits], j[fits], d[fits]
 
 
 def slack(width: int) -> float:
@@ -82,7 +121,12 @@ def reachable(q: np.ndarray, r: np.ndarray, n: np.ndarray, k: int, width: int) -
     return kept | lead, near, lead
 
 
-def build(vectors: DataFrame, width: int, pivots: np.ndarray, front: int) -> Pyramid:
+def block_size(count: int) -> int:
+    """BLOCK until there are more blocks, half full at worst, than vectors in one, then more up to GROWTH times that."""
+    return max(BLOCK, min(GROWTH * BLOCK, 1 << (2 * count // BLOCK).bit_length() >> 1))
+
+
+def build(vectors: DataFrame, width: int, pivots: np.ndarray, front: int, block: int | None = None) -> Pyramid:
     """Pyramid over the pivot distances of (batch, idx, rank, pos), in the order of the nearest pivot and the distance to it."""
     kind = vectors.schema["batch"].dataType.simpleString()
 
@@ -98,7 +142,7 @@ def build(vectors: DataFrame, width: int, pivots: np.ndarray, front: int) -> Pyr
     rows = rows.mapInArrow(placed, f"batch {kind}, idx long, rank long, pos array<float>, z long, away double, at array<double>")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["batch", "z", "away", "rank"]  # vectors at one place have equal distances
-    return Pyramid.of_ordered(rows.repartitionByRange(parts, *order).sortWithinPartitions("batch", "z", "away", "pos", "rank"), len(pivots), front, None, BLOCK)
+    return Pyramid.of_ordered(rows.repartitionByRange(parts, *order).sortWithinPartitions("batch", "z", "away", "pos", "rank"), len(pivots), front, None, block or BLOCK)
 
 
 def nearest(query: DataFrame, ref: DataFrame, k: int, width: int, count: bool = False) -> DataFrame:
@@ -109,9 +153,10 @@ def nearest(query: DataFrame, ref: DataFrame, k: int, width: int, count: bool =
     pivots = choose(np.array([x[0] for x in sample], np.float64).reshape(len(sample), width))
     if not len(pivots):
         pivots = np.zeros((1, width))
-    refs = build(r, width, pivots, k)
-    asked = refs if query is ref else build(finite_points(query, width), width, pivots, k)
-    tile = max(0, min(TILE, (asked.size // (2 * BLOCK * query.sparkSession.sparkContext.defaultParallelism)).bit_length() - 1))
+    block = block_size(r.count())
+    refs = build(r, width, pivots, k, block)
+    asked = refs if query is ref else build(finite_points(query, width), width, pivots, k, block)
+    tile = max(0, min(TILE, (asked.blocks.count() // (2 * query.sparkSession.sparkContext.defaultParallelism)).bit_length() - 1))
     make = lambda ids, pos: PivotNearest(ids, pos, k, pivots)
     pairs = descend(asked, refs, True, lambda a, b, n: reachable(a, b, n, k, width))
     return searched(asked, refs, needed_pairs(asked, refs, pairs, make), make, count, tile)

@@ -30,6 +30,7 @@ SLACK = 2e-6  # relative, above what single-precision distances are off by
 LEAST = 1e-37  # absolute, for distances that single precision holds inexactly
 MOST = 3e38  # distances beyond are infinite in single precision
 ROWS = 16_384
+APART = 4  # tasks a tile of queries
 GROUP = 1 << 20  # bytes of a row group of a lasting table: small, so that local searches skip most
 SPANS = 4_096
 
@@ -368,18 +369,27 @@ class Nearest:
         if not len(rows):
             return
         self.compared += len(rows) * len(ids)
-        d = distances(self.pos[rows], pos, self.norm)
-        hit = d <= self.d[rows, -1:]
-        some = hit.any(axis=1)
-        rows, d, use = rows[some], d[some], hit.any(axis=0)
-        if not len(rows):
+        i, j, found = self.hits(rows, pos)
+        if not len(i):
             return
-        d = np.concatenate([self.d[rows], d[:, use]], axis=1)
-        rank = np.concatenate([self.rank[rows], np.broadcast_to(ranks[use], (len(rows), int(use.sum())))], axis=1)
-        ref = np.concatenate([self.ref[rows], np.broadcast_to(ids[use], (len(rows), int(use.sum())))], axis=1)
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        rows, each = i[first], np.diff(first, append=len(i))
+        at = (np.repeat(np.arange(len(first)), each), np.arange(len(i)) - np.repeat(first, each))
+        d, rank, ref = (np.full((len(rows), each.max()), none, x.dtype) for none, x in ((np.inf, self.d), (np.iinfo(np.int64).max, self.rank), (-1, self.ref)))
+        d[at], rank[at], ref[at] = found, ranks[j], ids[j]
+        d, rank, ref = (np.concatenate([x[rows], y], axis=1) for x, y in ((self.d, d), (self.rank, rank), (self.ref, ref)))
         order = np.lexsort((rank, d), axis=1)[:, : self.k]
         self.d[rows], self.rank[rows], self.ref[rows] = (np.take_along_axis(x, order, axis=1) for x in (d, rank, ref))
 
+    def hits(self, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance), by query: pairs within the k-th distance found, and within the k-th of these places."""
+        d = distances(self.pos[rows], pos, self.norm)
+        hit = d <= self.d[rows, -1:]
+        if hit.all() and len(pos) > 4 * self.k:
+            hit &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        i, j = np.nonzero(hit)
+        return rows[i], j, d[i, j]
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all found: number of the query in its block, reference, distance."""
         q, at = np.nonzero(self.rank < np.iinfo(np.int64).max)
@@ -515,8 +525,9 @@ def _streams(pairs: DataFrame, query: Pyramid, ref: Pyramid, boxes: DataFrame |
 
 def _tiles(pairs: DataFrame, query: Pyramid, ref: Pyramid, tile: int) -> DataFrame:
     """``_streams`` for 2^tile blocks of queries at a time: a block of references is sent once to all of them that it is paired with."""
-    parts = int(query.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points, of = ["ids", "ranks", "xyz"], F.shiftright("q", tile).alias("tile")
+    # a tile is long work, so tiles should seldom share a task
+    parts = max(int(query.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), APART * query.blocks.select("batch", F.shiftright("id", tile)).distinct().count())
     own = query.blocks.withColumn("q", F.col("id")).select("batch", of, "q", F.lit(0).alias("turn"), F.lit(-1.0).alias("near"), F.array().cast("array<long>").alias("qs"), F.array().cast("array<double>").alias("nears"), F.array().cast("array<float>").alias("box"), *points)
     met = pairs.groupBy("batch", of, "r").agg(F.collect_list(F.struct("q", "near")).alias("all"), F.min("near").alias("near"))
     room = F.array(*[f"{c}{i}" for c in ("lo", "hi") for i in range(ref.dim)]).alias("box")
